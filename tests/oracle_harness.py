@@ -39,6 +39,8 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
+        if v.is_integer() and abs(v) < 2**53:
+            return int(v)
         return float(f"{v:.9g}")
     if hasattr(v, "item") and not isinstance(v, (str, bytes)):
         try:

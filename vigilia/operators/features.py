@@ -129,9 +129,8 @@ def standard_scale(df: DataFrame, cols: Sequence[str], fit: DataFrame | None = N
     """(x - mean) / stddev with statistics from ``fit`` (default: ``df``), one aggregate pass."""
     src = fit if fit is not None else df
     stats = src.agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev(c).alias(f"s_{c}") for c in cols])
-    out = df.crossJoin(F.broadcast(stats))  # one row, size fixed
-    return out.withColumns({c: (F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}") for c in cols}).drop(
-        *[f"m_{c}" for c in cols], *[f"s_{c}" for c in cols])
+    return df.withColumns({c: (F.col(c) - stats.select(f"m_{c}").scalar()) / stats.select(f"s_{c}").scalar()
+                           for c in cols})
 
 
 def forward_fill(df: DataFrame, cols: Sequence[str], *, key: str = "patient_id",

@@ -1,23 +1,28 @@
 """Keyless running operations without a single-task window (H1).
 
-``Window.orderBy(x)`` with no ``partitionBy`` moves every row to one task. Here
-the table is range-partitioned on the order key (sampled bounds, so hot values
-are spread), each partition is sorted locally, and per-partition totals (one
-row per partition, a table bounded by the partition count) become offsets that
-are broadcast back. ``monotonically_increasing_id`` after the local sort gives
-the in-partition position for free; running sums use a vectorised pandas scan
-per partition (Arrow batches), the one place where per-partition sequential
-logic is genuinely needed.
+``Window.orderBy(x)`` with no ``partitionBy`` moves every row to one task.
+Here the order key is cut into contiguous buckets by boundaries taken from a
+deterministic hash sample (collected sample size ~ ``SAMPLE_PER_BUCKET`` rows
+per bucket, so bounded by the bucket count, not the data). Each row's bucket is
+a binary search over the boundaries written as a tree of struct comparisons, so
+it is a pure function of the row: a retried task or a re-evaluated branch puts
+every row in the same bucket (Spark's own range exchange samples in
+shuffle-read order and may move rows between evaluations).
+
+Every running operation is then an ordinary window partitioned by the bucket,
+plus exclusive running totals of a per-bucket summary (one row per bucket,
+broadcast back). All JVM-side; no Python in the data path.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+
+SAMPLE_PER_BUCKET = 64
+MAX_BUCKETS = 4096
 
 
 def _n_parts(df: DataFrame, n: int | None) -> int:
@@ -26,60 +31,70 @@ def _n_parts(df: DataFrame, n: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def range_sorted(df: DataFrame, order: Sequence[str], n: int | None = None) -> DataFrame:
-    """Range-partition on ``order``, sort inside partitions, tag ``_pid`` and ``_local`` (0-based)."""
-    d = df.repartitionByRange(_n_parts(df, n), *order).sortWithinPartitions(*order)
-    d = d.withColumn("_pid", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id())
-    return d.withColumn("_local", F.col("_mono") - F.shiftleft(F.col("_pid").cast("long"), 33)).drop("_mono")
+def _key(order: Sequence[str]) -> Column:
+    return F.struct(*[F.col(c) for c in order])
+
+
+def _literal_key(row, order: Sequence[str], types) -> Column:
+    return F.struct(*[F.lit(row[i]).cast(types[c]).alias(c) for i, c in enumerate(order)])
+
+
+def bucketize(df: DataFrame, order: Sequence[str], n: int | None = None, out: str = "_pid") -> DataFrame:
+    """Add ``out``: a bucket id non-decreasing in ``order`` (contiguous, roughly equal-sized buckets)."""
+    n = min(_n_parts(df, n), MAX_BUCKETS)
+    total = df.count()
+    if total == 0 or n <= 1:
+        return df.withColumn(out, F.lit(0))
+    frac = min(1.0, SAMPLE_PER_BUCKET * n / total)
+    pick = F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(1_000_000)) < F.lit(int(frac * 1_000_000) + 1)
+    sample = df.select(*order).filter(pick).orderBy(*order).collect()  # bounded: ~SAMPLE_PER_BUCKET * n rows
+    if len(sample) < 2:
+        return df.withColumn(out, F.lit(0))
+    types = {c: df.schema[c].dataType for c in order}
+    bounds = []
+    for i in range(1, n):
+        b = tuple(sample[int(len(sample) * i / n)])
+        if not bounds or b != bounds[-1]:
+            bounds.append(b)
+    key = _key(order)
+    lits = [_literal_key(b, order, types) for b in bounds]
+
+    def tree(lo: int, hi: int) -> Column:
+        # bucket = number of boundaries <= key, searched in [lo, hi]
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi + 1) // 2
+        return F.when(key < lits[mid - 1], tree(lo, mid - 1)).otherwise(tree(mid, hi))
+
+    return df.withColumn(out, tree(0, len(bounds)))
 
 
-def _offsets(summary: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Exclusive running totals over the partition summary (at most n rows, one task by design)."""
+def _exclusive_totals(summary: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Exclusive running totals over the per-bucket summary (at most MAX_BUCKETS rows)."""
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    return summary.withColumns({f"_off_{c}": F.coalesce(F.sum(c).over(w), F.lit(0)) for c in cols})
+    return summary.select("_pid", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"_off_{c}") for c in cols])
 
 
 def global_row_number(df: DataFrame, order: Sequence[str], out: str, n: int | None = None) -> DataFrame:
-    """1-based row number in ``order`` (ties broken by partition position)."""
-    d = range_sorted(df, order, n)
-    counts = _offsets(d.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt")), ["_cnt"])
-    return (d.join(F.broadcast(counts.select("_pid", "_off__cnt")), on="_pid")
-            .withColumn(out, (F.col("_off__cnt") + F.col("_local") + 1).cast("long"))
+    """1-based row number in ``order`` over the whole table (ties in arbitrary but dense order)."""
+    d = bucketize(df, order, n)
+    offs = _exclusive_totals(d.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt")), ["_cnt"])
+    w = Window.partitionBy("_pid").orderBy(*order)
+    return (d.withColumn("_local", F.row_number().over(w))
+            .join(F.broadcast(offs), on="_pid")
+            .withColumn(out, (F.col("_off__cnt") + F.col("_local")).cast("long"))
             .drop("_pid", "_local", "_off__cnt"))
 
 
 def running_sums(df: DataFrame, order: Sequence[str], cols: Sequence[str], n: int | None = None,
                  suffix: str = "_cum") -> DataFrame:
-    """Inclusive running sums of ``cols`` in ``order`` over the whole table (numeric long/double)."""
-    d = range_sorted(df, order, n)
-    totals = _offsets(d.groupBy("_pid").agg(*[F.sum(c).alias(c) for c in cols]), cols)
-    dtypes = dict(d.dtypes)
-    out_fields = list(d.schema.fields) + [
-        StructField(f"{c}{suffix}", d.schema[c].dataType, True) for c in cols]
-
-    # Local scan in pandas: the batches of one partition arrive in sorted order; carry sums.
-    def local(it):
-        carry: dict = {}
-        last_pid = None
-        for pdf in it:
-            if len(pdf) == 0:
-                yield pdf.assign(**{f"{c}{suffix}": pdf[c] for c in cols})
-                continue
-            pid = int(pdf["_pid"].iloc[0])
-            if pid != last_pid:
-                carry = {c: 0 for c in cols}
-                last_pid = pid
-            add = {}
-            for c in cols:
-                s = pdf[c].fillna(0).cumsum() + carry[c]
-                carry[c] = s.iloc[-1]
-                add[f"{c}{suffix}"] = s.astype("int64") if dtypes[c] in ("bigint", "int") else s
-            yield pdf.assign(**add)
-
-    scanned = d.mapInPandas(local, StructType(out_fields))
-    out = scanned.join(F.broadcast(totals.select("_pid", *[f"_off_{c}" for c in cols])), on="_pid")
-    out = out.withColumns({f"{c}{suffix}": F.col(f"{c}{suffix}") + F.col(f"_off_{c}") for c in cols})
-    return out.drop("_pid", "_local", *[f"_off_{c}" for c in cols])
+    """Inclusive running sums of ``cols`` in ``order`` over the whole table."""
+    d = bucketize(df, order, n)
+    offs = _exclusive_totals(d.groupBy("_pid").agg(*[F.sum(c).alias(c) for c in cols]), cols)
+    w = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumns({f"{c}{suffix}": F.sum(c).over(w) for c in cols}).join(F.broadcast(offs), on="_pid")
+    return d.withColumns({f"{c}{suffix}": F.col(f"{c}{suffix}") + F.col(f"_off_{c}") for c in cols}).drop(
+        "_pid", *[f"_off_{c}" for c in cols])
 
 
 def lag_scan_new_groups(df: DataFrame, order: str, value: str, out_flag: str, out_id: str,
@@ -87,38 +102,18 @@ def lag_scan_new_groups(df: DataFrame, order: str, value: str, out_flag: str, ou
     """E1 + E2 over a keyless order: a new group starts on the first row or when ``value``
     falls below the previous row's value; ``out_id`` is the running count of starts (1-based).
 
-    The previous row of a partition's first row is the last row of the nearest
-    earlier non-empty partition, carried through the partition summary table.
+    The previous row of a bucket's first row is the last row of the nearest
+    earlier non-empty bucket, carried through the bucket summary table.
     """
-    d = range_sorted(df, [order], n)
-    summary = d.groupBy("_pid").agg(F.max_by(value, order).alias("_last"))
-    w = Window.orderBy("_pid")
-    summary = summary.withColumn("_prev_last", F.lag("_last").over(w)).select("_pid", "_prev_last")
-    d = d.join(F.broadcast(summary), on="_pid")
-    fields = list(d.schema.fields) + [StructField(out_flag, LongType(), True), StructField("_lcum", LongType(), True)]
-
-    def local(it):
-        last_pid, prev, cum = None, None, 0
-        for pdf in it:
-            if len(pdf) == 0:
-                yield pdf.assign(**{out_flag: pd.Series(dtype="int64"), "_lcum": pd.Series(dtype="int64")})
-                continue
-            pid = int(pdf["_pid"].iloc[0])
-            if pid != last_pid:
-                last_pid, cum = pid, 0
-                pv = pdf["_prev_last"].iloc[0]
-                prev = None if pd.isna(pv) else pv
-            vals = pdf[value]
-            shifted = vals.shift(1)
-            shifted.iloc[0] = prev if prev is not None else float("nan")
-            flag = (shifted.isna() | (vals < shifted)).astype("int64")
-            c = flag.cumsum() + cum
-            cum = int(c.iloc[-1])
-            prev = vals.iloc[-1]
-            yield pdf.assign(**{out_flag: flag, "_lcum": c.astype("int64")})
-
-    scanned = d.mapInPandas(local, StructType(fields))
-    totals = _offsets(scanned.groupBy("_pid").agg(F.sum(out_flag).alias("_n")), ["_n"])
-    out = scanned.join(F.broadcast(totals.select("_pid", "_off__n")), on="_pid")
-    return (out.withColumn(out_id, (F.col("_lcum") + F.col("_off__n")).cast("long"))
-            .drop("_pid", "_local", "_lcum", "_off__n", "_prev_last"))
+    d = bucketize(df, [order], n)
+    last = d.groupBy("_pid").agg(F.max_by(value, order).alias("_last"))
+    carry = last.select("_pid", F.lag("_last").over(Window.orderBy("_pid")).alias("_carry"))  # one row per bucket
+    w = Window.partitionBy("_pid").orderBy(order)
+    d = d.join(F.broadcast(carry), on="_pid")
+    prev = F.coalesce(F.lag(value).over(w), F.when(F.row_number().over(w) == 1, F.col("_carry")))
+    d = d.withColumn(out_flag, F.when(prev.isNull() | (F.col(value) < prev), F.lit(1)).otherwise(F.lit(0)))
+    offs = _exclusive_totals(d.groupBy("_pid").agg(F.sum(out_flag).alias("_n")), ["_n"])
+    d = d.withColumn("_lcum", F.sum(out_flag).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return (d.join(F.broadcast(offs), on="_pid")
+            .withColumn(out_id, (F.col("_lcum") + F.col("_off__n")).cast("long"))
+            .drop("_pid", "_lcum", "_off__n", "_carry"))
