@@ -180,3 +180,26 @@ def ordinal_within(df: DataFrame, key: str, order: Sequence[str], out: str, *,
     """0-based position of each row within its key in ``order`` (row_number - 1), skew-safe."""
     return sequence_windows(df, key, order, chunk_basis=chunk_basis, seq_col=out,
                             hot_rows=hot_rows, hour_chunk=hour_chunk)
+
+
+def top_k_per_key(df: DataFrame, key: str, order: Sequence[Column], k: int, *,
+                  chunk_basis: Column | None = None, hot_rows: int | None = HOT_ROWS,
+                  hour_chunk: float = 168.0, rank_col: str = "rank") -> DataFrame:
+    """First ``k`` rows per key in ``order`` (e.g. latest readings), with a 1-based rank.
+
+    Two stages: a top-k inside (key, chunk) — hot keys are chunked, ordinary keys
+    are one chunk — then a top-k over the survivors, at most k rows per chunk.
+    No task ever ranks a whole hot key.
+    """
+    if hot_rows is None:
+        w = Window.partitionBy(key).orderBy(*order)
+        return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
+    assert chunk_basis is not None
+    d = tag_hot(df, key, hot_rows)
+    d = d.withColumn("_hc", F.when(F.col("_hot"), F.floor(chunk_basis.cast("double") / F.lit(float(hour_chunk))))
+                     .otherwise(F.lit(0)).cast("long"))
+    stage1 = d.withColumn("_r1", F.row_number().over(Window.partitionBy(key, "_hc").orderBy(*order)))
+    stage1 = stage1.filter(F.col("_r1") <= k)
+    w2 = Window.partitionBy(key).orderBy(*order)
+    out = stage1.withColumn(rank_col, F.row_number().over(w2)).filter(F.col(rank_col) <= k)
+    return out.drop("_hot", "_hc", "_r1")
