@@ -46,9 +46,9 @@ REQUIRED_DOUBLE = ["lactate", "wbc_count", "crp_level", "creatinine", "heart_rat
                    "temperature", "spo2", "systolic_bp", "diastolic_bp", "hemoglobin"]
 
 
-def requests_from_vitals(v: DataFrame) -> DataFrame:
+def requests_from_vitals(v: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """Request records (the scoring interface's field names) built from observation rows."""
-    return v.select(
+    return v.select(*extra,
         "obs_id",
         F.col("patient_id").cast("string").alias("patient_id"),
         "lactate", "wbc_count", "crp_level", "creatinine", "heart_rate", "respiratory_rate",

@@ -23,7 +23,7 @@ def _req_view() -> str:
     CAST(mobility_score AS DOUBLE) AS mobility_score, nurse_alert, CAST(comorbidity_index AS DOUBLE) AS comorbidity_index,
     CAST(age AS INTEGER) AS age, gender,
     CASE WHEN admission_type = 'ED' THEN 'Emergency' ELSE admission_type END AS admission_type,
-    oxygen_device, CAST(NULL AS VARCHAR) AS notes
+    oxygen_device, CAST(NULL AS VARCHAR) AS notes, score_a, score_b
   FROM vitals
 )"""
 
@@ -40,7 +40,7 @@ def _checked_view() -> str:
     """SQL mirror of B9: defaults, then one CASE per rule in field order."""
     d = K.REQUEST_DEFAULTS
     cols = ("obs_id, patient_id, lactate, wbc_count, crp_level, creatinine, heart_rate, respiratory_rate, temperature, "
-            "spo2, systolic_bp, diastolic_bp, hemoglobin, notes, "
+            "spo2, systolic_bp, diastolic_bp, hemoglobin, notes, score_a, score_b, "
             + ", ".join(f"COALESCE({f}, {_sql_lit(v)}) AS {f}" for f, v in d.items()))
     rules = [("patient_id IS NULL", "patient_id: field required")]
     rules += [(f"{f} IS NULL", f"{f}: field required") for f in Q.REQUIRED_DOUBLE]

@@ -54,7 +54,8 @@ LABELED = """lab AS (
 )"""
 
 SCORED = """scored AS (
-  SELECT obs_id, patient_id, hour_from_admission AS hour, score_a, score_b, sepsis_next_6h AS y, sirs_score
+  SELECT obs_id, patient_id, hour_from_admission AS hour, score_a, score_b, sepsis_next_6h AS y, sirs_score,
+    sirs_positive
   FROM lab
 )"""
 
@@ -104,3 +105,25 @@ def with_views(*names: str, extra: str = "") -> str:
     if extra:
         parts.append(extra)
     return "WITH " + ",\n".join(parts) + "\n"
+
+
+def tier_sql(x: str, moderate: str = "5e-1", high: str = "7e-1", critical: str = "85e-2") -> str:
+    return (f"CASE WHEN {x} >= {critical} THEN 'CRITICAL' WHEN {x} >= {high} THEN 'HIGH' "
+            f"WHEN {x} >= {moderate} THEN 'MODERATE' ELSE 'LOW' END")
+
+
+def rank_sql(level: str) -> str:
+    return f"CASE {level} WHEN 'LOW' THEN 0 WHEN 'MODERATE' THEN 1 WHEN 'HIGH' THEN 2 WHEN 'CRITICAL' THEN 3 END"
+
+
+def rec_sql(level: str, sirs_pos: str) -> str:
+    from ..functions import constants as K
+    base = "CASE " + " ".join(f"WHEN {level} = '{k}' THEN '{v}'" for k, v in K.RECOMMENDATIONS.items()) + \
+        " ELSE 'Monitor patient closely' END"
+    return (f"({base} || CASE WHEN {sirs_pos} = 1 AND {level} IN ('HIGH', 'CRITICAL') "
+            f"THEN '{K.RECOMMENDATION_SIRS_SUFFIX}' ELSE '' END)")
+
+
+def q(s: str) -> str:
+    """SQL string literal."""
+    return "'" + s.replace("'", "''") + "'"

@@ -98,10 +98,10 @@ def raw_lines_scalable(v: DataFrame) -> DataFrame:
 def scored(v: DataFrame, label: DataFrame | None = None) -> DataFrame:
     """``scored`` view: two fixed model scores and the 6-hour label A as ``y``."""
     from ..operators import labels
-    lab = labels.label_future_sepsis(v) if label is None else label
+    lab = labels.label_future_sepsis(C.with_sirs(v, keep_parts=False)) if label is None else label
     return lab.select("obs_id", "patient_id", F.col("hour_from_admission").alias("hour"),
                       "score_a", "score_b", F.col("sepsis_next_6h").alias("y"),
-                      "sirs_score")
+                      "sirs_score", "sirs_positive")
 
 
 # Fixed per-feature impacts (stand-in for model attributions; SQL-checkable).
