@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clinical as C
 from ..functions import constants as K
+from ..functions.fmt import fmt_fixed, fmt_pct
 
 
 def _c(x) -> Column:
@@ -21,8 +22,8 @@ def _c(x) -> Column:
 
 
 def pct0(x: Column) -> Column:
-    """Python ``{:.0%}``: percent with no decimals, ties to even."""
-    return F.concat(F.bround(x * 100, 0).cast("long").cast("string"), F.lit("%"))
+    """Python ``{:.0%}``."""
+    return fmt_pct(x, 0)
 
 
 def score_decision(df: DataFrame, p: str = "risk_score") -> DataFrame:
@@ -150,7 +151,7 @@ def smart_routing(df: DataFrame, rf: str = "score_a", xgb: str = "score_b", sirs
     reason = (F.when(confident & agree, F.concat(F.lit("RF confident ("), pct0(conf),
                                                  F.lit(") and both models agree on "), lr, F.lit(".")))
               .when(~confident, F.concat(F.lit("RF uncertain (confidence "), pct0(conf), F.lit(", prob="),
-                                         F.format_string("%.3f", r), F.lit(" near 0.5). Escalated to ensemble.")))
+                                         fmt_fixed(r, 3), F.lit(" near 0.5). Escalated to ensemble.")))
               .otherwise(F.concat(F.lit("Models disagree (RF="), lr, F.lit(", XGB="), lx,
                                   F.lit("). Using ensemble for safety."))))
     final = F.when(confident & agree, r).otherwise(ens)

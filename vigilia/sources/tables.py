@@ -136,3 +136,14 @@ def prediction_log(v: DataFrame) -> DataFrame:
         model.alias("model_used"), score.alias("risk_score"), "sirs_score", "sirs_positive",
     )
     return decisions.score_decision(base, "risk_score")
+
+
+def impacts_wide(v: DataFrame) -> DataFrame:
+    """``impacts`` in row form: obs_id, patient_id and an array of per-feature factors (row-local)."""
+    from ..operators import explain
+    sv = C.with_sirs(v, keep_parts=False)
+    value = {f: F.col(f) for f in IMPACT_FEATURES}
+    impact = {f: (((F.col("obs_id") * (2 * k + 7) + (13 * k + 5)) % 201) - 100) / F.lit(1e3)
+              for k, f in enumerate(IMPACT_FEATURES)}
+    return sv.select("obs_id", "patient_id", *IMPACT_FEATURES,
+                     explain.factor_array(IMPACT_FEATURES, value, impact).alias("factors"))
