@@ -52,17 +52,14 @@ def fmt_fixed(x: Column, d: int, plus: bool = False) -> Column:
 
 
 def _fmt_fixed(x: Column, d: int, plus: bool) -> Column:
-    def body(a: Column) -> Column:
-        if d == 0:
-            return a.cast("string")
-        raw = a.cast("string")
-        digits = F.when(F.length(raw) <= d, F.lpad(raw, d + 1, "0")).otherwise(raw)  # lpad alone would truncate
-        return F.concat(F.left(digits, F.length(digits) - F.lit(d)), F.lit("."), F.right(digits, F.lit(d)))
-
-    text = let(F.abs(round_half_even_exact(x, d)), body)
-    neg = (x < 0) | ((x == 0) & x.cast("string").startswith("-"))  # -0.0 prints with a sign
-    sign = F.when(neg, F.lit("-")).otherwise(F.lit("+") if plus else F.lit(""))
-    return F.when(x.isNull(), F.lit(None).cast("string")).otherwise(F.concat(sign, text))
+    # R / 10^d is the double nearest to the decimal R * 10^-d, whose shortest form has exactly
+    # those digits, so Java's formatter prints it without rounding again.
+    r = round_half_even_exact(x, d)
+    text = F.format_string(f"%{'+' if plus else ''}.{d}f", r.cast("double") / F.lit(float(10 ** d)))
+    # Python keeps the sign of a negative value that rounds to zero ("-0.00")
+    neg_zero = (r == 0) & ((x < 0) | ((x == 0) & x.cast("string").startswith("-")))
+    zero = "0" if d == 0 else "0." + "0" * d
+    return F.when(x.isNull(), F.lit(None).cast("string")).when(neg_zero, F.lit("-" + zero)).otherwise(text)
 
 
 def fmt_pct(x: Column, d: int) -> Column:

@@ -30,9 +30,12 @@ def factor_array(features: Sequence[str], value: dict[str, Column], impact: dict
                      for k, f in enumerate(features)])
 
 
-def rank_factors(arr: Column, k: int | None = None) -> Column:
-    """Sort by |impact| descending, ties in feature order (stable sort of the reference); keep k."""
-    s = F.sort_array(F.filter(arr, lambda x: x["impact"].isNotNull()))
+def rank_factors(arr: Column, k: int | None = None, drop_null: bool = False) -> Column:
+    """Sort by |impact| descending, ties in feature order (stable sort of the reference); keep k.
+
+    ``drop_null`` removes factors without an impact first (missing readings).
+    """
+    s = F.sort_array(F.filter(arr, lambda x: x["impact"].isNotNull()) if drop_null else arr)
     return F.slice(s, 1, k) if k else s
 
 
@@ -44,38 +47,48 @@ def ranked_long(df: DataFrame, arr: str, keep: Sequence[str] = ("obs_id",), k: i
 
 
 # ------------------------------------------------------------------ ranges
+def _map_literal(d: dict) -> Column:
+    """A map literal as one expression (a lookup is one node, not a CASE chain per key)."""
+    def lit(v):
+        if isinstance(v, str):
+            return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return repr(float(v)) + "D"
+    return F.expr("map(" + ", ".join(f"{lit(k)}, {lit(v)}" for k, v in d.items()) + ")")
+
+
+_LO = {p: lo for p, (lo, hi, u) in K.NORMAL_RANGES.items()}
+_HI = {p: hi for p, (lo, hi, u) in K.NORMAL_RANGES.items()}
+_UNIT = {p: u for p, (lo, hi, u) in K.NORMAL_RANGES.items()}
+
+
 def _range_of(feature: Column):
-    lo = hi = unit = txt = None
-    for p, (a, b, u) in K.NORMAL_RANGES.items():
-        lo = F.when(feature == p, F.lit(a)) if lo is None else lo.when(feature == p, F.lit(a))
-        hi = F.when(feature == p, F.lit(b)) if hi is None else hi.when(feature == p, F.lit(b))
-        unit = F.when(feature == p, F.lit(u)) if unit is None else unit.when(feature == p, F.lit(u))
-        txt = F.when(feature == p, F.lit(K.NORMAL_RANGE_TEXT[p])) if txt is None else txt.when(
-            feature == p, F.lit(K.NORMAL_RANGE_TEXT[p]))
-    return lo, hi, unit, txt
+    """Low, high, unit and range text of a table parameter (NULL when it has no normal range)."""
+    return (F.element_at(_map_literal(_LO), feature), F.element_at(_map_literal(_HI), feature),
+            F.element_at(_map_literal(_UNIT), feature), F.element_at(_map_literal(K.NORMAL_RANGE_TEXT), feature))
 
 
 def display_name(feature: Column, width: int | None = None) -> Column:
     """Display name, default the raw name; optionally truncated like ``[:width]``."""
-    e = None
-    for f, n in K.FEATURE_NAMES.items():
-        e = F.when(feature == f, F.lit(n)) if e is None else e.when(feature == f, F.lit(n))
-    name = F.coalesce(e, feature)
+    name = F.coalesce(F.element_at(_map_literal(K.FEATURE_NAMES), feature), feature)
     return F.substring(name, 1, width) if width else name
 
 
 def range_status(long: DataFrame, parameter: str = "parameter", value: str = "value") -> DataFrame:
-    """LOW / HIGH / normal, value text with '*' when outside, status text (table ranges)."""
-    f, v = F.col(parameter), F.col(value)
-    lo, hi, unit, txt = _range_of(f)
+    """LOW / HIGH / normal, value text with '*' when outside, status text (table ranges).
+
+    Lookups and the formatted value are projected first so the text expressions
+    stay small enough for generated code.
+    """
+    lo, hi, unit, txt = _range_of(F.col(parameter))
+    d = long.withColumns({"_lo": lo, "_hi": hi, "_unit": unit, "_txt": txt, "_v1": fmt_fixed(F.col(value), 1)})
+    v, lo, hi, unit, txt, v1 = (F.col(c) for c in (value, "_lo", "_hi", "_unit", "_txt", "_v1"))
     status = F.when(v < lo, "LOW").when(v > hi, "HIGH").when(v.isNotNull(), "normal")
-    v1 = fmt_fixed(v, 1)
-    text = (F.when(v < lo, F.concat(F.lit("below normal ("), v1, F.lit(" "), unit, F.lit(", normal: "), txt, F.lit(")")))
-            .when(v > hi, F.concat(F.lit("above normal ("), v1, F.lit(" "), unit, F.lit(", normal: "), txt, F.lit(")")))
+    rng = F.concat(v1, F.lit(" "), unit, F.lit(", normal: "), txt, F.lit(")"))
+    text = (F.when(v < lo, F.concat(F.lit("below normal ("), rng)).when(v > hi, F.concat(F.lit("above normal ("), rng))
             .when(v.isNotNull(), F.concat(F.lit("normal ("), v1, F.lit(" "), unit, F.lit(")"))))
-    return long.withColumns({"status": status,
-                             "value_text": F.concat(v1, F.when((v < lo) | (v > hi), "*").otherwise("")),
-                             "status_text": text})
+    return d.withColumns({"status": status,
+                          "value_text": F.concat(v1, F.when((v < lo) | (v > hi), "*").otherwise("")),
+                          "status_text": text}).drop("_lo", "_hi", "_unit", "_txt", "_v1")
 
 
 def range_position(long: DataFrame, parameter: str = "parameter", value: str = "value") -> DataFrame:
@@ -99,7 +112,7 @@ def deviation_importance(req: DataFrame, k: int = 5) -> Column:
     items.sort()
     arr = F.array(*[F.struct((-imp).alias("neg_abs"), F.lit(o).alias("ord"), F.lit(a).alias("feature"),
                              F.col(a).cast("double").alias("value"), imp.alias("impact")) for o, a, imp in items])
-    return rank_factors(arr, k)
+    return rank_factors(arr, k, drop_null=True)
 
 
 def importance_map(top: Column) -> Column:
@@ -140,13 +153,14 @@ def impact_rows(df: DataFrame, arr: str, k: int = 10, keep: Sequence[str] = ("ob
     """M6: top-k impact table: display name (28 chars), value text (* outside range), signed impact, direction."""
     long = ranked_long(df, arr, keep, k)
     lo, hi, _, _ = _range_of(F.col("feature"))
-    inr = F.col("feature").isin(*K.NORMAL_RANGES)
+    long = long.withColumns({"_lo": lo, "_hi": hi, "_imp": fmt_fixed(F.col("impact"), 4, plus=True)})
     v = F.col("value")
-    vtxt = F.when(inr, F.concat(fmt_fixed(v, 1), F.when((v < lo) | (v > hi), "*").otherwise(""))).otherwise(fmt_fixed(v, 2))
+    outside = (v < F.col("_lo")) | (v > F.col("_hi"))
+    vtxt = F.when(F.col("_lo").isNotNull(), F.concat(fmt_fixed(v, 1), F.when(outside, "*").otherwise(""))) \
+        .otherwise(fmt_fixed(v, 2))
     direction = F.when(F.col("impact") > 0, "^ Risk").when(F.col("impact") < 0, "v Risk").otherwise("-")
     return long.select(*keep, "rank", "feature", display_name(F.col("feature"), 28).alias("display_name"),
-                       vtxt.alias("value_text"), fmt_fixed(F.col("impact"), 4, plus=True).alias("impact_text"),
-                       direction.alias("direction"))
+                       vtxt.alias("value_text"), F.col("_imp").alias("impact_text"), direction.alias("direction"))
 
 
 def _factor_text(x: Column, risk: bool, script: bool) -> Column:

@@ -45,13 +45,41 @@ def hot_keys(df: DataFrame, key: str, hot_rows: int) -> DataFrame:
             .filter(F.col("_n") > F.lit(hot_rows)).select(key))
 
 
-def tag_hot(df: DataFrame, key: str, hot_rows: int | None) -> DataFrame:
-    """Add boolean ``_hot``. The hot-key table is bounded by rows/hot_rows, so it is broadcast."""
+# Above this many hot keys the tag is a broadcast join instead of a literal IN set.
+HOT_LIST_MAX = 10_000
+_HOT_CACHE: dict = {}
+
+
+def hot_key_values(df: DataFrame, key: str, hot_rows: int) -> list | None:
+    """Hot keys as a driver-side list (at most ``HOT_LIST_MAX``), or None when there are more.
+
+    One aggregation job over the key column only (Catalyst prunes the rest of
+    the plan); the result is bounded by ``rows / hot_rows`` and cached per plan.
+    """
+    probe = df.select(key)
+    k = (probe.semanticHash(), key, hot_rows)
+    if k not in _HOT_CACHE:
+        rows = hot_keys(df, key, hot_rows).limit(HOT_LIST_MAX + 1).collect()
+        _HOT_CACHE[k] = None if len(rows) > HOT_LIST_MAX else [r[0] for r in rows]
+    return _HOT_CACHE[k]
+
+
+def tag_hot(df: DataFrame, key: str, hot_rows: int | None) -> tuple[DataFrame, bool]:
+    """Add boolean ``_hot``; returns (frame, any_hot).
+
+    Few hot keys: a literal IN set. Many: a broadcast join with the hot-key table,
+    whose size is bounded by rows / hot_rows.
+    """
     if hot_rows is None:
-        return df.withColumn("_hot", F.lit(False))
+        return df.withColumn("_hot", F.lit(False)), False
+    vals = hot_key_values(df, key, hot_rows)
+    if vals == []:
+        return df.withColumn("_hot", F.lit(False)), False
+    if vals is not None:
+        return df.withColumn("_hot", F.col(key).isin(vals)), True
     hk = hot_keys(df, key, hot_rows).withColumn("_hk", F.lit(True))
     return (df.join(F.broadcast(hk), on=key, how="left")
-            .withColumn("_hot", F.coalesce(F.col("_hk"), F.lit(False))).drop("_hk"))
+            .withColumn("_hot", F.coalesce(F.col("_hk"), F.lit(False))).drop("_hk")), True
 
 
 def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner",
@@ -97,7 +125,9 @@ def sequence_windows(
     the hour); ``seq_col`` names an optional 0-based ordinal output.
     """
     order_cols = [F.col(c) for c in order]
-    if hot_rows is None:
+    tagged, any_hot = tag_hot(df, key, hot_rows)
+    if not any_hot:
+        # no hot key: the plain plan, one Exchange on the key shared by all windows
         out = df
         if seq_col:
             out = out.withColumn(seq_col, F.row_number().over(Window.partitionBy(key).orderBy(*order_cols)) - 1)
@@ -110,7 +140,7 @@ def sequence_windows(
     assert chunk_basis is not None, "chunk_basis is needed to split hot keys"
     assert row_chunk >= max(rows_back, rows_fwd, 1)
     base_cols = df.columns
-    d = tag_hot(df, key, hot_rows).withColumn("_basis", chunk_basis.cast("double"))
+    d = tagged.withColumn("_basis", chunk_basis.cast("double"))
     hc = F.floor(F.col("_basis") / F.lit(float(hour_chunk)))
     d = d.withColumn("_hc", F.when(F.col("_hot"), hc).otherwise(F.lit(0)).cast("long"))
     pos = F.col("_basis") - F.col("_hc") * F.lit(float(hour_chunk))
@@ -191,11 +221,11 @@ def top_k_per_key(df: DataFrame, key: str, order: Sequence[Column], k: int, *,
     are one chunk — then a top-k over the survivors, at most k rows per chunk.
     No task ever ranks a whole hot key.
     """
-    if hot_rows is None:
+    d, any_hot = tag_hot(df, key, hot_rows)
+    if not any_hot:
         w = Window.partitionBy(key).orderBy(*order)
         return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
     assert chunk_basis is not None
-    d = tag_hot(df, key, hot_rows)
     d = d.withColumn("_hc", F.when(F.col("_hot"), F.floor(chunk_basis.cast("double") / F.lit(float(hour_chunk))))
                      .otherwise(F.lit(0)).cast("long"))
     stage1 = d.withColumn("_r1", F.row_number().over(Window.partitionBy(key, "_hc").orderBy(*order)))

@@ -29,7 +29,7 @@ RAW_SQL = """raw AS (
 FROM st""")
 def q_e1e2(spark, sf):
     """E1 + E2: new-stay flag (first line or hour fell) and stay id = running count, keyless but distributed."""
-    raw = T.raw_lines_scalable(T.vitals(spark, sf)).select("line_no", "hour_from_admission")
+    raw = T.raw_lines(T.vitals(spark, sf)).select("line_no", "hour_from_admission")
     return ST.rebuild_stays(raw).select("line_no", "hour_from_admission", "new_stay", "patient_id")
 
 
@@ -37,7 +37,7 @@ def q_e1e2(spark, sf):
   CAST(COUNT(*) AS BIGINT) AS n_lines FROM st""")
 def q_e1e2_count(spark, sf):
     """E2 check: number of rebuilt stays (equals the number of patients of the fixture)."""
-    raw = T.raw_lines_scalable(T.vitals(spark, sf)).select("line_no", "hour_from_admission")
+    raw = T.raw_lines(T.vitals(spark, sf)).select("line_no", "hour_from_admission")
     st = ST.rebuild_stays(raw)
     return st.agg(F.sum("new_stay").cast("long").alias("n_stays"), F.count(F.lit(1)).alias("n_lines"))
 
