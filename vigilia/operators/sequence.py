@@ -127,8 +127,9 @@ def sequence_windows(
     order_cols = [F.col(c) for c in order]
     tagged, any_hot = tag_hot(df, key, hot_rows)
     if not any_hot:
-        # no hot key: the plain plan, one Exchange on the key shared by all windows
-        out = df
+        # No hot key: the plain plan, one Exchange on the key shared by all windows. The explicit
+        # repartition is that Exchange (the window reuses it); it also spreads a single input split.
+        out = df.repartition(key)
         if seq_col:
             out = out.withColumn(seq_col, F.row_number().over(Window.partitionBy(key).orderBy(*order_cols)) - 1)
         if range_fn:
@@ -224,7 +225,7 @@ def top_k_per_key(df: DataFrame, key: str, order: Sequence[Column], k: int, *,
     d, any_hot = tag_hot(df, key, hot_rows)
     if not any_hot:
         w = Window.partitionBy(key).orderBy(*order)
-        return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
+        return df.repartition(key).withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
     assert chunk_basis is not None
     d = d.withColumn("_hc", F.when(F.col("_hot"), F.floor(chunk_basis.cast("double") / F.lit(float(hour_chunk))))
                      .otherwise(F.lit(0)).cast("long"))

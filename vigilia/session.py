@@ -31,6 +31,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("VIGILIA_DRIVER_MEMORY", "8g"))
         .config("spark.sql.ansi.enabled", "false")
+        # small local inputs: let AQE keep enough shuffle partitions to use every core
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128KB")
     )
     for k, v in _DEFAULTS.items():
         builder = builder.config(k, v)
