@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
 from . import prefix
 
 
@@ -112,6 +113,8 @@ def score_curve(df: DataFrame, by: Sequence[str], p: str = "p", y: str = "y", n_
     """Per group and distinct score: pos, neg, pos_below, neg_below (scores < p), totals n_pos, n_neg."""
     counts = df.groupBy(*by, p).agg(F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).cast("long").alias("pos"),
                                      F.sum(F.when(F.col(y) == 1, 0).otherwise(1)).cast("long").alias("neg"))
+    # one row per distinct score: small next to the rows; materialised once for the jobs below
+    counts = checkpoint(counts)
     curve = grouped_running_sums(counts, by, p, ["pos", "neg"], n_parts)
     totals = counts.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     return curve.join(F.broadcast(totals), on=list(by)) if by else curve.withColumns(

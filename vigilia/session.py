@@ -62,3 +62,13 @@ def apply_defaults(spark: SparkSession) -> SparkSession:
         if spark.conf.get(k, None) is None:
             spark.conf.set(k, v)
     return spark
+
+
+def checkpoint(df):
+    """Materialise ``df`` in the shared checkpoint folder (``spark.checkpoint.dir``) and cut its lineage.
+
+    Used for small aggregated tables that several jobs read (so the upstream runs
+    once) and survives executor loss, unlike a local checkpoint.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
