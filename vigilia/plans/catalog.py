@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog_decide, catalog_explain, catalog_metrics, catalog_models, catalog_monitor, catalog_prep, catalog_profile, catalog_quality, catalog_windows  # noqa: F401
+from . import catalog_decide, catalog_explain, catalog_metrics, catalog_models, catalog_monitor, catalog_prep, catalog_profile, catalog_quality, catalog_stream, catalog_windows  # noqa: F401
 from .registry import REGISTRY
 
 
