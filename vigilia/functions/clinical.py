@@ -128,3 +128,19 @@ def recommendation(level: str | Column, sirs_pos: str | Column) -> Column:
     sp = col_or(sirs_pos)
     suffix = F.when(sp.cast("boolean") & lv.isin("HIGH", "CRITICAL"), K.RECOMMENDATION_SIRS_SUFFIX).otherwise("")
     return F.concat(base, suffix)
+
+
+def sirs_criteria(temp="temperature_c", hr="heart_rate", rr="respiratory_rate", wbc="wbc_count") -> Column:
+    """Names of the SIRS criteria met, in rule order (an array without NULLs)."""
+    t, h, r, w = col_or(temp), col_or(hr), col_or(rr), col_or(wbc)
+    names = K.SIRS_CRITERIA_TEXT
+    return F.array_compact(F.array(
+        F.when((t < K.SIRS_TEMP_LOW) | (t > K.SIRS_TEMP_HIGH), F.lit(names[0])),
+        F.when(h > K.SIRS_HR, F.lit(names[1])),
+        F.when(r > K.SIRS_RR, F.lit(names[2])),
+        F.when((w < K.SIRS_WBC_LOW) | (w > K.SIRS_WBC_HIGH), F.lit(names[3])),
+    ))
+
+
+def sirs_interpretation(positive: Column) -> Column:
+    return F.when(positive, K.SIRS_INTERPRETATION[0]).otherwise(K.SIRS_INTERPRETATION[1])

@@ -213,3 +213,85 @@ FROM vitals""")
 def q_b5(spark, sf):
     """Current sepsis flag (risk score >= 0.7)."""
     return T.vitals(spark, sf).select("obs_id", C.sepsis_now().alias("sepsis"))
+
+
+@query("b3_sirs_criteria", W("vitals") + """SELECT obs_id, n AS sirs_score, n >= 2 AS sirs_positive, criteria_met,
+  CASE WHEN n >= 2 THEN 'SIRS positive - Sepsis risk elevated' ELSE 'SIRS negative - Lower sepsis risk' END AS interpretation
+FROM (SELECT obs_id, concat_ws(',',
+    CASE WHEN temperature_c < 36e0 OR temperature_c > 38e0 THEN 'Temperature abnormal' END,
+    CASE WHEN heart_rate > 90e0 THEN 'Heart rate > 90 bpm' END,
+    CASE WHEN respiratory_rate > 20e0 THEN 'Respiratory rate > 20 /min' END,
+    CASE WHEN wbc_count < 4e0 OR wbc_count > 12e0 THEN 'WBC abnormal' END) AS criteria_met,
+  (CASE WHEN temperature_c < 36e0 OR temperature_c > 38e0 THEN 1 ELSE 0 END) + (CASE WHEN heart_rate > 90e0 THEN 1 ELSE 0 END)
+  + (CASE WHEN respiratory_rate > 20e0 THEN 1 ELSE 0 END) + (CASE WHEN wbc_count < 4e0 OR wbc_count > 12e0 THEN 1 ELSE 0 END) AS n
+  FROM vitals) t""")
+def q_b3(spark, sf):
+    """SIRS score with the names of the criteria met and the interpretation text."""
+    v = T.vitals(spark, sf).withColumn("_c", C.sirs_criteria())
+    n = F.size("_c")
+    return v.select("obs_id", n.alias("sirs_score"), (n >= 2).alias("sirs_positive"),
+                    F.array_join("_c", ",").alias("criteria_met"), C.sirs_interpretation(n >= 2).alias("interpretation"))
+
+
+def _api_features_sql() -> str:
+    m = {"temperature_c": "temperature", "spo2_pct": "spo2"}
+    parts = []
+    for f in K.F26:
+        if f in ("sirs_score", "sirs_positive"):
+            continue
+        if f.startswith("oxygen_device_") or f.startswith("gender_") or f.startswith("admission_type_"):
+            col, lvl = f.rsplit("_", 1)
+            parts.append(f"CASE WHEN COALESCE({col}, {q_(K.REQUEST_DEFAULTS[col])}) = '{lvl}' THEN 1e0 ELSE 0e0 END AS {f}")
+        else:
+            src = m.get(f, f)
+            parts.append(f"COALESCE(CAST({src} AS DOUBLE), 0e0) AS {f}")
+    sirs = ("(CASE WHEN temperature > 38 OR temperature < 36 THEN 1 ELSE 0 END) + (CASE WHEN heart_rate > 90 THEN 1 ELSE 0 END)"
+            " + (CASE WHEN respiratory_rate > 20 THEN 1 ELSE 0 END) + (CASE WHEN wbc_count > 12 OR wbc_count < 4 THEN 1 ELSE 0 END)")
+    parts.append(f"CAST({sirs} AS DOUBLE) AS sirs_score")
+    parts.append(f"CASE WHEN {sirs} >= 2 THEN 1e0 ELSE 0e0 END AS sirs_positive")
+    for c in K.TREND_VITALS:
+        src = m.get(c, c)
+        parts.append(f"0e0 AS {c}_change")
+        parts.append(f"COALESCE(CAST({src} AS DOUBLE), 0e0) AS {c}_rolling_mean")
+    return W("vitals", extra=_req_view()) + "SELECT obs_id, " + ", ".join(parts) + " FROM req"
+
+
+def q_(v):
+    return "'" + str(v) + "'"
+
+
+@query("b16_b17_request_features", _api_features_sql())
+def q_b16(spark, sf):
+    """B16 + B17: model features from request records: fixed order, alias map, absent/NULL -> 0,
+    interface one-hot (baselines dropped), SIRS, and single-row trend defaults."""
+    req = Q.requests_from_vitals(T.vitals(spark, sf))
+    d = req.withColumns({c: F.coalesce(F.col(c), F.lit(K.REQUEST_DEFAULTS[c])) for c in ("oxygen_device", "gender",
+                                                                                          "admission_type")})
+    d = d.withColumns({f"{c}_{lv}": F.when(F.col(c) == lv, 1.0).otherwise(0.0)
+                       for c, lvs in {"oxygen_device": ["mask", "nasal", "niv", "none"], "gender": ["M"],
+                                      "admission_type": ["Elective", "Transfer"]}.items() for lv in lvs})
+    s = C.sirs_score("temperature")
+    d = d.withColumns({"sirs_score": s.cast("double"), "sirs_positive": C.sirs_positive(s).cast("double")})
+    d = FE.single_row_defaults(d.withColumns({"temperature_c": F.col("temperature")}), K.TREND_VITALS)
+    d = d.withColumns({f"{c}_rolling_mean": F.coalesce(F.col(f"{c}_rolling_mean"), F.lit(0.0)) for c in K.TREND_VITALS})
+    feats = FE.assemble(d.drop("temperature_c"), [f for f in K.F26 if f not in ("sirs_score", "sirs_positive")])
+    cols = [f for f in K.F26 if f not in ("sirs_score", "sirs_positive")] + ["sirs_score", "sirs_positive"] + \
+        [f"{c}_{s_}" for c in K.TREND_VITALS for s_ in ("change", "rolling_mean")]
+    return feats.select("obs_id", *cols)
+
+
+@query("c4_scores_side_by_side", W("vitals") + """SELECT a.obs_id, a.score_a AS rf_score, b.score_b AS xgb_score,
+  abs(a.score_a - b.score_b) AS score_gap FROM (SELECT obs_id, score_a FROM vitals) a JOIN (SELECT obs_id, score_b FROM vitals) b
+  ON a.obs_id = b.obs_id""")
+def q_c4(spark, sf):
+    """C4 + C5: two models' score tables joined on the observation id (equi-join replaces positional zips)."""
+    v = T.vitals(spark, sf)
+    a = v.select("obs_id", F.col("score_a").alias("rf_score"))
+    b = v.select("obs_id", F.col("score_b").alias("xgb_score"))
+    return a.join(b, "obs_id").withColumn("score_gap", F.abs(F.col("rf_score") - F.col("xgb_score")))
+
+
+@query("f5_head_by_id", W("vitals") + "SELECT obs_id, patient_id, hour_from_admission, heart_rate FROM vitals ORDER BY obs_id LIMIT 5")
+def q_f5(spark, sf):
+    """head of the table with an explicit order (the limit is the feature)."""
+    return T.vitals(spark, sf).select("obs_id", "patient_id", "hour_from_admission", "heart_rate").orderBy("obs_id").limit(5)
