@@ -68,3 +68,11 @@ def test_factor_ranking_is_row_local(spark):
     plan = X.ranked_long(w, "factors", k=10)._jdf.queryExecution().executedPlan().toString()
     # the only Exchange is the one of the vitals ordinal window, ranking adds none
     assert plan.count("Exchange") <= 1
+
+
+def test_forward_fill_hot_equals_plain(spark):
+    v = T.vitals(spark, SF_MID)
+    cols = ["lactate", "temperature_c", "hemoglobin"]
+    a = _pdf(FE.forward_fill(v, cols, hot_rows=None), ["obs_id", *cols])
+    b = _pdf(FE.forward_fill(v, cols, hot_rows=30, hour_chunk=8.0), ["obs_id", *cols])
+    assert (a.fillna(-1) == b.fillna(-1)).all().all()

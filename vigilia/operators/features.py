@@ -134,10 +134,31 @@ def standard_scale(df: DataFrame, cols: Sequence[str], fit: DataFrame | None = N
 
 
 def forward_fill(df: DataFrame, cols: Sequence[str], *, key: str = "patient_id",
-                 hour: str = "hour_from_admission") -> DataFrame:
-    """Last non-null value so far within the patient."""
-    w = Window.partitionBy(key).orderBy(hour, "obs_id").rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
+                 hour: str = "hour_from_admission", hot_rows: int | None = S.HOT_ROWS,
+                 hour_chunk: float = 168.0) -> DataFrame:
+    """Last non-null value so far within the patient.
+
+    Ordinary patients: one window over the patient. Hot patients: the fill runs
+    per hour chunk, and a chunk's leading NULLs take the last non-null value of
+    the earlier chunks from a carry table (one row per chunk: a small table).
+    """
+    order = [F.col(hour), F.col("obs_id")]
+    tagged, any_hot = S.tag_hot(df, key, hot_rows)
+    if not any_hot:
+        w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.repartition(key).withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
+    d = tagged.withColumn("_fc", F.when(F.col("_hot"), F.floor(F.col(hour) / F.lit(hour_chunk))).otherwise(F.lit(0))
+                          .cast("long"))
+    w = Window.partitionBy(key, "_fc").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = d.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
+    # last non-null per (key, chunk), then carried forward over the chunk table
+    last = d.groupBy(key, "_fc").agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(*order)))
+                                       .alias(f"_l_{c}") for c in cols])
+    wc = Window.partitionBy(key).orderBy("_fc").rowsBetween(Window.unboundedPreceding, -1)
+    carry = last.select(key, "_fc", *[F.last(f"_l_{c}", ignorenulls=True).over(wc).alias(f"_c_{c}") for c in cols])
+    out = local.join(carry, on=[key, "_fc"], how="left")
+    return out.withColumns({c: F.coalesce(F.col(c), F.col(f"_c_{c}")) for c in cols}).drop(
+        "_fc", "_hot", *[f"_c_{c}" for c in cols])
 
 
 def interaction(df: DataFrame, a: str = "lactate", b: str = "wbc_count") -> DataFrame:

@@ -86,9 +86,19 @@ def vitals(spark: SparkSession, sf_dir: str, hot_rows: int | None = S.HOT_ROWS)
 
 def raw_lines(v: DataFrame) -> DataFrame:
     """Observation rows as a flat file would hold them: no patient id, an explicit ``line_no``
-    in (patient_id, hour) order, numbered with the distributed prefix count (no single-task window)."""
+    in (patient_id, hour) order.
+
+    The hour is the dense 0-based position inside the patient, so the line number
+    is the patient's start offset (running sum of per-patient counts, a table of
+    one row per patient, summed with the distributed prefix helper) + hour + 1.
+    """
     from ..operators import prefix
-    return prefix.global_row_number(v, ["patient_id", "hour_from_admission"], "line_no").drop("patient_id")
+    counts = v.groupBy("patient_id").agg(F.count(F.lit(1)).alias("_n"))
+    starts = prefix.running_sums(counts, ["patient_id"], ["_n"]).select(
+        "patient_id", (F.col("_n_cum") - F.col("_n")).alias("_start"))
+    return (v.join(starts, on="patient_id")
+            .withColumn("line_no", (F.col("_start") + F.col("hour_from_admission") + 1).cast("long"))
+            .drop("_start", "patient_id"))
 
 
 def scored(v: DataFrame, label: DataFrame | None = None) -> DataFrame:
