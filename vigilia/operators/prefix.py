@@ -40,14 +40,14 @@ def _literal_key(row, order: Sequence[str], types) -> Column:
 
 
 def bucketize(df: DataFrame, order: Sequence[str], n: int | None = None, out: str = "_pid",
-              dense: bool = False) -> DataFrame:
+              dense: bool = False, total: int | None = None) -> DataFrame:
     """Add ``out``: a bucket id non-decreasing in ``order`` (contiguous, roughly equal-sized buckets).
 
     ``dense``: the single order column holds 1..N without gaps (a line number), so
     the bucket is arithmetic and no sample is taken.
     """
     n = min(_n_parts(df, n), MAX_BUCKETS)
-    total = df.count()
+    total = df.count() if total is None else total
     if dense and total:
         assert len(order) == 1
         return df.withColumn(out, F.floor((F.col(order[0]) - 1) * F.lit(n) / F.lit(total)).cast("int"))
@@ -106,14 +106,14 @@ def running_sums(df: DataFrame, order: Sequence[str], cols: Sequence[str], n: in
 
 
 def lag_scan_new_groups(df: DataFrame, order: str, value: str, out_flag: str, out_id: str,
-                        n: int | None = None, dense: bool = False) -> DataFrame:
+                        n: int | None = None, dense: bool = False, total: int | None = None) -> DataFrame:
     """E1 + E2 over a keyless order: a new group starts on the first row or when ``value``
     falls below the previous row's value; ``out_id`` is the running count of starts (1-based).
 
     The previous row of a bucket's first row is the last row of the nearest
     earlier non-empty bucket, carried through the bucket summary table.
     """
-    d = bucketize(df, [order], n, dense=dense)
+    d = bucketize(df, [order], n, dense=dense, total=total)
     last = d.groupBy("_pid").agg(F.max_by(value, order).alias("_last"))
     carry = last.select("_pid", F.lag("_last").over(Window.orderBy("_pid")).alias("_carry"))  # one row per bucket
     w = Window.partitionBy("_pid").orderBy(order)

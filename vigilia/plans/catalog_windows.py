@@ -29,16 +29,18 @@ RAW_SQL = """raw AS (
 FROM st""")
 def q_e1e2(spark, sf):
     """E1 + E2: new-stay flag (first line or hour fell) and stay id = running count, keyless but distributed."""
-    raw = T.raw_lines(T.vitals(spark, sf)).select("line_no", "hour_from_admission")
-    return ST.rebuild_stays(raw).select("line_no", "hour_from_admission", "new_stay", "patient_id")
+    v = T.vitals(spark, sf)
+    raw = T.raw_lines(v).select("line_no", "hour_from_admission")
+    return ST.rebuild_stays(raw, total_lines=v.count()).select("line_no", "hour_from_admission", "new_stay", "patient_id")
 
 
 @query("e1_e2_stay_count", W("vitals", extra=RAW_SQL) + """SELECT CAST(SUM(new_stay) AS BIGINT) AS n_stays,
   CAST(COUNT(*) AS BIGINT) AS n_lines FROM st""")
 def q_e1e2_count(spark, sf):
     """E2 check: number of rebuilt stays (equals the number of patients of the fixture)."""
-    raw = T.raw_lines(T.vitals(spark, sf)).select("line_no", "hour_from_admission")
-    st = ST.rebuild_stays(raw)
+    v = T.vitals(spark, sf)
+    raw = T.raw_lines(v).select("line_no", "hour_from_admission")
+    st = ST.rebuild_stays(raw, total_lines=v.count())
     return st.agg(F.sum("new_stay").cast("long").alias("n_stays"), F.count(F.lit(1)).alias("n_lines"))
 
 

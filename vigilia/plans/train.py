@@ -35,7 +35,7 @@ def labelled_splits(spark, sf_dir: str, label: str = "sepsis_next_6h") -> DataFr
 
 def fitted(spark, sf_dir: str, spec: MD.ModelSpec, label: str, features: Sequence[str] = K.F39):
     """Fit once per (session, data, spec, label) in this process; later queries reuse the model."""
-    key = (id(spark), sf_dir, spec.name, spec.kind, repr(sorted(spec.params.items())), label)
+    key = (spark.sparkContext.applicationId, sf_dir, spec.name, spec.kind, repr(sorted(spec.params.items())), label)
     if key not in _MODEL_CACHE:
         data = labelled_splits(spark, sf_dir, label)
         _MODEL_CACHE[key] = MD.fit(data.filter(F.col("split") == "train"), spec, features, label)

@@ -78,7 +78,7 @@ _VITALS_CACHE: dict = {}
 
 def vitals(spark: SparkSession, sf_dir: str, hot_rows: int | None = S.HOT_ROWS) -> DataFrame:
     """Lazy ``vitals`` plan; the same DataFrame object is reused per (session, folder) to skip re-planning."""
-    k = (id(spark), sf_dir, hot_rows)
+    k = (spark.sparkContext.applicationId, sf_dir, hot_rows)
     if k not in _VITALS_CACHE:
         _VITALS_CACHE[k] = vitals_from_events(table(spark, sf_dir, "events"), hot_rows=hot_rows)
     return _VITALS_CACHE[k]
