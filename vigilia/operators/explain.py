@@ -63,13 +63,13 @@ _UNIT = {p: u for p, (lo, hi, u) in K.NORMAL_RANGES.items()}
 
 def _range_of(feature: Column):
     """Low, high, unit and range text of a table parameter (NULL when it has no normal range)."""
-    return (F.element_at(_map_literal(_LO), feature), F.element_at(_map_literal(_HI), feature),
-            F.element_at(_map_literal(_UNIT), feature), F.element_at(_map_literal(K.NORMAL_RANGE_TEXT), feature))
+    return (F.try_element_at(_map_literal(_LO), feature), F.try_element_at(_map_literal(_HI), feature),
+            F.try_element_at(_map_literal(_UNIT), feature), F.try_element_at(_map_literal(K.NORMAL_RANGE_TEXT), feature))
 
 
 def display_name(feature: Column, width: int | None = None) -> Column:
     """Display name, default the raw name; optionally truncated like ``[:width]``."""
-    name = F.coalesce(F.element_at(_map_literal(K.FEATURE_NAMES), feature), feature)
+    name = F.coalesce(F.try_element_at(_map_literal(K.FEATURE_NAMES), feature), feature)
     return F.substring(name, 1, width) if width else name
 
 

@@ -55,7 +55,7 @@ SELECT '6h/1h', window_start, CAST(COUNT(*) AS BIGINT) FROM (
   SELECT date_trunc('hour', ts) - k * INTERVAL 1 HOUR AS window_start FROM a, range(0, 6) r(k)) s GROUP BY 2""")
 def q_s4(spark, sf):
     """S4 (batch form): tumbling 1 h and sliding 6 h / 1 h alert counts."""
-    return ST.alert_windows(ST.stream_observations(T.table(spark, sf, "events")))
+    return ST.alert_windows(ST.stream_observations(T.table(spark, sf, "events"), for_watermark=False))
 
 
 @query("s4_stays_session_windows", """WITH e AS (SELECT user_id AS patient_id, ts,
@@ -66,7 +66,7 @@ SELECT patient_id, MIN(ts) AS stay_start, MAX(ts) + INTERVAL 24 HOUR AS stay_end
 FROM s GROUP BY patient_id, sid""")
 def q_s4_sessions(spark, sf):
     """Stays as session windows (a new stay after 24 h without readings)."""
-    return ST.stays_by_session(ST.stream_observations(T.table(spark, sf, "events")))
+    return ST.stays_by_session(ST.stream_observations(T.table(spark, sf, "events"), for_watermark=False))
 
 
 # ------------------------------------------------------------------ Z1-Z7

@@ -65,11 +65,14 @@ def read_event_stream(spark: SparkSession, path: str) -> DataFrame:
             .option("recursiveFileLookup", "true").parquet(path))
 
 
-def stream_observations(events: DataFrame) -> DataFrame:
-    """Observation columns of a streaming event row (no per-patient ordinal on a stream)."""
+def stream_observations(events: DataFrame, for_watermark: bool = True) -> DataFrame:
+    """Observation columns of an event row (no per-patient ordinal on a stream).
+
+    Watermarks need TIMESTAMP event time; batch forms keep TIMESTAMP_NTZ so results
+    do not depend on the session time zone.
+    """
     cols = [c for c in T.VITALS_COLUMNS if "hour_from_admission" not in c]
-    # event time must be TIMESTAMP for watermarks (session zone UTC keeps the wall-clock values)
-    return events.selectExpr("CAST(ts AS TIMESTAMP) AS ts", *cols)
+    return events.selectExpr("CAST(ts AS TIMESTAMP) AS ts" if for_watermark else "ts", *cols)
 
 
 def score_rows(obs: DataFrame) -> DataFrame:
