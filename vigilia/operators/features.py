@@ -51,11 +51,21 @@ def one_hot(df: DataFrame, levels: dict[str, list[str]] | None = None, drop_firs
     return out if keep_source else out.drop(*drop)
 
 
+MAX_LEVELS = 10_000
+
+
 def distinct_levels(df: DataFrame, cols: Sequence[str]) -> dict[str, list[str]]:
-    """Level lists by a distinct aggregation (bounded by the category domain, not by rows)."""
+    """Level lists by a distinct aggregation (bounded by the category domain, not by rows).
+
+    A column with more than ``MAX_LEVELS`` levels is not a category for one-hot
+    encoding; it raises instead of silently keeping a subset.
+    """
     out = {}
     for c in cols:
-        out[c] = sorted(r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().limit(10_000).collect())
+        rows = df.select(c).where(F.col(c).isNotNull()).distinct().limit(MAX_LEVELS + 1).collect()
+        if len(rows) > MAX_LEVELS:
+            raise ValueError(f"{c}: more than {MAX_LEVELS} levels; not one-hot encodable")
+        out[c] = sorted(r[0] for r in rows)
     return out
 
 
