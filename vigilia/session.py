@@ -19,6 +19,9 @@ _DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Fall back from whole-stage codegen when a generated method exceeds the JVM's JIT limit (8000 bytes of
+    # bytecode); above it HotSpot interprets the method and wide text projections run several times slower.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
