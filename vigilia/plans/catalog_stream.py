@@ -144,17 +144,20 @@ def _gate_sql():
     return W("scored", extra=LS + ",\n" + CURVE + """,
 auc AS (SELECT model, ROUND(SUM(pos * (neg_below + neg * 5e-1)) / (MAX(n_pos) * MAX(n_neg)), 6) AS roc_auc FROM cur GROUP BY model),
 nw AS (SELECT CAST(COUNT(*) AS BIGINT) AS n FROM events WHERE ts > (SELECT MAX(ts) FROM events) - INTERVAL 7 DAY)""") + \
-        """SELECT model, roc_auc, (SELECT n FROM nw) AS n_new_rows, (SELECT n FROM nw) > 1000 AND roc_auc > 93e-2 AS deploy FROM auc"""
+        """SELECT model, roc_auc, (SELECT n FROM nw) AS n_new_rows, (SELECT n FROM nw) > 1000 AND roc_auc > 93e-2 AS deploy,
+  isodow((SELECT MAX(ts) FROM events)) = 1 AS retrain_day FROM auc"""
 
 
 @query("z6_retrain_gate", _gate_sql())
 def q_z6(spark, sf):
-    """Weekly retrain gate: > 1000 new rows in the last 7 days and AUC > .93."""
+    """Z6 + H5s: weekly retrain gate (> 1000 new rows in the last 7 days and AUC > .93), Monday flag."""
     from .catalog_metrics import LONG
     auc = M.roc_auc(M.score_curve(LONG(spark, sf), ["model"]), ["model"])
     ev = T.table(spark, sf, "events")
-    new = ev.filter(F.col("ts") > ev.agg(F.max("ts")).scalar() - F.expr("INTERVAL 7 DAYS"))
-    return DR.retrain_gate(new, auc)
+    last = ev.agg(F.max("ts")).scalar()
+    new = ev.filter(F.col("ts") > last - F.expr("INTERVAL 7 DAYS"))
+    # H5s: the weekly job runs on Mondays (dayofweek: Sunday = 1, Monday = 2)
+    return DR.retrain_gate(new, auc).withColumn("retrain_day", F.dayofweek(last) == 2)
 
 
 @query("z7_grid_search")
