@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from ..functions import clinical as C
-from ..operators import features as FE
 from ..operators import labels as L
 from ..sources import tables as T
 from . import slice as SL
