@@ -76,3 +76,12 @@ def test_forward_fill_hot_equals_plain(spark):
     a = _pdf(FE.forward_fill(v, cols, hot_rows=None), ["obs_id", *cols])
     b = _pdf(FE.forward_fill(v, cols, hot_rows=30, hour_chunk=8.0), ["obs_id", *cols])
     assert (a.fillna(-1) == b.fillna(-1)).all().all()
+
+
+def test_prepare_job_has_one_shuffle(spark):
+    from vigilia.plans import prepare as PR
+    d = PR.prepared_table(T.vitals(spark, SF_MID))
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    # one hash Exchange on the patient key feeds the ordinal, label and trend windows
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.count("Window") >= 3
