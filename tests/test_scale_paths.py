@@ -85,3 +85,20 @@ def test_prepare_job_has_one_shuffle(spark):
     # one hash Exchange on the patient key feeds the ordinal, label and trend windows
     assert plan.count("Exchange hashpartitioning") == 1
     assert plan.count("Window") >= 3
+
+
+def test_hourly_rolling_hot_equals_plain(spark):
+    v = T.vitals(spark, SF_MID)
+    cols = ["obs_id", "heart_rate_mean_4h", "heart_rate_slope_4h"]
+    a = _pdf(FE.hourly_rolling(v, "heart_rate", 4, hot_rows=None), cols)
+    b = S.sequence_windows(
+        v, "patient_id", ["hour_from_admission", "obs_id"], chunk_basis=F.col("hour_from_admission"), hot_rows=30,
+        hour_chunk=5.0, range_back=3,
+        range_fn=lambda x, p: x.withColumns({
+            "heart_rate_mean_4h": F.avg("heart_rate").over(
+                Window.partitionBy(*p).orderBy("hour_from_admission").rangeBetween(-3, 0)),
+            "heart_rate_slope_4h": F.regr_slope(F.col("heart_rate"), F.col("hour_from_admission").cast("double")).over(
+                Window.partitionBy(*p).orderBy("hour_from_admission").rangeBetween(-3, 0))}))
+    pb = _pdf(b, cols)
+    assert len(a) == len(pb) == 10000
+    assert ((a.fillna(0) - pb.fillna(0)).abs().max(numeric_only=True) < 1e-9).all()
