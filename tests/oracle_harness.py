@@ -41,7 +41,7 @@ def _norm(v):
             return None
         if v.is_integer() and abs(v) < 2**53:
             return int(v)
-        return float(f"{v:.9g}")
+        return repr(v) if os.environ.get("ORACLE_STRICT") else float(f"{v:.9g}")
     if hasattr(v, "item") and not isinstance(v, (str, bytes)):
         try:
             return _norm(v.item())
