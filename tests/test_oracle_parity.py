@@ -1,10 +1,14 @@
 """Every registered query matches its DuckDB oracle (rows, columns, values) on the smallest fixture."""
 
+import os
+
 import pytest
 
-import __spark_entry__ as E
-import oracle_harness as H
-from conftest import SF_SMALL
+os.environ.setdefault("ORACLE_STRICT", "1")  # doubles must be bit-identical to the SQL oracle
+
+import __spark_entry__ as E  # noqa: E402
+import oracle_harness as H  # noqa: E402
+from conftest import SF_SMALL  # noqa: E402
 
 NAMES = sorted(E.oracle_sql())  # model and stream queries have property tests of their own
 
