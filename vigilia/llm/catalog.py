@@ -5,9 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilia.llm import simhash
+from vigilia.llm import decontam, linededup, lm, mixing, mtree, quality, secrets, simhash, suffix, warc
 from vigilia.llm.common import table
 
+# Mixing plan of the query and the pipeline: source srcN belongs to the domain that N mod 3 names.
+DOMAINS = ("web", "books", "code")
+WEIGHTS = {"web": 50, "books": 30, "code": 20} | {f"{d}/{lang}": w for d in DOMAINS for lang, w in (("en", 60), ("de", 20), ("fr", 15), ("es", 5))}
+
+
+def tree_levels():
+    """domain, language, source of a documents row."""
+    number = F.regexp_extract(F.coalesce("source", F.lit("")), r"^src(\d+)$", 1)
+    names = F.array(*[F.lit(d) for d in DOMAINS])
+    domain = F.when(number != "", F.try_element_at(names, (number.try_cast("long") % 3 + 1).cast("int"))).otherwise(F.lit("other"))
+    return [domain, F.col("lang"), F.col("source")]
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token-weighted mix of all documents: 60 % of the corpus's tokens over domain, language and source, 3 epochs at most."""
+    out = mixing.mix(table(spark, sf_dir, "documents"), tree_levels(), WEIGHTS)
+    return out.select("doc_id", "lang", "source", "epoch", "n_tokens", "take_tokens")
+
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components of all documents: 3-word shingles, at most 2 differing bits."""
@@ -15,7 +33,59 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash,)}
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of repeated 200-byte strings."""
+    return suffix.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without cross-site boilerplate lines (10 sources or more)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    out = linededup.remove_boilerplate(docs, lost_col="n_removed")
+    return out.select("doc_id", "n_removed", F.octet_length(F.coalesce("text", F.lit(""))).alias("n_bytes_left"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 largest inner products of every vector whose id is divisible by 100."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return mtree.top_k(vectors, vectors.filter(mtree.divisible("vec_id", 100)))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back by the salvage reader."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's verdict against all benchmark items."""
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.quality_scores(docs, model).drop("text_key")
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context-mixing and unigram scores of every document."""
+    return lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline (corpus_pipeline.py) over all documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_suffix_dedup, op4_line_dedup, op5_topk, op6_warc, op7_decontamination, op8_quality, op9_secrets, op10_lm, pipeline)}
 
 
 def queries():
