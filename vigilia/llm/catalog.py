@@ -92,5 +92,54 @@ def queries():
     return dict(QUERIES)
 
 
+def _op1_sql(share: int = 600, max_epochs: int = 3, seed: int = 42) -> str:
+    """The mix with whole-table windows: three levels of water filling, then the token prefix of one epoch per leaf."""
+    weight = " ".join(f"WHEN path = '{k}' THEN {w}" for k, w in WEIGHTS.items())
+    ctes = [f"""docs AS (SELECT doc_id, lang, source, coalesce(text, '') AS body, coalesce(lang, 'null') AS l2, coalesce(source, 'null') AS l3,
+          CASE TRY_CAST(regexp_extract(coalesce(source, ''), '^src([0-9]+)$', 1) AS BIGINT) % 3 WHEN 0 THEN 'web' WHEN 1 THEN 'books' WHEN 2 THEN 'code' ELSE 'other' END AS l1,
+          len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n FROM documents)""",
+            f"""leaf AS (SELECT '' AS p0, replace(l1, '/', '%2F') AS p1, replace(l1, '/', '%2F') || '/' || replace(l2, '/', '%2F') AS p2,
+          replace(l1, '/', '%2F') || '/' || replace(l2, '/', '%2F') || '/' || replace(l3, '/', '%2F') AS p3, l1, l2, l3, sum(n)::BIGINT AS tokens, (sum(n) * {max_epochs})::BIGINT AS cap FROM docs GROUP BY l1, l2, l3)""",
+            f"given0 AS (SELECT '' AS parent, least((SELECT (sum(n)::BIGINT * {share}) // 1000 FROM docs), sum(cap)::BIGINT) AS given FROM leaf)"]
+    for i in (1, 2, 3):
+        ctes += [f"""node{i} AS (SELECT parent, path, cap, given, CASE {weight} ELSE 1 END::BIGINT AS weight
+          FROM (SELECT p{i - 1} AS parent, p{i} AS path, sum(cap)::BIGINT AS cap FROM leaf GROUP BY 1, 2) JOIN given{i - 1} USING (parent))""",
+                 f"""filled{i} AS (SELECT *, given - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS remains,
+          (sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS share FROM node{i} WHERE cap > 0
+          WINDOW o AS (PARTITION BY parent ORDER BY cap / weight, path))""",
+                 f"""stop{i} AS (SELECT parent, arg_max(remains, share) AS remains, max(share) AS share FROM filled{i} WHERE cap * share > weight * remains GROUP BY parent)""",
+                 f"""given{i} AS (SELECT f.path AS parent, CASE WHEN f.cap * f.share <= f.weight * f.remains THEN f.cap ELSE (f.weight * s.remains) // s.share END AS given
+          FROM filled{i} f LEFT JOIN stop{i} s USING (parent) UNION ALL SELECT path, 0 FROM node{i} WHERE cap <= 0)"""]
+    ctes += [f"""plan AS (SELECT l1, l2, l3, CASE WHEN tokens > 0 THEN given // tokens ELSE 0 END AS whole, CASE WHEN tokens > 0 THEN given % tokens ELSE 0 END AS part
+          FROM leaf JOIN given3 ON p3 = parent)""",
+             f"""part AS (SELECT *, sum(n) OVER (PARTITION BY l1, l2, l3 ORDER BY md5('{seed}:' || whole || ':' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(body)) ROWS UNBOUNDED PRECEDING) - n AS before
+          FROM docs JOIN plan USING (l1, l2, l3) WHERE part > 0)"""]
+    return "WITH " + ",\n".join(ctes) + """
+        SELECT doc_id, lang, source, unnest(range(whole)) AS epoch, n AS n_tokens, n AS take_tokens FROM docs JOIN plan USING (l1, l2, l3)
+        UNION ALL SELECT doc_id, lang, source, whole, n, least(n, part - before)::BIGINT FROM part WHERE before < part AND n > 0"""
+
+
+OP4_SQL = f"""
+    WITH lines AS (SELECT doc_id, source, pos, raw, trim(raw, ' ') AS line FROM
+             (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL)),
+         bad AS (SELECT line, min(doc_id) AS keeper FROM lines WHERE line <> '' GROUP BY line HAVING count(DISTINCT coalesce('s:' || source, 'null')) >= {linededup.MIN_SITES}),
+         marked AS (SELECT l.*, b.keeper IS NOT NULL AND b.keeper <> l.doc_id AS lost FROM lines l LEFT JOIN bad b USING (line)),
+         edited AS (SELECT doc_id, count(*) FILTER (WHERE lost) AS n_removed, coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE NOT lost), '') AS kept FROM marked GROUP BY doc_id)
+    SELECT doc_id, coalesce(n_removed, 0)::INT AS n_removed, strlen(coalesce(kept, ''))::INT AS n_bytes_left, md5(kept) AS text_md5 FROM documents LEFT JOIN edited USING (doc_id)"""
+
+OP5_SQL = """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+               WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+         s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
+               FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
+    SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s) WHERE rank <= 10"""
+
+OP6_SQL = """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+         d AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha256(body) AS payload_digest, min(page_id) OVER (PARTITION BY sha256(body)) AS first FROM p)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to FROM d"""
+
+
 def oracle_sql():
-    return {}
+    return {"op1_mixing": _op1_sql(), "op4_line_dedup": OP4_SQL, "op5_topk": OP5_SQL, "op6_warc": OP6_SQL}

@@ -94,7 +94,10 @@ def parse_record(data: bytes, pos: int) -> tuple[int, dict]:
     lines = data[pos:end].split(b"\r\n")[1:]
     if any(b":" not in x for x in lines):
         raise Bad("broken header line")
-    head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in lines)}
+    fields = [(k.strip().lower(), v.strip()) for k, _, v in (x.partition(b":") for x in lines)]
+    head, single = dict(fields), [k for k, _ in fields if k != b"warc-concurrent-to"]
+    if len(set(single)) < len(single):  # a cut record that ran into the next one
+        raise Bad("repeated header field")
     if not head.get(b"content-length", b"").isdigit() or b"warc-type" not in head or b"warc-record-id" not in head:
         raise Bad("header without type, id or length")
     start, size = end + 4, int(head[b"content-length"])
