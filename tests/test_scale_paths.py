@@ -102,3 +102,83 @@ def test_hourly_rolling_hot_equals_plain(spark):
     pb = _pdf(b, cols)
     assert len(a) == len(pb) == 10000
     assert ((a.fillna(0) - pb.fillna(0)).abs().max(numeric_only=True) < 1e-9).all()
+
+
+def _with_nulls(spark, n=4000):
+    """Observations with NULL keys, NULL hours, ties and one large key."""
+    return spark.range(n).selectExpr(
+        "id AS obs_id", "CASE WHEN id % 10 = 0 THEN NULL WHEN id % 3 = 0 THEN 1 ELSE id % 17 END AS patient_id",
+        "CASE WHEN id % 23 = 0 THEN NULL ELSE CAST(floor(id / 6) AS BIGINT) END AS hour_from_admission",
+        "CAST(id * 37 % 101 AS DOUBLE) AS x")
+
+
+def _all_windows(df, hot_rows):
+    def rng(d, parts):
+        w = Window.partitionBy(*parts).orderBy("hour_from_admission")
+        return d.withColumn("back", F.sum("x").over(w.rangeBetween(-3, 0))).withColumn("ahead", F.max("x").over(w.rangeBetween(1, 6)))
+
+    def rows(d, parts):
+        w = Window.partitionBy(*parts).orderBy("hour_from_admission", "obs_id")
+        return d.withColumn("was", F.lag("x").over(w)).withColumn("six", F.lead("x", 6).over(w)).withColumn("m3", F.avg("x").over(w.rowsBetween(-2, 0)))
+
+    return S.sequence_windows(df, "patient_id", ["hour_from_admission", "obs_id"], chunk_basis=F.col("hour_from_admission"),
+                              range_fn=rng, rows_fn=rows, range_back=3, range_fwd=6, rows_back=2, rows_fwd=6, seq_col="seq",
+                              hot_rows=hot_rows, hour_chunk=16.0, row_chunk=16)
+
+
+def test_null_keys_and_hours_survive_the_hot_path(spark, monkeypatch):
+    df = _with_nulls(spark)
+    cols = ["obs_id", "patient_id", "hour_from_admission", "seq", "back", "ahead", "was", "six", "m3"]
+    want = _pdf(_all_windows(df, None), cols).astype(float).fillna(-1)
+    assert len(want) == 4000
+    for hot_rows, most in ((1000, 10_000), (300, 10_000), (20, 10_000), (20, 0)):  # some keys hot, all hot, join form
+        monkeypatch.setattr(S, "HOT_LIST_MAX", most)
+        monkeypatch.setattr(S, "_HOT_CACHE", {})
+        got = _pdf(_all_windows(df, hot_rows), cols).astype(float).fillna(-1)
+        assert len(got) == 4000 and (got == want).all().all(), (hot_rows, most)
+
+
+def test_top_k_keeps_null_keys_and_hours(spark):
+    df = _with_nulls(spark)
+    order = [F.col("hour_from_admission").desc(), F.col("obs_id").desc()]
+    a = _pdf(S.top_k_per_key(df, "patient_id", order, 12, hot_rows=None), ["obs_id", "rank"])
+    b = _pdf(S.top_k_per_key(df, "patient_id", order, 12, chunk_basis=F.col("hour_from_admission"), hot_rows=100, hour_chunk=10.0), ["obs_id", "rank"])
+    assert (a == b).all().all()
+
+
+def test_ordinary_rows_keep_one_scan_beside_a_hot_key(spark):
+    v = T.vitals_from_events(T.table(spark, SF_MID, "events"))
+    plain = L.label_future_sepsis(C.with_sirs(v))._jdf.queryExecution().executedPlan().toString()
+    assert plain.count("FileScan") == 1
+    df = _with_nulls(spark)
+    plan = S.sequence_windows(df, "patient_id", ["hour_from_admission"], chunk_basis=F.col("hour_from_admission"),
+                              seq_col="seq", hot_rows=1000)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (") == 3  # ordinary rows, hot rows, and the hot chunks' counts
+
+
+def test_stays_start_at_null_hours_on_any_bucket_size(spark):
+    from vigilia.operators import stays as ST
+    hours = [0, 1, None, 2, 0, 0, 3, None, None, 5, 4, 4, 9]
+    df = spark.createDataFrame([(i + 1, h) for i, h in enumerate(hours)], "line_no long, hour_from_admission long")
+    prev, n, want = None, 0, []
+    for i, h in enumerate(hours):
+        n += i == 0 or h is None or prev is None or h < prev
+        prev = h
+        want.append(n)
+    assert want[:5] == [1, 1, 2, 3, 4]
+    for size in (1, 2, 5, 100):
+        out = prefix.lag_scan_new_groups(df, "line_no", "hour_from_admission", "f", "g", dense=True, lines_per_bucket=size)
+        assert [r.g for r in out.orderBy("line_no").collect()] == want
+    out = ST.rebuild_stays(df, dense_lines=False, n_parts=4)
+    assert [r.patient_id for r in out.orderBy("line_no").collect()] == want
+
+
+def test_medians_count_a_frequent_value_once(spark):
+    from vigilia.operators import profile as P
+    df = spark.range(10000).selectExpr("CASE WHEN id % 10 < 9 THEN 5.0 ELSE CAST(id AS DOUBLE) END AS a", "CAST(id AS DOUBLE) AS b")
+    counts = df.groupBy("a").count()
+    assert counts.count() == 1001  # what the running sums get, instead of 10,000 rows
+    got = {r.feature: r["median"] for r in P.exact_quantiles(df, ["a", "b"]).collect()}
+    assert got == {"a": 5.0, "b": 4999.5}
+    ranges = prefix.ranged(counts.select(F.lit("a").alias("feature"), F.col("a").alias("value")), ["feature", "value"], 8)
+    assert ranges.groupBy("_pid").count().agg(F.max("count")).first()[0] < 3 * 1001 / 8

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import metrics as M
+from . import prefix
 
 
 def psi(ref: DataFrame, new: DataFrame, col: str, lo: float, hi: float, bins: int = 10, eps: float = 1e-6) -> DataFrame:
@@ -36,9 +36,8 @@ def ks_statistic(ref: DataFrame, new: DataFrame, col: str) -> DataFrame:
     a = ref.filter(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("x"), F.lit(1).alias("r"), F.lit(0).alias("n"))
     b = new.filter(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("x"), F.lit(0).alias("r"), F.lit(1).alias("n"))
     counts = a.unionByName(b).groupBy("x").agg(F.sum("r").cast("long").alias("r"), F.sum("n").cast("long").alias("n"))
-    cur = M.grouped_running_sums(counts, [], "x", ["r", "n"])
-    tr, tn = counts.agg(F.sum("r")).scalar(), counts.agg(F.sum("n")).scalar()
-    d = F.abs((F.col("r_below") + F.col("r")) / tr - (F.col("n_below") + F.col("n")) / tn)
+    cur = prefix.group_running_sums(counts, [], ["x"], ["r", "n"])
+    d = F.abs((F.col("r_below") + F.col("r")) / F.col("r_total") - (F.col("n_below") + F.col("n")) / F.col("n_total"))
     return cur.agg(F.round(F.max(d), 6).alias("ks")).withColumn("feature", F.lit(col))
 
 

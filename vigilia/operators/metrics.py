@@ -18,7 +18,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
 from . import prefix
 
 
@@ -89,36 +88,15 @@ def classification_report(conf: DataFrame, by: Sequence[str], digits: int = 6) -
                        F.col("support").cast("long").alias("support"))
 
 
-def grouped_running_sums(df: DataFrame, by: Sequence[str], order: str, cols: Sequence[str],
-                         n_parts: int | None = None) -> DataFrame:
-    """Exclusive running sums of ``cols`` within each ``by`` group in ``order`` (``{c}_below``).
-
-    A group can be arbitrarily large, so the sums run over the whole table with
-    the bucketed prefix helper; each group's start is an exclusive running total
-    over the per-group totals table (one row per group).
-    """
-    rs = prefix.running_sums(df, [*by, order], cols, n_parts)
-    if by:
-        tot = df.groupBy(*by).agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
-        w = Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-        start = tot.select(*by, *[F.coalesce(F.sum(f"_t_{c}").over(w), F.lit(0)).alias(f"_s_{c}") for c in cols])
-        rs = rs.join(F.broadcast(start), on=list(by))
-    else:
-        rs = rs.withColumns({f"_s_{c}": F.lit(0) for c in cols})
-    return rs.withColumns({f"{c}_below": F.col(f"{c}_cum") - F.col(c) - F.col(f"_s_{c}") for c in cols}).drop(
-        *[f"{c}_cum" for c in cols], *[f"_s_{c}" for c in cols])
-
-
 def score_curve(df: DataFrame, by: Sequence[str], p: str = "p", y: str = "y", n_parts: int | None = None) -> DataFrame:
-    """Per group and distinct score: pos, neg, pos_below, neg_below (scores < p), totals n_pos, n_neg."""
+    """Per group and distinct score: pos, neg, pos_below, neg_below (scores < p), totals n_pos, n_neg.
+
+    Rows are counted per distinct score first; with continuous scores that is a table
+    as long as the rows, and the running sums are distributed all the same."""
     counts = df.groupBy(*by, p).agg(F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).cast("long").alias("pos"),
                                      F.sum(F.when(F.col(y) == 1, 0).otherwise(1)).cast("long").alias("neg"))
-    # one row per distinct score: small next to the rows; materialised once for the jobs below
-    counts = checkpoint(counts)
-    curve = grouped_running_sums(counts, by, p, ["pos", "neg"], n_parts)
-    totals = counts.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    return curve.join(F.broadcast(totals), on=list(by)) if by else curve.withColumns(
-        {"n_pos": totals.select("n_pos").scalar(), "n_neg": totals.select("n_neg").scalar()})
+    curve = prefix.group_running_sums(counts, by, [p], ["pos", "neg"], n_parts)
+    return curve.withColumnsRenamed({"pos_total": "n_pos", "neg_total": "n_neg"})
 
 
 def roc_auc(curve: DataFrame, by: Sequence[str], digits: int = 6) -> DataFrame:

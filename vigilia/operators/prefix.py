@@ -1,17 +1,16 @@
-"""Keyless running operations without a single-task window (H1).
-
-``Window.orderBy(x)`` with no ``partitionBy`` moves every row to one task.
-Here the order key is cut into contiguous buckets by boundaries taken from a
-deterministic hash sample (collected sample size ~ ``SAMPLE_PER_BUCKET`` rows
-per bucket, so bounded by the bucket count, not the data). Each row's bucket is
-a binary search over the boundaries written as a tree of struct comparisons, so
-it is a pure function of the row: a retried task or a re-evaluated branch puts
-every row in the same bucket (Spark's own range exchange samples in
-shuffle-read order and may move rows between evaluations).
-
-Every running operation is then an ordinary window partitioned by the bucket,
-plus exclusive running totals of a per-bucket summary (one row per bucket,
-broadcast back). All JVM-side; no Python in the data path.
+"""Running operations in a global order without a single-task window (H1).
+
+``Window.orderBy(x)`` with no ``partitionBy`` moves every row to one task. Here
+rows are range-partitioned by the order (``repartitionByRange``: Spark samples
+the key itself and the sample's size follows the number of partitions) and each
+row is stamped with its range's number. That table is checkpointed once in the
+shared folder: the input is read for the sample and for the rows, and every
+branch, retry and later job sees the same ranges. A running operation is then an
+ordinary window inside a range plus exclusive running totals of a per-range
+summary (one row per range and group).
+
+Rows with equal keys stay in one range, so operations on values with many equal
+rows (medians, score curves) count per value first.
 """
 
 from __future__ import annotations
@@ -21,107 +20,103 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE_PER_BUCKET = 64
-MAX_BUCKETS = 4096
+from ..session import checkpoint
 
+# Line-number buckets have a fixed number of lines, so their number follows the data.
+LINES_PER_BUCKET = 1 << 16
 
-def _n_parts(df: DataFrame, n: int | None) -> int:
-    if n:
-        return n
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
+def ranged(df: DataFrame, order: Sequence[str], n: int | None = None, out: str = "_pid") -> DataFrame:
+    """``df`` with ``out``, the number of the row's contiguous range of ``order``; materialised once."""
+    n = n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return checkpoint(df.repartitionByRange(n, *order).withColumn(out, F.spark_partition_id()))
 
-def _key(order: Sequence[str]) -> Column:
-    return F.struct(*[F.col(c) for c in order])
 
+def _attach(d: DataFrame, summary: DataFrame, on: Sequence[str]) -> DataFrame:
+    s = summary.withColumnsRenamed({c: f"_k_{c}" for c in on})
+    cond = d["_pid"] == s["_k__pid"]
+    for c in on:
+        if c != "_pid":
+            cond = cond & d[c].eqNullSafe(s[f"_k_{c}"])
+    return d.join(s, cond).drop(*[f"_k_{c}" for c in on])
 
-def _literal_key(row, order: Sequence[str], types) -> Column:
-    return F.struct(*[F.lit(row[i]).cast(types[c]).alias(c) for i, c in enumerate(order)])
 
+def group_running_sums(df: DataFrame, by: Sequence[str], order: Sequence[str], cols: Sequence[str],
+                       n: int | None = None) -> DataFrame:
+    """Per ``by`` group in ``order``: ``{c}_below`` (sum over earlier rows) and ``{c}_total`` for each of ``cols``.
 
-def bucketize(df: DataFrame, order: Sequence[str], n: int | None = None, out: str = "_pid",
-              dense: bool = False, total: int | None = None) -> DataFrame:
-    """Add ``out``: a bucket id non-decreasing in ``order`` (contiguous, roughly equal-sized buckets).
-
-    ``dense``: the single order column holds 1..N without gaps (a line number), so
-    the bucket is arithmetic and no sample is taken.
+    Ranges are contiguous in (by, order), so the summary has at most ranges + groups rows.
     """
-    n = min(_n_parts(df, n), MAX_BUCKETS)
-    total = df.count() if total is None else total
-    if dense and total:
-        assert len(order) == 1
-        return df.withColumn(out, F.floor((F.col(order[0]) - 1) * F.lit(n) / F.lit(total)).cast("int"))
-    if total == 0 or n <= 1:
-        return df.withColumn(out, F.lit(0))
-    frac = min(1.0, SAMPLE_PER_BUCKET * n / total)
-    pick = F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(1_000_000)) < F.lit(int(frac * 1_000_000) + 1)
-    sample = df.select(*order).filter(pick).orderBy(*order).collect()  # bounded: ~SAMPLE_PER_BUCKET * n rows
-    if len(sample) < 2:
-        return df.withColumn(out, F.lit(0))
-    types = {c: df.schema[c].dataType for c in order}
-    bounds = []
-    for i in range(1, n):
-        b = tuple(sample[int(len(sample) * i / n)])
-        if not bounds or b != bounds[-1]:
-            bounds.append(b)
-    key = _key(order)
-    lits = [_literal_key(b, order, types) for b in bounds]
-
-    def tree(lo: int, hi: int) -> Column:
-        # bucket = number of boundaries <= key, searched in [lo, hi]
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi + 1) // 2
-        return F.when(key < lits[mid - 1], tree(lo, mid - 1)).otherwise(tree(mid, hi))
-
-    return df.withColumn(out, tree(0, len(bounds)))
-
-
-def _exclusive_totals(summary: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Exclusive running totals over the per-bucket summary (at most MAX_BUCKETS rows)."""
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    return summary.select("_pid", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"_off_{c}") for c in cols])
+    d = ranged(df, [*by, *order], n)
+    keys = ["_pid", *by]
+    s = d.groupBy(*keys).agg(*[F.sum(c).alias(f"_s_{c}") for c in cols])
+    earlier = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*by)
+    s = s.select(*keys, *[F.coalesce(F.sum(f"_s_{c}").over(earlier), F.lit(0)).alias(f"_off_{c}") for c in cols],
+                 *[F.sum(f"_s_{c}").over(whole).alias(f"{c}_total") for c in cols])
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumns({f"_loc_{c}": F.coalesce(F.sum(c).over(w), F.lit(0)) for c in cols})
+    d = _attach(d, s, keys).withColumns({f"{c}_below": F.col(f"_loc_{c}") + F.col(f"_off_{c}") for c in cols})
+    return d.drop("_pid", *[f"{p}_{c}" for c in cols for p in ("_loc", "_off")])
+
+
+def group_row_number(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str, total: str | None = None,
+                     n: int | None = None) -> DataFrame:
+    """1-based row number inside each ``by`` group in ``order``; ``total`` names the group's row count."""
+    d = ranged(df, [*by, *order], n)
+    keys = ["_pid", *by]
+    s = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"))
+    earlier = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    s = s.select(*keys, F.coalesce(F.sum("_cnt").over(earlier), F.lit(0)).alias("_off"),
+                 F.sum("_cnt").over(Window.partitionBy(*by)).alias("_all"))
+    d = d.withColumn("_local", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    d = _attach(d, s, keys).withColumn(out, (F.col("_off") + F.col("_local")).cast("long"))
+    if total:
+        d = d.withColumn(total, F.col("_all"))
+    return d.drop("_pid", "_local", "_off", "_all")
 
 
 def global_row_number(df: DataFrame, order: Sequence[str], out: str, n: int | None = None) -> DataFrame:
     """1-based row number in ``order`` over the whole table (ties in arbitrary but dense order)."""
-    d = bucketize(df, order, n)
-    offs = _exclusive_totals(d.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt")), ["_cnt"])
-    w = Window.partitionBy("_pid").orderBy(*order)
-    return (d.withColumn("_local", F.row_number().over(w))
-            .join(F.broadcast(offs), on="_pid")
-            .withColumn(out, (F.col("_off__cnt") + F.col("_local")).cast("long"))
-            .drop("_pid", "_local", "_off__cnt"))
+    return group_row_number(df, [], order, out, n=n)
 
 
 def running_sums(df: DataFrame, order: Sequence[str], cols: Sequence[str], n: int | None = None,
                  suffix: str = "_cum") -> DataFrame:
     """Inclusive running sums of ``cols`` in ``order`` over the whole table."""
-    d = bucketize(df, order, n)
-    offs = _exclusive_totals(d.groupBy("_pid").agg(*[F.sum(c).alias(c) for c in cols]), cols)
-    w = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumns({f"{c}{suffix}": F.sum(c).over(w) for c in cols}).join(F.broadcast(offs), on="_pid")
-    return d.withColumns({f"{c}{suffix}": F.col(f"{c}{suffix}") + F.col(f"_off_{c}") for c in cols}).drop(
-        "_pid", *[f"_off_{c}" for c in cols])
+    d = group_running_sums(df, [], order, cols, n)
+    return d.withColumns({f"{c}{suffix}": F.col(f"{c}_below") + F.coalesce(F.col(c), F.lit(0)) for c in cols}).drop(
+        *[f"{c}_{s}" for c in cols for s in ("below", "total")])
 
 
 def lag_scan_new_groups(df: DataFrame, order: str, value: str, out_flag: str, out_id: str,
-                        n: int | None = None, dense: bool = False, total: int | None = None) -> DataFrame:
-    """E1 + E2 over a keyless order: a new group starts on the first row or when ``value``
-    falls below the previous row's value; ``out_id`` is the running count of starts (1-based).
-
-    The previous row of a bucket's first row is the last row of the nearest
-    earlier non-empty bucket, carried through the bucket summary table.
+                        n: int | None = None, dense: bool = False,
+                        lines_per_bucket: int = LINES_PER_BUCKET) -> DataFrame:
+    """E1 + E2 over a keyless order: a new group starts on the first row, when ``value`` falls below the
+    previous row's value, or when either of the two is NULL; ``out_id`` is the running count of starts.
+
+    One window per bucket decides all rows but the bucket's first; a summary with the bucket's first and
+    last value and its inner starts decides the first rows and gives the offsets, all from one
+    materialised table. ``dense``: ``order`` holds 1..N, so buckets are ranges of line numbers.
     """
-    d = bucketize(df, [order], n, dense=dense, total=total)
-    last = d.groupBy("_pid").agg(F.max_by(value, order).alias("_last"))
-    carry = last.select("_pid", F.lag("_last").over(Window.orderBy("_pid")).alias("_carry"))  # one row per bucket
+    if dense:
+        d = checkpoint(df.withColumn("_pid", F.floor((F.col(order) - 1) / F.lit(lines_per_bucket))))
+    else:
+        d = ranged(df, [order], n)
+
+    def starts(prev: Column, cur: Column) -> Column:
+        return F.when(prev.isNull() | cur.isNull() | (cur < prev), F.lit(1)).otherwise(F.lit(0))
+
     w = Window.partitionBy("_pid").orderBy(order)
-    d = d.join(F.broadcast(carry), on="_pid")
-    prev = F.coalesce(F.lag(value).over(w), F.when(F.row_number().over(w) == 1, F.col("_carry")))
-    d = d.withColumn(out_flag, F.when(prev.isNull() | (F.col(value) < prev), F.lit(1)).otherwise(F.lit(0)))
-    offs = _exclusive_totals(d.groupBy("_pid").agg(F.sum(out_flag).alias("_n")), ["_n"])
-    d = d.withColumn("_lcum", F.sum(out_flag).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return (d.join(F.broadcast(offs), on="_pid")
-            .withColumn(out_id, (F.col("_lcum") + F.col("_off__n")).cast("long"))
-            .drop("_pid", "_lcum", "_off__n", "_carry"))
+    d = d.withColumn("_rn", F.row_number().over(w))
+    d = d.withColumn("_inner", F.when(F.col("_rn") == 1, F.lit(0)).otherwise(starts(F.lag(value).over(w), F.col(value))))
+    s = d.groupBy("_pid").agg(F.min_by(value, order).alias("_first"), F.max_by(value, order).alias("_last"),
+                              F.sum("_inner").alias("_n"))
+    line = Window.orderBy("_pid")  # one row per bucket
+    s = s.withColumn("_lead", starts(F.lag("_last").over(line), F.col("_first")))
+    s = s.select("_pid", "_lead", F.coalesce(F.sum(F.col("_n") + F.col("_lead")).over(
+        line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    d = d.withColumn("_cum", F.sum("_inner").over(w.rowsBetween(Window.unboundedPreceding, 0))).join(s, on="_pid")
+    return (d.withColumn(out_flag, F.when(F.col("_rn") == 1, F.col("_lead")).otherwise(F.col("_inner")))
+            .withColumn(out_id, (F.col("_off") + F.col("_lead") + F.col("_cum")).cast("long"))
+            .drop("_pid", "_rn", "_inner", "_lead", "_off", "_cum"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import prefix
@@ -124,33 +124,22 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], q: float = 0.5, n_parts:
                     rounded: bool = True) -> DataFrame:
     """Exact, linearly interpolated quantile per column (pandas / ``quantile_cont`` semantics).
 
-    Values are unpivoted, globally sorted by (feature, value) with range
-    partitions, and ranked inside each feature from a small per-feature count
-    table; only the one or two rows at the quantile position are kept. No task
-    ever holds more than one range partition of values.
+    Values are unpivoted and counted per (feature, value) first, so a value that
+    most rows share is one row; running sums of the counts then give each value's
+    ranks, and the values at the one or two ranks of the quantile are kept.
     """
     body = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
     long = df.selectExpr(f"stack({len(cols)}, {body}) AS (feature, value)").filter(F.col("value").isNotNull())
-    counts = long.groupBy("feature").agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.withColumn(
-        "_start", F.coalesce(F.sum("_n").over(Window.orderBy("feature").rowsBetween(Window.unboundedPreceding, -1)),
-                             F.lit(0)))  # one row per feature
-    ranked = prefix.global_row_number(long, ["feature", "value"], "_rn", n_parts)
-    ranked = ranked.join(F.broadcast(counts), on="feature")
-    h = (F.col("_n") - 1) * F.lit(q)
-    ranked = ranked.withColumns({"_k": F.col("_rn") - F.col("_start") - 1, "_h": h})
-    pick = ranked.filter((F.col("_k") == F.floor("_h")) | (F.col("_k") == F.ceil("_h")))
-    agg = pick.groupBy("feature").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.first("_h").alias("_h"))
+    counts = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    ranked = prefix.group_running_sums(counts, ["feature"], ["value"], ["n"], n_parts)
+    h = (F.col("n_total") - 1) * F.lit(q)
+    holds = lambda rank: (F.col("n_below") <= rank) & (rank < F.col("n_below") + F.col("n"))
+    ranked = ranked.withColumn("_h", h).filter(holds(F.floor("_h")) | holds(F.ceil("_h")))
+    agg = ranked.groupBy("feature").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.first("_h").alias("_h"))
     val = F.col("_lo") + (F.col("_h") - F.floor("_h")) * (F.col("_hi") - F.col("_lo"))
     return agg.select("feature", (F.round(val, 6) if rounded else val).alias("median" if q == 0.5 else f"q{q}"))
 
 
-def approx_quantiles(df: DataFrame, cols: Sequence[str], q: float = 0.5, accuracy: int = 10000) -> DataFrame:
-    """D11 at scale when exactness is not needed: ``percentile_approx`` (fixed-size sketch)."""
-    wide = df.agg(*[F.percentile_approx(F.col(c).cast("double"), q, accuracy).alias(f"p_{c}") for c in cols])
-    return _stack(wide, cols, "p_", "median", key="feature")
-
-
 def class_ratio(df: DataFrame, target: str) -> DataFrame:
     """Negatives / positives (``scale_pos_weight``)."""
     return df.agg(F.sum(F.when(F.col(target) == 0, 1).otherwise(0)).cast("long").alias("n_negative"),

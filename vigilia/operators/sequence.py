@@ -17,8 +17,10 @@ with a proven bound) into chunks:
 * ROWS frames (lag, lead, trailing means) need the exact ordinal within the key.
   It is rebuilt from per-chunk counts (a small table, cumulative sum by window)
   plus a local running count; hot rows are then re-chunked by ordinal with a row
-  halo and the ROWS columns are recomputed there. Ordinary rows never take this
-  second Exchange.
+  halo and the ROWS columns are recomputed there.
+
+The input is split by key first: ordinary rows keep the plain plan, and only hot
+rows take these steps.
 
 Both paths give identical results; tests compare them on real fixtures.
 """
@@ -35,8 +37,6 @@ WindowFn = Callable[[DataFrame, list], DataFrame]
 # Default share of rows that makes a key "hot". Keys above this many rows are
 # split; at most total_rows / HOT_ROWS keys can qualify.
 HOT_ROWS = 2_000_000
-# Largest small table we broadcast after counting it.
-BROADCAST_ROWS = 2_000_000
 
 
 def hot_keys(df: DataFrame, key: str, hot_rows: int) -> DataFrame:
@@ -45,7 +45,7 @@ def hot_keys(df: DataFrame, key: str, hot_rows: int) -> DataFrame:
             .filter(F.col("_n") > F.lit(hot_rows)).select(key))
 
 
-# Above this many hot keys the tag is a broadcast join instead of a literal IN set.
+# Above this many hot keys the tag is a broadcast join instead of a literal IN set (same rows either way).
 HOT_LIST_MAX = 10_000
 _HOT_CACHE: dict = {}
 
@@ -57,7 +57,7 @@ def hot_key_values(df: DataFrame, key: str, hot_rows: int) -> list | None:
     the plan); the result is bounded by ``rows / hot_rows`` and cached per plan.
     """
     probe = df.select(key)
-    k = (probe.semanticHash(), key, hot_rows)
+    k = (df.sparkSession.sparkContext.applicationId, probe.semanticHash(), key, hot_rows)
     if k not in _HOT_CACHE:
         rows = hot_keys(df, key, hot_rows).limit(HOT_LIST_MAX + 1).collect()
         _HOT_CACHE[k] = None if len(rows) > HOT_LIST_MAX else [r[0] for r in rows]
@@ -65,7 +65,7 @@ def hot_key_values(df: DataFrame, key: str, hot_rows: int) -> list | None:
 
 
 def tag_hot(df: DataFrame, key: str, hot_rows: int | None) -> tuple[DataFrame, bool]:
-    """Add boolean ``_hot``; returns (frame, any_hot).
+    """Add boolean ``_hot`` (never NULL); returns (frame, any_hot). The NULL key is a key like any other.
 
     Few hot keys: a literal IN set. Many: a broadcast join with the hot-key table,
     whose size is bounded by rows / hot_rows.
@@ -76,26 +76,28 @@ def tag_hot(df: DataFrame, key: str, hot_rows: int | None) -> tuple[DataFrame, b
     if vals == []:
         return df.withColumn("_hot", F.lit(False)), False
     if vals is not None:
-        return df.withColumn("_hot", F.col(key).isin(vals)), True
-    hk = hot_keys(df, key, hot_rows).withColumn("_hk", F.lit(True))
-    return (df.join(F.broadcast(hk), on=key, how="left")
-            .withColumn("_hot", F.coalesce(F.col("_hk"), F.lit(False))).drop("_hk")), True
-
-
-def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner",
-                 max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join, broadcasting ``small`` only after counting it under ``max_rows``.
-
-    ``small`` must be a pre-aggregated table; the count is one cheap job. Beyond
-    the limit the planner's shuffle join is used.
-    """
-    n = small.count()
-    return big.join(F.broadcast(small) if n <= max_rows else small, on=on, how=how)
+        hot = F.coalesce(F.col(key).isin([v for v in vals if v is not None]), F.lit(False))
+        return df.withColumn("_hot", hot | F.col(key).isNull() if None in vals else hot), True
+    hk = hot_keys(df, key, hot_rows).select(F.col(key).alias("_hk"), F.lit(True).alias("_is_hot"))
+    return (df.join(F.broadcast(hk), F.col(key).eqNullSafe(F.col("_hk")), "left")
+            .withColumn("_hot", F.coalesce(F.col("_is_hot"), F.lit(False))).drop("_hk", "_is_hot")), True
+
+
+def _plain(df: DataFrame, key: str, order_cols: list, seq_col: str | None, range_fn, rows_fn) -> DataFrame:
+    """One Exchange on the key shared by all windows. The explicit repartition is that Exchange (the
+    windows reuse it); it also spreads a single input split."""
+    out = df.repartition(key)
+    if seq_col:
+        out = out.withColumn(seq_col, F.row_number().over(Window.partitionBy(key).orderBy(*order_cols)) - 1)
+    if range_fn:
+        out = range_fn(out, [key])
+    if rows_fn:
+        out = rows_fn(out, [key])
+    return out
 
 
-def _added(before: DataFrame, after: DataFrame) -> list[str]:
-    old = set(before.columns)
-    return [c for c in after.columns if c not in old]
+# Rows without an order value come first in their key, like in a plain window, in a chunk of their own.
+_NO_HOUR = -(1 << 62)
 
 
 def sequence_windows(
@@ -127,81 +129,53 @@ def sequence_windows(
     order_cols = [F.col(c) for c in order]
     tagged, any_hot = tag_hot(df, key, hot_rows)
     if not any_hot:
-        # No hot key: the plain plan, one Exchange on the key shared by all windows. The explicit
-        # repartition is that Exchange (the window reuses it); it also spreads a single input split.
-        out = df.repartition(key)
-        if seq_col:
-            out = out.withColumn(seq_col, F.row_number().over(Window.partitionBy(key).orderBy(*order_cols)) - 1)
-        if range_fn:
-            out = range_fn(out, [key])
-        if rows_fn:
-            out = rows_fn(out, [key])
-        return out
+        return _plain(df, key, order_cols, seq_col, range_fn, rows_fn)
 
     assert chunk_basis is not None, "chunk_basis is needed to split hot keys"
     assert row_chunk >= max(rows_back, rows_fwd, 1)
     base_cols = df.columns
-    d = tagged.withColumn("_basis", chunk_basis.cast("double"))
-    hc = F.floor(F.col("_basis") / F.lit(float(hour_chunk)))
-    d = d.withColumn("_hc", F.when(F.col("_hot"), hc).otherwise(F.lit(0)).cast("long"))
+    normal = _plain(tagged.filter(~F.col("_hot")).drop("_hot"), key, order_cols, seq_col, range_fn, rows_fn)
+
+    # Only hot rows take the steps below.
+    d = tagged.filter("_hot").drop("_hot").withColumn("_basis", chunk_basis.cast("double"))
+    d = d.withColumn("_hc", F.coalesce(F.floor(F.col("_basis") / F.lit(float(hour_chunk))).cast("long"), F.lit(_NO_HOUR)))
     pos = F.col("_basis") - F.col("_hc") * F.lit(float(hour_chunk))
+    none = F.array().cast("array<long>")
     parts = F.array(F.col("_hc"))
     if range_fwd > 0:
-        parts = F.array_union(parts, F.when(F.col("_hot") & (pos < range_fwd), F.array(F.col("_hc") - 1))
-                              .otherwise(F.array().cast("array<long>")))
+        parts = F.concat(parts, F.when(pos < range_fwd, F.array(F.col("_hc") - 1)).otherwise(none))
     if range_back > 0:
-        parts = F.array_union(parts, F.when(F.col("_hot") & (pos >= hour_chunk - range_back),
-                                            F.array(F.col("_hc") + 1)).otherwise(F.array().cast("array<long>")))
+        parts = F.concat(parts, F.when(pos >= hour_chunk - range_back, F.array(F.col("_hc") + 1)).otherwise(none))
     d = d.withColumn("_part", F.explode(parts)).withColumn("_own", F.col("_part") == F.col("_hc"))
     pkeys = [key, "_part"]
 
-    # Pass 1: one Exchange on (key, _part). Ordinary keys have _part = 0 and no copies.
+    # Pass 1: one Exchange on (key, _part).
     w_local = Window.partitionBy(*pkeys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
-    p1 = d.withColumn("_local", F.sum(F.col("_own").cast("long")).over(w_local) - 1)
+    hot = d.withColumn("_local", F.sum(F.col("_own").cast("long")).over(w_local) - 1)
     if range_fn:
-        p1 = range_fn(p1, pkeys)
-    rows_added: list[str] = []
-    if rows_fn:
-        before = p1
-        p1 = rows_fn(p1, pkeys)
-        rows_added = _added(before, p1)
-    p1 = p1.filter(F.col("_own"))
-
-    need_seq = bool(seq_col or rows_fn)
-    normal = p1.filter(~F.col("_hot"))
-    hot = p1.filter(F.col("_hot"))
-    if need_seq:
+        hot = range_fn(hot, pkeys)
+    hot = hot.filter("_own")
+    if seq_col or rows_fn:
         # Offsets of each hot chunk: counts per (key, chunk) -> running sum (small table).
-        counts = (d.filter(F.col("_hot") & F.col("_own")).groupBy(key, "_hc")
-                  .agg(F.count(F.lit(1)).alias("_cn")))
-        offs = counts.withColumn(
-            "_off",
-            F.coalesce(F.sum("_cn").over(Window.partitionBy(key).orderBy("_hc")
-                                         .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-        ).select(key, "_hc", "_off")
-        hot = hot.join(offs, on=[key, "_hc"], how="left").withColumn("_seq", F.col("_local") + F.col("_off"))
-        normal = normal.withColumn("_seq", F.col("_local"))
+        earlier = Window.partitionBy(key).orderBy("_hc").rowsBetween(Window.unboundedPreceding, -1)
+        offs = d.filter("_own").groupBy(key, "_hc").agg(F.count(F.lit(1)).alias("_cn")).select(
+            F.col(key).alias("_ok"), F.col("_hc").alias("_oc"), F.coalesce(F.sum("_cn").over(earlier), F.lit(0)).alias("_off"))
+        hot = hot.join(offs, F.col(key).eqNullSafe(F.col("_ok")) & (F.col("_hc") == F.col("_oc")), "left")
+        hot = hot.withColumn("_seq", F.col("_local") + F.col("_off"))
+        if seq_col:
+            hot = hot.withColumn(seq_col, F.col("_seq"))
     if rows_fn:
-        # Pass 2, hot rows only: re-chunk by ordinal with a row halo, recompute ROWS columns.
-        h = hot.drop(*rows_added)
-        rc = F.floor(F.col("_seq") / F.lit(row_chunk))
-        h = h.withColumn("_rc", rc.cast("long"))
+        # Pass 2: re-chunk by ordinal with a row halo, compute ROWS columns.
+        hot = hot.withColumn("_rc", F.floor(F.col("_seq") / F.lit(row_chunk)).cast("long"))
         rpos = F.col("_seq") - F.col("_rc") * F.lit(row_chunk)
         rparts = F.array(F.col("_rc"))
         if rows_fwd > 0:
-            rparts = F.array_union(rparts, F.when(rpos < rows_fwd, F.array(F.col("_rc") - 1))
-                                   .otherwise(F.array().cast("array<long>")))
+            rparts = F.concat(rparts, F.when(rpos < rows_fwd, F.array(F.col("_rc") - 1)).otherwise(none))
         if rows_back > 0:
-            rparts = F.array_union(rparts, F.when(rpos >= row_chunk - rows_back, F.array(F.col("_rc") + 1))
-                                   .otherwise(F.array().cast("array<long>")))
-        h = h.withColumn("_rpart", F.explode(rparts))
-        h = rows_fn(h, [key, "_rpart"]).filter(F.col("_rpart") == F.col("_rc"))
-        hot = h
-    keep = base_cols + [c for c in p1.columns if c not in base_cols and not c.startswith("_")]
-    if need_seq and seq_col:
-        normal = normal.withColumn(seq_col, F.col("_seq"))
-        hot = hot.withColumn(seq_col, F.col("_seq"))
-        keep = keep + ([seq_col] if seq_col not in keep else [])
+            rparts = F.concat(rparts, F.when(rpos >= row_chunk - rows_back, F.array(F.col("_rc") + 1)).otherwise(none))
+        hot = hot.withColumn("_rpart", F.explode(rparts))
+        hot = rows_fn(hot, [key, "_rpart"]).filter(F.col("_rpart") == F.col("_rc"))
+    keep = base_cols + [c for c in normal.columns if c not in base_cols]
     return normal.select(*keep).unionByName(hot.select(*keep))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import prefix
@@ -40,19 +40,15 @@ def stratified_split(df: DataFrame, label: str, order: Sequence[str], cuts_bp: S
     ``cuts_bp`` are cumulative cut points in basis points: the row of 0-based
     rank r in a class of n rows goes to the first split with
     ``(r + 1) * 10000 <= n * cut`` (integer arithmetic, no float drift). A class is
-    a hot key by construction (two classes), so the rank uses the distributed
-    row number over (label, order) plus per-class offsets from a small count table.
+    a hot key by construction (two classes), so rank and class size come from the
+    distributed row number over (label, order).
     """
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.withColumn("_start", F.coalesce(
-        F.sum("_n").over(Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = prefix.global_row_number(df, [label, *order], "_rn", n_parts).join(F.broadcast(counts), on=label)
-    r = F.col("_rn") - F.col("_start") - 1
+    ranked = prefix.group_row_number(df, [label], order, "_rn", total="_n", n=n_parts)
     expr = None
     for cut, name in zip(cuts_bp, names):
-        cond = (r + 1) * 10000 <= F.col("_n") * F.lit(int(cut))
+        cond = F.col("_rn") * 10000 <= F.col("_n") * F.lit(int(cut))
         expr = F.when(cond, name) if expr is None else expr.when(cond, name)
-    return ranked.withColumn(out, expr.otherwise(names[len(cuts_bp)])).drop("_rn", "_n", "_start")
+    return ranked.withColumn(out, expr.otherwise(names[len(cuts_bp)])).drop("_rn", "_n")
 
 
 def patient_split(df: DataFrame, patient: str = "patient_id", cuts: Sequence[int] = (70, 85),
@@ -82,16 +78,15 @@ def upsample_minority(df: DataFrame, label: str, order: Sequence[str], n_parts:
     copies and the first ``M mod m`` rows by seeded hash one more (no driver
     sampling, no per-row randomness to lose on a retry). ``copy_no`` numbers the copies.
     """
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))  # one row per class
-    d = df.withColumns({"_maj": counts.agg(F.max_by(label, "_n")).scalar(),
-                        "_min": counts.agg(F.min_by(label, "_n")).scalar(),
-                        "_n_major": counts.agg(F.max("_n")).scalar(), "_n_minor": counts.agg(F.min("_n")).scalar()})
-    majority = d.filter(F.col(label) == F.col("_maj")).withColumn("copy_no", F.lit(1))
-    minority = prefix.global_row_number(d.filter(F.col(label) == F.col("_min")), order, "_rn", n_parts)
-    k = F.floor(F.col("_n_major") / F.col("_n_minor"))
-    copies = k + F.when(F.col("_rn") <= F.col("_n_major") % F.col("_n_minor"), 1).otherwise(0)
-    minority = minority.withColumn("copy_no", F.explode(F.sequence(F.lit(1), copies.cast("int")))).drop("_rn")
-    return majority.unionByName(minority).drop("_maj", "_min", "_n_major", "_n_minor")
+    ranked = prefix.group_row_number(df, [label], order, "_rn", total="_n", n=n_parts)
+    classes = ranked.groupBy(label).agg(F.first("_n").alias("_n"))  # one row per class
+    d = ranked.withColumns({"_maj": classes.agg(F.max_by(label, F.struct("_n", label))).scalar(),
+                            "_n_major": classes.agg(F.max("_n")).scalar()})
+    k = F.floor(F.col("_n_major") / F.col("_n"))
+    copies = F.when(F.col(label) == F.col("_maj"), F.lit(1)).otherwise(
+        k + F.when(F.col("_rn") <= F.col("_n_major") % F.col("_n"), 1).otherwise(0))
+    d = d.withColumn("copy_no", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
+    return d.drop("_rn", "_n", "_maj", "_n_major")
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

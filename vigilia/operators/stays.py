@@ -17,10 +17,11 @@ from . import prefix
 
 def rebuild_stays(raw: DataFrame, *, order: str = "line_no", hour: str = "hour_from_admission",
                   out: str = "patient_id", flag: str = "new_stay", n_parts: int | None = None,
-                  dense_lines: bool = True, total_lines: int | None = None) -> DataFrame:
-    """``new_stay`` flag (first line or hour decreased); E2: ``patient_id`` = running count of starts.
+                  dense_lines: bool = True) -> DataFrame:
+    """``new_stay`` flag (first line, hour decreased, or no difference because an hour is missing);
+    E2: ``patient_id`` = running count of starts.
 
     ``dense_lines``: line numbers are 1..N without gaps (as attached at ingest), so
-    the line buckets are arithmetic; ``total_lines`` (N) can be passed when known.
+    the line buckets are arithmetic.
     """
-    return prefix.lag_scan_new_groups(raw, order, hour, flag, out, n_parts, dense=dense_lines, total=total_lines)
+    return prefix.lag_scan_new_groups(raw, order, hour, flag, out, n_parts, dense=dense_lines)

@@ -73,15 +73,9 @@ def vitals_from_events(events: DataFrame, hot_rows: int | None = S.HOT_ROWS) ->
     return e.selectExpr(*VITALS_COLUMNS)
 
 
-_VITALS_CACHE: dict = {}
-
-
 def vitals(spark: SparkSession, sf_dir: str, hot_rows: int | None = S.HOT_ROWS) -> DataFrame:
-    """Lazy ``vitals`` plan; the same DataFrame object is reused per (session, folder) to skip re-planning."""
-    k = (spark.sparkContext.applicationId, sf_dir, hot_rows)
-    if k not in _VITALS_CACHE:
-        _VITALS_CACHE[k] = vitals_from_events(table(spark, sf_dir, "events"), hot_rows=hot_rows)
-    return _VITALS_CACHE[k]
+    """Lazy ``vitals`` plan over the folder's files as they are now."""
+    return vitals_from_events(table(spark, sf_dir, "events"), hot_rows=hot_rows)
 
 
 def raw_lines(v: DataFrame) -> DataFrame:
