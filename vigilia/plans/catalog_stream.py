@@ -14,32 +14,51 @@ from .registry import query
 from .sqlbase import with_views as W
 
 
-@query("s1_streaming_scores")
+_LEVEL = """CASE WHEN score_b >= 85e-2 THEN 'CRITICAL' WHEN score_b >= 7e-1 THEN 'HIGH' WHEN score_b >= 5e-1 THEN 'MODERATE' ELSE 'LOW' END"""
+
+
+@query("s1_streaming_scores", W("sv") + f"""SELECT sv.obs_id, sv.patient_id, e.ts, CAST(sirs_score AS INTEGER) AS sirs_score, sirs_positive,
+  {_LEVEL} AS risk_level, (score_b > 7e-1 OR abs(score_b - score_a) > 2e-1) AS alert FROM sv JOIN events e ON e.event_id = sv.obs_id""")
 def q_s1(spark, sf):
-    """File stream (events in time-ordered files) -> SIRS, tier, alert per row, foreachBatch sink."""
+    """File stream (events in deliveries by time) -> SIRS, tier, alert per row, foreachBatch sink."""
     return ST.streaming_scores(spark, sf)
 
 
-@query("s2_streaming_trends")
+_TREND = ["heart_rate", "respiratory_rate", "temperature_c", "systolic_bp", "lactate"]
+
+
+@query("s2_streaming_trends", W("vitals") + "SELECT obs_id, patient_id, e.ts, " + ", ".join(
+    f"COALESCE({c} - LAG({c}) OVER w, 0e0) AS {c}_change, ROUND(AVG({c}) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS {c}_rolling_mean"
+    for c in _TREND) + " FROM vitals JOIN events e ON e.event_id = obs_id WINDOW w AS (PARTITION BY patient_id ORDER BY e.ts, obs_id)")
 def q_s2(spark, sf):
     """Stateful change and 3-row mean per patient across micro-batches (applyInPandasWithState)."""
-    return ST.streaming_trends(spark, sf)
+    rows = ST.streaming_trends(spark, sf)
+    return rows.select("obs_id", "patient_id", "ts", *[x for c in K.TREND_VITALS for x in (
+        F.col(f"{c}_change"), F.round(F.nanvl(f"{c}_rolling_mean", F.lit(None).cast("double")), 6).alias(f"{c}_rolling_mean"))])
 
 
-@query("s3_dedup_late")
+# Late: the repeated rows of the first slice, and of the last slice those at or before the watermark (its end less 2 h).
+@query("s3_dedup_late", """WITH b AS (SELECT MIN(ts) AS lo, MAX(ts) AS hi FROM events),
+again AS (SELECT ts FROM events, b WHERE (ts < lo + (hi - lo) / 4 AND event_id % 5 = 0) OR (ts >= lo + (hi - lo) / 4 * 3 AND event_id % 7 = 0))
+SELECT MIN(event_id) AS event_id, user_id, ts,
+  CAST((SELECT COUNT(*) FROM again, b WHERE again.ts <= hi - INTERVAL 2 HOUR) AS INTEGER) AS late_rows_dropped FROM events GROUP BY user_id, ts""")
 def q_s3(spark, sf):
     """S3: watermark + dropDuplicatesWithinWatermark on a stream with late rows and duplicates."""
     rows, dropped = ST.dedup_late(spark, sf)
     return rows.withColumn("late_rows_dropped", F.lit(dropped))
 
 
-@query("s4_streaming_alert_windows")
+@query("s4_streaming_alert_windows", """SELECT date_trunc('hour', ts) AS window_start, CAST(COUNT(*) AS BIGINT) AS n_alerts FROM events
+WHERE ((event_id*73+29)%1000)/1e3 > 7e-1 OR abs(((event_id*73+29)%1000)/1e3 - ((event_id*37+11)%1000)/1e3) > 2e-1 GROUP BY 1""")
 def q_s4s(spark, sf):
     """S4 (stream): watermarked tumbling 1 h alert counts in append mode."""
     return ST.streaming_alert_windows(spark, sf)
 
 
-@query("s5_streaming_label")
+@query("s5_streaming_label", """WITH o AS (SELECT event_id AS obs_id, user_id AS patient_id, ts,
+  ((event_id*101+13)%1000)*((event_id*211+7)%1000)/1e6 >= 7e-1 AS onset FROM events)
+SELECT obs_id, patient_id, ts, CASE WHEN EXISTS (SELECT 1 FROM o r WHERE r.onset AND r.patient_id = o.patient_id
+  AND r.ts > o.ts AND r.ts <= o.ts + INTERVAL 6 HOUR) THEN 1 ELSE 0 END AS sepsis_next_6h_time FROM o""")
 def q_s5(spark, sf):
     """Stream-stream left outer interval join for 'sepsis within 6 h' by event time."""
     return ST.streaming_label(spark, sf)

@@ -1,25 +1,30 @@
 """Structured Streaming operators.
 
 * S1 streaming scoring and alerts: per-row rules on a file stream, written by
-  ``foreachBatch`` (idempotent per epoch) with a checkpoint, ``availableNow``.
+  ``foreachBatch`` (idempotent per epoch) with a checkpoint.
 * S2 stateful change / 3-row mean per patient with ``applyInPandasWithState``
   (the last two readings per vital are the state; row windows are not allowed
-  on streams).
+  on streams). Late rows are dropped by the watermark, and the state of a patient
+  without readings for ``STATE_IDLE_DAYS`` ends.
 * S3 late and duplicate readings: watermark + ``dropDuplicatesWithinWatermark``;
-  rows older than the watermark are dropped and counted from query progress.
+  rows older than the watermark are dropped and counted in every micro-batch.
 * S4 tumbling and sliding alert counts with ``window()``; stays with ``session_window()``.
 * S5 streaming label A: stream-stream left outer interval join of observations
   with sepsis onsets in (t, t + 6 h], both sides watermarked.
 
-Every stream reads files derived from the given ``events`` table; the batch
-forms of the same rules are the oracle.
+Every stream reads files that Spark writes from the given ``events`` table, one
+delivery (any number of files) per time slice; after each delivery the query
+runs with ``availableNow`` on its checkpoint, as a scheduled job would. The last
+deliveries hold a heartbeat event beyond all others, so that every window and
+join closes and the results are complete. The batch forms are the oracle.
 """
 
 from __future__ import annotations
 
-import os
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,39 +35,46 @@ from ..functions import constants as K
 from ..session import ensure_checkpoint_dir
 from ..sources import tables as T
 
-EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint"
+
+
+HEARTBEAT = -1  # event id of the closing event; never in a result
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder (never a machine-local temp path on a cluster)."""
-    return os.path.join(ensure_checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:8]}")
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:8]}"
 
 
-def stage_event_files(spark: SparkSession, sf_dir: str, n_files: int = 6, late: bool = True) -> str:
-    """Split ``events`` into time-ordered Parquet files (the stream fixture, FIXTURES.md §4).
+def deliveries(spark: SparkSession, sf_dir: str, path: str, slices: int = 4, late: bool = False) -> Iterator[int]:
+    """Append ``events`` to ``path`` slice by slice of event time; yields after each delivery.
 
-    With ``late``, a last file repeats some early rows (late arrivals) and some
-    (user, ts) duplicates. Files are written by Spark; returns the folder.
+    With ``late``, one more delivery repeats early rows (late arrivals) and rows of
+    the last slice (duplicates). The last deliveries are heartbeats.
     """
     ev = T.table(spark, sf_dir, "events")
-    path = scratch(spark, "events")
     lo, hi = ev.agg(F.min("ts"), F.max("ts")).first()
-    span = (hi - lo) / n_files
-    for i in range(n_files):
-        a, b = lo + span * i, lo + span * (i + 1)
-        part = ev.filter((F.col("ts") >= F.lit(a)) & ((F.col("ts") < F.lit(b)) if i < n_files - 1 else F.lit(True)))
-        part.coalesce(1).write.mode("overwrite").parquet(os.path.join(path, f"part-{i:03d}"))
+    if lo is None:
+        return
+    span = (hi - lo) / slices
+    bounds = [lo + span * i for i in range(slices)]
+    parts = [ev.filter(F.col("ts") >= F.lit(a)).filter(F.col("ts") < F.lit(b)) if b is not None else ev.filter(F.col("ts") >= F.lit(a))
+             for a, b in zip(bounds, [*bounds[1:], None])]
     if late:
-        early = ev.filter(F.col("ts") < F.lit(lo + span)).filter(F.col("event_id") % 5 == 0)  # old rows arriving last
-        dup = ev.filter(F.col("ts") >= F.lit(lo + span * (n_files - 1))).filter(F.col("event_id") % 7 == 0)
-        early.unionByName(dup).coalesce(1).write.mode("overwrite").parquet(os.path.join(path, f"part-{n_files:03d}"))
-    return path
+        parts.append(parts[0].filter(F.col("event_id") % 5 == 0).unionByName(parts[-1].filter(F.col("event_id") % 7 == 0)))
+    # two heartbeats: the first moves the watermark, the second's micro-batch closes what the watermark has passed
+    for days in (30, 31):
+        parts.append(spark.range(1).select(
+            F.lit(HEARTBEAT).cast("bigint").alias("event_id"),
+            (F.lit(hi) + F.expr(f"INTERVAL {days} DAYS")).cast("timestamp_ntz").alias("ts"),
+            F.lit(HEARTBEAT).cast("bigint").alias("user_id")))
+    for i, part in enumerate(parts):
+        part.select("event_id", "ts", "user_id").write.mode("append").parquet(path)
+        yield i
 
 
 def read_event_stream(spark: SparkSession, path: str) -> DataFrame:
-    """File source, one file (folder) per micro-batch so arrival order follows the files."""
-    return (spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", 1)
-            .option("recursiveFileLookup", "true").parquet(path))
+    return spark.readStream.schema(EVENTS_SCHEMA).parquet(path)
 
 
 def stream_observations(events: DataFrame, for_watermark: bool = True) -> DataFrame:
@@ -83,53 +95,45 @@ def score_rows(obs: DataFrame) -> DataFrame:
                     C.risk_tier("score_b").alias("risk_level"), alert.alias("alert"))
 
 
-def run_available_now(df: DataFrame, name: str, mode: str = "append") -> tuple[str, list]:
-    """Run a streaming frame to completion into Parquet (``foreachBatch``, idempotent per epoch).
+def run_deliveries(spark: SparkSession, sf_dir: str, name: str, build: Callable[[DataFrame, str], DataFrame], schema: str,
+                   mode: str = "append", late: bool = False, slices: int = 4) -> tuple[DataFrame, list]:
+    """Run ``build(event stream, source path)`` over all deliveries; returns (written rows, all progress reports).
 
-    Returns the output folder and the progress reports.
+    Each run ends when its delivery is processed, so a run has a few micro-batches
+    and its progress reports are complete. Output goes to one folder per epoch,
+    overwritten on replay: exactly once per epoch, on any file system Spark writes to.
     """
-    spark = df.sparkSession
-    out = scratch(spark, f"{name}-out")
-    ckpt = scratch(spark, f"{name}-ckpt")
+    path, out, ckpt = (scratch(spark, f"{name}-{x}") for x in ("events", "out", "ckpt"))
+    spark.createDataFrame([], schema).write.parquet(f"{out}/epoch=-1")  # the folder and its schema exist without a batch
 
     def sink(batch: DataFrame, epoch: int):
-        # one folder per epoch, overwritten on replay: exactly-once output per epoch
-        batch.write.mode("overwrite").parquet(os.path.join(out, f"epoch={epoch}"))
-
-    q = (df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", ckpt)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    progress = q.recentProgress
-    return out, progress
+        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
-
-def read_output(spark: SparkSession, out: str, schema: str) -> DataFrame:
-    if not os.path.exists(out) or not os.listdir(out):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(out).drop("epoch")
+    progress = []
+    for _ in deliveries(spark, sf_dir, path, slices=slices, late=late):
+        q = (build(read_event_stream(spark, path), path).writeStream.outputMode(mode).foreachBatch(sink)
+             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+        q.awaitTermination()
+        progress += q.recentProgress
+    return spark.read.schema(schema).parquet(out).drop("epoch"), progress
 
 
 def streaming_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score and alert every streamed observation; returns the written result."""
-    path = stage_event_files(spark, sf_dir, late=False)
-    out, _ = run_available_now(score_rows(stream_observations(read_event_stream(spark, path))), "s1")
-    return read_output(spark, out, "obs_id bigint, patient_id bigint, ts timestamp, sirs_score int, "
-                                   "sirs_positive int, risk_level string, alert boolean")
+    schema = "obs_id bigint, patient_id bigint, ts timestamp, sirs_score int, sirs_positive int, risk_level string, alert boolean"
+    rows, _ = run_deliveries(spark, sf_dir, "s1", lambda ev, _: score_rows(stream_observations(ev.filter(F.col("event_id") != HEARTBEAT))), schema)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 def dedup_late(spark: SparkSession, sf_dir: str, delay: str = "2 hours") -> tuple[DataFrame, int]:
     """S3: drop duplicate (user, ts) readings within the watermark; count rows dropped as late."""
-    path = stage_event_files(spark, sf_dir, late=True)
-    ev = (read_event_stream(spark, path).withColumn("ts", F.col("ts").cast("timestamp"))
-          .withWatermark("ts", delay).dropDuplicatesWithinWatermark(["user_id", "ts"]))
-    out, progress = run_available_now(ev.select("event_id", "user_id", "ts"), "s3")
-    dropped = 0
-    for p in progress:
-        ops = p.get("stateOperators") if isinstance(p, dict) else getattr(p, "stateOperators", None)
-        for o in ops or []:
-            n = o.get("numRowsDroppedByWatermark", 0) if isinstance(o, dict) else getattr(o, "numRowsDroppedByWatermark", 0)
-            dropped += int(n or 0)
-    return read_output(spark, out, "event_id bigint, user_id bigint, ts timestamp"), dropped
+    def build(ev: DataFrame, _: str) -> DataFrame:
+        ev = ev.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+        return ev.dropDuplicatesWithinWatermark(["user_id", "ts"]).filter(F.col("event_id") != HEARTBEAT).select("event_id", "user_id", "ts")
+
+    rows, progress = run_deliveries(spark, sf_dir, "s3", build, "event_id bigint, user_id bigint, ts timestamp", late=True)
+    dropped = sum(int(op["numRowsDroppedByWatermark"]) for p in progress for op in p["stateOperators"])
+    return rows.withColumn("ts", F.col("ts").cast("timestamp_ntz")), dropped
 
 
 # ------------------------------------------------------------------ S2 (stateful)
@@ -138,39 +142,40 @@ TREND_OUT = "obs_id long, patient_id long, ts timestamp, " + ", ".join(
 TREND_STATE = ", ".join(f"{c}_1 double, {c}_2 double" for c in K.TREND_VITALS)
 
 
+STATE_IDLE_DAYS = 90
+
+
 def _trend_state_fn(key, pdfs, state):
     """Per patient: carry the last two readings of each vital across micro-batches."""
-    prev = {c: [None, None] for c in K.TREND_VITALS}  # [most recent, one before]
-    if state.exists:
-        s = state.get
-        for i, c in enumerate(K.TREND_VITALS):
-            prev[c] = [s[2 * i], s[2 * i + 1]]
+    if state.hasTimedOut:
+        state.remove()
+        return
     rows = pd.concat(list(pdfs)).sort_values(["ts", "obs_id"])
+    tail = np.array(state.get if state.exists else [np.nan] * (2 * len(K.TREND_VITALS)), dtype=float).reshape(-1, 2)  # last, one before
     out = {"obs_id": rows["obs_id"].to_numpy(), "patient_id": rows["patient_id"].to_numpy(), "ts": rows["ts"].to_numpy()}
-    for c in K.TREND_VITALS:
-        vals = rows[c].to_numpy(dtype=float)
-        ch, rm = [], []
-        p1, p2 = prev[c]
-        for v in vals:
-            vv = None if pd.isna(v) else float(v)
-            ch.append(0.0 if (vv is None or p1 is None) else vv - p1)  # diff().fillna(0)
-            win = [x for x in (p2, p1, vv) if x is not None]          # rolling(3, min_periods=1)
-            rm.append(sum(win) / len(win) if win else float("nan"))
-            p2, p1 = p1, vv
-        prev[c] = [p1, p2]
-        out[f"{c}_change"], out[f"{c}_rolling_mean"] = ch, rm
-    state.update(tuple(x for c in K.TREND_VITALS for x in prev[c]))
+    after = []
+    for c, (last, before) in zip(K.TREND_VITALS, tail, strict=True):
+        v = np.concatenate([[before, last], rows[c].to_numpy(dtype=float)])
+        three = np.stack([v[:-2], v[1:-1], v[2:]])
+        seen = (~np.isnan(three)).sum(axis=0)
+        out[f"{c}_change"] = np.nan_to_num(three[2] - three[1])  # diff().fillna(0)
+        out[f"{c}_rolling_mean"] = np.where(seen > 0, np.nansum(three, axis=0) / np.maximum(seen, 1), np.nan)
+        after += [v[-1], v[-2]]
+    state.update(tuple(None if np.isnan(x) else float(x) for x in after))
+    idle = pd.Timestamp(rows["ts"].iloc[-1]) + pd.Timedelta(days=STATE_IDLE_DAYS)
+    state.setTimeoutTimestamp(int(idle.timestamp() * 1000))
     yield pd.DataFrame(out)
 
 
-def streaming_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Change and 3-row mean per patient across micro-batches (in-order files)."""
-    path = stage_event_files(spark, sf_dir, late=False)
-    obs = stream_observations(read_event_stream(spark, path)).select("obs_id", "patient_id", "ts", *K.TREND_VITALS)
-    res = obs.groupBy("patient_id").applyInPandasWithState(
-        _trend_state_fn, TREND_OUT, TREND_STATE, "append", GroupStateTimeout.NoTimeout)
-    out, _ = run_available_now(res, "s2")
-    return read_output(spark, out, TREND_OUT)
+def streaming_trends(spark: SparkSession, sf_dir: str, delay: str = "2 hours") -> DataFrame:
+    """Change and 3-row mean per patient across micro-batches (rows in event-time order within ``delay``)."""
+    def build(ev: DataFrame, _: str) -> DataFrame:
+        obs = stream_observations(ev).withWatermark("ts", delay).select("obs_id", "patient_id", "ts", *K.TREND_VITALS)
+        rows = obs.groupBy("patient_id").applyInPandasWithState(_trend_state_fn, TREND_OUT, TREND_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        return rows.filter(F.col("obs_id") != HEARTBEAT)
+
+    rows, _ = run_deliveries(spark, sf_dir, "s2", build, TREND_OUT)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 # ------------------------------------------------------------------ S4 (windows)
@@ -191,14 +196,15 @@ def stays_by_session(obs: DataFrame, gap: str = "24 hours") -> DataFrame:
 
 
 def streaming_alert_windows(spark: SparkSession, sf_dir: str, delay: str = "2 hours") -> DataFrame:
-    """S4 on the stream: watermarked tumbling alert counts (append mode emits closed windows)."""
-    path = stage_event_files(spark, sf_dir, late=False)
-    obs = stream_observations(read_event_stream(spark, path)).withWatermark("ts", delay)
-    d = score_rows(obs).filter(F.col("alert"))
-    agg = d.groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n_alerts")) \
-        .select(F.col("w.start").alias("window_start"), "n_alerts")
-    out, _ = run_available_now(agg, "s4")
-    return read_output(spark, out, "window_start timestamp, n_alerts long")
+    """S4 on the stream: watermarked tumbling alert counts (append mode emits closed windows, the heartbeat closes all)."""
+    def build(ev: DataFrame, _: str) -> DataFrame:
+        obs = stream_observations(ev).withWatermark("ts", delay)
+        # the condition reads ts, so that it stays above the watermark node, which the heartbeat has to pass
+        d = score_rows(obs).filter(F.when(F.col("ts").isNotNull(), F.col("alert") & (F.col("obs_id") != HEARTBEAT)))
+        return d.groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n_alerts")).select(F.col("w.start").alias("window_start"), "n_alerts")
+
+    rows, _ = run_deliveries(spark, sf_dir, "s4", build, "window_start timestamp, n_alerts long")
+    return rows.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 # ------------------------------------------------------------------ S5 (stream-stream join)
@@ -208,21 +214,21 @@ def streaming_label(spark: SparkSession, sf_dir: str, delay: str = "6 hours",
 
     Two watermarked streams (observations, onsets) joined left-outer on the
     patient with an event-time range; unmatched rows are emitted once the
-    watermark passes t + 6 h, matched ones are reduced to one flag per row.
+    watermark passes t + 6 h (the heartbeat carries it past the last row), matched
+    ones are reduced to one flag per row.
     """
-    path = stage_event_files(spark, sf_dir, late=False)
-    obs = stream_observations(read_event_stream(spark, path)).select("obs_id", "patient_id", "ts", "sepsis_risk_score")
-    left = obs.withWatermark("ts", delay).alias("l")
-    right = (stream_observations(read_event_stream(spark, path))
-             .filter(F.col("sepsis_risk_score") >= K.SEPSIS_SCORE_CUT)
-             .select(F.col("patient_id").alias("r_pid"), F.col("ts").alias("r_ts"), F.col("obs_id").alias("r_obs"))
-             .withWatermark("r_ts", delay).alias("r"))
-    cond = (F.col("l.patient_id") == F.col("r.r_pid")) & (F.col("r.r_ts") > F.col("l.ts")) & \
-        (F.col("r.r_ts") <= F.col("l.ts") + F.expr(f"INTERVAL {horizon_hours} HOURS"))
-    j = left.join(right, cond, "leftOuter").select("obs_id", "patient_id", "ts", "r_obs")
-    out, _ = run_available_now(j, "s5")
-    pairs = read_output(spark, out, "obs_id bigint, patient_id bigint, ts timestamp, r_obs bigint")
-    return pairs.groupBy("obs_id", "patient_id", "ts").agg(
+    def build(ev: DataFrame, path: str) -> DataFrame:
+        left = stream_observations(ev).select("obs_id", "patient_id", "ts").withWatermark("ts", delay).alias("l")
+        onset = (F.col("sepsis_risk_score") >= K.SEPSIS_SCORE_CUT) | (F.col("obs_id") == HEARTBEAT)
+        right = (stream_observations(read_event_stream(spark, path)).filter(onset)
+                 .select(F.col("patient_id").alias("r_pid"), F.col("ts").alias("r_ts"), F.col("obs_id").alias("r_obs"))
+                 .withWatermark("r_ts", delay).alias("r"))
+        cond = (F.col("l.patient_id") == F.col("r.r_pid")) & (F.col("r.r_ts") > F.col("l.ts")) & \
+            (F.col("r.r_ts") <= F.col("l.ts") + F.expr(f"INTERVAL {horizon_hours} HOURS"))
+        return left.join(right, cond, "leftOuter").select("obs_id", "patient_id", "ts", "r_obs")
+
+    pairs, _ = run_deliveries(spark, sf_dir, "s5", build, "obs_id bigint, patient_id bigint, ts timestamp, r_obs bigint")
+    return pairs.filter(F.col("obs_id") != HEARTBEAT).groupBy("obs_id", "patient_id", F.col("ts").cast("timestamp_ntz").alias("ts")).agg(
         F.max(F.when(F.col("r_obs").isNotNull(), 1).otherwise(0)).alias("sepsis_next_6h_time"))
 
 
