@@ -4,9 +4,9 @@ The text is a sequence of words (A-Z in lower case, split on ASCII white space),
 mark. Bytes are coded as the binary decisions of a code tree built from the corpus's byte counts (frequent bytes take
 few decisions). For every decision several predictors, one per hashed context (``ORDERS``: the last 1, 2 and 4 bytes
 and the word so far), look up how often this decision went either way in that context in the training documents. The
-logits of their estimates are combined by weights that a gate (how many contexts were seen) selects. The weights are
-learned online: they start at ``START`` and follow the logistic loss's gradient block by block through the document,
-and an adaptive probability map (gate x quantised logit) refines the mixed probability likewise. A document's state
+logits of their estimates are combined by weights that a gate (whether the longest context was seen) selects. The
+weights are learned online: they start at ``START`` and follow the logistic loss's gradient block by block through the
+document, and an adaptive probability map (gate x quantised logit) refines the mixed probability likewise. A document's state
 starts anew, so its score depends on the trained tables and its own text alone. The score is the base-10 logarithm
 of the text's probability; its negative, in binary, is the total number of bits, and per byte the bits per byte.
 
@@ -41,14 +41,20 @@ BITS = 20
 PAGE = 4096
 HEAD = 1 << 17
 START = (0.1, 0.2, 0.4, 0.5)  # weights before a document's first block
-BLOCK = 2048  # decisions between two updates of the weights
+BLOCKS = (2048, 16384)  # decisions of a document's first block, and of the longest; each block is twice the one before
 RATE = 0.02
 APM_RATE = 0.1
 STEP = 12.0  # quantised logits: 1 / 12 per unit, 0 for a slot that was never seen
-CHUNK = 1 << 20  # bytes turned into decisions at a time
+CHUNK = 1 << 18  # bytes turned into decisions at a time (arrays stay in the cache)
 TALLY = 300_000
 END = 10  # the end mark: no word holds it
-_K = np.uint64(0x9E3779B97F4A7C15)
+LONGEST = ORDERS.index(4)
+TOP = np.float32(7.99)  # bound of mixed logits: no decision costs more than about 13 bits
+_RATES = ((1 - (1 - APM_RATE) ** np.arange(9)) * 0.5).astype(np.float32)  # of the map, by hits in a block
+_IDENTITY = np.tile(1 / (1 + np.exp(-np.linspace(-8, 8, 33))), 2).astype(np.float32)  # the map before a document's first block
+_U = np.uint64
+_K = _U(0x9E3779B97F4A7C15)
+_PLACE = np.array([(i + 1) * 0xD6E8FEB86659FD93 % (1 << 64) | 1 for i in range(64)], _U)  # by place in the word
 
 
 def encoded(text: str) -> bytes:
@@ -78,51 +84,56 @@ class Code:
             paths.append(path[::-1])
         self.size = np.array([len(p) for p in paths], np.int32)
         self.first = np.concatenate([[0], np.cumsum(self.size)[:-1]]).astype(np.int32)
-        self.nodes = np.array([n for p in paths for n, _ in p], np.uint32)
         self.ways = np.array([w for p in paths for _, w in p], np.uint8)
+        nodes = np.array([n for p in paths for n, _ in p], np.uint64)
+        self.salt = ((nodes + _U(1)) * _K >> _U(64 - BITS)).astype(np.uint32)  # node's part of a slot
 
     def decisions(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(decisions per byte, node of every decision, way of every decision)."""
+        """(decisions per byte, node's part of the slot of every decision, its way)."""
         n = self.size[data]
-        ends = np.cumsum(n)
-        at = np.arange(ends[-1] if len(ends) else 0, dtype=np.int32) + np.repeat(self.first[data] - (ends - n).astype(np.int32), n)
-        return n, self.nodes[at], self.ways[at]
+        ends = np.cumsum(n, dtype=np.int32)
+        at = np.repeat(self.first[data] - (ends - n), n)
+        at += np.arange(len(at), dtype=np.int32)
+        return n, self.salt[at], self.ways[at]
 
 
 def contexts(data: np.ndarray, begins: np.ndarray) -> list[np.ndarray]:
-    """Hash (uint32) of each context at every byte; ``begins`` are the places where documents begin."""
-    since = np.arange(len(data)) - np.repeat(begins, np.diff([*begins, len(data)]))
-    prev = [np.where(since >= k, np.concatenate([np.zeros(k, np.uint8), data[: max(0, len(data) - k)]])[: len(data)], 0).astype(np.uint64) for k in range(1, 5)]
+    """BITS-bit hash of each context at every byte; ``begins`` are the places where documents begin."""
+    d = data.astype(np.uint32)
+    last = np.zeros(len(d), np.uint32)  # the four bytes before, the nearest one lowest
+    for k in range(1, 5):
+        last[k:] |= d[: max(0, len(d) - k)] << np.uint32(8 * (k - 1))
+    for k in range(4):  # nothing from before the document
+        at = begins + k
+        last[at[at < len(d)]] &= np.uint32((1 << 8 * k) - 1)
     out = []
     for o in ORDERS:
         if o == "word":
-            # hash of the bytes since the last space: a difference of running sums, with a power for the place
-            place = np.arange(len(data))
-            word = np.zeros(len(data), np.int64)
-            starts = np.zeros(len(data), bool)
-            starts[begins] = True
-            starts[1:] |= data[:-1] == 32
-            word = np.maximum.accumulate(np.where(starts, place, 0))
-            step = (place - word).astype(np.uint64)
-            term = (data.astype(np.uint64) + np.uint64(1)) * (_K * (step * np.uint64(2) + np.uint64(1)))
-            term ^= term >> np.uint64(31)
-            total = np.concatenate([[np.uint64(0)], np.cumsum(term * _K)])
-            h = total[place] - total[word] + step
+            # the bytes since the last space, each by its place in the word: a difference of running sums
+            place = np.arange(len(d), dtype=np.int32)
+            word = np.zeros(len(d), np.int32)
+            word[begins] = begins
+            space = np.nonzero(data[:-1] == 32)[0] + 1
+            word[space] = space
+            word = np.maximum.accumulate(word)
+            step = place - word
+            total = np.concatenate([np.zeros(1, _U), np.cumsum(_PLACE[np.minimum(step, len(_PLACE) - 1)] * (d + np.uint32(1)), dtype=_U)])
+            h = total[place] - total[word] + step.astype(_U)
         else:
-            h = np.zeros(len(data), np.uint64)
-            for k in range(o):
-                h = (h << np.uint64(8)) | prev[k]
-        h = (h + np.uint64(len(out) + 1)) * _K
-        out.append((h >> np.uint64(32)).astype(np.uint32))
+            h = (last & np.uint32((1 << 8 * o) - 1)).astype(_U)
+        h += _U(len(out) + 1)
+        h *= _K
+        h ^= h >> _U(29)
+        h *= _K
+        out.append((h >> _U(64 - BITS)).astype(np.uint32))
     return out
 
 
-def slots(context: np.ndarray, n: np.ndarray, node: np.ndarray) -> np.ndarray:
+def slots(context: np.ndarray, n: np.ndarray, salt: np.ndarray) -> np.ndarray:
     """Slot of each decision in a table of 1 << BITS."""
     h = np.repeat(context, n)
-    h += node * np.uint32(0x85EBCA6B)
-    h *= np.uint32(0x9E3779B1)
-    return (h >> np.uint32(32 - BITS)).astype(np.int32)
+    h ^= salt
+    return h
 
 
 def pieces(texts: list[bytes]) -> Iterator[list[bytes]]:
@@ -178,13 +189,16 @@ def byte_counts(words: DataFrame) -> np.ndarray:
 def train_table(train: DataFrame, code: Code) -> np.ndarray:
     """Quantised logits of all slots, int8 of len(ORDERS) << BITS, learned from every training document."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((len(ORDERS), 2 << BITS), np.int64)
+        total = np.zeros((len(ORDERS), 2 << BITS), np.int32)
         for b in batches:
             for docs in pieces([encoded(t) for t in b["text"]]):
                 data, begins = _joined(docs)
-                n, node, way = code.decisions(data)
+                n, salt, way = code.decisions(data)
                 for i, c in enumerate(contexts(data, begins)):
-                    total[i] += np.bincount(slots(c, n, node) * 2 + way, minlength=2 << BITS)
+                    at = slots(c, n, salt)
+                    at += at
+                    at += way
+                    np.add.at(total[i], at, np.int32(1))
         pairs = total.reshape(-1, 2)
         seen = np.nonzero(pairs.any(axis=1))[0]
         for i in range(0, len(seen), 1 << 18):
@@ -211,28 +225,40 @@ def mixed_bits(logits: np.ndarray, way: np.ndarray) -> float:
     """Bits that one document's decisions cost: gated online mixing, then the adaptive probability map.
 
     ``logits``: int8, contexts x decisions."""
-    m = len(ORDERS)
-    weights = np.tile(np.array(START, np.float32)[:, None], (1, m + 1)).T.copy()  # gate x context
-    grid = np.linspace(-8, 8, 33, dtype=np.float32)
-    apm = np.tile(1 / (1 + np.exp(-grid)), m + 1).astype(np.float32)  # gate x quantised logit
-    bits = 0.0
-    for i in range(0, len(way), BLOCK):
-        q = logits[:, i:i + BLOCK]
-        y = way[i:i + BLOCK].astype(np.float32)
-        gate = np.count_nonzero(q, axis=0)
-        x = q.astype(np.float32) * np.float32(1 / STEP)
-        z = np.take_along_axis(weights @ x, gate[None, :], axis=0)[0]
-        np.clip(z, -8, 8, out=z)
-        p = 1 / (1 + np.exp(-z))
-        cell = gate * 33 + np.rint((z + 8) * 2).astype(np.int64)
-        refined = np.clip((p + apm[cell]) / 2, 1 / 4096, 4095 / 4096)
-        bits -= float(np.log2(np.where(y > 0, refined, 1 - refined)).sum(dtype=np.float64))
-        err = y - p
-        step = np.stack([np.where(gate == g, err, 0) for g in range(m + 1)]) @ x.T
-        weights += RATE * step / max(1.0, len(y) / 64)
-        hits = np.bincount(cell, minlength=len(apm))
-        mean = np.bincount(cell, y, minlength=len(apm)) / np.maximum(hits, 1)
-        apm += ((1 - (1 - APM_RATE) ** np.minimum(hits, 8)) * (mean - apm) * (hits > 0) * 0.5).astype(np.float32)
+    weights = np.tile(np.array(START, np.float32) / np.float32(STEP), (2, 1))  # gate x context
+    apm = _IDENTITY.copy()  # gate x quantised logit
+    bits, begin, size = 0.0, 0, BLOCKS[0]
+    while begin < len(way):
+        x = logits[:, begin:begin + size].astype(np.float32)
+        y = way[begin:begin + size]
+        begin, size = begin + size, min(2 * size, BLOCKS[1])
+        seen = x[LONGEST] != 0
+        z = weights @ x
+        z = np.where(seen, z[1], z[0])
+        np.minimum(z, TOP, out=z)
+        np.maximum(z, -TOP, out=z)
+        cell = (z * 2 + 16.5).astype(np.int64)
+        cell += seen * 33
+        p = np.exp(-z, out=z)
+        p += 1
+        np.divide(1, p, out=p)
+        told = apm[cell]  # of way 1
+        told += p
+        told *= 0.5
+        np.subtract(y, p, out=p)  # the error from here on
+        told += y
+        told -= 1
+        np.abs(told, out=told)
+        bits -= float(np.log2(told, out=told).sum(dtype=np.float64))
+        err = np.empty((2, len(y)), np.float32)
+        np.multiply(p, seen, out=err[1])
+        np.subtract(p, err[1], out=err[0])
+        weights += np.float32(RATE / STEP / STEP / max(1.0, len(y) / 64)) * (err @ x.T)
+        cell += cell
+        cell += y
+        ways = np.bincount(cell, minlength=2 * len(apm))
+        hits = ways[::2] + ways[1::2]
+        apm += _RATES[np.minimum(hits, 8)] * (ways[1::2] / np.maximum(hits, 1) - apm)
     return bits
 
 
@@ -245,13 +271,25 @@ class Scorer:
         out: list[float] = []
         for group in pieces(docs):
             data, begins = _joined(group)
-            n, node, way = self.code.decisions(data)
-            logits = np.stack([self.table[i][slots(c, n, node)] for i, c in enumerate(contexts(data, begins))])
+            n, salt, way = self.code.decisions(data)
+            logits = np.stack([self.table[i][slots(c, n, salt)] for i, c in enumerate(contexts(data, begins))])
             ends = np.concatenate([[0], np.cumsum(n)])[np.append(begins, len(data))]
             out += [mixed_bits(logits[:, a:b], way[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
         return out
 
 
+def head_threshold(words: DataFrame, head: int) -> int:
+    """Smallest count that at most ``head`` words reach (a power of two: the histogram has 63 rows at most)."""
+    held = {r["e"]: r["k"] for r in words.groupBy(F.floor(F.log2("n") + 1e-9).cast("int").alias("e")).agg(F.count("*").alias("k")).collect()}
+    total, least = 0, max(held, default=0) + 1
+    for e in sorted(held, reverse=True):
+        total += held[e]
+        if total > head:
+            break
+        least = e
+    return 1 << least
+
+
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) per row."""
     spark = docs.sparkSession
@@ -261,7 +299,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_train, floor = int(total["n"]), float(total["n"]) + 0.5 * (total["v"] + 1)
     code = Code(byte_counts(words))
-    top = words.orderBy(F.desc("n"), "word").limit(head)
+    top = words.filter(F.col("n") >= head_threshold(words, head))
     shared = spark.sparkContext.broadcast({"table": train_table(train, code), "head": {bytes(r["word"]): r["n"] for r in top.collect()}})
     id_type = src.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, text_key long, held_out boolean, n_tokens long, n_known long, head_score double, score double, n_bytes long, rare array<binary>"
