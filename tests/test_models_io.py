@@ -43,6 +43,30 @@ def test_model_save_load_roundtrip(spark, data):
     assert (a.p - b.p).abs().max() < 1e-12
 
 
+def test_svm_save_load_roundtrip(spark, data):
+    m = MD.fit(data.filter("split_bucket < 70"), MD.ModelSpec("svm", "rff_svm", dict(n_components=4, max_iter=3)), K.F17, "sepsis_label")
+    path = tempfile.mkdtemp(prefix="vigilia-model-test-")
+    MD.save(m, path, K.F17, 0.5)
+    m2, meta = MD.load(path)
+    a = MD.score(m, data, K.F17).orderBy("obs_id").toPandas()
+    b = MD.score(m2, data, meta["features"]).orderBy("obs_id").toPandas()
+    assert (a.p - b.p).abs().max() < 1e-12
+
+
+def test_csv_line_numbers_follow_file_paths_and_nan_is_null(spark):
+    path = tempfile.mkdtemp(prefix="vigilia-csv-")
+    names = [c.split()[0] for c in IO.OBSERVATION_SCHEMA.split(", ")]
+    for name, hours in (("a.csv", [0, 1]), ("b.csv", list(range(2, 400))), ("c.csv", [0])):  # the scan takes the largest first
+        with open(f"{path}/{name}", "w") as f:
+            f.write(",".join(names) + "\n")
+            f.writelines(f"{h},NaN" + "," * (len(names) - 2) + "\n" for h in hours)
+    raw = IO.read_observations_csv(spark, path)
+    assert [r[0] for r in raw.orderBy("line_no").select("hour_from_admission").collect()] == [*range(400), 0]
+    assert raw.filter("heart_rate IS NOT NULL").count() == 0
+    from vigilia.functions import clinical as C
+    assert C.with_sirs(raw).agg(F.max("sirs_score")).first()[0] == 0
+
+
 def test_csv_scan_line_numbers_and_stay_rebuild(spark):
     v = T.vitals(spark, SF_SMALL)
     path = os.path.join(tempfile.mkdtemp(prefix="vigilia-csv-"), "raw")

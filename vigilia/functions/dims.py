@@ -1,4 +1,4 @@
-"""Reference dimension tables as small DataFrames (fixed size, safe to broadcast)."""
+"""The normal-range table as a small DataFrame (fixed size, safe to broadcast); the other tables are literals in the rules."""
 
 from __future__ import annotations
 
@@ -19,36 +19,3 @@ def normal_ranges(spark: SparkSession) -> DataFrame:
     schema = ("parameter string, api_name string, ord int, low double, high double, unit string, "
               "api_unit string, range_text string, api_range_text string")
     return F.broadcast(spark.createDataFrame(rows, schema))
-
-
-def sirs_criteria(spark: SparkSession) -> DataFrame:
-    rows = [("temperature", K.SIRS_TEMP_LOW, K.SIRS_TEMP_HIGH), ("heart_rate", None, K.SIRS_HR),
-            ("respiratory_rate", None, K.SIRS_RR), ("wbc_count", K.SIRS_WBC_LOW, K.SIRS_WBC_HIGH)]
-    return F.broadcast(spark.createDataFrame(rows, "parameter string, low double, high double"))
-
-
-def risk_thresholds(spark: SparkSession, **override: float) -> DataFrame:
-    """One row per category; ``override`` replaces cut points (what-if, K16) without global state."""
-    t = {**K.RISK_THRESHOLDS, **override}
-    return F.broadcast(spark.createDataFrame(list(t.items()), "category string, threshold double"))
-
-
-def clip_ranges(spark: SparkSession) -> DataFrame:
-    rows = [(c, lo, hi) for c, (lo, hi) in K.CLIP_RANGES.items()]
-    return F.broadcast(spark.createDataFrame(rows, "parameter string, low double, high double"))
-
-
-def feature_names(spark: SparkSession) -> DataFrame:
-    return F.broadcast(spark.createDataFrame(list(K.FEATURE_NAMES.items()), "feature string, display_name string"))
-
-
-def tier_texts(spark: SparkSession) -> DataFrame:
-    rows = [(lv, K.RECOMMENDATIONS[lv], K.MONITORING_FREQUENCY[lv], K.PATIENT_TEXT[lv], r)
-            for lv, r in K.RISK_ORDER.items()]
-    return F.broadcast(spark.createDataFrame(
-        rows, "risk_level string, recommendation string, monitoring_frequency string, patient_text string, "
-              "tier_rank int"))
-
-
-def model_metrics_defaults(spark: SparkSession) -> DataFrame:
-    return F.broadcast(spark.createDataFrame(list(K.DEFAULT_MODEL_METRICS.items()), "metric string, value double"))

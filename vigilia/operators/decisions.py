@@ -208,10 +208,3 @@ def ensemble_batch(checked: DataFrame, rf: str = "score_a", xgb: str = "score_b"
         F.when(ok, C.risk_tier(prob)).alias("ensemble_risk_level"),
         F.when(~ok, F.col("violations")).alias("error"),
     )
-
-
-def ensemble_batch_counts(batch: DataFrame, batch_key: str = "patient_id") -> DataFrame:
-    """K11 summary: ``total`` and ``successful`` per batch."""
-    return batch.groupBy(batch_key).agg(F.count(F.lit(1)).alias("total"),
-                                        F.sum(F.when(F.col("status") == "ok", 1).otherwise(0)).cast("long")
-                                        .alias("successful"))

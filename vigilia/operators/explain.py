@@ -115,11 +115,6 @@ def deviation_importance(req: DataFrame, k: int = 5) -> Column:
     return rank_factors(arr, k, drop_null=True)
 
 
-def importance_map(top: Column) -> Column:
-    """M1 map form: feature -> importance (entries in rank order)."""
-    return F.map_from_entries(F.transform(top, lambda x: F.struct(x["feature"], x["impact"])))
-
-
 def doctor_text(p: Column, top: Column) -> Column:
     """M2: clinician text: score, top 3 parameters with value, unit and impact, interpretation at .7 / .5.
 
@@ -167,6 +162,8 @@ def _factor_text(x: Column, risk: bool, script: bool) -> Column:
     f, v = x["feature"], x["value"]
     lo, hi, unit, txt = _range_of(f)
     inr = f.isin(*K.NORMAL_RANGES)
+    if script:  # the script's own table writes the unit of temperature in another way
+        unit = F.when(f == "temperature_c", F.lit(K.SCRIPT_TEMPERATURE_UNIT)).otherwise(unit)
     v1 = fmt_fixed(v, 1)
     below = F.concat(F.lit("below normal ("), v1, F.lit(" "), unit, F.lit(", normal: "), txt, F.lit(")"))
     above = F.concat(F.lit("above normal ("), v1, F.lit(" "), unit, F.lit(", normal: "), txt, F.lit(")"))

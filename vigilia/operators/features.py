@@ -35,7 +35,7 @@ def one_hot(df: DataFrame, levels: dict[str, list[str]] | None = None, drop_firs
     """One column per level (sorted), 1/0; a missing category gives all zeros.
 
     Levels are a fixed domain (from the schema contract), so no pass over the data
-    is needed to find them; ``distinct_levels`` builds the list when unknown.
+    is needed to find them.
     """
     levels = levels or K.CATEGORY_LEVELS
     adds = {}
@@ -51,24 +51,6 @@ def one_hot(df: DataFrame, levels: dict[str, list[str]] | None = None, drop_firs
     return out if keep_source else out.drop(*drop)
 
 
-MAX_LEVELS = 10_000
-
-
-def distinct_levels(df: DataFrame, cols: Sequence[str]) -> dict[str, list[str]]:
-    """Level lists by a distinct aggregation (bounded by the category domain, not by rows).
-
-    A column with more than ``MAX_LEVELS`` levels is not a category for one-hot
-    encoding; it raises instead of silently keeping a subset.
-    """
-    out = {}
-    for c in cols:
-        rows = df.select(c).where(F.col(c).isNotNull()).distinct().limit(MAX_LEVELS + 1).collect()
-        if len(rows) > MAX_LEVELS:
-            raise ValueError(f"{c}: more than {MAX_LEVELS} levels; not one-hot encodable")
-        out[c] = sorted(r[0] for r in rows)
-    return out
-
-
 def clip_clinical(df: DataFrame, ranges: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """Clip to clinical ranges, keeping NULL; absent columns are skipped."""
     ranges = ranges or K.CLIP_RANGES
@@ -127,13 +109,6 @@ def fill_defaults(df: DataFrame, defaults: dict | None = None) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items() if c in df.columns})
 
 
-def prepare_features(v: DataFrame, *, hot_rows: int | None = S.HOT_ROWS) -> DataFrame:
-    """SIRS + trend features + all-level one-hot (the F39 table before leakage drop)."""
-    d = C.with_sirs(v)
-    d = trend_features(d, hot_rows=hot_rows)
-    return one_hot(d)
-
-
 # ------------------------------------------------------------ documented only
 def standard_scale(df: DataFrame, cols: Sequence[str], fit: DataFrame | None = None) -> DataFrame:
     """(x - mean) / stddev with statistics from ``fit`` (default: ``df``), one aggregate pass."""

@@ -175,3 +175,15 @@ def threshold_search(df: DataFrame, by: Sequence[str], grids: dict[str, tuple[in
     return best.select(*by, "grid", "metric",
                        F.when(F.col("b.value") > 0, -F.col("b.neg_t")).otherwise(F.lit(0.5)).alias("best_threshold"),
                        F.round(F.col("b.value"), digits).alias("best_value"))
+
+
+def metric_differences(table: DataFrame, first: str, second: str) -> DataFrame:
+    """One row per metric with both models' values, ``second`` less ``first``, and the better model by AUC."""
+    metrics = ["accuracy", "f1", "precision", "recall", "roc_auc"]
+    body = ", ".join(f"'{m}', {m}" for m in metrics)
+    long = table.selectExpr("model", f"stack({len(metrics)}, {body}) AS (metric, value)")
+    wide = long.groupBy("metric").pivot("model", [first, second]).agg(F.max("value"))
+    gap = F.col(second) - F.col(first)
+    auc = F.max(F.when(F.col("metric") == "roc_auc", gap)).over(Window.partitionBy(F.lit(1)))  # five rows
+    best = F.when(auc > 0, "XGBoost").when(auc < 0, "Random Forest").otherwise("Both models perform similarly")
+    return wide.select("metric", first, second, F.round(gap, 6).alias("difference"), best.alias("best_model"))

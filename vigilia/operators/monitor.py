@@ -70,7 +70,8 @@ def series_points(df: DataFrame, rf: str = "score_a", xgb: str = "score_b") -> D
 
 def monitoring_summary(v: DataFrame, hours: int = 24, key: str = "patient_id",
                        hot_rows: int | None = S.HOT_ROWS) -> DataFrame:
-    """Per patient over the last ``hours`` points: count, alerts, trend of the ensemble score."""
+    """Per patient over the last ``hours`` points: count, trend of the ensemble score, and the alert list
+    (time and message of each alert, oldest first; at most ``hours`` entries)."""
     last = S.top_k_per_key(v, key, [F.col("hour_from_admission").desc(), F.col("obs_id").desc()], hours,
                            chunk_basis=F.col("hour_from_admission"), hot_rows=hot_rows)
     # rank 1 = latest; position from the oldest of the window
@@ -78,9 +79,13 @@ def monitoring_summary(v: DataFrame, hours: int = 24, key: str = "patient_id",
     pts = last.join(n, on=key).withColumn("_r", F.col("_n") - F.col("rank"))
     pts = series_points(pts)
     tr = trend(pts, "ensemble_score", key)
-    alerts = pts.groupBy(key).agg(F.sum(F.col("alert_triggered").cast("int")).cast("long").alias("total_alerts"))
+    one = F.struct("_r", F.concat(F.lit("-"), F.col("hours_before").cast("string"), F.lit("h")).alias("time"),
+                   F.col("alert_message").alias("message"))
+    alerts = pts.groupBy(key).agg(F.sum(F.col("alert_triggered").cast("int")).cast("long").alias("total_alerts"),
+                                  F.sort_array(F.collect_list(F.when(F.col("alert_triggered"), one))).alias("alerts"))
+    alerts = alerts.withColumn("alerts", F.transform("alerts", lambda a: F.struct(a["time"], a["message"])))
     return tr.join(alerts, on=key).select(key, F.col("n_points").alias("total_data_points"), "total_alerts", "trend",
-                                          "trend_delta")
+                                          "trend_delta", "alerts")
 
 
 def current_risk(log: DataFrame, key: str = "patient_id") -> DataFrame:
@@ -104,6 +109,14 @@ def patient_history(log: DataFrame, key: str = "patient_id", keep_last: int = 24
     return (hist.join(current_risk(log, key), on=key).join(tr.select(key, "trend", "n_points"), on=key))
 
 
+def history_rows(log: DataFrame, key: str = "patient_id", hot_rows: int | None = S.HOT_ROWS) -> DataFrame:
+    """Every prediction of every patient with its number in time order (rows, so that no patient's
+    whole history has to fit one array)."""
+    hours = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(3.6e9)
+    d = S.ordinal_within(log, key, ["ts", "obs_id"], "seq", chunk_basis=hours, hot_rows=hot_rows)
+    return d.select(key, (F.col("seq") + 1).alias("seq"), "obs_id", "ts", "model_used", "risk_score", "risk_level")
+
+
 def system_summary(log: DataFrame) -> DataFrame:
     """Predictions, patients, average risk and confidence by model and tier, all levels at once (CUBE).
 
@@ -134,8 +147,3 @@ def metrics_with_defaults(computed_long: DataFrame, models: list[str]) -> DataFr
     j = F.broadcast(defaults).join(computed_long, on=["model", "metric"], how="left")
     return j.select("model", "metric", F.coalesce("value", "default_value").alias("value"),
                     F.when(F.col("value").isNotNull(), "computed").otherwise("default").alias("source"))
-
-
-def append_log(log: DataFrame, path: str) -> None:
-    """Append predictions, partitioned by day (readers prune by ``dt``)."""
-    log.withColumn("dt", F.to_date("ts")).write.mode("append").partitionBy("dt").parquet(path)

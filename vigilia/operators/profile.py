@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import prefix
@@ -72,19 +72,19 @@ def per_patient_positives(df: DataFrame, patient: str, target: str) -> DataFrame
     })
 
 
-def truthy(col: str, numeric: bool) -> F.Column:
-    """Text-label truthiness of the audit: numeric == 1, else lower(text) in a fixed list."""
-    from ..functions import constants as K
-    return (F.col(col) == 1) if numeric else F.lower(F.col(col).cast("string")).isin(*K.TRUTHY_TEXT)
-
-
 def target_correlations(df: DataFrame, target: str, features: Sequence[str]) -> DataFrame:
-    """D7 + F4: Pearson correlation of every feature with the target (one pass), sorted descending."""
+    """Pearson correlation of every feature with the target (one pass)."""
     wide = df.agg(*[F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(f"c_{c}") for c in features])
     long = _stack(wide, features, "c_", "corr", key="feature")
     return long.select("feature", F.round("corr", 6).alias("corr"))
 
 
+def sorted_correlations(corr: DataFrame) -> DataFrame:
+    """correlations in descending order with their rank (one row per feature; missing ones last)."""
+    order = [F.col("corr").desc_nulls_last(), F.col("feature")]
+    return corr.withColumn("rank", F.row_number().over(Window.orderBy(*order))).orderBy("rank")
+
+
 def suitability(df: DataFrame, target: str, features: Sequence[str]) -> DataFrame:
     """0-10 score (rows > 5000, >= 10 features, binary target, max missing < 25 %, max |corr| > 0.1)."""
     cols = df.columns

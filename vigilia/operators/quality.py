@@ -105,9 +105,35 @@ def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.filter(F.col("is_valid")), checked.filter(~F.col("is_valid"))
 
 
-def rejected_rows(req: DataFrame, valid: DataFrame, key: str = "obs_id") -> DataFrame:
-    """Input minus valid as a ``left_anti`` join on the request id."""
-    return req.join(valid.select(key), on=key, how="left_anti")
+REQUEST_FIELDS = (
+    "obs_id long, patient_id string, lactate double, wbc_count double, crp_level double, creatinine double, heart_rate double, "
+    "respiratory_rate double, temperature double, spo2 double, systolic_bp double, diastolic_bp double, hemoglobin double, "
+    "hour_from_admission double, oxygen_flow double, mobility_score double, nurse_alert int, comorbidity_index double, age int, "
+    "gender string, admission_type string, oxygen_device string, notes string")
+
+
+def json_batches(req: DataFrame, batch: Sequence[str], model_name: str = "xgboost") -> DataFrame:
+    """Batch request bodies as the interface takes them: ``{"patients": [...], "model_name": ...}`` per ``batch`` key.
+
+    A batch has to be bounded by its key (a request body is one row)."""
+    fields = [f.split()[0] for f in REQUEST_FIELDS.split(", ")]
+    body = F.struct(F.sort_array(F.collect_list(F.struct(*fields))).alias("patients"), F.lit(model_name).alias("model_name"))
+    return req.groupBy(*batch).agg(F.to_json(body).alias("body"))
+
+
+def ingest_json(raw: DataFrame, batch: Sequence[str], body: str = "body") -> DataFrame:
+    """A8 / H8s: one request row per patient of each JSON body (``from_json``, permissive). A body that does not parse
+    gives one row with ``parse_error``; a patient that does not fit the fields is judged by the rules like any other."""
+    schema = f"struct<patients: array<struct<{', '.join(f.replace(' ', ': ', 1) for f in REQUEST_FIELDS.split(', '))}>>, model_name: string>"
+    d = raw.withColumn("_b", F.from_json(F.col(body), schema, {"mode": "PERMISSIVE"}))
+    d = d.select(*batch, F.col("_b.model_name").alias("model_name"), F.col("_b.patients").isNull().alias("parse_error"),
+                 F.posexplode_outer("_b.patients").alias("position", "_p"))
+    return d.select(*batch, "model_name", "parse_error", "position", "_p.*")
+
+
+def rejected_rows(checked: DataFrame) -> DataFrame:
+    """Rows that break a rule (the validity flag is on the row, so no join against the valid ones)."""
+    return checked.filter(~F.col("is_valid"))
 
 
 def batch_counts(checked: DataFrame, batch_key: str = "patient_id") -> DataFrame:

@@ -15,8 +15,6 @@ share, so attributions are additive on the probability:
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Sequence
 
 import numpy as np
@@ -25,11 +23,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 
 def forest_arrays(rf_model, spark) -> list[dict]:
     """Node arrays per tree from the saved model: left, right, feature, threshold, value (class-1 share), cover."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vigilia-model-")
-    path = os.path.join(base, f"treeshap-{rf_model.uid}")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/treeshap-{rf_model.uid}"
     rf_model.write().overwrite().save(path)
     nodes = spark.read.parquet(f"{path}/data").select(
         "treeID", "nodeData.id", "nodeData.leftChild", "nodeData.rightChild", "nodeData.split.featureIndex",

@@ -9,6 +9,8 @@ from ..functions import constants as K
 from ..operators import explain as X
 from ..operators import quality as Q
 from ..sources import tables as T
+from .expected import RANGES as X_RANGES
+from .expected import SCRIPT_UNITS
 from .registry import query
 from .sqlbase import q, tier_sql
 from .sqlbase import with_views as W
@@ -19,9 +21,10 @@ def _case(col: str, mapping: dict, default: str = "NULL") -> str:
                               for k, v in mapping.items()) + f" ELSE {default} END"
 
 
-LO = {p: lo for p, (lo, hi, u) in K.NORMAL_RANGES.items()}
-HI = {p: hi for p, (lo, hi, u) in K.NORMAL_RANGES.items()}
-UNIT = {p: u for p, (lo, hi, u) in K.NORMAL_RANGES.items()}
+LO = {p: lo for p, lo, _, _, _ in X_RANGES}
+HI = {p: hi for p, _, hi, _, _ in X_RANGES}
+UNIT = {p: u for p, _, _, u, _ in X_RANGES}
+TEXT = {p: t for p, _, _, _, t in X_RANGES}
 
 
 def _lo(c):
@@ -32,12 +35,12 @@ def _hi(c):
     return _case(c, HI)
 
 
-def _unit(c):
-    return _case(c, UNIT)
+def _unit(c, script=False):
+    return _case(c, UNIT | (SCRIPT_UNITS if script else {}))
 
 
 def _txt(c):
-    return _case(c, K.NORMAL_RANGE_TEXT)
+    return _case(c, TEXT)
 
 
 def _name(c, width=None):
@@ -113,9 +116,9 @@ def _factor_sql(variant: str) -> str:
     script = variant == "script"
     inr = f"feature IN ({', '.join(q(p) for p in K.NORMAL_RANGES)})"
     v1 = "printf('%.1f', value)"
-    below = f"'below normal (' || {v1} || ' ' || {_unit('feature')} || ', normal: ' || {_txt('feature')} || ')'"
-    above = f"'above normal (' || {v1} || ' ' || {_unit('feature')} || ', normal: ' || {_txt('feature')} || ')'"
-    normal = f"'normal (' || {v1} || ' ' || {_unit('feature')} || ')'"
+    below = f"'below normal (' || {v1} || ' ' || {_unit('feature', script)} || ', normal: ' || {_txt('feature')} || ')'"
+    above = f"'above normal (' || {v1} || ' ' || {_unit('feature', script)} || ', normal: ' || {_txt('feature')} || ')'"
+    normal = f"'normal (' || {v1} || ' ' || {_unit('feature', script)} || ')'"
     plain = f"'value: ' || {v1}"
     if script:
         rstat = f"CASE WHEN {inr} AND value < {_lo('feature')} THEN {below} WHEN {inr} AND value > {_hi('feature')} THEN {above} WHEN {inr} THEN {normal} ELSE {plain} END"

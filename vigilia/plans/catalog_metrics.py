@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics as M
 from ..sources import tables as T
+from .expected import GRIDS
 from .registry import query
 from .sqlbase import with_views as W
 
@@ -102,7 +103,7 @@ def q_l6(spark, sf):
 
 def _search_sql():
     grids = " UNION ALL ".join(f"SELECT '{g}' AS grid, r.range AS i, r.range / 1e2 AS threshold FROM range({a}, {b + 1}, {s}) r"
-                               for g, (a, b, s) in M.GRIDS.items())
+                               for g, (a, b, s) in GRIDS.items())
     return W("scored", extra=LS + f""",
 g AS ({grids}),
 c AS (SELECT l.model, g.grid, g.threshold,
@@ -125,14 +126,31 @@ def q_l7(spark, sf):
 @query("l8_model_comparison", W("scored", extra=LS + ",\n" + CONF + ",\n" + CURVE + """,
 auc AS (SELECT model, ROUND(SUM(pos * (neg_below + neg * 5e-1)) / (MAX(n_pos) * MAX(n_neg)), 6) AS roc_auc FROM cur GROUP BY model),
 rt AS (""" + RATES_SQL + ")") + """SELECT rt.model, accuracy, precision, recall, f1, roc_auc,
-  roc_auc = MAX(roc_auc) OVER () AS is_winner FROM rt JOIN auc ON rt.model = auc.model""")
+  roc_auc = MAX(roc_auc) OVER () AND MIN(roc_auc) OVER () < MAX(roc_auc) OVER () AS is_winner FROM rt JOIN auc ON rt.model = auc.model""")
 def q_l8(spark, sf):
-    """L8 + G4: model comparison table (stacked metric rows) and winner by AUC."""
+    """L8 + G4: model comparison table (stacked metric rows) and winner by AUC (none when the models tie)."""
     long = LONG(spark, sf)
     rt = M.rates(M.confusion(long, ["model"])).select("model", "accuracy", "precision", "recall", "f1")
     auc = M.roc_auc(M.score_curve(long, ["model"]), ["model"])
     t = rt.join(auc, on="model")  # one row per model on both sides
-    return t.withColumn("is_winner", F.col("roc_auc") == F.max("roc_auc").over(Window.partitionBy(F.lit(1))))
+    every = Window.partitionBy(F.lit(1))
+    return t.withColumn("is_winner", (F.col("roc_auc") == F.max("roc_auc").over(every)) & (F.min("roc_auc").over(every) < F.max("roc_auc").over(every)))
+
+
+@query("l8_model_differences", W("scored", extra=LS + ",\n" + CONF + ",\n" + CURVE + """,
+auc AS (SELECT model, ROUND(SUM(pos * (neg_below + neg * 5e-1)) / (MAX(n_pos) * MAX(n_neg)), 6) AS roc_auc FROM cur GROUP BY model),
+rt AS (""" + RATES_SQL + """),
+t AS (SELECT rt.model, accuracy, f1, precision, recall, roc_auc FROM rt JOIN auc ON rt.model = auc.model),
+l AS (SELECT model, 'accuracy' AS metric, accuracy AS v FROM t UNION ALL SELECT model, 'f1', f1 FROM t UNION ALL SELECT model, 'precision', precision FROM t
+  UNION ALL SELECT model, 'recall', recall FROM t UNION ALL SELECT model, 'roc_auc', roc_auc FROM t),
+d AS (SELECT metric, MAX(CASE WHEN model = 'random_forest' THEN v END) AS random_forest, MAX(CASE WHEN model = 'xgboost' THEN v END) AS xgboost FROM l GROUP BY metric),
+b AS (SELECT xgboost - random_forest AS g FROM d WHERE metric = 'roc_auc')""") + """SELECT metric, random_forest, xgboost,
+  ROUND(xgboost - random_forest, 6) AS difference, (SELECT CASE WHEN g > 0 THEN 'XGBoost' WHEN g < 0 THEN 'Random Forest'
+  ELSE 'Both models perform similarly' END FROM b) AS best_model FROM d""")
+def q_l8_diff(spark, sf):
+    """Difference per metric (boosted less forest) and the better model by AUC, or neither when they tie."""
+    t = q_l8(spark, sf).drop("is_winner")
+    return M.metric_differences(t, "random_forest", "xgboost")
 
 
 STRATUM_SQL = "CASE WHEN sirs_score >= 2 THEN '2+' ELSE CAST(sirs_score AS VARCHAR) END"

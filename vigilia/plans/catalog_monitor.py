@@ -54,13 +54,19 @@ def q_n2(spark, sf):
     ORDER BY hour_from_admission DESC, obs_id DESC) AS rk FROM vitals) x WHERE rk <= 24),
 s AS (SELECT patient_id, 4e-1 * score_a + 6e-1 * score_b AS e, score_a, score_b, COUNT(*) OVER (PARTITION BY patient_id) AS n,
     COUNT(*) OVER (PARTITION BY patient_id) - rk AS r FROM l),
-a AS (SELECT patient_id, CAST(SUM(CASE WHEN score_b > 7e-1 OR abs(score_b - score_a) > 2e-1 THEN 1 ELSE 0 END) AS BIGINT)
-    AS total_alerts FROM s GROUP BY patient_id),
-t AS (""" + _trend_sql("s", "e") + ")") + """SELECT t.patient_id, n_points AS total_data_points, total_alerts, trend, trend_delta
+m AS (SELECT patient_id, r, CASE WHEN score_b > 7e-1
+    THEN 'XGBoost detects HIGH risk (' || printf('%.2f', score_b) || ') at t-' || CAST(n - r AS VARCHAR) || 'h — immediate review'
+    WHEN abs(score_b - score_a) > 2e-1 THEN 'Model divergence detected at t-' || CAST(n - r AS VARCHAR) || 'h (RF=' || printf('%.2f', score_a)
+    || ', XGB=' || printf('%.2f', score_b) || ')' END AS msg, '-' || CAST(n - r AS VARCHAR) || 'h' AS t FROM s),
+a AS (SELECT patient_id, CAST(COUNT(msg) AS BIGINT) AS total_alerts,
+    COALESCE(string_agg(t || ': ' || msg, '; ' ORDER BY r) FILTER (WHERE msg IS NOT NULL), '') AS alert_list FROM m GROUP BY patient_id),
+t AS (""" + _trend_sql("s", "e") + ")") + """SELECT t.patient_id, n_points AS total_data_points, total_alerts, trend, trend_delta, alert_list
 FROM t JOIN a ON t.patient_id = a.patient_id""")
 def q_n3(spark, sf):
-    """Last-24-point monitoring summary per patient: points, alerts, trend."""
-    return MO.monitoring_summary(T.vitals(spark, sf))
+    """Last-24-point monitoring summary per patient: points, alerts with time and message, trend."""
+    d = MO.monitoring_summary(T.vitals(spark, sf))
+    text = F.transform("alerts", lambda a: F.concat(a["time"], F.lit(": "), a["message"]))
+    return d.withColumn("alert_list", F.array_join(text, "; ")).drop("alerts")
 
 
 @query("n5_current_risk", W("plog") + f"""SELECT patient_id, risk_score AS current_risk_score,
@@ -89,6 +95,14 @@ def q_n4(spark, sf):
                     "current_risk_score", "current_risk_level", "last_updated", "trend", "n_points")
 
 
+@query("n4_history_rows", W("plog") + """SELECT patient_id, CAST(row_number() OVER (PARTITION BY patient_id ORDER BY ts, obs_id) AS BIGINT) AS seq,
+  obs_id, ts, model_used, risk_score, risk_level FROM plog2""")
+def q_n4_rows(spark, sf):
+    """The full prediction history of every patient, in time order."""
+    d = MO.history_rows(T.prediction_log(T.vitals(spark, sf)))
+    return d.withColumn("seq", F.col("seq").cast("long"))
+
+
 @query("d13_system_summary", W("plog") + """SELECT CASE WHEN GROUPING(model_used) = 1 THEN 'ALL' ELSE model_used END AS model_used,
   CASE WHEN GROUPING(risk_level) = 1 THEN 'ALL' ELSE risk_level END AS risk_level,
   CAST(COUNT(*) AS BIGINT) AS n_predictions, CAST(COUNT(DISTINCT patient_id) AS BIGINT) AS n_patients,

@@ -92,9 +92,16 @@ def _corr_sql():
     return W("vitals") + parts
 
 
+@query("f4_sorted_correlations", W("vitals", extra="c AS (" + _corr_sql()[len(W("vitals")):] + ")")
+       + "SELECT feature, corr, CAST(row_number() OVER (ORDER BY corr DESC NULLS LAST, feature) AS INTEGER) AS rank FROM c")
+def q_f4(spark, sf):
+    """correlations with the target, highest first."""
+    return P.sorted_correlations(P.target_correlations(T.vitals(spark, sf), AUDIT_TARGET, AUDIT_FEATURES))
+
+
 @query("d7_target_correlations", _corr_sql())
 def q_d7(spark, sf):
-    """D7 + F4: Pearson correlation of each numeric feature with the target."""
+    """Pearson correlation of each numeric feature with the target."""
     return P.target_correlations(T.vitals(spark, sf), AUDIT_TARGET, AUDIT_FEATURES)
 
 

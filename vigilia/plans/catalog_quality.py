@@ -10,6 +10,7 @@ from ..operators import features as FE
 from ..operators import labels as L
 from ..operators import quality as Q
 from ..sources import tables as T
+from .expected import CLIPS, RANGES
 from .registry import query
 from .sqlbase import with_views as W
 
@@ -93,15 +94,28 @@ def q_a8(spark, sf):
 @query("c8_rejected_rows", CHECKED() + """SELECT r.obs_id, r.patient_id FROM req r
 WHERE NOT EXISTS (SELECT 1 FROM chk c WHERE c.obs_id = r.obs_id AND c.is_valid)""")
 def q_c8(spark, sf):
-    """Rejected rows = input minus valid (left anti join)."""
-    req = Q.requests_from_vitals(T.vitals(spark, sf))
-    valid, _ = Q.split_valid(Q.validate_requests(req))
-    return Q.rejected_rows(req, valid).select("obs_id", "patient_id")
+    """Rejected rows = input minus valid."""
+    return Q.rejected_rows(_checked(spark, sf)).select("obs_id", "patient_id")
+
+
+@query("a8_json_batches", CHECKED() + """SELECT patient_id, CAST(floor(hour_from_admission / 24) AS BIGINT) AS day, CAST(COUNT(*) AS BIGINT) AS total,
+  CAST(SUM(CASE WHEN is_valid THEN 1 ELSE 0 END) AS BIGINT) AS successful,
+  COALESCE(string_agg(CASE WHEN NOT is_valid THEN CAST(obs_id AS VARCHAR) || ': ' || violations END, ' | ' ORDER BY obs_id), '') AS errors
+FROM chk GROUP BY 1, 2""")
+def q_a8_json(spark, sf):
+    """A8 + H8s: batch request bodies as JSON (a patient's day), parsed, checked and counted; errors listed per batch."""
+    req = Q.requests_from_vitals(T.vitals(spark, sf)).withColumn("day", F.floor(F.col("hour_from_admission") / 24))
+    raw = Q.json_batches(req, ["patient_id", "day"]).withColumnRenamed("patient_id", "batch_patient")
+    checked = Q.validate_requests(Q.ingest_json(raw, ["batch_patient", "day"]))
+    err = F.when(~F.col("is_valid"), F.struct("obs_id", F.concat(F.col("obs_id").cast("string"), F.lit(": "), F.col("violations")).alias("t")))
+    out = checked.groupBy(F.col("batch_patient").alias("patient_id"), "day").agg(
+        F.count(F.lit(1)).alias("total"), F.sum(F.col("is_valid").cast("long")).alias("successful"), F.sort_array(F.collect_list(err)).alias("e"))
+    return out.withColumn("errors", F.array_join(F.transform("e", lambda x: x["t"]), " | ")).drop("e")
 
 
 def _ranges_values() -> str:
     rows = []
-    for p, (lo, hi, u) in K.NORMAL_RANGES.items():
+    for p, lo, hi, u, _ in RANGES:
         rows.append(f"('{p}', {lo!r}e0, {hi!r}e0, '{u}')".replace(".0e0", ".0").replace("e0e0", "e0"))
     return "rng(parameter, low, high, unit) AS (VALUES " + ", ".join(rows) + ")"
 
@@ -122,7 +136,7 @@ def q_c1(spark, sf):
 def _validate_sql() -> str:
     abn = []
     crit = []
-    for p, (lo, hi, _u) in K.NORMAL_RANGES.items():
+    for p, lo, hi, _u, _t in RANGES:
         a = K.API_NAME.get(p, p)
         cond = f"COALESCE({a} < {lo!r} OR {a} > {hi!r}, false)"
         abn.append((K.API_PARAMETERS.index(a), a, cond))
@@ -145,7 +159,7 @@ def q_c2(spark, sf):
 
 def _abn_long_sql() -> str:
     rows = []
-    for p, (lo, hi, _u) in K.NORMAL_RANGES.items():
+    for p, lo, hi, _u, _t in RANGES:
         a = K.API_NAME.get(p, p)
         rows.append(f"('{a}', {lo!r}, {hi!r}, '{K.API_RANGE_TEXT[a]}')")
     rng = "arng(api_name, low, high, txt) AS (VALUES " + ", ".join(rows) + ")"
@@ -187,7 +201,7 @@ def q_b6(spark, sf):
 
 def _clip_sql() -> str:
     parts = []
-    for c, (lo, hi) in K.CLIP_RANGES.items():
+    for c, (lo, hi) in CLIPS.items():
         parts.append(f"CASE WHEN {c} IS NULL THEN NULL ELSE GREATEST(LEAST({c}, {hi!r}), {lo!r}) END AS {c}")
     return W("vitals") + "SELECT obs_id, " + ", ".join(parts) + " FROM vitals"
 

@@ -10,6 +10,7 @@ from ..operators import features as FE
 from ..operators import metrics as M
 from ..sources import tables as T
 from ..streaming import scoring as ST
+from .expected import CLIPS
 from .registry import query
 from .sqlbase import with_views as W
 
@@ -149,7 +150,7 @@ def _ks_sql(c):
 
 
 @query("z5_drift_psi_ks", W("vitals") + "SELECT p.feature, psi, ks FROM (" + " UNION ALL ".join(
-    _psi_sql(c, *K.CLIP_RANGES[c]) for c in DRIFT_COLS) + ") p JOIN (" + " UNION ALL ".join(
+    _psi_sql(c, *CLIPS[c]) for c in DRIFT_COLS) + ") p JOIN (" + " UNION ALL ".join(
     _ks_sql(c) for c in DRIFT_COLS) + ") k ON p.feature = k.feature")
 def q_z5(spark, sf):
     """Drift of test rows against training rows: binned PSI and two-sample KS per feature."""

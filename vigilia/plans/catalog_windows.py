@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -9,6 +11,8 @@ from ..operators import features as FE
 from ..operators import labels as L
 from ..operators import sequence as S
 from ..operators import stays as ST
+from ..session import ensure_checkpoint_dir
+from ..sources import io as IO
 from ..sources import tables as T
 from .registry import query
 from .sqlbase import with_views as W
@@ -43,6 +47,20 @@ def q_e1e2_count(spark, sf):
     return st.agg(F.sum("new_stay").cast("long").alias("n_stays"), F.count(F.lit(1)).alias("n_lines"))
 
 
+@query("a1_csv_stays", W("vitals", extra=RAW_SQL) + """SELECT st.line_no, raw.heart_rate, raw.temperature_c, raw.gender,
+  CAST(SUM(new_stay) OVER (ORDER BY st.line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS patient_id
+FROM st JOIN raw ON raw.line_no = st.line_no""")
+def q_a1(spark, sf):
+    """A1: observations written as several CSV files (NaN for missing readings), read back with line numbers, stays rebuilt."""
+    raw = T.raw_lines(T.vitals(spark, sf))
+    names = [f.split()[0] for f in IO.OBSERVATION_SCHEMA.split(", ")]
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex[:8]}"
+    lines = raw.repartitionByRange(5, "line_no").sortWithinPartitions("line_no").select(*names)
+    lines.write.option("header", True).option("nullValue", "NaN").csv(path)
+    st = ST.rebuild_stays(IO.read_observations_csv(spark, path))
+    return st.select("line_no", "heart_rate", "temperature_c", "gender", "patient_id")
+
+
 LABEL_B = """lb AS (SELECT obs_id, LEAD(sirs_positive, 6) OVER (PARTITION BY patient_id ORDER BY hour_from_admission, obs_id)
   AS sirs_positive_6h FROM sv)"""
 

@@ -34,8 +34,9 @@ def labelled_splits(spark, sf_dir: str, label: str = "sepsis_next_6h") -> DataFr
 
 
 def fitted(spark, sf_dir: str, spec: MD.ModelSpec, label: str, features: Sequence[str] = K.F39):
-    """Fit once per (session, data, spec, label) in this process; later queries reuse the model."""
-    key = (spark.sparkContext.applicationId, sf_dir, spec.name, spec.kind, repr(sorted(spec.params.items())), label)
+    """Fit once per (session, files, spec, label, features) in this process; later queries reuse the model."""
+    files = tuple(sorted(T.table(spark, sf_dir, "events").inputFiles()))  # new files mean a new fit
+    key = (spark.sparkContext.applicationId, files, spec.name, spec.kind, repr(sorted(spec.params.items())), spec.balanced, label, tuple(features))
     if key not in _MODEL_CACHE:
         data = labelled_splits(spark, sf_dir, label)
         _MODEL_CACHE[key] = MD.fit(data.filter(F.col("split") == "train"), spec, features, label)

@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.clinical import nan_to_null
+from ..operators import prefix
+
 # Schema of the raw observation file.
 OBSERVATION_SCHEMA = (
     "hour_from_admission long, heart_rate double, respiratory_rate double, spo2_pct double, temperature_c double, "
@@ -24,14 +27,17 @@ def read_observations_csv(spark: SparkSession, path: str, schema: str = OBSERVAT
                           with_line_no: bool = True) -> DataFrame:
     """A1: CSV with header and an explicit schema; NaN text is read as NULL.
 
-    ``line_no`` is 1..N in file order, assigned from the input file and the
-    position inside it (zipWithIndex keeps file order without moving data).
+    ``line_no`` is 1..N over all files in order of their paths: rows are ordered by
+    (file, start of the split in the file, position in the split) and numbered with
+    the distributed row number, all JVM-side.
     """
     df = spark.read.schema(schema).option("header", True).option("nanValue", "NaN").option("mode", "PERMISSIVE").csv(path)
-    if not with_line_no:
-        return df
-    rdd = df.rdd.zipWithIndex().map(lambda t: (*t[0], t[1] + 1))
-    return spark.createDataFrame(rdd, df.schema.add("line_no", "long"))
+    df = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+                   F.monotonically_increasing_id().alias("_pos"))
+    df = nan_to_null(df)
+    if with_line_no:
+        df = prefix.global_row_number(df, ["_file", "_start", "_pos"], "line_no")
+    return df.drop("_file", "_start", "_pos")
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | None = None) -> DataFrame:
