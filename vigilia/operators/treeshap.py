@@ -129,23 +129,20 @@ def expected_value(trees: list[dict]) -> float:
     return float(np.mean(vals))
 
 
-def shap_long(model, df: DataFrame, features: Sequence[str], keep: Sequence[str] = ("obs_id",)) -> DataFrame:
-    """M5: (keep..., feature, ord, value, shap) rows plus per-row ``base`` and model ``p``.
+def shap_rows(model, df: DataFrame, features: Sequence[str], keep: Sequence[str] = ("obs_id",)) -> DataFrame:
+    """M5: one row per observation: (keep..., factors, base, p), where ``factors`` is an array of
+    (neg_abs, ord, feature, value, impact) in feature order.
 
-    ``model`` is a fitted pipeline ending in a random forest; ``df`` the rows to explain.
+    ``model`` is a fitted pipeline ending in a random forest; ``df`` the rows to explain. Python returns two
+    arrays per row; names and structs are put together JVM-side, without a shuffle.
     """
     spark = df.sparkSession
-    rf = model.stages[-1]
-    trees = forest_arrays(rf, spark)
-    bc = spark.sparkContext.broadcast(trees)
-    base = expected_value(trees)
-    names = list(features)
+    trees = forest_arrays(model.stages[-1], spark)
+    bc = spark.sparkContext.broadcast(trees)  # model-sized
     from .models import feature_frame
     x = model.transform(feature_frame(df, features)).select(
         *keep, vector_to_array("features").alias("x"), vector_to_array("probability")[1].alias("p"))
-    keep_fields = [x.schema[c] for c in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep_fields) + \
-        ", feature string, ord int, value double, shap double, base double, p double"
+    schema = ", ".join(f"`{c}` {x.schema[c].dataType.simpleString()}" for c in keep) + ", x array<double>, phi array<double>, p double"
 
     def run(batches):
         ts = bc.value
@@ -156,20 +153,19 @@ def shap_long(model, df: DataFrame, features: Sequence[str], keep: Sequence[str]
             phi = np.zeros_like(X)
             for t in ts:
                 _tree_shap(X, t, phi)
-            phi /= len(ts)
-            n, m = X.shape
-            out = {c: np.repeat(pdf[c].to_numpy(), m) for c in keep}
-            out.update(feature=np.tile(np.array(names, dtype=object), n), ord=np.tile(np.arange(m, dtype=np.int32), n),
-                       value=X.reshape(-1), shap=phi.reshape(-1), base=np.full(n * m, base),
-                       p=np.repeat(pdf["p"].to_numpy(), m))
-            yield pd.DataFrame(out)
-
-    return x.mapInPandas(run, schema)
-
-
-def shap_factors(long: DataFrame, keep: Sequence[str] = ("obs_id",)) -> DataFrame:
-    """Row form for the explanation operators: array of (neg_abs, ord, feature, value, impact) per row."""
-    st = F.struct((-F.abs("shap")).alias("neg_abs"), F.col("ord"), F.col("feature"), F.col("value"),
-                  F.col("shap").alias("impact"))
-    return long.groupBy(*keep).agg(F.collect_list(st).alias("factors"), F.first("base").alias("base"),
-                                   F.first("p").alias("p"))
+            out = pdf[[*keep, "x", "p"]].copy()
+            out["phi"] = list(phi / len(ts))
+            yield out[[*keep, "x", "phi", "p"]]
+
+    names = F.array(*[F.lit(f) for f in features])
+    factor = lambda i: F.struct((-F.abs(F.get("phi", i))).alias("neg_abs"), i.alias("ord"), F.get(names, i).alias("feature"),
+                                F.get("x", i).alias("value"), F.get("phi", i).alias("impact"))
+    return x.mapInPandas(run, schema).select(
+        *keep, F.transform(F.sequence(F.lit(0), F.lit(len(features) - 1)), factor).alias("factors"),
+        F.lit(expected_value(trees)).alias("base"), "p")
+
+
+def shap_long(model, df: DataFrame, features: Sequence[str], keep: Sequence[str] = ("obs_id",)) -> DataFrame:
+    """M5 long form: (keep..., feature, ord, value, shap, base, p)."""
+    rows = shap_rows(model, df, features, keep).select(*keep, F.explode("factors").alias("f"), "base", "p")
+    return rows.select(*keep, "f.feature", "f.ord", "f.value", F.col("f.impact").alias("shap"), "base", "p")

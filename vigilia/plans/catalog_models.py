@@ -88,18 +88,21 @@ def q_m4(spark, sf):
     return MD.feature_importance(TR.fitted(spark, sf, RF, LABEL), K.F39, 15)
 
 
+def _explained(spark, sf):
+    return TR.fitted(spark, sf, RF_EXPLAIN, LABEL), TR.labelled_splits(spark, sf, LABEL)
+
+
 @query("m5_tree_shap")
 def q_m5(spark, sf):
-    """M5: exact TreeSHAP per test row and feature (base + sum of shap == forest probability)."""
-    data = TR.labelled_splits(spark, sf, LABEL)
-    model = TR.fitted(spark, sf, RF_EXPLAIN, LABEL)
-    return TS.shap_long(model, data.filter(F.col("split") == "test"), K.F39)
+    """M5: exact TreeSHAP per observation and feature (base + sum of shap == forest probability)."""
+    model, data = _explained(spark, sf)
+    return TS.shap_long(model, data, K.F39)
 
 
 @query("m6_m7_shap_report")
 def q_m67(spark, sf):
-    """M6 + M7 on model SHAP values: top-10 impact rows and risk / protective factor texts per test row."""
-    long = q_m5(spark, sf)
-    rows = TS.shap_factors(long)
+    """M6 + M7 on model SHAP values: risk / protective factor texts per observation."""
+    model, data = _explained(spark, sf)
+    rows = TS.shap_rows(model, data, K.F39)
     risk, prot = X.risk_protective(F.col("factors"), "bedside")
     return rows.select("obs_id", "p", risk.alias("risk_factors"), prot.alias("protective_factors"))
