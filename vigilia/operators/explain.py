@@ -143,11 +143,27 @@ def patient_text(p: Column, level: Column) -> Column:
                     F.lit("\n\nWhat does this mean?\n"), F.lit("\n"), para, F.lit("\n"), F.lit(K.PATIENT_FOOTER))
 
 
+def bedside_patient_text(p: Column, sirs_score: Column, threshold: float = 0.5) -> Column:
+    """M3, bedside form: paragraph for patients and families (decision, then score .3 or two SIRS criteria)."""
+    t = K.BEDSIDE_PATIENT_TEXT
+    return (F.when(p >= threshold, F.lit(t["high"])).when((p >= 0.30) | (sirs_score >= 2), F.lit(t["moderate"]))
+            .otherwise(F.lit(t["low"])))
+
+
 # ------------------------------------------------------------------ M6-M9 (bedside / report)
-def impact_rows(df: DataFrame, arr: str, k: int = 10, keep: Sequence[str] = ("obs_id",)) -> DataFrame:
-    """M6: top-k impact table: display name (28 chars), value text (* outside range), signed impact, direction."""
+def impact_rows(df: DataFrame, arr: str, k: int = 10, keep: Sequence[str] = ("obs_id",), report: bool = False) -> DataFrame:
+    """M6: top-k impact table. Bedside form: display name (28 chars), value text (* outside range), signed impact,
+    direction; report form: 35 chars, value with unit, |impact|, Increases / Decreases / Neutral."""
     long = ranked_long(df, arr, keep, k)
-    lo, hi, _, _ = _range_of(F.col("feature"))
+    lo, hi, unit, _ = _range_of(F.col("feature"))
+    if report:
+        long = long.withColumns({"_lo": lo, "_hi": hi, "_unit": unit, "_imp": fmt_fixed(F.abs(F.col("impact")), 4)})
+        v = F.col("value")
+        star = F.when((v < F.col("_lo")) | (v > F.col("_hi")), "* ").otherwise(" ")
+        vtxt = F.when(F.col("_lo").isNotNull(), F.concat(fmt_fixed(v, 1), star, F.col("_unit"))).otherwise(fmt_fixed(v, 2))
+        way = F.when(F.col("impact") > 0, "Increases").when(F.col("impact") < 0, "Decreases").otherwise("Neutral")
+        return long.select(*keep, "rank", "feature", display_name(F.col("feature"), 35).alias("display_name"),
+                           vtxt.alias("value_text"), F.col("_imp").alias("impact_text"), way.alias("direction"))
     long = long.withColumns({"_lo": lo, "_hi": hi, "_imp": fmt_fixed(F.col("impact"), 4, plus=True)})
     v = F.col("value")
     outside = (v < F.col("_lo")) | (v > F.col("_hi"))

@@ -102,6 +102,7 @@ def with_class_weight(df: DataFrame, label: str, out: str = "weight") -> DataFra
     return df.join(F.broadcast(w), on=label)
 
 
-def shuffle_order(df: DataFrame, id_col: str, seed: int = 42) -> DataFrame:
-    """seeded row shuffle as a sort key (only when a consumer needs an order)."""
-    return df.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)))
+def shuffle_order(df: DataFrame, id_col: str, out: str = "position") -> DataFrame:
+    """position of each row in a seeded shuffle (order of the id's hash, then the id), 1..N."""
+    d = df.withColumn("_h", id_hash(id_col))
+    return prefix.global_row_number(d, ["_h", id_col], out).drop("_h")

@@ -112,6 +112,46 @@ def q_m6(spark, sf):
     return X.impact_rows(T.impacts_wide(T.vitals(spark, sf)), "factors", 10)
 
 
+_REPORT_COLS = f"""{_name('feature', 35)} AS display_name,
+  CASE WHEN {_lo('feature')} IS NOT NULL
+       THEN printf('%.1f', value) || CASE WHEN value < {_lo('feature')} OR value > {_hi('feature')} THEN '* ' ELSE ' ' END || {_unit('feature')}
+       ELSE printf('%.2f', value) END AS value_text,
+  printf('%.4f', abs(impact)) AS impact_text,
+  CASE WHEN impact > 0 THEN 'Increases' WHEN impact < 0 THEN 'Decreases' ELSE 'Neutral' END AS direction"""
+
+
+@query("m6_report_table", W("impacts", extra=RANKED) + f"""SELECT obs_id, CAST(rank AS INTEGER) AS rank, feature, {_REPORT_COLS}
+FROM rk WHERE rank <= 10""")
+def q_m6_report(spark, sf):
+    """M6, report form: value with unit, |impact|, Increases / Decreases / Neutral."""
+    return X.impact_rows(T.impacts_wide(T.vitals(spark, sf)), "factors", 10, report=True)
+
+
+@query("m10_report_factors", W("impacts", extra=RANKED + """,
+lt AS (SELECT obs_id, patient_id FROM (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY hour_from_admission DESC, obs_id DESC) AS rn
+  FROM vitals) x WHERE rn = 1)""") + f"""SELECT lt.patient_id, rk.obs_id, CAST(rank AS INTEGER) AS rank, feature, {_REPORT_COLS}
+FROM rk JOIN lt ON rk.obs_id = lt.obs_id WHERE rank <= 10""")
+def q_m10_factors(spark, sf):
+    """Factor table of each patient's report (top 10 of the latest observation)."""
+    v = T.vitals(spark, sf)
+    latest = X.latest_as_of(v, None, cols=["obs_id"]).select("obs_id")
+    w = T.impacts_wide(v).join(latest, "obs_id", "left_semi")
+    return X.impact_rows(w, "factors", 10, keep=("patient_id", "obs_id"), report=True)
+
+
+@query("m3_bedside_text", W("sv") + """SELECT obs_id, CASE
+  WHEN score_a >= 5e-1 THEN 'The computer analysis shows a HIGH chance of developing a serious' || chr(10)
+    || 'infection (sepsis) in the next 6 hours. Immediate medical attention' || chr(10) || 'is recommended.'
+  WHEN score_a >= 3e-1 OR sirs_score >= 2 THEN 'The computer analysis shows a MODERATE chance of developing a serious' || chr(10)
+    || 'infection (sepsis). The medical team will monitor closely and may' || chr(10) || 'order additional tests.'
+  ELSE 'The computer analysis shows a LOW chance of developing a serious' || chr(10)
+    || 'infection (sepsis). Continue normal monitoring.' END AS bedside_text FROM sv""")
+def q_m3_bedside(spark, sf):
+    """M3, bedside form: paragraph for patients and families."""
+    v = C.with_sirs(T.vitals(spark, sf), keep_parts=False)
+    return v.select("obs_id", X.bedside_patient_text(F.col("score_a"), F.col("sirs_score")).alias("bedside_text"))
+
+
 def _factor_sql(variant: str) -> str:
     script = variant == "script"
     inr = f"feature IN ({', '.join(q(p) for p in K.NORMAL_RANGES)})"

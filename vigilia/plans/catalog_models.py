@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..operators import explain as X
 from ..operators import models as MD
 from ..operators import treeshap as TS
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_path
 from . import train as TR
 from .registry import query
 
@@ -67,14 +65,14 @@ def q_j5(spark, sf):
 @query("j6_end_to_end")
 def q_j6(spark, sf):
     """Prepare -> split -> train -> tune threshold on validation -> evaluate on test -> save."""
-    path = os.path.join(ensure_checkpoint_dir(spark), "models", "rf_end_to_end")
+    path = scratch_path(spark, "rf_end_to_end")
     return TR.end_to_end(spark, sf, LABEL, RF, save_path=path)
 
 
 @query("k1_a6_saved_model_scoring")
 def q_k1(spark, sf):
     """K1 + A6: save the model with its metadata, load it back, score every observation."""
-    path = os.path.join(ensure_checkpoint_dir(spark), "models", "rf_k1")
+    path = scratch_path(spark, "rf_k1")
     MD.save(TR.fitted(spark, sf, RF, LABEL), path, K.F39, 0.5, {"label": LABEL})
     model, meta = MD.load(path)
     data = TR.labelled_splits(spark, sf, LABEL)

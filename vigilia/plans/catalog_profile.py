@@ -9,6 +9,8 @@ from ..functions import constants as K
 from ..operators import labels as L
 from ..operators import profile as P
 from ..operators import split as SP
+from ..session import scratch_path
+from ..sources import io as IO
 from ..sources import tables as T
 from .registry import query
 from .sqlbase import with_views as W
@@ -188,6 +190,33 @@ for _n, (_c, _nm) in _SPLITS.items():
     _register_split(_n, _c, _nm)
 
 
+@query("f6_seeded_shuffle", W("vitals") + """SELECT obs_id,
+  CAST(row_number() OVER (ORDER BY (obs_id*48271+11)%10007, obs_id) AS BIGINT) AS position FROM vitals""")
+def q_f6(spark, sf):
+    """seeded shuffle as a row position."""
+    return SP.shuffle_order(T.vitals(spark, sf).select("obs_id"), "obs_id")
+
+
+@query("a5_written_splits", _strat_sql(*_SPLITS["i4_stratified_70_15_15"]))
+def q_a5_written(spark, sf):
+    """A5: prepared table written with its split as a partition column and read back."""
+    from . import prepare as PR
+    path = scratch_path(spark, "splits")
+    PR.write_splits(PR.prepared_table(T.vitals(spark, sf)), path)
+    return spark.read.parquet(path).select("obs_id", "sepsis_next_6h", "split")
+
+
+@query("a9_prediction_log", W("plog") + """SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS dt, CAST(COUNT(*) AS BIGINT) AS n_predictions,
+  CAST(COUNT(DISTINCT patient_id) AS BIGINT) AS n_patients, ROUND(SUM(risk_score), 6) AS sum_score FROM plog2 GROUP BY 1""")
+def q_a9(spark, sf):
+    """Predictions appended in two batches to the log partitioned by day, then read back by day."""
+    log, path = T.prediction_log(T.vitals(spark, sf)), scratch_path(spark, "prediction-log")
+    for part in (0, 1):
+        IO.append_predictions(log.filter(F.col("obs_id") % 2 == part), path)
+    return spark.read.parquet(path).groupBy(F.col("dt").cast("string").alias("dt")).agg(
+        F.count(F.lit(1)).alias("n_predictions"), F.countDistinct("patient_id").alias("n_patients"), F.round(F.sum("risk_score"), 6).alias("sum_score"))
+
+
 @query("i9_patient_split", W("vitals") + """SELECT obs_id, patient_id,
   CASE WHEN ((patient_id*69621+7)%10009)%100 < 70 THEN 'train' WHEN ((patient_id*69621+7)%10009)%100 < 85 THEN 'val'
        ELSE 'test' END AS split FROM vitals""")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -11,7 +9,7 @@ from ..operators import features as FE
 from ..operators import labels as L
 from ..operators import sequence as S
 from ..operators import stays as ST
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_path
 from ..sources import io as IO
 from ..sources import tables as T
 from .registry import query
@@ -54,7 +52,7 @@ def q_a1(spark, sf):
     """A1: observations written as several CSV files (NaN for missing readings), read back with line numbers, stays rebuilt."""
     raw = T.raw_lines(T.vitals(spark, sf))
     names = [f.split()[0] for f in IO.OBSERVATION_SCHEMA.split(", ")]
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex[:8]}"
+    path = scratch_path(spark, "csv")
     lines = raw.repartitionByRange(5, "line_no").sortWithinPartitions("line_no").select(*names)
     lines.write.option("header", True).option("nullValue", "NaN").csv(path)
     st = ST.rebuild_stays(IO.read_observations_csv(spark, path))
