@@ -7,6 +7,7 @@ Cut points are arguments (a tier table row), never global state.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -104,6 +105,12 @@ def mean_ensemble(df: DataFrame, cols: Sequence[str] = ("score_a", "score_b")) -
     return df.select("obs_id", (sum((F.col(c) for c in cols), F.lit(0.0)) / len(cols)).alias("mean_probability"))
 
 
+def _filled(template: str, **parts: Column) -> Column:
+    """A fixed text with ``{name}`` places filled by columns."""
+    bits = re.split(r"{(\w+)}", template)
+    return F.concat(*[parts[b] if i % 2 else F.lit(b) for i, b in enumerate(bits) if i % 2 or b])
+
+
 def disagreement_alert(df: DataFrame, rf: str = "score_a", xgb: str = "score_b") -> DataFrame:
     """NONE / ADVISORY / WARNING / CRITICAL_REVIEW, escalated when tiers are 2+ apart."""
     r, x = F.col(rf), F.col(xgb)
@@ -115,15 +122,14 @@ def disagreement_alert(df: DataFrame, rf: str = "score_a", xgb: str = "score_b")
     lower = F.when(rf_higher, "XGBoost").otherwise("Random Forest")
     hl = F.when(rf_higher, lr).otherwise(lx)
     ll = F.when(rf_higher, lx).otherwise(lr)
+    names = {"higher": higher, "lower": lower, "hl": hl, "ll": ll}
     gap = F.abs(C.tier_rank(lr) - C.tier_rank(lx))
     base = (F.when((diff < 0.10) & ~differs, "NONE").when(diff < 0.20, "ADVISORY")
             .when(diff < 0.35, "WARNING").otherwise("CRITICAL_REVIEW"))
     dtype = (F.when(base == "NONE", K.DISAGREE_NONE_TYPE)
-             .when(base == "ADVISORY", F.concat(F.lit("Minor divergence — "), higher, F.lit(" rates higher risk")))
-             .when(base == "WARNING", F.concat(F.lit("Significant divergence — "), higher, F.lit(" ("), hl,
-                                               F.lit(") vs "), lower, F.lit(" ("), ll, F.lit(")")))
-             .otherwise(F.concat(F.lit("Major divergence — "), higher, F.lit(" ("), hl, F.lit(") vs "), lower,
-                                 F.lit(" ("), ll, F.lit(")"))))
+             .when(base == "ADVISORY", _filled(K.DISAGREE_ADVISORY_TYPE, **names))
+             .when(base == "WARNING", _filled(K.DISAGREE_WARNING_TYPE, **names))
+             .otherwise(_filled(K.DISAGREE_CRITICAL_TYPE, **names)))
     action = (F.when(base == "NONE", K.DISAGREE_NONE_ACTION).when(base == "ADVISORY", K.DISAGREE_ADVISORY_ACTION)
               .when(base == "WARNING", K.DISAGREE_WARNING_ACTION).otherwise(K.DISAGREE_CRITICAL_ACTION))
     escalate = (gap >= 2) & (base != "CRITICAL_REVIEW")

@@ -97,9 +97,9 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def with_class_weight(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """Attach the balanced weight column (the weight table has one row per class)."""
+    """Attach the balanced weight column (the weight table has one row per class; the planner sees its size)."""
     w = class_weights(df, label).select(label, F.col("weight").alias(out))
-    return df.join(F.broadcast(w), on=label)
+    return df.join(w, on=label)
 
 
 def shuffle_order(df: DataFrame, id_col: str, out: str = "position") -> DataFrame:
