@@ -47,8 +47,8 @@ def test_budgets_go_to_siblings_before_ancestors(spark):
 def test_mix_takes_each_leafs_budget_as_epochs_and_a_prefix(spark):
     docs = odd.docs(spark)
     levels = [F.lit("d"), F.col("lang"), F.col("source")]
-    for share, per_range in ((250, 2), (600, 4096), (1700, 3)):
-        out = mixing.mix(docs, levels, {"d/en": 3}, budget_thousandths=share, max_epochs=2, per_range=per_range).collect()
+    for share, per_range, few in ((250, 2, 1000), (600, 4096, 1000), (1700, 3, 1000), (600, 2, 0)):
+        out = mixing.mix(docs, levels, {"d/en": 3}, budget_thousandths=share, max_epochs=2, per_range=per_range, few_leaves=few).collect()
         tokens, taken, leaves = defaultdict(int), defaultdict(int), defaultdict(int)
         for i, text, lang, source, *_ in odd.rows():
             leaves["d", str(lang or "null"), str(source or "null")] += len((text or "").encode().split())

@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 
 from vigilia.llm import common
 
-PER_RANGE = 4096
+PER_RANGE = 1024
+FEW_LEAVES = 100_000  # leaf rows (about 100 bytes each) that are broadcast; more are joined by (leaf, salt)
+SALTS = 64
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -80,8 +82,18 @@ def leaf_budgets(leaves: DataFrame, depth: int, weights: Mapping[str, int], budg
     return tree.join(last, f"p{depth}").drop("cap", *[f"p{i}" for i in range(depth + 1)])
 
 
+def _at_leaf(rows: DataFrame, table: DataFrame, few: bool) -> DataFrame:
+    """``rows`` with their leaf's columns. The leaf table was counted; a long one is copied once per salt and joined by
+    leaf and salt, so that no task gets all rows of a leaf."""
+    if few:
+        return rows.join(F.broadcast(table), "leaf")
+    salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("id", "body"), F.lit(SALTS)).cast("int")).join(salted, ["leaf", "salt"]).drop("salt")
+
+
 def mix(docs: DataFrame, levels: Sequence[Column], weights: Mapping[str, int], budget_thousandths: int = 600, max_epochs: int = 3,
-        seed: int = 42, id_col: str = "doc_id", text_col: str = "text", per_range: int = PER_RANGE) -> DataFrame:
+        seed: int = 42, id_col: str = "doc_id", text_col: str = "text", per_range: int = PER_RANGE,
+        few_leaves: int = FEW_LEAVES) -> DataFrame:
     """``docs`` once per selected epoch, with ``epoch``, ``n_tokens`` and ``take_tokens`` (these replace columns of the
     same name); the budget is ``budget_thousandths`` / 1000 of all tokens."""
     names = [f"l{i + 1}" for i in range(len(levels))]
@@ -90,7 +102,8 @@ def mix(docs: DataFrame, levels: Sequence[Column], weights: Mapping[str, int], b
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), leaf.alias("leaf"), n_tokens(F.col(text_col)).alias("n"),
                        F.col(id_col).alias("id"), F.col(text_col).alias("body"))
     size = common.write_cut(rows.groupBy("leaf").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens")))
-    total = size.agg(F.expr(f"coalesce(sum(tokens), 0) * {int(budget_thousandths)} div 1000").alias("b")).first()["b"]
+    sums = size.agg(F.expr(f"coalesce(sum(tokens), 0) * {int(budget_thousandths)} div 1000").alias("b"), F.count("*").alias("n")).first()
+    total, few = sums["b"], sums["n"] <= few_leaves
     leaves = leaf_budgets(size.select("leaf.*", "docs", "tokens"), len(levels), weights, total, max_epochs)
     leaves = common.write_cut(leaves.select(
         F.struct(*names).alias("leaf"), F.expr("coalesce(budget div nullif(tokens, 0), 0)").alias("whole"),
@@ -98,14 +111,14 @@ def mix(docs: DataFrame, levels: Sequence[Column], weights: Mapping[str, int], b
 
     hashed = order_hash(seed, F.col("whole"), F.col("id"), F.col("body"))
     spot = F.floor(F.conv(F.substring("hash", 1, 8), 16, 10).cast("long") * F.col("ranges") / F.lit(1 << 32))
-    cut = rows.join(leaves, "leaf").filter("part > 0").withColumn("hash", hashed).withColumn("spot", spot)
+    cut = _at_leaf(rows, leaves, few).filter("part > 0").withColumn("hash", hashed).withColumn("spot", spot)
     cut = cut.groupBy("leaf", "spot", "part").agg(F.sum("n").alias("held"))
     cut = cut.withColumn("before", F.sum("held").over(Window.partitionBy("leaf").orderBy("spot")) - F.col("held"))
     # the range in which a leaf's budget ends: those before it are taken whole, those after it not at all
     cut = cut.filter("before < part and before + held >= part").select("leaf", F.col("spot").alias("end"), "before")
     plan = common.write_cut(leaves.join(cut, "leaf", "left"))
 
-    keyed = rows.join(plan, "leaf")
+    keyed = _at_leaf(rows, plan, few)
     whole = keyed.filter("whole > 0").select("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)).alias("epoch"), "n", F.col("n").alias("take"))
     partial = keyed.filter("part > 0 and n > 0").withColumn("hash", hashed).withColumn("spot", spot)
     early = partial.filter("spot < end").select("row", F.col("whole").alias("epoch"), "n", F.col("n").alias("take"))
