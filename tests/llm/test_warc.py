@@ -31,9 +31,11 @@ def want():
     return out
 
 
-def test_round_trip(spark):
-    got = W.round_trip(spark.createDataFrame(rows(), SCHEMA))
-    assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, want()))
+def test_round_trip(spark, monkeypatch):
+    for few in (W.FEW_REVISITS, 0):
+        monkeypatch.setattr(W, "FEW_REVISITS", few)
+        got = W.round_trip(spark.createDataFrame(rows(), SCHEMA))
+        assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, want()))
     assert W.round_trip(spark.createDataFrame([], SCHEMA)).count() == 0
 
 

@@ -30,6 +30,7 @@ from vigilia.llm import common
 
 MIN_REVISIT = 100
 FILE_RECORDS, FILE_BYTES = 2000, 32 << 20
+FEW_REVISITS = 50_000  # revisit rows (about 150 bytes each) that are broadcast after their count; more are joined by a shuffle
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"  # of every record: output must not depend on the clock
 
@@ -42,11 +43,12 @@ def with_roles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     src = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(body_col).cast("binary"), F.lit(b"")).alias("payload"))
     src = src.withColumn("digest", F.sha2("payload", 256))
     order = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id")
-    equal = src.filter(F.octet_length("payload") >= MIN_REVISIT).groupBy("digest").agg(F.min(order).alias("least"), F.count("*").alias("n"))
-    equal = equal.filter("n > 1").select("digest", "least")
-    out = src.join(equal, "digest", "left")
-    revisit = F.col("least").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("least.page_id"))
-    return out.withColumn("first", F.when(revisit, F.col("least"))).drop("least")
+    known = src.filter(F.octet_length("payload") >= MIN_REVISIT).select("page_id", "digest")  # no payload is shuffled
+    equal = known.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    again = known.join(equal, "digest").filter(~F.col("page_id").eqNullSafe(F.col("first.page_id"))).distinct()
+    again = common.write_cut(again.select(common.row_key(F.col("page_id"), F.col("digest")).alias("key"), "first"))
+    again = F.broadcast(again) if again.count() <= FEW_REVISITS else again
+    return src.withColumn("key", common.row_key(F.col("page_id"), F.col("digest"))).join(again, "key", "left").drop("key")
 
 
 def records(roles: DataFrame) -> DataFrame:
@@ -70,7 +72,7 @@ def write_warc(pages: DataFrame, path: str, **names) -> None:
     """Write one record per row of ``pages`` under ``path``; a file holds FILE_RECORDS records and FILE_BYTES bytes at
     most (or one longer record)."""
     roles = with_roles(pages, **names)
-    longest = roles.agg(F.max(F.octet_length("payload"))).first()[0] or 0
+    longest = pages.agg(F.max(F.octet_length(names.get("body_col", "html")))).first()[0] or 0
     per_file = max(1, min(FILE_RECORDS, FILE_BYTES // (longest + 1024)))
     records(roles).write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", per_file).text(path)
 
