@@ -58,6 +58,18 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def count_threshold(words: DataFrame, limit: int) -> int:
+    """Smallest power of two that at most ``limit`` of the counts ``n`` reach (the histogram has 63 rows at most)."""
+    held = {r["e"]: r["k"] for r in words.groupBy(F.floor(F.log2("n") + 1e-9).cast("int").alias("e")).agg(F.count("*").alias("k")).collect()}
+    total, least = 0, max(held, default=0) + 1
+    for e in sorted(held, reverse=True):
+        total += held[e]
+        if total > limit:
+            break
+        least = e
+    return 1 << least
+
+
 def lower_words(text: str) -> list[bytes]:
     """A-Z in lower case, split on ASCII white space (bytes.lower and bytes.split do just that)."""
     return text.encode("utf-8", "replace").lower().split()

@@ -278,18 +278,6 @@ class Scorer:
         return out
 
 
-def head_threshold(words: DataFrame, head: int) -> int:
-    """Smallest count that at most ``head`` words reach (a power of two: the histogram has 63 rows at most)."""
-    held = {r["e"]: r["k"] for r in words.groupBy(F.floor(F.log2("n") + 1e-9).cast("int").alias("e")).agg(F.count("*").alias("k")).collect()}
-    total, least = 0, max(held, default=0) + 1
-    for e in sorted(held, reverse=True):
-        total += held[e]
-        if total > head:
-            break
-        least = e
-    return 1 << least
-
-
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) per row."""
     spark = docs.sparkSession
@@ -299,7 +287,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_train, floor = int(total["n"]), float(total["n"]) + 0.5 * (total["v"] + 1)
     code = Code(byte_counts(words))
-    top = words.filter(F.col("n") >= head_threshold(words, head))
+    top = words.filter(F.col("n") >= common.count_threshold(words, head))
     shared = spark.sparkContext.broadcast({"table": train_table(train, code), "head": {bytes(r["word"]): r["n"] for r in top.collect()}})
     id_type = src.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, text_key long, held_out boolean, n_tokens long, n_known long, head_score double, score double, n_bytes long, rare array<binary>"

@@ -69,9 +69,11 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def identifiers(texts: DataFrame, limit: int = DICTIONARY_WORDS) -> bytes:
-    """Dictionary text: the most frequent words of 4 to 32 characters, the most frequent ones last (they are cheapest there)."""
-    known = word_counts(texts).filter(F.length("word").between(4, 32)).orderBy(F.desc("n"), "word").limit(limit)
-    return " ".join([*(r["word"] for r in reversed(known.collect())), CODE_WORDS]).encode()
+    """Dictionary text: the most frequent words of 4 to 32 characters, at most ``limit`` of them (those whose count
+    reaches a power of two), the most frequent ones last (they are cheapest there)."""
+    counts = common.write_cut(word_counts(texts).filter(F.length("word").between(4, 32)))
+    known = counts.filter(F.col("n") >= common.count_threshold(counts, limit)).collect()
+    return " ".join([*(r["word"] for r in sorted(known, key=lambda r: (r["n"], r["word"]))), CODE_WORDS]).encode()
 
 
 class Novelty:
