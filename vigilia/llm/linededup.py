@@ -24,6 +24,7 @@ from vigilia.llm import common
 MIN_SITES = 10
 LG_K = 12  # sketch of 4096 registers: standard error 1.04 / 64
 SIGMAS = 3.0
+FEW_LINES = 200_000  # near-threshold lines (16 bytes each) that are broadcast after their count; more are joined by a shuffle
 
 
 def _lines(rows: DataFrame) -> DataFrame:
@@ -46,9 +47,13 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K)
     spread = lines.groupBy("h1", "h2").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"), F.min(order).alias("keeper"))
     spread = common.write_cut(spread.filter(F.col("sites") >= low))  # the only lines that can reach the threshold
-    near = spread.filter(F.col("sites") <= high)
-    exact = lines.select("h1", "h2", "site").join(near.select("h1", "h2"), ["h1", "h2"], "left_semi")
-    exact = exact.distinct().groupBy("h1", "h2").agg(F.count("*").alias("exact"))
+    near = spread.filter(F.col("sites") <= high).select("h1", "h2")
+    seen = lines.select("h1", "h2", "site")
+    if near.count() <= FEW_LINES:
+        seen = seen.join(F.broadcast(near), ["h1", "h2"], "left_semi").distinct()
+    else:  # one row per line and site before the join, so that no task gets all rows of a common line
+        seen = seen.distinct().join(near, ["h1", "h2"], "left_semi")
+    exact = seen.groupBy("h1", "h2").agg(F.count("*").alias("exact"))
     known = spread.join(exact, ["h1", "h2"], "left").withColumn("sites", F.coalesce("exact", "sites"))
     return known.filter(F.col("sites") >= min_sites).select("h1", "h2", "sites", "keeper")
 
