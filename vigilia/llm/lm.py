@@ -41,7 +41,7 @@ BITS = 20
 PAGE = 4096
 HEAD = 1 << 17
 START = (0.1, 0.2, 0.4, 0.5)  # weights before a document's first block
-BLOCKS = (2048, 16384)  # decisions of a document's first block, and of the longest; each block is twice the one before
+BLOCKS = (4096, 32768)  # decisions of a document's first block, and of the longest; each block is twice the one before
 RATE = 0.02
 APM_RATE = 0.1
 STEP = 12.0  # quantised logits: 1 / 12 per unit, 0 for a slot that was never seen
