@@ -104,3 +104,23 @@ def test_table_counts_every_training_document(spark):
         for s, k in every.items():
             q = round(math.log((ones[s] + 0.4) / (k - ones[s] + 0.4)) * L.STEP)
             assert table[(i << L.BITS) + s] == (q or 1)
+
+
+def test_state_is_learned_from_training_documents_and_short_texts_adapt(spark):
+    rows = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()][:400]
+    train, other = rows[:300], [L.encoded(t) for t in rows[300:]]
+    code = L.Code(np.bincount(np.frombuffer(b"".join(L.encoded(t) for t in train), np.uint8), minlength=256))
+    src = spark.createDataFrame([(t,) for t in train], "text string")
+    tables = spark.sparkContext.broadcast(L.train_tables(src, code))
+    start = L.learned_state(src, code, tables)
+    again = L.learned_state(src.repartition(7), code, tables)
+    assert all(np.allclose(a, b, atol=1e-4) for a, b in zip(start, again, strict=True))
+    assert np.abs(start[0] - L.start_state()[0]).max() * L.STEP > 0.01
+    size = sum(map(len, other))
+    by_hand, learned = (sum(L.Scorer(code, tables.value[0], s).bits(other)) / size for s in (None, start))
+    assert learned < by_hand
+    # the state changes within a text of fewer than 2048 decisions: the same half costs less the second time
+    x, way = np.full((len(L.ORDERS), 600), -24, np.int8), np.ones(600, np.uint8)
+    assert L.mixed_bits(np.tile(x, 2), np.tile(way, 2)) < 1.9 * L.mixed_bits(x[:, :256], way[:256]) * 600 / 256
+    # each number of seen contexts has its own weights
+    assert start[0].shape == (len(L.ORDERS) + 1, len(L.ORDERS))

@@ -4,15 +4,19 @@ The text is a sequence of words (A-Z in lower case, split on ASCII white space),
 mark. Bytes are coded as the binary decisions of a code tree built from the corpus's byte counts (frequent bytes take
 few decisions). For every decision several predictors, one per hashed context (``ORDERS``: the last 1, 2 and 4 bytes
 and the word so far), look up how often this decision went either way in that context in the training documents. The
-logits of their estimates are combined by weights that a gate (whether the longest context was seen) selects. The
-weights are learned online: they start at ``START`` and follow the logistic loss's gradient block by block through the
-document, and an adaptive probability map (gate x quantised logit) refines the mixed probability likewise. A document's state
-starts anew, so its score depends on the trained tables and its own text alone. The score is the base-10 logarithm
-of the text's probability; its negative, in binary, is the total number of bits, and per byte the bits per byte.
+logits of their estimates are combined by weights that a gate (how many contexts were seen) selects. The weights are
+learned online: they follow the logistic loss's gradient block by block through the document, and an adaptive
+probability map (gate x quantised logit) refines the mixed probability likewise. A document's state starts anew from
+weights and a map learned on all training documents, so its score depends on what was trained and its own text alone.
+The score is the base-10 logarithm of the text's probability; its negative, in binary, is the total number of bits, and
+per byte the bits per byte.
 
 Training reads every training document: each task counts decisions in dense arrays of ``1 << BITS`` slots per context
 (bounded, however much it reads), the shuffle sums the slots that are not zero, and 4096-slot pages of quantised
-logits come back: a table of ``len(ORDERS) << BITS`` bytes, whatever the corpus's size, is broadcast.
+logits come back: a table of ``len(ORDERS) << BITS`` bytes, whatever the corpus's size, is broadcast. The counts are
+kept in two folds (by the text's hash, so equal texts share one), and the starting weights and map are learned from
+every training document by the table of the other fold, which has not counted it: ``ROUNDS`` Newton steps from
+``START``, each a sum over all decisions, then the share of either way in each cell of the map.
 
 Word counts for the base score are summed over all training documents. The ``HEAD`` most frequent words are broadcast;
 all other words of a document are joined with the counts by a shuffle.
@@ -25,6 +29,7 @@ columns are ignored.
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -40,18 +45,21 @@ ORDERS = (1, 2, 4, "word")
 BITS = 20
 PAGE = 4096
 HEAD = 1 << 17
-START = (0.1, 0.2, 0.4, 0.5)  # weights before a document's first block
-BLOCKS = (4096, 32768)  # decisions of a document's first block, and of the longest; each block is twice the one before
+START = (0.1, 0.2, 0.4, 0.5)  # weights before anything is learned
+ROUNDS = 2  # Newton steps on the training documents
+BLOCKS = (256, 2048)  # decisions of a document's first block, and of the longest; each block is twice the one before
 RATE = 0.02
 APM_RATE = 0.1
 STEP = 12.0  # quantised logits: 1 / 12 per unit, 0 for a slot that was never seen
 CHUNK = 1 << 18  # bytes turned into decisions at a time (arrays stay in the cache)
 TALLY = 300_000
 END = 10  # the end mark: no word holds it
-LONGEST = ORDERS.index(4)
+GATES = len(ORDERS) + 1
+CELLS = 33  # quantised logits of the map, per gate
 TOP = np.float32(7.99)  # bound of mixed logits: no decision costs more than about 13 bits
 _RATES = ((1 - (1 - APM_RATE) ** np.arange(9)) * 0.5).astype(np.float32)  # of the map, by hits in a block
-_IDENTITY = np.tile(1 / (1 + np.exp(-np.linspace(-8, 8, 33))), 2).astype(np.float32)  # the map before a document's first block
+_IDENTITY = np.tile(1 / (1 + np.exp(-np.linspace(-8, 8, CELLS))), GATES).astype(np.float32)  # the map before anything is learned
+_FIRM = 64  # decisions that the identity counts for in each cell of the learned map
 _U = np.uint64
 _K = _U(0x9E3779B97F4A7C15)
 _PLACE = np.array([(i + 1) * 0xD6E8FEB86659FD93 % (1 << 64) | 1 for i in range(64)], _U)  # by place in the word
@@ -186,59 +194,128 @@ def byte_counts(words: DataFrame) -> np.ndarray:
     return out
 
 
-def train_table(train: DataFrame, code: Code) -> np.ndarray:
-    """Quantised logits of all slots, int8 of len(ORDERS) << BITS, learned from every training document."""
+def fold_of(text: bytes) -> int:
+    return zlib.crc32(text) & 1
+
+
+def train_tables(train: DataFrame, code: Code) -> np.ndarray:
+    """Quantised logits of all slots, int8 of 3 x (len(ORDERS) << BITS): learned from every training document, and from
+    those of fold 0 and fold 1."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((len(ORDERS), 2 << BITS), np.int32)
+        total = np.zeros((2, len(ORDERS), 2 << BITS), np.int32)
         for b in batches:
-            for docs in pieces([encoded(t) for t in b["text"]]):
-                data, begins = _joined(docs)
-                n, salt, way = code.decisions(data)
-                for i, c in enumerate(contexts(data, begins)):
-                    at = slots(c, n, salt)
-                    at += at
-                    at += way
-                    np.add.at(total[i], at, np.int32(1))
-        pairs = total.reshape(-1, 2)
-        seen = np.nonzero(pairs.any(axis=1))[0]
+            texts = [encoded(t) for t in b["text"]]
+            for fold in (0, 1):
+                for docs in pieces([t for t in texts if fold_of(t) == fold]):
+                    data, begins = _joined(docs)
+                    n, salt, way = code.decisions(data)
+                    for i, c in enumerate(contexts(data, begins)):
+                        at = slots(c, n, salt)
+                        at += at
+                        at += way
+                        np.add.at(total[fold, i], at, np.int32(1))
+        pairs = total.reshape(2, -1, 2)
+        seen = np.nonzero(pairs.any(axis=(0, 2)))[0]
         for i in range(0, len(seen), 1 << 18):
             s = seen[i:i + (1 << 18)]
-            yield pd.DataFrame({"slot": s, "zeros": pairs[s, 0], "ones": pairs[s, 1]})
+            yield pd.DataFrame({"slot": s, **{f"{way}{f}": pairs[f, s, k] for f in (0, 1) for k, way in enumerate(("zeros", "ones"))}})
 
     def pack(page: pd.DataFrame) -> pd.DataFrame:
-        zeros, ones = page["zeros"].to_numpy(float), page["ones"].to_numpy(float)
+        zeros, ones = (page[[f"{way}0", f"{way}1"]].to_numpy(float).T for way in ("zeros", "ones"))
+        zeros, ones = np.vstack([zeros.sum(axis=0), zeros]), np.vstack([ones.sum(axis=0), ones])
         logit = np.clip(np.rint(np.log((ones + 0.4) / (zeros + 0.4)) * STEP), -127, 127).astype(np.int8)
-        logit[logit == 0] = 1  # 0 stands for slots never seen
-        out = np.zeros(PAGE, np.int8)
-        out[page["slot"].to_numpy(np.int64) % PAGE] = logit
+        logit[(logit == 0) & (zeros + ones > 0)] = 1  # 0 stands for slots never seen
+        out = np.zeros((3, PAGE), np.int8)
+        out[:, page["slot"].to_numpy(np.int64) % PAGE] = logit
         return pd.DataFrame({"page": [int(page["slot"].iloc[0]) // PAGE], "logits": [out.tobytes()]})
 
-    sums = train.select("text").mapInPandas(count, "slot long, zeros long, ones long").groupBy("slot").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
+    counts = [f"{way}{f}" for f in (0, 1) for way in ("zeros", "ones")]
+    sums = train.select("text").mapInPandas(count, "slot long, " + ", ".join(f"{c} long" for c in counts)).groupBy("slot").agg(*[F.sum(c).alias(c) for c in counts])
     pages = sums.groupBy(F.expr(f"slot div {PAGE}").alias("p")).applyInPandas(pack, "page int, logits binary")
-    table = np.zeros(len(ORDERS) << BITS, np.int8)
-    for r in pages.collect():  # at most (len(ORDERS) << BITS) / PAGE rows of PAGE bytes
-        table[r["page"] * PAGE:(r["page"] + 1) * PAGE] = np.frombuffer(r["logits"], np.int8)
-    return table
+    tables = np.zeros((3, len(ORDERS) << BITS), np.int8)
+    for r in pages.collect():  # at most (len(ORDERS) << BITS) / PAGE rows of 3 PAGE bytes
+        tables[:, r["page"] * PAGE:(r["page"] + 1) * PAGE] = np.frombuffer(r["logits"], np.int8).reshape(3, PAGE)
+    return tables
 
 
-def mixed_bits(logits: np.ndarray, way: np.ndarray) -> float:
+def train_table(train: DataFrame, code: Code) -> np.ndarray:
+    """Quantised logits of all slots, int8 of len(ORDERS) << BITS, learned from every training document."""
+    return train_tables(train, code)[0]
+
+
+def start_state() -> tuple[np.ndarray, np.ndarray]:
+    """(weights, map) before anything is learned: gate x context, and gate x quantised logit."""
+    return np.tile(np.array(START, np.float32) / np.float32(STEP), (GATES, 1)), _IDENTITY
+
+
+def _mixed(weights: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gate, mixed logit, cell of the map) of each decision; ``x``: float32, contexts x decisions."""
+    gate = np.count_nonzero(x, axis=0)
+    z = (weights @ x)[gate, np.arange(x.shape[1])]
+    np.minimum(z, TOP, out=z)
+    np.maximum(z, -TOP, out=z)
+    return gate, z, (z * 2 + 16.5).astype(np.int64) + gate * CELLS
+
+
+def learned_state(train: DataFrame, code: Code, tables) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, map) at the start of a document, learned from every training document by the other fold's table.
+
+    ``tables``: broadcast of what train_tables returns."""
+    m = len(ORDERS)
+    weights, apm = start_state()
+
+    def sums(of) -> np.ndarray:
+        """Sum of ``of(x, way)`` over all training documents; each task sums its own first."""
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = 0.0
+            halves = tables.value.reshape(3, m, -1)[:0:-1]  # the table that has not counted fold 0, and fold 1
+            for b in batches:
+                texts = [encoded(t) for t in b["text"]]
+                for fold in (0, 1):
+                    for docs in pieces([t for t in texts if fold_of(t) == fold]):
+                        data, begins = _joined(docs)
+                        n, salt, way = code.decisions(data)
+                        x = np.stack([halves[fold][i][slots(c, n, salt)] for i, c in enumerate(contexts(data, begins))])
+                        total = total + of(x.astype(np.float32), way)
+            total = np.atleast_1d(total)
+            yield pd.DataFrame({"at": np.arange(len(total)), "value": total})
+
+        rows = train.select("text").mapInPandas(run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
+        out = np.zeros(max([GATES * (m + m * m), 2 * GATES * CELLS]))
+        for r in rows:
+            out[r["at"]] = r["value"]
+        return out
+
+    def slope(x: np.ndarray, way: np.ndarray) -> np.ndarray:
+        gate, z, _ = _mixed(weights, x)
+        p = 1 / (1 + np.exp(-z))
+        out = np.zeros((GATES, m + m * m))
+        for g in range(1, GATES):
+            held = np.nonzero(gate == g)[0]
+            xg, pg = x[:, held], p[held]
+            out[g, :m] = xg @ (way[held] - pg)
+            out[g, m:] = ((xg * (pg * (1 - pg))) @ xg.T).ravel()
+        return out.ravel()
+
+    for _ in range(ROUNDS):
+        got = sums(slope)[:GATES * (m + m * m)].reshape(GATES, -1)
+        steps = [np.linalg.solve(g[m:].reshape(m, m) + np.eye(m) * STEP * STEP, g[:m]) for g in got]
+        weights = (weights + np.clip(steps, -0.5 / STEP, 0.5 / STEP)).astype(np.float32)
+    hits = sums(lambda x, way: np.bincount(_mixed(weights, x)[2] * 2 + way, minlength=2 * GATES * CELLS))[:2 * GATES * CELLS].reshape(-1, 2)
+    return weights, ((hits[:, 1] + _FIRM * apm) / (hits.sum(axis=1) + _FIRM)).astype(np.float32)
+
+
+def mixed_bits(logits: np.ndarray, way: np.ndarray, start: tuple[np.ndarray, np.ndarray] | None = None) -> float:
     """Bits that one document's decisions cost: gated online mixing, then the adaptive probability map.
 
-    ``logits``: int8, contexts x decisions."""
-    weights = np.tile(np.array(START, np.float32) / np.float32(STEP), (2, 1))  # gate x context
-    apm = _IDENTITY.copy()  # gate x quantised logit
+    ``logits``: int8, contexts x decisions; ``start``: (weights, map) before the first block."""
+    weights, apm = (a.copy() for a in start or start_state())
     bits, begin, size = 0.0, 0, BLOCKS[0]
     while begin < len(way):
         x = logits[:, begin:begin + size].astype(np.float32)
         y = way[begin:begin + size]
         begin, size = begin + size, min(2 * size, BLOCKS[1])
-        seen = x[LONGEST] != 0
-        z = weights @ x
-        z = np.where(seen, z[1], z[0])
-        np.minimum(z, TOP, out=z)
-        np.maximum(z, -TOP, out=z)
-        cell = (z * 2 + 16.5).astype(np.int64)
-        cell += seen * 33
+        gate, z, cell = _mixed(weights, x)
         p = np.exp(-z, out=z)
         p += 1
         np.divide(1, p, out=p)
@@ -250,9 +327,8 @@ def mixed_bits(logits: np.ndarray, way: np.ndarray) -> float:
         told -= 1
         np.abs(told, out=told)
         bits -= float(np.log2(told, out=told).sum(dtype=np.float64))
-        err = np.empty((2, len(y)), np.float32)
-        np.multiply(p, seen, out=err[1])
-        np.subtract(p, err[1], out=err[0])
+        err = np.zeros((GATES, len(y)), np.float32)
+        err[gate, np.arange(len(y))] = p
         weights += np.float32(RATE / STEP / STEP / max(1.0, len(y) / 64)) * (err @ x.T)
         cell += cell
         cell += y
@@ -263,8 +339,8 @@ def mixed_bits(logits: np.ndarray, way: np.ndarray) -> float:
 
 
 class Scorer:
-    def __init__(self, code: Code, table: np.ndarray):
-        self.code, self.table = code, table.reshape(len(ORDERS), -1)
+    def __init__(self, code: Code, table: np.ndarray, start: tuple[np.ndarray, np.ndarray] | None = None):
+        self.code, self.table, self.start = code, table.reshape(len(ORDERS), -1), start
 
     def bits(self, docs: list[bytes]) -> list[float]:
         """Total bits of each encoded document."""
@@ -274,7 +350,7 @@ class Scorer:
             n, salt, way = self.code.decisions(data)
             logits = np.stack([self.table[i][slots(c, n, salt)] for i, c in enumerate(contexts(data, begins))])
             ends = np.concatenate([[0], np.cumsum(n)])[np.append(begins, len(data))]
-            out += [mixed_bits(logits[:, a:b], way[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            out += [mixed_bits(logits[:, a:b], way[a:b], self.start) for a, b in zip(ends[:-1], ends[1:], strict=True)]
         return out
 
 
@@ -288,13 +364,15 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     n_train, floor = int(total["n"]), float(total["n"]) + 0.5 * (total["v"] + 1)
     code = Code(byte_counts(words))
     top = words.filter(F.col("n") >= common.count_threshold(words, head))
-    shared = spark.sparkContext.broadcast({"table": train_table(train, code), "head": {bytes(r["word"]): r["n"] for r in top.collect()}})
+    tables = spark.sparkContext.broadcast(train_tables(train, code))
+    start = learned_state(train, code, tables)
+    shared = spark.sparkContext.broadcast({"table": tables.value[0], "start": start, "head": {bytes(r["word"]): r["n"] for r in top.collect()}})
     id_type = src.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, text_key long, held_out boolean, n_tokens long, n_known long, head_score double, score double, n_bytes long, rare array<binary>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = shared.value["head"]
-        scorer = Scorer(code, shared.value["table"])
+        scorer = Scorer(code, shared.value["table"], shared.value["start"])
         value = {w: float(np.log10((c + 0.5) / floor)) for w, c in held.items()}
         for b in batches:
             rows = []
