@@ -32,6 +32,45 @@ def test_tree_shap_sums_to_forest_probability(spark, data):
     assert len(g) > 50 and (g.s + g.b - g.p).abs().max() < 1e-9
 
 
+def test_tree_shap_matches_the_definition_over_all_subsets():
+    import itertools
+    import math
+
+    import numpy as np
+    # features 0 (twice on a path), 1 and 2; node: left, right, feature, threshold, value, cover
+    nodes = [(1, 2, 0, 0.5, 0, 100), (3, 4, 1, 0.2, 0, 60), (5, 6, 0, 1.5, 0, 40), (-1, -1, 0, 0, 0.1, 25), (7, 8, 2, 0.0, 0, 35),
+             (-1, -1, 0, 0, 0.7, 10), (-1, -1, 0, 0, 0.0, 30), (-1, -1, 0, 0, 0.9, 5), (-1, -1, 0, 0, 0.4, 30)]
+    t = dict(zip(("left", "right", "feat", "thr", "value", "cover"), map(np.array, zip(*nodes))))
+
+    def value(x, known, j=0):
+        left, right, f, thr, v, cover = nodes[j]
+        if left < 0:
+            return v
+        if f in known:
+            return value(x, known, left if x[f] <= thr else right)
+        return sum(nodes[c][5] / cover * value(x, known, c) for c in (left, right))
+
+    X = np.random.default_rng(0).normal(0.5, 1, (40, 3))
+    X[3, 1] = np.nan
+    want = np.zeros_like(X)
+    for r, x in enumerate(X):
+        for f in range(3):
+            rest = [g for g in range(3) if g != f]
+            for k in range(3):
+                for s in itertools.combinations(rest, k):
+                    want[r, f] += math.factorial(k) * math.factorial(2 - k) / 6 * (value(x, {*s, f}) - value(x, {*s}))
+    for rows in (X, X[:2]):  # by patterns and row by row
+        phi = np.zeros_like(rows)
+        TS._tree_shap(rows, t, phi)
+        assert np.abs(phi - want[:len(rows)]).max() < 1e-12
+
+
+def test_shap_queries_explain_the_forest_that_scores(spark):
+    from vigilia.plans import catalog_models as CM
+    model, _ = CM._explained(spark, SF_SMALL)
+    assert model is CM.TR.fitted(spark, SF_SMALL, CM.RF, CM.LABEL) and model.stages[-1].getNumTrees == 200
+
+
 def test_model_save_load_roundtrip(spark, data):
     m = MD.fit(data.filter("split_bucket < 70"), MD.ModelSpec("lr", "lr", dict(maxIter=20)), K.F17, "sepsis_label")
     path = tempfile.mkdtemp(prefix="vigilia-model-test-")

@@ -40,9 +40,6 @@ GBT_CONFIGS = {
 }
 # ------------------------------------------------------------ end FIXED VALUES
 
-# Our own small forest for per-row TreeSHAP explanations (cost ~ trees * nodes * depth^2 per batch).
-RF_EXPLAIN = dict(numTrees=30, maxDepth=6, minInstancesPerNode=5, featureSubsetStrategy="sqrt")
-
 
 @dataclass
 class ModelSpec:

@@ -3,10 +3,12 @@
 The forest is read from the saved model's node table (``<path>/data``: one row
 per node with split feature, threshold, children and class counts), so its
 size is the model's, not the data's; it is broadcast once. Attribution runs in
-``mapInPandas``: for each Arrow batch the tree recursion is walked once per
-tree with numpy vectors over all rows of the batch (which branch is "hot"
-differs per row, the path structure does not), so the cost is
-O(trees * nodes * depth^2) vector operations per batch, not per row.
+``mapInPandas``, leaf by leaf with numpy vectors over all rows of an Arrow batch.
+A leaf's game is a product over the features of its path (the row meets the
+feature's conditions, or the share of the cover that does), so its Shapley value
+is an integral of a polynomial in one variable, which Gauss-Legendre nodes give
+exactly. It depends only on which features' conditions a row meets: it is worked
+out once per such pattern (2^depth at most) and looked up for every row.
 
 For a forest the output is the mean over trees of each tree's class-1 leaf
 share, so attributions are additive on the probability:
@@ -56,68 +58,57 @@ def forest_arrays(rf_model, spark) -> list[dict]:
     return trees
 
 
+def leaf_paths(t: dict) -> list[tuple]:
+    """(value, features, lower bounds, upper bounds, cover shares) per leaf of other value than 0; a feature that comes up
+    more than once on the path is one entry: lower < x <= upper, the product of its shares."""
+    left, right, feat, thr, value, cover = t["left"], t["right"], t["feat"], t["thr"], t["value"], t["cover"]
+    out, stack = [], [(0, {})]
+    while stack:
+        j, path = stack.pop()
+        if left[j] < 0:
+            if path and value[j] != 0:
+                lo, hi, share = (np.array(c) for c in zip(*path.values()))
+                out.append((float(value[j]), list(path), lo, hi, share))
+            continue
+        f = int(feat[j])
+        lo, hi, share = path.get(f, (-np.inf, np.inf, 1.0))
+        for child, bounds in ((left[j], (lo, min(hi, thr[j]))), (right[j], (max(lo, thr[j]), hi))):
+            if cover[child] > 0:
+                stack.append((int(child), path | {f: (*bounds, share * cover[child] / cover[j])}))
+    return out
+
+
+def _pattern_values(met: np.ndarray, share: np.ndarray, value: float) -> np.ndarray:
+    """Shapley values (patterns x features) of a leaf; ``met``: patterns x features, whether the conditions hold."""
+    nodes, weights = np.polynomial.legendre.leggauss((len(share) + 1) // 2)  # exact up to the degree len(share) - 1
+    total = np.zeros(met.shape)
+    for at, w in zip((nodes + 1) / 2, weights / 2):
+        factors = at * met + (1 - at) * share
+        total += w * factors.prod(axis=1, keepdims=True) / factors
+    return value * (met - share) * total
+
+
 def _tree_shap(X: np.ndarray, t: dict, phi: np.ndarray) -> None:
     """Accumulate one tree's SHAP values for all rows of X into phi (n x M)."""
     n = X.shape[0]
-    left, right, feat, thr, value, cover = t["left"], t["right"], t["feat"], t["thr"], t["value"], t["cover"]
-
-    def extend(path, pz, po, pi):
-        ln = len(path)
-        new = [[d, z, o, w.copy()] for d, z, o, w in path]
-        new.append([pi, pz, po, np.ones(n) if ln == 0 else np.zeros(n)])
-        for i in range(ln - 1, -1, -1):
-            new[i + 1][3] = new[i + 1][3] + po * new[i][3] * (i + 1) / (ln + 1)
-            new[i][3] = pz * new[i][3] * (ln - i) / (ln + 1)
-        return new
-
-    def unwind(path, i):
-        ln = len(path) - 1
-        z_i, o_i = path[i][1], path[i][2]
-        nz = o_i != 0
-        safe_o = np.where(nz, o_i, 1.0)
-        nxt = path[ln][3].copy()
-        new = [[d, z, o, w.copy()] for d, z, o, w in path]
-        for j in range(ln - 1, -1, -1):
-            t_ = new[j][3].copy()
-            w_nz = nxt * (ln + 1) / ((j + 1) * safe_o)
-            w_z = t_ * (ln + 1) / (z_i * (ln - j))
-            new[j][3] = np.where(nz, w_nz, w_z)
-            nxt = np.where(nz, t_ - w_nz * z_i * (ln - j) / (ln + 1), nxt)
-        for j in range(i, ln):
-            new[j][0], new[j][1], new[j][2] = new[j + 1][0], new[j + 1][1], new[j + 1][2]
-        return new[:ln]
-
-    def unwound_sum(path, i):
-        ln = len(path) - 1
-        z_i, o_i = path[i][1], path[i][2]
-        nz = o_i != 0
-        safe_o = np.where(nz, o_i, 1.0)
-        total = np.zeros(n)
-        nxt = path[ln][3].copy()
-        for j in range(ln - 1, -1, -1):
-            tmp = nxt * (ln + 1) / ((j + 1) * safe_o)
-            total = np.where(nz, total + tmp, total + path[j][3] * (ln + 1) / (z_i * (ln - j)))
-            nxt = np.where(nz, path[j][3] - tmp * z_i * (ln - j) / (ln + 1), nxt)
-        return total
-
-    def recurse(j, path, pz, po, pi):
-        path = extend(path, pz, po, pi)
-        if left[j] < 0:
-            for i in range(1, len(path)):
-                w = unwound_sum(path, i)
-                phi[:, path[i][0]] += w * (path[i][2] - path[i][1]) * value[j]
-            return
-        f = feat[j]
-        go_left = (X[:, f] <= thr[j]).astype(float)
-        iz, io = 1.0, np.ones(n)
-        k = next((i for i in range(1, len(path)) if path[i][0] == f), None)
-        if k is not None:
-            iz, io = path[k][1], path[k][2]
-            path = unwind(path, k)
-        recurse(left[j], path, iz * cover[left[j]] / cover[j], io * go_left, f)
-        recurse(right[j], path, iz * cover[right[j]] / cover[j], io * (1.0 - go_left), f)
-
-    recurse(0, [], 1.0, np.ones(n), -1)
+    # a missing value goes right at every split, as in the model
+    columns = np.ascontiguousarray(np.nan_to_num(X, nan=np.inf, posinf=np.inf, neginf=-np.finfo(float).max).T)
+    total = np.zeros(columns.shape)
+    for value, features, lo, hi, share in t.get("paths") or leaf_paths(t):
+        met = [(columns[f] > lo[k]) & (columns[f] <= hi[k]) for k, f in enumerate(features)]
+        d = len(features)
+        if 1 << d < n:
+            pattern = np.zeros(n, np.int64)
+            for k in range(d):
+                pattern += met[k].astype(np.int64) << k
+            values = _pattern_values((np.arange(1 << d)[:, None] >> np.arange(d) & 1).astype(float), share, value).T
+            for k, f in enumerate(features):
+                total[f] += values[k][pattern]
+        else:
+            values = _pattern_values(np.stack(met, axis=1).astype(float), share, value)
+            for k, f in enumerate(features):
+                total[f] += values[:, k]
+    phi += total.T
 
 
 def expected_value(trees: list[dict]) -> float:
@@ -138,7 +129,7 @@ def shap_rows(model, df: DataFrame, features: Sequence[str], keep: Sequence[str]
     """
     spark = df.sparkSession
     trees = forest_arrays(model.stages[-1], spark)
-    bc = spark.sparkContext.broadcast(trees)  # model-sized
+    bc = spark.sparkContext.broadcast([{"paths": leaf_paths(t)} for t in trees])  # model-sized
     from .models import feature_frame
     x = model.transform(feature_frame(df, features)).select(
         *keep, vector_to_array("features").alias("x"), vector_to_array("probability")[1].alias("p"))

@@ -23,7 +23,6 @@ RF = _spec("random_forest", "rf", {k: v for k, v in MD.RF_CONFIGS["rf_compare"].
 GBT = _spec("gradient_boosting", "gbt", MD.GBT_CONFIGS["gbt_compare"])
 LR = _spec("logistic_regression", "lr", dict(maxIter=2000))
 SVM = _spec("svm_rbf_rff", "rff_svm", dict(n_components=32))
-RF_EXPLAIN = _spec("random_forest_explain", "rf", MD.RF_EXPLAIN)
 
 
 def _scores(spark, sf, spec):
@@ -87,7 +86,7 @@ def q_m4(spark, sf):
 
 
 def _explained(spark, sf):
-    return TR.fitted(spark, sf, RF_EXPLAIN, LABEL), TR.labelled_splits(spark, sf, LABEL)
+    return TR.fitted(spark, sf, RF, LABEL), TR.labelled_splits(spark, sf, LABEL)
 
 
 @query("m5_tree_shap")
