@@ -101,3 +101,16 @@ def test_any_damage_loses_only_the_records_it_touches():
         seen = {int(r["head"][b"warc-record-id"][10:-1]) for _, _, k, r in got if k == "record" and r["head"][b"warc-record-id"][10:-1].isdigit()}
         assert set(range(30)) - set(hit) <= seen
         assert [a for a, *_ in got] == [0, *[b for _, b, *_ in got][:-1]]
+
+
+def test_damage_to_the_first_bytes_of_a_gzip_archive(spark, tmp_path):
+    data = archive(spark, tmp_path)
+    parts = [data[a:b] for a, b, _, _ in W.read_plain(data)]
+    names = [W._fields(r, True)["record_id"] for _, _, _, r in W.read_plain(data)]
+    members = [gzip.compress(p, mtime=0) for p in parts]
+    whole = b"".join(members)
+    for name, bad, left in (("junk", b"junk" + whole, names), ("lost", whole[3:], names[1:]), ("flipped", b"\x00" + whole[1:], names[1:]),
+                            ("mixed", b"".join([members[0][5:], members[1], parts[2], b"x", parts[3], members[4]]), names[1:5])):
+        found = read(spark, tmp_path, "start-" + name, bad)
+        assert ids(found) == left
+        assert [r.offset for r in found][0] == 0 and sum(r.length for r in found) == len(bad)

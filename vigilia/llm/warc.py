@@ -6,9 +6,9 @@ payloads of at least ``MIN_REVISIT`` bytes, the one with the smallest id becomes
 name it and keep its HTTP header without the payload. Files are bounded by records and bytes.
 
 ``read_warc`` reads files with Spark's binaryFile source and parses them record by record. A record whose version
-line, header, length, end or block digest does not hold is not trusted: the reader searches for the next version line
-(or gzip member, in files of gzip members) at which a valid record starts, reports the bytes between as a gap with the
-reason of the failed check, and reads on.
+line, header, length, end or block digest does not hold is not trusted: the reader searches for the nearer of the next
+version line at which a valid record starts and the next gzip member that inflates to a version line, whatever the file
+starts with, reports the bytes between as a gap with the reason of the failed check, and reads on.
 
 Cases: a null payload is empty; null and repeated urls are fine (line breaks in urls become spaces); a null page id is
 written as ``null`` and read back as null, last in the choice of the response; rows that repeat the response's id and
@@ -161,28 +161,37 @@ def _member(data: bytes, pos: int) -> tuple[int, bytes]:
     return at - len(z.unused_data), b"".join(out)
 
 
-def read_members(data: bytes) -> Iterator[tuple[int, int, str, str | dict]]:
-    """As read_plain, for files of gzip members; offsets are those of the members. Bytes lost inside a member (its
-    sum is right, a record in it is not) are a gap with the member's place."""
-    pos = 0
+def _next_member(data: bytes, pos: int) -> int:
+    """Where the next gzip member from ``pos`` on starts that inflates to a version line."""
+    while (pos := data.find(MAGIC, pos)) >= 0:
+        try:
+            if VERSION.match(_member(data, pos)[1]):
+                return pos
+        except Bad:
+            pass
+        pos += 1
+    return len(data)
+
+
+def read_any(data: bytes) -> Iterator[tuple[int, int, str, str | dict]]:
+    """As read_plain, for files of plain records, gzip members or both; offsets of records in members are those of the
+    members. Bytes lost inside a member (its sum is right, a record in it is not) are a gap with the member's place."""
+    pos = plain = member = 0  # plain, member: the next start of either kind, as far as it was searched
     while pos < len(data):
         try:
-            end, inner = _member(data, pos)
-            for _, _, kind, what in read_plain(inner):
-                yield pos, end, kind, what
+            if data.startswith(MAGIC, pos):
+                end, inner = _member(data, pos)
+                for _, _, kind, what in read_plain(inner):
+                    yield pos, end, kind, what
+            else:
+                end, rec = parse_record(data, pos)
+                yield pos, end, "record", rec
         except Bad as why:
-            end = pos + 1
-            while True:
-                end = data.find(MAGIC, end)
-                if end < 0:
-                    end = len(data)
-                    break
-                try:
-                    if VERSION.match(_member(data, end)[1]):
-                        break
-                except Bad:
-                    pass
-                end += 1
+            if plain <= pos:
+                plain = next((m.start() for m in VERSION.finditer(data, pos + 1) if _valid(data, m.start())), len(data))
+            if member <= pos:
+                member = _next_member(data, pos + 1)
+            end = min(plain, member)
             yield pos, end, "gap", str(why)
         pos = end
 
@@ -194,7 +203,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
         for b in batches:
             for where, data in zip(b["path"], b["content"], strict=True):
                 rows, size = [], 0
-                for start, end, kind, what in (read_members if data.startswith(MAGIC) else read_plain)(data):
+                for start, end, kind, what in read_any(data):
                     row = {"path": where, "offset": start, "length": end - start, "kind": kind}
                     row |= _fields(what, with_payload) if kind == "record" else {"reason": what}
                     rows.append([row.get(n) for n in names])
