@@ -114,3 +114,8 @@ def test_damage_to_the_first_bytes_of_a_gzip_archive(spark, tmp_path):
         found = read(spark, tmp_path, "start-" + name, bad)
         assert ids(found) == left
         assert [r.offset for r in found][0] == 0 and sum(r.length for r in found) == len(bad)
+
+
+def test_round_trip_of_a_page_with_a_very_long_url(spark):
+    pages = spark.createDataFrame([(1, "data:text/html," + "x" * 70000, "one"), (2, "http://b", "two")], "page_id long, url string, html string")
+    assert sorted((r.page_id, r.payload_bytes) for r in W.round_trip(pages).collect()) == [(1, 3), (2, 3)]

@@ -81,7 +81,6 @@ class Bad(Exception):
     """A check that failed; the text is the gap's reason."""
 
 
-HEAD_LIMIT = 1 << 16
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 MAGIC = b"\x1f\x8b\x08"
 
@@ -90,7 +89,7 @@ def parse_record(data: bytes, pos: int) -> tuple[int, dict]:
     """(end, record) of the record at ``pos``; raises Bad if any check fails."""
     if not VERSION.match(data, pos):
         raise Bad("no version line")
-    end = data.find(b"\r\n\r\n", pos, pos + HEAD_LIMIT)
+    end = data.find(b"\r\n\r\n", pos)
     if end < 0:
         raise Bad("header without end")
     lines = data[pos:end].split(b"\r\n")[1:]
