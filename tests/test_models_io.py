@@ -6,7 +6,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from vigilia.functions import constants as K
 from vigilia.operators import labels as L
 from vigilia.operators import models as MD

@@ -8,7 +8,7 @@ os.environ.setdefault("ORACLE_STRICT", "1")  # doubles must be bit-identical to
 
 import __spark_entry__ as E  # noqa: E402
 import oracle_harness as H  # noqa: E402
-from conftest import SF_SMALL  # noqa: E402
+from paths import SF_SMALL  # noqa: E402
 
 NAMES = sorted(E.oracle_sql())  # model and stream queries have property tests of their own
 

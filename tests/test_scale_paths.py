@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import SF_MID
+from paths import SF_MID
 from vigilia.functions import clinical as C
 from vigilia.operators import explain as X
 from vigilia.operators import features as FE

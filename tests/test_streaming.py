@@ -5,7 +5,7 @@ import datetime
 import numpy as np
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from vigilia.functions import constants as K
 from vigilia.operators import features as FE
 from vigilia.sources import tables as T
