@@ -2,7 +2,7 @@ import itertools
 import math
 import random
 
-import odd
+import llm_odd as odd
 from pyspark.sql import types as T
 from vigilia.llm import decontam as D
 

@@ -1,6 +1,6 @@
 from collections import defaultdict
 
-import odd
+import llm_odd as odd
 from vigilia.llm import linededup
 
 

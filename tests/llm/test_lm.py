@@ -4,7 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import odd
+import llm_odd as odd
 from vigilia.llm import lm as L
 
 

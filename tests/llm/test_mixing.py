@@ -1,6 +1,6 @@
 from collections import defaultdict
 
-import odd
+import llm_odd as odd
 from pyspark.sql import functions as F
 from vigilia.llm import mixing
 

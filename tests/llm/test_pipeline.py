@@ -3,7 +3,7 @@ import subprocess
 import sys
 
 import corpus_pipeline as P
-import odd
+import llm_odd as odd
 from vigilia.llm import decontam, quality
 
 SF = "/root/testdata/sf0.001"

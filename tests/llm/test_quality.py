@@ -1,5 +1,5 @@
 import numpy as np
-import odd
+import llm_odd as odd
 from pyspark.sql import functions as F
 from vigilia.llm import quality as Q
 

@@ -3,7 +3,7 @@ import random
 import re
 import string
 
-import odd
+import llm_odd as odd
 from vigilia.llm import secrets as S
 
 HEX = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"

@@ -3,7 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
-import odd
+import llm_odd as odd
 from vigilia.llm import suffix as S
 
 W = S.WINDOW
