@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilia.llm import decontam, linededup, lm, mixing, mtree, quality, secrets, simhash, suffix, warc
+from vigilia.llm import centroids, decontam, hardneg, linededup, lm, mixing, mtree, pieces, quality, secrets, simhash, suffix, warc
 from vigilia.llm.common import table
 
 # Mixing plan of the query and the pipeline: source srcN belongs to the domain that N mod 3 names.
@@ -78,6 +78,35 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every vector whose id is divisible by 100; labels of ids divisible by 7 are moved on by one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all embeddings: 16 centroids, 3 rounds."""
+    out = centroids.clusters(table(spark, sf_dir, "embeddings"))
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ",").cast("binary"), 256)
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+PIECE_MODEL = "piece_bpe_32k.model"
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    """Every document encoded and decoded again; ``model``: path of the model file on the driver."""
+    if model is None:
+        import public_tokenizers
+
+        model = public_tokenizers.path(PIECE_MODEL)
+    with open(model, "rb") as f:
+        blob = f.read()
+    out = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), blob).select("doc_id", "ids"), blob)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(pieces.id_list(F.col("ids")).cast("binary"), 256).alias("ids_sha256"),
+                      F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline (corpus_pipeline.py) over all documents."""
     import corpus_pipeline
@@ -85,7 +114,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_suffix_dedup, op4_line_dedup, op5_topk, op6_warc, op7_decontamination, op8_quality, op9_secrets, op10_lm, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_suffix_dedup, op4_line_dedup, op5_topk, op6_warc, op7_decontamination, op8_quality, op9_secrets, op10_lm, op11_hard_negatives, op12_centroids,
+                                   op13_sentencepiece, pipeline)}
 
 
 def queries():
@@ -141,5 +171,37 @@ OP6_SQL = """
            CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to FROM d"""
 
 
+_FINE = "vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)"
+
+OP11_SQL = f"""
+    WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+               FROM embeddings WHERE label IS NOT NULL AND {_FINE}),
+         s AS (SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * r.v[i]))::BIGINT AS score
+               FROM v a JOIN v r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id AND len(a.v) = len(r.v)),
+         p AS (SELECT anchor_id, vec_id AS positive_id, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+         n AS (SELECT anchor_id, positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+                      row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)::INT AS rank
+               FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+    SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""
+
+
+def _op12_sql(k: int = 16, rounds: int = 3, dim: int = 64, scale: int = 64, seed: int = 1) -> str:
+    """Rounds as chained tables: distances of every row to every centroid, nearest by a sort, means by a sum per component."""
+    ctes = [f"""v AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v
+          FROM embeddings WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dim})""",
+            f"c0 AS (SELECT row_number() OVER (ORDER BY h, v) - 1 AS cluster, v AS m FROM (SELECT v, sha256('{seed}:' || vec_id) AS h FROM v WHERE vec_id IS NOT NULL ORDER BY h, v LIMIT {k}))"]
+    for i in range(rounds + 1):
+        ctes.append(f"""a{i} AS (SELECT row, vec_id, v, cluster, distance FROM
+          (SELECT row, vec_id, v, cluster, list_sum(list_transform(range(1, {dim + 1}), lambda i: (v[i] - m[i]) * (v[i] - m[i])))::BIGINT AS distance FROM v, c{i})
+          QUALIFY row_number() OVER (PARTITION BY row ORDER BY distance, cluster) = 1)""")
+        if i < rounds:
+            ctes.append(f"""c{i + 1} AS (SELECT c{i}.cluster, coalesce(n.m, c{i}.m) AS m FROM c{i} LEFT JOIN
+          (SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i)::BIGINT[] AS m FROM
+            (SELECT cluster, i, sum(v[i]) AS s, count(*) AS n FROM a{i}, (SELECT unnest(range(1, {dim + 1})) AS i) GROUP BY cluster, i) GROUP BY cluster) n USING (cluster))""")
+    return "WITH " + ",\n".join(ctes) + f"""
+        SELECT vec_id, cluster::INT AS cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia,
+               sha256(array_to_string(m, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} USING (cluster)"""
+
+
 def oracle_sql():
-    return {"op1_mixing": _op1_sql(), "op4_line_dedup": OP4_SQL, "op5_topk": OP5_SQL, "op6_warc": OP6_SQL}
+    return {"op1_mixing": _op1_sql(), "op4_line_dedup": OP4_SQL, "op5_topk": OP5_SQL, "op6_warc": OP6_SQL, "op11_hard_negatives": OP11_SQL, "op12_centroids": _op12_sql()}
