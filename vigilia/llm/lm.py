@@ -15,8 +15,9 @@ Training reads every training document: each task counts decisions in dense arra
 (bounded, however much it reads), the shuffle sums the slots that are not zero, and 4096-slot pages of quantised
 logits come back: a table of ``len(ORDERS) << BITS`` bytes, whatever the corpus's size, is broadcast. The counts are
 kept in two folds (by the text's hash, so equal texts share one), and the starting weights and map are learned from
-every training document by the table of the other fold, which has not counted it: ``ROUNDS`` Newton steps from
-``START``, each a sum over all decisions, then the share of either way in each cell of the map.
+every training document by the table of the other fold, which has not counted it: one pass counts all decisions by the
+bins of their contexts' logits (``BINS`` a context), and from these counts the driver takes ``ROUNDS`` Newton steps from
+``START`` and then the share of either way in each cell of the map.
 
 Word counts for the base score are summed over all training documents. The ``HEAD`` most frequent words are broadcast;
 all other words of a document are joined with the counts by a shuffle.
@@ -46,12 +47,14 @@ BITS = 20
 PAGE = 4096
 HEAD = 1 << 17
 START = (0.1, 0.2, 0.4, 0.5)  # weights before anything is learned
-ROUNDS = 2  # Newton steps on the training documents
+ROUNDS = 6  # Newton steps on the training documents
+BINS = 17  # of quantised logits, when decisions are counted for those steps; one for slots never seen
 BLOCKS = (256, 2048)  # decisions of a document's first block, and of the longest; each block is twice the one before
 RATE = 0.02
 APM_RATE = 0.1
 STEP = 12.0  # quantised logits: 1 / 12 per unit, 0 for a slot that was never seen
 CHUNK = 1 << 18  # bytes turned into decisions at a time (arrays stay in the cache)
+GROUP = 512  # documents mixed at a time
 TALLY = 300_000
 END = 10  # the end mark: no word holds it
 GATES = len(ORDERS) + 1
@@ -145,12 +148,12 @@ def slots(context: np.ndarray, n: np.ndarray, salt: np.ndarray) -> np.ndarray:
 
 
 def pieces(texts: list[bytes]) -> Iterator[list[bytes]]:
-    """Documents in groups of about CHUNK bytes."""
+    """Documents in groups of about CHUNK bytes, GROUP documents at most."""
     held, size = [], 0
     for t in texts:
         held.append(t)
         size += len(t)
-        if size >= CHUNK:
+        if size >= CHUNK or len(held) >= GROUP:
             yield held
             held, size = [], 0
     if held:
@@ -248,13 +251,58 @@ def start_state() -> tuple[np.ndarray, np.ndarray]:
     return np.tile(np.array(START, np.float32) / np.float32(STEP), (GATES, 1)), _IDENTITY
 
 
-def _mixed(weights: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gate, mixed logit, cell of the map) of each decision; ``x``: float32, contexts x decisions."""
-    gate = np.count_nonzero(x, axis=0)
-    z = (weights @ x)[gate, np.arange(x.shape[1])]
+def _gate(x: np.ndarray) -> np.ndarray:
+    """How many contexts were seen, of each decision; ``x``: int8, contexts x decisions."""
+    out = (x[0] != 0).view(np.int8)
+    for row in x[1:]:
+        out = out + (row != 0)
+    return out
+
+
+def _cell(z: np.ndarray, gate: np.ndarray) -> np.ndarray:
+    """Bounds the mixed logits ``z`` in place; cell of the map of each decision."""
     np.minimum(z, TOP, out=z)
     np.maximum(z, -TOP, out=z)
-    return gate, z, (z * 2 + 16.5).astype(np.int64) + gate * CELLS
+    out = (z * 2 + 16.5).astype(np.int64)
+    out += gate * np.int64(CELLS)
+    return out
+
+
+def _bin(x: np.ndarray) -> np.ndarray:
+    """Quantised logits in BINS bins; 0 keeps its own."""
+    return np.where(x == 0, 0, ((x.astype(np.int16) + 128) >> 4) + 1).astype(np.int32)
+
+
+def _histogram(train: DataFrame, code: Code, tables) -> np.ndarray:
+    """Decisions of all training documents by the bins of their contexts' logits (by the table of the other fold) and their
+    way: int64 of BINS ** len(ORDERS) x 2; each task sums its own first."""
+    m = len(ORDERS)
+    cells = BINS**m * 2
+    place = _bin(np.arange(256, dtype=np.uint8).view(np.int8))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(cells, np.int64)
+        halves = tables.value.reshape(3, m, -1)[:0:-1]  # the table that has not counted fold 0, and fold 1
+        for b in batches:
+            texts = [encoded(t) for t in b["text"]]
+            for fold in (0, 1):
+                for docs in pieces([t for t in texts if fold_of(t) == fold]):
+                    data, begins = _joined(docs)
+                    n, salt, way = code.decisions(data)
+                    at = np.zeros(len(way), np.int32)
+                    for i, c in enumerate(contexts(data, begins)):
+                        at *= BINS
+                        at += place[halves[fold][i][slots(c, n, salt)].view(np.uint8)]
+                    at += at
+                    at += way
+                    total += np.bincount(at, minlength=cells)
+        held = np.nonzero(total)[0]
+        yield pd.DataFrame({"at": held.astype(np.int32), "n": total[held]})
+
+    out = np.zeros(cells, np.int64)
+    got = train.select("text").mapInPandas(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # ``cells`` rows at most
+    out[got["at"].to_numpy()] = got["n"].to_numpy()
+    return out.reshape(-1, 2)
 
 
 def learned_state(train: DataFrame, code: Code, tables) -> tuple[np.ndarray, np.ndarray]:
@@ -263,79 +311,79 @@ def learned_state(train: DataFrame, code: Code, tables) -> tuple[np.ndarray, np.
     ``tables``: broadcast of what train_tables returns."""
     m = len(ORDERS)
     weights, apm = start_state()
-
-    def sums(of) -> np.ndarray:
-        """Sum of ``of(x, way)`` over all training documents; each task sums its own first."""
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = 0.0
-            halves = tables.value.reshape(3, m, -1)[:0:-1]  # the table that has not counted fold 0, and fold 1
-            for b in batches:
-                texts = [encoded(t) for t in b["text"]]
-                for fold in (0, 1):
-                    for docs in pieces([t for t in texts if fold_of(t) == fold]):
-                        data, begins = _joined(docs)
-                        n, salt, way = code.decisions(data)
-                        x = np.stack([halves[fold][i][slots(c, n, salt)] for i, c in enumerate(contexts(data, begins))])
-                        total = total + of(x.astype(np.float32), way)
-            total = np.atleast_1d(total)
-            yield pd.DataFrame({"at": np.arange(len(total)), "value": total})
-
-        rows = train.select("text").mapInPandas(run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
-        out = np.zeros(max([GATES * (m + m * m), 2 * GATES * CELLS]))
-        for r in rows:
-            out[r["at"]] = r["value"]
-        return out
-
-    def slope(x: np.ndarray, way: np.ndarray) -> np.ndarray:
-        gate, z, _ = _mixed(weights, x)
-        p = 1 / (1 + np.exp(-z))
-        out = np.zeros((GATES, m + m * m))
+    counts = _histogram(train, code, tables)
+    held = np.nonzero(counts.sum(axis=1))[0]
+    zeros, ones = counts[held].T.astype(float)
+    bins = np.stack([held // BINS ** (m - 1 - i) % BINS for i in range(m)])
+    x = np.where(bins == 0, 0, bins * 16 - 136).astype(np.float32)  # the middle of each bin
+    gate = np.count_nonzero(bins, axis=0)
+    for _ in range(ROUNDS):
         for g in range(1, GATES):
-            held = np.nonzero(gate == g)[0]
-            xg, pg = x[:, held], p[held]
-            out[g, :m] = xg @ (way[held] - pg)
-            out[g, m:] = ((xg * (pg * (1 - pg))) @ xg.T).ravel()
-        return out.ravel()
+            of = gate == g
+            xg, n = x[:, of].astype(float), zeros[of] + ones[of]
+            p = 1 / (1 + np.exp(-(weights[g] @ xg)))
+            step = np.linalg.solve((xg * (n * p * (1 - p))) @ xg.T + np.eye(m) * STEP * STEP, xg @ (ones[of] - n * p))
+            weights[g] += np.clip(step, -0.5 / STEP, 0.5 / STEP)
+    cell = _cell((weights[gate] * x.T).sum(axis=1), gate)
+    hits = [np.bincount(cell, weights=w, minlength=GATES * CELLS) for w in (zeros, ones)]
+    return weights, ((hits[1] + _FIRM * apm) / (hits[0] + hits[1] + _FIRM)).astype(np.float32)
 
-    for _ in range(ROUNDS):
-        got = sums(slope)[:GATES * (m + m * m)].reshape(GATES, -1)
-        steps = [np.linalg.solve(g[m:].reshape(m, m) + np.eye(m) * STEP * STEP, g[:m]) for g in got]
-        weights = (weights + np.clip(steps, -0.5 / STEP, 0.5 / STEP)).astype(np.float32)
-    hits = sums(lambda x, way: np.bincount(_mixed(weights, x)[2] * 2 + way, minlength=2 * GATES * CELLS))[:2 * GATES * CELLS].reshape(-1, 2)
-    return weights, ((hits[:, 1] + _FIRM * apm) / (hits.sum(axis=1) + _FIRM)).astype(np.float32)
-
-
-def mixed_bits(logits: np.ndarray, way: np.ndarray, start: tuple[np.ndarray, np.ndarray] | None = None) -> float:
-    """Bits that one document's decisions cost: gated online mixing, then the adaptive probability map.
-
-    ``logits``: int8, contexts x decisions; ``start``: (weights, map) before the first block."""
-    weights, apm = (a.copy() for a in start or start_state())
-    bits, begin, size = 0.0, 0, BLOCKS[0]
-    while begin < len(way):
-        x = logits[:, begin:begin + size].astype(np.float32)
-        y = way[begin:begin + size]
-        begin, size = begin + size, min(2 * size, BLOCKS[1])
-        gate, z, cell = _mixed(weights, x)
+
+def mixed_bits(logits: np.ndarray, way: np.ndarray, sizes: list[int] | np.ndarray | None = None, start: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Bits that each document's decisions cost: gated online mixing, then the adaptive probability map.
+
+    ``logits``: int8, contexts x decisions, document after document; ``sizes``: decisions of each; ``start``: (weights, map)
+    before the first block. Block k of all documents is one step; each document has weights and a map of its own."""
+    m = len(ORDERS)
+    sizes = np.array([len(way)] if sizes is None else sizes, np.int64)
+    order = np.argsort(-sizes, kind="stable")  # the documents that have a block k come first
+    begins = (np.cumsum(sizes) - sizes)[order]
+    held = sizes[order]
+    first_weights, first_apm = start or start_state()
+    weights = np.tile(first_weights.T.astype(np.float32), (1, len(sizes)))  # contexts x (document, gate)
+    apm = np.tile(first_apm.astype(np.float32), len(sizes))
+    bits = np.zeros(len(sizes))
+    begin, size = 0, BLOCKS[0]
+    while live := int(np.searchsorted(-held, -begin)):
+        n = np.minimum(held[:live] - begin, size)
+        doc = np.repeat(np.arange(live), n)
+        first = np.cumsum(n) - n
+        at = np.repeat(begins[:live] + begin - first, n)
+        at += np.arange(len(at))
+        q, y = logits[:, at], way[at]
+        gate = _gate(q)
+        row = doc * GATES
+        row += gate
+        z = np.zeros(len(at), np.float32)
+        for i in range(m):
+            z += weights[i].take(row) * q[i]
+        cell = _cell(z, gate)
+        cell += doc * (GATES * CELLS)
         p = np.exp(-z, out=z)
         p += 1
         np.divide(1, p, out=p)
-        told = apm[cell]  # of way 1
+        told = apm.take(cell)  # of way 1
         told += p
         told *= 0.5
-        np.subtract(y, p, out=p)  # the error from here on
         told += y
         told -= 1
         np.abs(told, out=told)
-        bits -= float(np.log2(told, out=told).sum(dtype=np.float64))
-        err = np.zeros((GATES, len(y)), np.float32)
-        err[gate, np.arange(len(y))] = p
-        weights += np.float32(RATE / STEP / STEP / max(1.0, len(y) / 64)) * (err @ x.T)
+        bits[:live] -= np.add.reduceat(np.log2(told, out=told), first, dtype=np.float64)
+        err = np.subtract(y, p, out=p)
+        err *= np.repeat((RATE / STEP / STEP / np.maximum(1.0, n / 64)).astype(np.float32), n)
+        for i in range(m):
+            weights[i, :live * GATES] += np.bincount(row, weights=err * q[i], minlength=live * GATES)
         cell += cell
         cell += y
-        ways = np.bincount(cell, minlength=2 * len(apm))
+        ways = np.bincount(cell, minlength=2 * live * GATES * CELLS)
         hits = ways[::2] + ways[1::2]
-        apm += _RATES[np.minimum(hits, 8)] * (ways[1::2] / np.maximum(hits, 1) - apm)
-    return bits
+        seen = np.nonzero(hits)[0]
+        hits, ones = hits[seen], ways[1::2][seen]
+        apm[seen] += _RATES[np.minimum(hits, 8)] * (ones / hits - apm[seen])
+        begin, size = begin + size, min(2 * size, BLOCKS[1])
+    out = np.zeros(len(sizes))
+    out[order] = bits
+    return out
 
 
 class Scorer:
@@ -344,14 +392,14 @@ class Scorer:
 
     def bits(self, docs: list[bytes]) -> list[float]:
         """Total bits of each encoded document."""
+        order = sorted(range(len(docs)), key=lambda i: len(docs[i]))  # documents of one length step through their blocks together
         out: list[float] = []
-        for group in pieces(docs):
+        for group in pieces([docs[i] for i in order]):
             data, begins = _joined(group)
             n, salt, way = self.code.decisions(data)
             logits = np.stack([self.table[i][slots(c, n, salt)] for i, c in enumerate(contexts(data, begins))])
-            ends = np.concatenate([[0], np.cumsum(n)])[np.append(begins, len(data))]
-            out += [mixed_bits(logits[:, a:b], way[a:b], self.start) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        return out
+            out += mixed_bits(logits, way, np.add.reduceat(n, begins), self.start).tolist()
+        return [b for _, b in sorted(zip(order, out, strict=True))]
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
