@@ -3,11 +3,9 @@
 The model file's normaliser is read from its protobuf. Normalising walks the source: a stretch that begins no entry of the
 compiled character map (a double-array trie and a pool of replacements) is copied, elsewhere the longest entry is replaced;
 white space is squeezed, escaped and prefixed as the model says. Every byte of the normalised text keeps the source byte from
-which it came. The sentencepiece library segments the normalised text with the same vocabulary and no normaliser. Where no
-piece crosses from text into a new space mark, the stretches between such places are independent: each distinct one is
-segmented once and remembered (a bounded cache). The running sum of the pieces' lengths are their places in the normalised
-text, and the alignment projects each to its span of source bytes; of a symbol spelt by bytes, the last byte's piece has the
-span.
+which it came. The sentencepiece library segments the normalised text with the same vocabulary and no normaliser. The running
+sum of the pieces' lengths are their places in the normalised text, and the alignment projects each to its span of source
+bytes; of a symbol spelt by bytes, the last byte's piece has the span.
 
 Each row is on its own: no shuffle, ``BATCH`` documents in memory at a time; the model travels once as a broadcast of its
 file's bytes. Decoding turns lists of ids into text with the library.
@@ -21,7 +19,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"  # stands for a space in pieces
-CACHE = 1 << 17  # stretches remembered in a task
-LONG = 64  # characters of the longest stretch remembered
 USER_DEFINED, BYTE = 4, 6  # kinds of pieces in the model's format
-BATCH = 256  # documents decoded at a time
+BATCH = 256  # documents at a time
 
 
 class CharMap:
@@ -98,7 +93,7 @@ def valid(text: bytes) -> tuple[bytes, np.ndarray | None]:
             out.append(part)
             at += range(i, i + n) if n else [i] * len(part)
             i += n or 1
-        return b"".join(out), np.array([*at, len(text)], np.int64)
+        return b"".join(out), np.array([*at, len(text)], np.int32)
 
 
 def _is_char(part: bytes) -> bool:
@@ -120,73 +115,62 @@ class Normaliser:
         for begin, end, new in self.map.replaced(text):
             part = np.frombuffer(text[begin:end] if new is None else new, np.uint8)
             parts.append(part)
-            if new is None:  # every byte belongs to its character's first byte
-                place = np.arange(begin, end)
-                spans.append(np.maximum.accumulate(np.where(part & 0xC0 == 0x80, 0, place)))
-            else:
-                spans.append(np.full(len(part), begin))
+            if new is not None:
+                spans.append(np.full(len(part), begin, np.int32))
+            else:  # every byte belongs to its character's first byte
+                place = np.arange(begin, end, dtype=np.int32)
+                spans.append(place if text.isascii() else np.maximum.accumulate(np.where(part & 0xC0 == 0x80, 0, place)))
         out = np.concatenate([np.zeros(0, np.uint8), *parts])
-        align = np.concatenate([np.zeros(0, np.int64), *spans, [len(text)]])
+        align = np.concatenate([np.zeros(0, np.int32), *spans])
         if self.squeeze:
             space = out == 32
             keep = ~(space & np.concatenate([[True], space[:-1]])[:len(out)])
-            out, align = out[keep], np.append(align[:-1][keep], len(text))
+            out, align = out[keep], align[keep]
         if self.dummy_prefix and len(out if self.squeeze else text):
-            at = len(out) if self.suffix else 0
-            out, align = np.insert(out, at, 32), np.insert(align, at, align[at])
+            end = len(text)
+            if self.suffix:
+                out, align = np.append(out, np.uint8(32)), np.append(align, np.int32(end))
+            else:
+                out, align = np.concatenate([np.array([32], np.uint8), out]), np.concatenate([align[:1] if len(align) else np.array([end], np.int32), align])
+        data, mark = out.tobytes(), b" "
         if self.escape:
-            n = np.where(out == 32, 3, 1)
-            first = np.cumsum(n) - n
-            marks = first[out == 32]
-            out, align = np.repeat(out, n), np.append(np.repeat(align[:-1], n), align[-1])
-            for i, b in enumerate(MARK.encode()):
-                out[marks + i] = b
+            mark = MARK.encode()
+            data, align = data.replace(b" ", mark), np.repeat(align, np.where(out == 32, len(mark), 1))
+        align = np.append(align, np.int32(len(text)))
         if self.squeeze:  # marks at the end go, also those that the source spells
-            n = len(out.tobytes().decode("utf-8").rstrip(MARK if self.escape else " ").encode())
-            out, align = out[:n], align[:n + 1]
-        return out.tobytes(), align if places is None else places[align]
+            n = len(data)
+            while data.endswith(mark, 0, n):
+                n -= len(mark)
+            data, align = data[:n], align[:n + 1]
+        return data, align if places is None else places[align]
 
 
-class Encoder(dict):
-    """Pieces of normalised stretches: stretch -> ids (this dict remembers them, up to a bound)."""
+class Encoder:
+    """Pieces of texts and their spans of source bytes."""
 
     def __init__(self, model: bytes):
-        super().__init__()
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         m = pb.ModelProto.FromString(model)
         if not m.trainer_spec.byte_fallback or any(p.type == USER_DEFINED for p in m.pieces):
             raise ValueError("only models with byte fallback and without user-defined pieces are encoded")
-        self.lengths = np.array([1 if p.type == BYTE else len(p.piece.encode()) for p in m.pieces], np.int64)
+        self.lengths = np.array([1 if p.type == BYTE else len(p.piece.encode()) for p in m.pieces], np.int32)
         n = m.normalizer_spec
         self.normalise = Normaliser(n.precompiled_charsmap, n.add_dummy_prefix, n.remove_extra_whitespaces, n.escape_whitespaces, m.trainer_spec.treat_whitespace_as_suffix)
-        apart = all(MARK not in p.piece.lstrip(MARK) for p in m.pieces if p.type != BYTE)  # marks only at the front of a piece
-        self.stretches = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if apart else "(?s:.+)").findall
         # the same vocabulary for text that is normalised already
         n.precompiled_charsmap, n.add_dummy_prefix, n.remove_extra_whitespaces, n.escape_whitespaces = b"", False, False, False
         self.segment = sentencepiece.SentencePieceProcessor(model_proto=m.SerializeToString()).encode
 
-    def ids_of(self, text: str) -> np.ndarray:
-        parts = self.stretches(text)
-        if len(self) >= CACHE:
-            self.clear()
-        new = [p for p in set(parts) if p not in self]
-        self.update(zip(new, self.segment(new, num_threads=1), strict=True))
-        out = np.fromiter(chain.from_iterable(map(self.__getitem__, parts)), np.int32)
-        for p in new:
-            if len(p) > LONG:
-                del self[p]
+    def encode(self, sources: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(ids, begins, ends) of each text: every piece and its span of source bytes."""
+        texts = [self.normalise(s) for s in sources]
+        out = []
+        for ids, (_, align) in zip(self.segment([t for t, _ in texts], num_threads=1, return_type="numpy") if texts else [], texts, strict=True):
+            places = align[np.concatenate([np.zeros(1, np.int32), np.cumsum(self.lengths[ids], dtype=np.int32)])]
+            out.append((ids, places[:-1], places[1:]))
         return out
 
-    def encode(self, source: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, begin, end): every piece and its span of source bytes."""
-        text, align = self.normalise(source)
-        ids = self.ids_of(text.decode("utf-8"))
-        at = np.concatenate([[0], np.cumsum(self.lengths[ids])])
-        places = align[at].astype(np.int32)
-        return ids, places[:-1], places[1:]
-
 
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
@@ -202,7 +186,7 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
         for b in batches:
             for i in range(0, b.num_rows, BATCH):
                 part = b.slice(i, BATCH)
-                got = [encoder.encode(t) for t in part.column("text").to_pylist()]
+                got = encoder.encode(part.column("text").to_pylist())
                 yield pa.record_batch({"doc_id": part.column("doc_id"), **{c: _lists([g[k] for g in got]) for k, c in enumerate(("ids", "begins", "ends"))}})
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")).alias("text"))
@@ -221,8 +205,9 @@ def decode(encoded: DataFrame, model: bytes, ids_col: str = "ids", out_col: str
         for b in batches:
             for i in range(0, b.num_rows, BATCH):
                 part = b.slice(i, BATCH)
-                texts = processor.decode([x or [] for x in part.column(ids_col).to_pylist()], num_threads=1) if part.num_rows else []
-                yield pa.record_batch([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, out_col])
+                ids = part.column(ids_col).fill_null([])
+                lists = np.split(ids.flatten().to_numpy().astype(np.int32, copy=False), np.cumsum(ids.value_lengths().to_numpy())[:-1])
+                yield pa.record_batch([*part.columns, pa.array(processor.decode(lists, num_threads=1), pa.string())], [*part.schema.names, out_col])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(out_col, T.StringType())]))
 
