@@ -10,6 +10,7 @@ from ..operators import features as FE
 from ..operators import metrics as M
 from ..sources import tables as T
 from ..streaming import scoring as ST
+from . import feed
 from .expected import CLIPS
 from .registry import query
 from .sqlbase import with_views as W
@@ -22,7 +23,7 @@ _LEVEL = """CASE WHEN score_b >= 85e-2 THEN 'CRITICAL' WHEN score_b >= 7e-1 THEN
   {_LEVEL} AS risk_level, (score_b > 7e-1 OR abs(score_b - score_a) > 2e-1) AS alert FROM sv JOIN events e ON e.event_id = sv.obs_id""")
 def q_s1(spark, sf):
     """File stream (events in deliveries by time) -> SIRS, tier, alert per row, foreachBatch sink."""
-    return ST.streaming_scores(spark, sf)
+    return feed.scores(spark, sf)
 
 
 _TREND = ["heart_rate", "respiratory_rate", "temperature_c", "systolic_bp", "lactate"]
@@ -32,8 +33,8 @@ _TREND = ["heart_rate", "respiratory_rate", "temperature_c", "systolic_bp", "lac
     f"COALESCE({c} - LAG({c}) OVER w, 0e0) AS {c}_change, ROUND(AVG({c}) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS {c}_rolling_mean"
     for c in _TREND) + " FROM vitals JOIN events e ON e.event_id = obs_id WINDOW w AS (PARTITION BY patient_id ORDER BY e.ts, obs_id)")
 def q_s2(spark, sf):
-    """Stateful change and 3-row mean per patient across micro-batches (applyInPandasWithState)."""
-    rows = ST.streaming_trends(spark, sf)
+    """Stateful change and 3-row mean per patient; a third of the rows arrive 1 h late, some in a later micro-batch."""
+    rows = feed.trends(T.table(spark, sf, "events"), late=F.col("event_id") % 3 == 0)
     return rows.select("obs_id", "patient_id", "ts", *[x for c in K.TREND_VITALS for x in (
         F.col(f"{c}_change"), F.round(F.nanvl(f"{c}_rolling_mean", F.lit(None).cast("double")), 6).alias(f"{c}_rolling_mean"))])
 
@@ -45,7 +46,7 @@ SELECT MIN(event_id) AS event_id, user_id, ts,
   CAST((SELECT COUNT(*) FROM again, b WHERE again.ts <= hi - INTERVAL 2 HOUR) AS INTEGER) AS late_rows_dropped FROM events GROUP BY user_id, ts""")
 def q_s3(spark, sf):
     """S3: watermark + dropDuplicatesWithinWatermark on a stream with late rows and duplicates."""
-    rows, dropped = ST.dedup_late(spark, sf)
+    rows, dropped = feed.dedup_late(spark, sf)
     return rows.withColumn("late_rows_dropped", F.lit(dropped))
 
 
@@ -53,7 +54,8 @@ def q_s3(spark, sf):
 WHERE ((event_id*73+29)%1000)/1e3 > 7e-1 OR abs(((event_id*73+29)%1000)/1e3 - ((event_id*37+11)%1000)/1e3) > 2e-1 GROUP BY 1""")
 def q_s4s(spark, sf):
     """S4 (stream): watermarked tumbling 1 h alert counts in append mode."""
-    return ST.streaming_alert_windows(spark, sf)
+    rows = feed.alert_windows(T.table(spark, sf, "events"))
+    return rows.filter("kind = '1h'").select("window_start", "n_alerts")
 
 
 @query("s5_streaming_label", """WITH o AS (SELECT event_id AS obs_id, user_id AS patient_id, ts,
@@ -62,31 +64,49 @@ SELECT obs_id, patient_id, ts, CASE WHEN EXISTS (SELECT 1 FROM o r WHERE r.onset
   AND r.ts > o.ts AND r.ts <= o.ts + INTERVAL 6 HOUR) THEN 1 ELSE 0 END AS sepsis_next_6h_time FROM o""")
 def q_s5(spark, sf):
     """Stream-stream left outer interval join for 'sepsis within 6 h' by event time."""
-    return ST.streaming_label(spark, sf)
+    return feed.label(spark, sf)
 
 
 ALERT = "(((event_id*73+29)%1000)/1e3 > 7e-1 OR abs(((event_id*73+29)%1000)/1e3 - ((event_id*37+11)%1000)/1e3) > 2e-1)"
 
 
-@query("s4_alert_windows_batch", "WITH a AS (SELECT ts FROM events WHERE " + ALERT + """)
+_WINDOWS = "WITH a AS (SELECT ts FROM events WHERE " + ALERT + """)
 SELECT '1h' AS kind, date_trunc('hour', ts) AS window_start, CAST(COUNT(*) AS BIGINT) AS n_alerts FROM a GROUP BY 2
 UNION ALL
 SELECT '6h/1h', window_start, CAST(COUNT(*) AS BIGINT) FROM (
-  SELECT date_trunc('hour', ts) - k * INTERVAL 1 HOUR AS window_start FROM a, range(0, 6) r(k)) s GROUP BY 2""")
+  SELECT date_trunc('hour', ts) - k * INTERVAL 1 HOUR AS window_start FROM a, range(0, 6) r(k)) s GROUP BY 2"""
+
+
+@query("s4_alert_windows_batch", _WINDOWS)
 def q_s4(spark, sf):
     """S4 (batch form): tumbling 1 h and sliding 6 h / 1 h alert counts."""
-    return ST.alert_windows(ST.stream_observations(T.table(spark, sf, "events"), for_watermark=False))
+    return ST.alert_windows(ST.observations(T.table(spark, sf, "events"), for_watermark=False))
 
 
-@query("s4_stays_session_windows", """WITH e AS (SELECT user_id AS patient_id, ts,
+_STAYS = """WITH e AS (SELECT user_id AS patient_id, ts,
   CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL
          OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 24 HOUR THEN 1 ELSE 0 END AS brk FROM events),
 s AS (SELECT *, SUM(brk) OVER (PARTITION BY patient_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM e)
 SELECT patient_id, MIN(ts) AS stay_start, MAX(ts) + INTERVAL 24 HOUR AS stay_end, CAST(COUNT(*) AS BIGINT) AS n_obs
-FROM s GROUP BY patient_id, sid""")
+FROM s GROUP BY patient_id, sid"""
+
+
+@query("s4_streaming_sliding_windows", _WINDOWS)
+def q_s4_sliding(spark, sf):
+    """S4 (stream): tumbling 1 h and sliding 6 h / 1 h alert counts; a third of the rows arrive 1 h late."""
+    return feed.alert_windows(T.table(spark, sf, "events"), late=F.col("event_id") % 3 == 0)
+
+
+@query("s4_streaming_stays", _STAYS)
+def q_s4_stays(spark, sf):
+    """S4 (stream): stays as session windows in append mode; a seventh of the rows arrive 30 h late and may join two sessions."""
+    return feed.stays(T.table(spark, sf, "events"), late=F.col("event_id") % 7 == 0, late_hours=30)
+
+
+@query("s4_stays_session_windows", _STAYS)
 def q_s4_sessions(spark, sf):
     """Stays as session windows (a new stay after 24 h without readings)."""
-    return ST.stays_by_session(ST.stream_observations(T.table(spark, sf, "events"), for_watermark=False))
+    return ST.stays_by_session(ST.observations(T.table(spark, sf, "events"), for_watermark=False))
 
 
 # ------------------------------------------------------------------ Z1-Z7

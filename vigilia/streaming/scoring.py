@@ -1,83 +1,38 @@
-"""Structured Streaming operators.
-
-* S1 streaming scoring and alerts: per-row rules on a file stream, written by
-  ``foreachBatch`` (idempotent per epoch) with a checkpoint.
-* S2 stateful change / 3-row mean per patient with ``applyInPandasWithState``
-  (the last two readings per vital are the state; row windows are not allowed
-  on streams). Late rows are dropped by the watermark, and the state of a patient
-  without readings for ``STATE_IDLE_DAYS`` ends.
-* S3 late and duplicate readings: watermark + ``dropDuplicatesWithinWatermark``;
-  rows older than the watermark are dropped and counted in every micro-batch.
-* S4 tumbling and sliding alert counts with ``window()``; stays with ``session_window()``.
-* S5 streaming label A: stream-stream left outer interval join of observations
-  with sepsis onsets in (t, t + 6 h], both sides watermarked.
-
-Every stream reads files that Spark writes from the given ``events`` table, one
-delivery (any number of files) per time slice; after each delivery the query
-runs with ``availableNow`` on its checkpoint, as a scheduled job would. The last
-deliveries hold a heartbeat event beyond all others, so that every window and
-join closes and the results are complete. The batch forms are the oracle.
+"""Structured Streaming operators (S1-S5): streaming DataFrame in, streaming DataFrame out.
+
+Every operator also takes a batch DataFrame where Spark allows it (rules, windows, sessions), and the batch form is the
+oracle of the stream. Event time is a TIMESTAMP column ``ts``; ``delay`` is how late a row may come.
+
+* S1 ``score_rows``: per-row rules and alerts.
+* S2 ``trends``: change and 3-row mean per patient in event-time order. Readings wait in the patient's state until the
+  watermark has passed them, so a reading that comes late, in a later micro-batch, takes its place among the others; the
+  state holds the last two readings of each vital and the waiting rows, nothing else, and ends when a patient has been
+  without readings for ``STATE_IDLE_DAYS``.
+* S3 ``dedup``: duplicate readings within the watermark are dropped, older rows are dropped and counted by Spark.
+* S4 ``alert_windows`` (tumbling 1 h and sliding 6 h / 1 h counts), ``stays_by_session`` (session windows per patient; a
+  late row may merge two sessions). On a stream both emit a window when the watermark has passed it.
+* S5 ``future_label``: left outer interval join of observations with sepsis onsets in (t, t + 6 h].
+
+``write_epochs`` is a sink with exactly one copy of every epoch.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions import clinical as C
 from ..functions import constants as K
-from ..session import ensure_checkpoint_dir
 from ..sources import tables as T
 
-EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint"
 
-
-HEARTBEAT = -1  # event id of the closing event; never in a result
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder (never a machine-local temp path on a cluster)."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:8]}"
-
-
-def deliveries(spark: SparkSession, sf_dir: str, path: str, slices: int = 4, late: bool = False) -> Iterator[int]:
-    """Append ``events`` to ``path`` slice by slice of event time; yields after each delivery.
-
-    With ``late``, one more delivery repeats early rows (late arrivals) and rows of
-    the last slice (duplicates). The last deliveries are heartbeats.
-    """
-    ev = T.table(spark, sf_dir, "events")
-    lo, hi = ev.agg(F.min("ts"), F.max("ts")).first()
-    if lo is None:
-        return
-    span = (hi - lo) / slices
-    bounds = [lo + span * i for i in range(slices)]
-    parts = [ev.filter(F.col("ts") >= F.lit(a)).filter(F.col("ts") < F.lit(b)) if b is not None else ev.filter(F.col("ts") >= F.lit(a))
-             for a, b in zip(bounds, [*bounds[1:], None])]
-    if late:
-        parts.append(parts[0].filter(F.col("event_id") % 5 == 0).unionByName(parts[-1].filter(F.col("event_id") % 7 == 0)))
-    # two heartbeats: the first moves the watermark, the second's micro-batch closes what the watermark has passed
-    for days in (30, 31):
-        parts.append(spark.range(1).select(
-            F.lit(HEARTBEAT).cast("bigint").alias("event_id"),
-            (F.lit(hi) + F.expr(f"INTERVAL {days} DAYS")).cast("timestamp_ntz").alias("ts"),
-            F.lit(HEARTBEAT).cast("bigint").alias("user_id")))
-    for i, part in enumerate(parts):
-        part.select("event_id", "ts", "user_id").write.mode("append").parquet(path)
-        yield i
-
-
-def read_event_stream(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(EVENTS_SCHEMA).parquet(path)
-
-
-def stream_observations(events: DataFrame, for_watermark: bool = True) -> DataFrame:
+def observations(events: DataFrame, for_watermark: bool = True) -> DataFrame:
     """Observation columns of an event row (no per-patient ordinal on a stream).
 
     Watermarks need TIMESTAMP event time; batch forms keep TIMESTAMP_NTZ so results
@@ -87,6 +42,19 @@ def stream_observations(events: DataFrame, for_watermark: bool = True) -> DataFr
     return events.selectExpr("CAST(ts AS TIMESTAMP) AS ts" if for_watermark else "ts", *cols)
 
 
+def _late(rows: DataFrame, delay: str | None) -> DataFrame:
+    return rows.withWatermark("ts", delay) if delay else rows
+
+
+def write_epochs(out: str) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` sink: one folder per epoch, overwritten on replay, on any file system Spark writes to."""
+    def sink(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    return sink
+
+
+# ------------------------------------------------------------------ S1
 def score_rows(obs: DataFrame) -> DataFrame:
     """S1 rules per row: SIRS, tier of the boosted score, disagreement / spike alert."""
     d = C.with_sirs(obs, keep_parts=False)
@@ -95,141 +63,134 @@ def score_rows(obs: DataFrame) -> DataFrame:
                     C.risk_tier("score_b").alias("risk_level"), alert.alias("alert"))
 
 
-def run_deliveries(spark: SparkSession, sf_dir: str, name: str, build: Callable[[DataFrame, str], DataFrame], schema: str,
-                   mode: str = "append", late: bool = False, slices: int = 4) -> tuple[DataFrame, list]:
-    """Run ``build(event stream, source path)`` over all deliveries; returns (written rows, all progress reports).
-
-    Each run ends when its delivery is processed, so a run has a few micro-batches
-    and its progress reports are complete. Output goes to one folder per epoch,
-    overwritten on replay: exactly once per epoch, on any file system Spark writes to.
-    """
-    path, out, ckpt = (scratch(spark, f"{name}-{x}") for x in ("events", "out", "ckpt"))
-    spark.createDataFrame([], schema).write.parquet(f"{out}/epoch=-1")  # the folder and its schema exist without a batch
-
-    def sink(batch: DataFrame, epoch: int):
-        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-
-    progress = []
-    for _ in deliveries(spark, sf_dir, path, slices=slices, late=late):
-        q = (build(read_event_stream(spark, path), path).writeStream.outputMode(mode).foreachBatch(sink)
-             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-        q.awaitTermination()
-        progress += q.recentProgress
-    return spark.read.schema(schema).parquet(out).drop("epoch"), progress
-
-
-def streaming_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score and alert every streamed observation; returns the written result."""
-    schema = "obs_id bigint, patient_id bigint, ts timestamp, sirs_score int, sirs_positive int, risk_level string, alert boolean"
-    rows, _ = run_deliveries(spark, sf_dir, "s1", lambda ev, _: score_rows(stream_observations(ev.filter(F.col("event_id") != HEARTBEAT))), schema)
-    return rows.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-
+# ------------------------------------------------------------------ S2 (stateful)
+TREND_OUT = "obs_id long, patient_id long, ts timestamp, " + ", ".join(
+    f"{c}_change double, {c}_rolling_mean double" for c in K.TREND_VITALS)
+TREND_STATE = "tail binary, waiting binary"  # last two readings of each vital; rows above the watermark (Arrow)
+STATE_IDLE_DAYS = 90
+_DAY_MS = 86_400_000
 
-def dedup_late(spark: SparkSession, sf_dir: str, delay: str = "2 hours") -> tuple[DataFrame, int]:
-    """S3: drop duplicate (user, ts) readings within the watermark; count rows dropped as late."""
-    def build(ev: DataFrame, _: str) -> DataFrame:
-        ev = ev.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-        return ev.dropDuplicatesWithinWatermark(["user_id", "ts"]).filter(F.col("event_id") != HEARTBEAT).select("event_id", "user_id", "ts")
 
-    rows, progress = run_deliveries(spark, sf_dir, "s3", build, "event_id bigint, user_id bigint, ts timestamp", late=True)
-    dropped = sum(int(op["numRowsDroppedByWatermark"]) for p in progress for op in p["stateOperators"])
-    return rows.withColumn("ts", F.col("ts").cast("timestamp_ntz")), dropped
+def _packed(rows: pd.DataFrame) -> bytes:
+    batch = pa.RecordBatch.from_pandas(rows, preserve_index=False)
+    with pa.BufferOutputStream() as out:
+        with pa.ipc.new_stream(out, batch.schema) as w:
+            w.write_batch(batch)
+        return out.getvalue().to_pybytes()
 
 
-# ------------------------------------------------------------------ S2 (stateful)
-TREND_OUT = "obs_id long, patient_id long, ts timestamp, " + ", ".join(
-    f"{c}_change double, {c}_rolling_mean double" for c in K.TREND_VITALS)
-TREND_STATE = ", ".join(f"{c}_1 double, {c}_2 double" for c in K.TREND_VITALS)
+def _unpacked(blob: bytes | None) -> list[pd.DataFrame]:
+    return [pa.ipc.open_stream(bytes(blob)).read_pandas()] if blob else []
 
 
-STATE_IDLE_DAYS = 90
+def _micros(ts: pd.Series) -> np.ndarray:
+    return ts.to_numpy(dtype="datetime64[us]").astype(np.int64)
 
 
-def _trend_state_fn(key, pdfs, state):
-    """Per patient: carry the last two readings of each vital across micro-batches."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    rows = pd.concat(list(pdfs)).sort_values(["ts", "obs_id"])
-    tail = np.array(state.get if state.exists else [np.nan] * (2 * len(K.TREND_VITALS)), dtype=float).reshape(-1, 2)  # last, one before
+def trend_rows(rows: pd.DataFrame, tail: np.ndarray) -> tuple[pd.DataFrame, np.ndarray]:
+    """Change and 3-row mean of ``rows`` (one patient, in order); ``tail``: per vital the reading before them and the one
+    before that, NaN for none. Returns the rows and the tail after them."""
     out = {"obs_id": rows["obs_id"].to_numpy(), "patient_id": rows["patient_id"].to_numpy(), "ts": rows["ts"].to_numpy()}
-    after = []
-    for c, (last, before) in zip(K.TREND_VITALS, tail, strict=True):
-        v = np.concatenate([[before, last], rows[c].to_numpy(dtype=float)])
+    after = np.empty_like(tail)
+    for i, c in enumerate(K.TREND_VITALS):
+        v = np.concatenate([tail[i, ::-1], rows[c].to_numpy(dtype=float)])
         three = np.stack([v[:-2], v[1:-1], v[2:]])
         seen = (~np.isnan(three)).sum(axis=0)
         out[f"{c}_change"] = np.nan_to_num(three[2] - three[1])  # diff().fillna(0)
         out[f"{c}_rolling_mean"] = np.where(seen > 0, np.nansum(three, axis=0) / np.maximum(seen, 1), np.nan)
-        after += [v[-1], v[-2]]
-    state.update(tuple(None if np.isnan(x) else float(x) for x in after))
-    idle = pd.Timestamp(rows["ts"].iloc[-1]) + pd.Timedelta(days=STATE_IDLE_DAYS)
-    state.setTimeoutTimestamp(int(idle.timestamp() * 1000))
-    yield pd.DataFrame(out)
+        after[i] = v[-1], v[-2]
+    return pd.DataFrame(out), after
+
+
+def _trend_state_fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """One patient in one micro-batch: rows up to the watermark leave in event-time order, the others wait in the state.
+
+    Frames are split one by one; what is sorted together is at most what the watermark has just passed."""
+    tail, waiting = state.get if state.exists else (None, None)
+    now = state.getCurrentWatermarkMs()
+    due, later = [], []
+    for rows in _frames(waiting, () if state.hasTimedOut else pdfs):
+        passed = _micros(rows["ts"]) <= now * 1000
+        due.append(rows[passed])
+        later.append(rows[~passed])
+    known = np.frombuffer(bytes(tail)).reshape(-1, 2) if tail else np.full((len(K.TREND_VITALS), 2), np.nan)
+    due = [d for d in due if len(d)]
+    later = [d for d in later if len(d)]
+    if due:
+        out, known = trend_rows(pd.concat(due).sort_values(["ts", "obs_id"]), known)
+        yield out
+    if not due and not later:  # the idle time is over
+        state.remove()
+        return
+    if later:
+        held = pd.concat(later)
+        state.update((known.tobytes(), _packed(held)))
+        state.setTimeoutTimestamp(int(_micros(held["ts"]).min()) // 1000 + 1)
+    else:
+        state.update((known.tobytes(), None))
+        state.setTimeoutTimestamp(now + STATE_IDLE_DAYS * _DAY_MS)
 
 
-def streaming_trends(spark: SparkSession, sf_dir: str, delay: str = "2 hours") -> DataFrame:
-    """Change and 3-row mean per patient across micro-batches (rows in event-time order within ``delay``)."""
-    def build(ev: DataFrame, _: str) -> DataFrame:
-        obs = stream_observations(ev).withWatermark("ts", delay).select("obs_id", "patient_id", "ts", *K.TREND_VITALS)
-        rows = obs.groupBy("patient_id").applyInPandasWithState(_trend_state_fn, TREND_OUT, TREND_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-        return rows.filter(F.col("obs_id") != HEARTBEAT)
+def _frames(waiting: bytes | None, pdfs: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    yield from _unpacked(waiting)
+    yield from pdfs
 
-    rows, _ = run_deliveries(spark, sf_dir, "s2", build, TREND_OUT)
-    return rows.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+def trends(obs: DataFrame, delay: str = "2 hours") -> DataFrame:
+    """Change and 3-row mean per patient of a stream of observations, rows up to ``delay`` late included.
+
+    A row comes out once the watermark has passed it. A NULL patient is a patient."""
+    rows = _late(obs, delay).select("obs_id", "patient_id", "ts", *K.TREND_VITALS)
+    return rows.groupBy("patient_id").applyInPandasWithState(_trend_state_fn, TREND_OUT, TREND_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+# ------------------------------------------------------------------ S3
+def dedup(events: DataFrame, key: list[str], delay: str = "2 hours") -> DataFrame:
+    """S3: one reading per ``key`` within the watermark; rows older than it are dropped (and counted by Spark)."""
+    return _late(events, delay).dropDuplicatesWithinWatermark(key)
 
 
 # ------------------------------------------------------------------ S4 (windows)
-def alert_windows(obs: DataFrame) -> DataFrame:
-    """S4 batch/stream form: tumbling 1 h and sliding 6 h / 1 h alert counts."""
-    d = score_rows(obs).filter(F.col("alert"))
-    tumble = d.groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n_alerts")) \
-        .select(F.lit("1h").alias("kind"), F.col("w.start").alias("window_start"), "n_alerts")
-    slide = d.groupBy(F.window("ts", "6 hours", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n_alerts")) \
-        .select(F.lit("6h/1h").alias("kind"), F.col("w.start").alias("window_start"), "n_alerts")
+ALERT_WINDOWS = {"1h": ("1 hour", None), "6h/1h": ("6 hours", "1 hour")}
+
+
+def alert_counts(obs: DataFrame, length: str, slide: str | None = None, delay: str | None = None) -> DataFrame:
+    """Alerts per window of ``length`` (every ``slide``; tumbling without)."""
+    # the condition reads ts, so that on a stream it stays above the watermark node, which rows without an alert move too
+    d = score_rows(_late(obs, delay)).filter(F.when(F.col("ts").isNotNull(), F.col("alert")))
+    d = d.groupBy(F.window("ts", length, slide).alias("w")).agg(F.count(F.lit(1)).alias("n_alerts"))
+    return d.select(F.col("w.start").alias("window_start"), "n_alerts")
+
+
+def alert_windows(obs: DataFrame, delay: str | None = None) -> DataFrame:
+    """Tumbling 1 h and sliding 6 h / 1 h alert counts; with ``delay`` on a stream (append mode: closed windows)."""
+    tumble, slide = (alert_counts(obs, *w, delay).select(F.lit(kind).alias("kind"), "window_start", "n_alerts") for kind, w in ALERT_WINDOWS.items())
     return tumble.unionByName(slide)
 
 
-def stays_by_session(obs: DataFrame, gap: str = "24 hours") -> DataFrame:
-    """Stays as session windows per patient (a new stay after ``gap`` without readings)."""
-    return obs.groupBy("patient_id", F.session_window("ts", gap).alias("s")).agg(F.count(F.lit(1)).alias("n_obs")) \
+def stays_by_session(obs: DataFrame, gap: str = "24 hours", delay: str | None = None) -> DataFrame:
+    """Stays as session windows per patient (a new stay after ``gap`` without readings); with ``delay`` on a stream, where
+    the state keeps open sessions and merges those that a late row joins."""
+    return _late(obs, delay).groupBy("patient_id", F.session_window("ts", gap).alias("s")).agg(F.count(F.lit(1)).alias("n_obs")) \
         .select("patient_id", F.col("s.start").alias("stay_start"), F.col("s.end").alias("stay_end"), "n_obs")
 
 
-def streaming_alert_windows(spark: SparkSession, sf_dir: str, delay: str = "2 hours") -> DataFrame:
-    """S4 on the stream: watermarked tumbling alert counts (append mode emits closed windows, the heartbeat closes all)."""
-    def build(ev: DataFrame, _: str) -> DataFrame:
-        obs = stream_observations(ev).withWatermark("ts", delay)
-        # the condition reads ts, so that it stays above the watermark node, which the heartbeat has to pass
-        d = score_rows(obs).filter(F.when(F.col("ts").isNotNull(), F.col("alert") & (F.col("obs_id") != HEARTBEAT)))
-        return d.groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n_alerts")).select(F.col("w.start").alias("window_start"), "n_alerts")
+# ------------------------------------------------------------------ S5 (stream-stream join)
+def future_label(obs: DataFrame, onsets: DataFrame, delay: str = "6 hours", horizon_hours: int = K.HORIZON_HOURS) -> DataFrame:
+    """Every observation with each sepsis onset of its patient in (t, t + 6 h] (``r_obs``, NULL without any).
 
-    rows, _ = run_deliveries(spark, sf_dir, "s4", build, "window_start timestamp, n_alerts long")
-    return rows.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    ``onsets`` (patient_id, ts, obs_id) is a second stream; both have watermarks, and a row without an onset comes out once
+    the watermark has passed t + 6 h. ``label_of`` reduces the pairs to one flag per row."""
+    left = _late(obs.select("obs_id", "patient_id", "ts"), delay).alias("l")
+    right = onsets.select(F.col("patient_id").alias("r_pid"), F.col("ts").alias("r_ts"), F.col("obs_id").alias("r_obs")).withWatermark("r_ts", delay).alias("r")
+    cond = (F.col("l.patient_id") == F.col("r.r_pid")) & (F.col("r.r_ts") > F.col("l.ts")) & \
+        (F.col("r.r_ts") <= F.col("l.ts") + F.expr(f"INTERVAL {horizon_hours} HOURS"))
+    return left.join(right, cond, "leftOuter").select("obs_id", "patient_id", "ts", "r_obs")
 
 
-# ------------------------------------------------------------------ S5 (stream-stream join)
-def streaming_label(spark: SparkSession, sf_dir: str, delay: str = "6 hours",
-                    horizon_hours: int = K.HORIZON_HOURS) -> DataFrame:
-    """label = any sepsis onset of the same patient in (t, t + 6 h] by event time.
-
-    Two watermarked streams (observations, onsets) joined left-outer on the
-    patient with an event-time range; unmatched rows are emitted once the
-    watermark passes t + 6 h (the heartbeat carries it past the last row), matched
-    ones are reduced to one flag per row.
-    """
-    def build(ev: DataFrame, path: str) -> DataFrame:
-        left = stream_observations(ev).select("obs_id", "patient_id", "ts").withWatermark("ts", delay).alias("l")
-        onset = (F.col("sepsis_risk_score") >= K.SEPSIS_SCORE_CUT) | (F.col("obs_id") == HEARTBEAT)
-        right = (stream_observations(read_event_stream(spark, path)).filter(onset)
-                 .select(F.col("patient_id").alias("r_pid"), F.col("ts").alias("r_ts"), F.col("obs_id").alias("r_obs"))
-                 .withWatermark("r_ts", delay).alias("r"))
-        cond = (F.col("l.patient_id") == F.col("r.r_pid")) & (F.col("r.r_ts") > F.col("l.ts")) & \
-            (F.col("r.r_ts") <= F.col("l.ts") + F.expr(f"INTERVAL {horizon_hours} HOURS"))
-        return left.join(right, cond, "leftOuter").select("obs_id", "patient_id", "ts", "r_obs")
-
-    pairs, _ = run_deliveries(spark, sf_dir, "s5", build, "obs_id bigint, patient_id bigint, ts timestamp, r_obs bigint")
-    return pairs.filter(F.col("obs_id") != HEARTBEAT).groupBy("obs_id", "patient_id", F.col("ts").cast("timestamp_ntz").alias("ts")).agg(
-        F.max(F.when(F.col("r_obs").isNotNull(), 1).otherwise(0)).alias("sepsis_next_6h_time"))
+def label_of(pairs: DataFrame) -> DataFrame:
+    """One row per observation with the flag of S5, from the written pairs of ``future_label``."""
+    return pairs.groupBy("obs_id", "patient_id", "ts").agg(F.max(F.when(F.col("r_obs").isNotNull(), 1).otherwise(0)).alias("sepsis_next_6h_time"))
 
 
 def batch_label_time(obs: DataFrame, horizon_hours: int = K.HORIZON_HOURS) -> DataFrame:
