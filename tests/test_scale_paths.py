@@ -78,6 +78,38 @@ def test_forward_fill_hot_equals_plain(spark):
     assert (a.fillna(-1) == b.fillna(-1)).all().all()
 
 
+def _with_null_patients(v):
+    """Every third patient's id is NULL: one patient, with many rows; hours made distinct again."""
+    return v.withColumn("patient_id", F.when(F.col("patient_id") % 3 != 0, F.col("patient_id"))).withColumn("hour_from_admission", F.col("obs_id") % 5000)
+
+
+def test_null_patients_are_one_patient_in_hot_and_plain_paths(spark):
+    from vigilia.operators import monitor as M
+    v = _with_null_patients(T.vitals(spark, SF_MID)).cache()
+    n = v.filter("patient_id is null").count()
+    assert n > 1000
+    cols = ["lactate", "temperature_c", "hemoglobin"]
+    a = _pdf(FE.forward_fill(v, cols, hot_rows=None), ["obs_id", *cols])
+    b = _pdf(FE.forward_fill(v, cols, hot_rows=200, hour_chunk=100.0), ["obs_id", *cols])
+    assert len(a) == v.count() and (a.fillna(-1) == b.fillna(-1)).all().all()
+    a = _pdf(M.with_position(v, hot_rows=None), ["obs_id", "_r", "_n"])
+    b = _pdf(M.with_position(v, hot_rows=200), ["obs_id", "_r", "_n"])
+    assert (a == b).all().all() and (a["_n"] == n).sum() == n
+    a = _pdf(L.label_future_sepsis(v), ["obs_id", "sepsis_next_6h"])
+    b = _pdf(L.label_future_sepsis_join(v), ["obs_id", "sepsis_next_6h"])
+    assert (a == b).all().all() and len(a) == v.count()
+    for hot in (None, 200):
+        s = M.monitoring_summary(v, hot_rows=hot).filter("patient_id is null").collect()
+        assert len(s) == 1 and s[0].total_data_points == 24
+    log = v.select("patient_id", "obs_id", (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("hour_from_admission").cast("int"))).alias("ts"),
+                   F.lit("m").alias("model_used"), F.col("score_b").alias("risk_score"), F.lit("LOW").alias("risk_level"))
+    one, two = (M.patient_history(log, hot_rows=hot).orderBy("patient_id").collect() for hot in (None, 200))
+    assert one == two and one[0].patient_id is None and one[0].n_points == n and len(one[0].predictions) == 24
+    plan = M.patient_history(log, hot_rows=None)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    v.unpersist()
+
+
 def test_prepare_job_has_one_shuffle(spark):
     from vigilia.plans import prepare as PR
     d = PR.prepared_table(T.vitals(spark, SF_MID))

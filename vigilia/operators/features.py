@@ -140,10 +140,10 @@ def forward_fill(df: DataFrame, cols: Sequence[str], *, key: str = "patient_id",
     last = d.groupBy(key, "_fc").agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(*order)))
                                        .alias(f"_l_{c}") for c in cols])
     wc = Window.partitionBy(key).orderBy("_fc").rowsBetween(Window.unboundedPreceding, -1)
-    carry = last.select(key, "_fc", *[F.last(f"_l_{c}", ignorenulls=True).over(wc).alias(f"_c_{c}") for c in cols])
-    out = local.join(carry, on=[key, "_fc"], how="left")
+    carry = last.select(F.col(key).alias("_ck"), F.col("_fc").alias("_cc"), *[F.last(f"_l_{c}", ignorenulls=True).over(wc).alias(f"_c_{c}") for c in cols])
+    out = local.join(carry, F.col(key).eqNullSafe(F.col("_ck")) & F.col("_fc").eqNullSafe(F.col("_cc")), "left")  # NULL is a patient, and an hour
     return out.withColumns({c: F.coalesce(F.col(c), F.col(f"_c_{c}")) for c in cols}).drop(
-        "_fc", "_hot", *[f"_c_{c}" for c in cols])
+        "_fc", "_hot", "_ck", "_cc", *[f"_c_{c}" for c in cols])
 
 
 def interaction(df: DataFrame, a: str = "lactate", b: str = "wbc_count") -> DataFrame:

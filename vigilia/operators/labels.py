@@ -39,14 +39,14 @@ def label_future_sepsis_join(df: DataFrame, *, key: str = "patient_id", hour: st
 
     Every sepsis hour s is expanded to the observation hours s-1 .. s-horizon that
     it labels (integer hours), de-duplicated, and the observations are left-joined
-    on (key, hour). Linear in rows, no per-patient quadratic mask.
+    on (key, hour). Linear in rows, no per-patient quadratic mask. A NULL patient is a
+    patient, as in the window form.
     """
     d = df.withColumn("sepsis", C.sepsis_now())
     onset = (d.filter(F.col("sepsis") == 1)
              .select(key, F.explode(F.sequence(F.col(hour) - horizon, F.col(hour) - 1)).alias("_h"))
-             .distinct().withColumn("_hit", F.lit(1)))
-    return (d.join(onset, on=[d[key] == onset[key], d[hour] == onset["_h"]], how="left")
-            .drop(onset[key]).drop("_h")
+             .distinct().withColumn("_hit", F.lit(1)).withColumnRenamed(key, "_k"))
+    return (d.join(onset, F.col(key).eqNullSafe(F.col("_k")) & (F.col(hour) == F.col("_h")), "left").drop("_k", "_h")
             .withColumn(out, F.coalesce(F.col("_hit"), F.lit(0))).drop("_hit"))
 
 

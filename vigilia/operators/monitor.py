@@ -7,7 +7,7 @@ per patient are bounded top-k lists, never a whole history.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clinical as C
@@ -24,27 +24,32 @@ def ensemble_series(df: DataFrame | None = None, rf: str = "score_a", xgb: str =
 def with_position(df: DataFrame, key: str = "patient_id", order: tuple[str, ...] = ("hour_from_admission", "obs_id"),
                   hot_rows: int | None = S.HOT_ROWS) -> DataFrame:
     """0-based position ``_r`` in time order and series length ``_n`` per key."""
-    d = S.ordinal_within(df, key, list(order), "_r", chunk_basis=F.col(order[0]), hot_rows=hot_rows)
-    n = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    return d.join(n, on=key)
+    return S.ordinal_within(df, key, list(order), "_r", chunk_basis=F.col(order[0]), hot_rows=hot_rows, length="_n")
+
+
+def _trend_of(value: str) -> list[Column]:
+    """Aggregates of a trend: number of points, mean of the first and of the last quarter."""
+    q = F.floor(F.col("_n") / 4)
+    return [F.first("_n").alias("n_points"), F.avg(F.when(F.col("_r") < q, F.col(value))).alias("_first"),
+            F.avg(F.when(F.col("_r") >= F.col("_n") - q, F.col(value))).alias("_last")]
+
+
+def _trend_label() -> Column:
+    diff = F.col("_last") - F.col("_first")
+    return F.when(F.col("n_points") < 4, "stable").when(diff > 0.05, "declining").when(diff < -0.05, "improving").otherwise("stable")
+
+
+def _trend_delta(digits: int = 6) -> Column:
+    return F.when(F.col("n_points") >= 4, F.round(F.col("_last") - F.col("_first"), digits))
 
 
 def trend(df: DataFrame, value: str, key: str = "patient_id", digits: int = 6) -> DataFrame:
     """q = n // 4; mean(last q) - mean(first q); > .05 declining, < -.05 improving, else stable.
 
-    ``df`` must carry ``_r`` (position) and ``_n`` (length), see :func:`with_position`.
+    ``df`` must carry ``_r`` (position) and ``_n`` (length), see :func:`with_position`. A NULL patient is a patient.
     """
-    q = F.floor(F.col("_n") / 4)
-    g = df.groupBy(key).agg(
-        F.first("_n").alias("n_points"),
-        F.avg(F.when(F.col("_r") < q, F.col(value))).alias("_first"),
-        F.avg(F.when(F.col("_r") >= F.col("_n") - q, F.col(value))).alias("_last"),
-    )
-    diff = F.col("_last") - F.col("_first")
-    label = (F.when(F.col("n_points") < 4, "stable").when(diff > 0.05, "declining").when(diff < -0.05, "improving")
-             .otherwise("stable"))
-    return g.select(key, "n_points", F.when(F.col("n_points") >= 4, F.round(diff, digits)).alias("trend_delta"),
-                    label.alias("trend"))
+    g = df.groupBy(key).agg(*_trend_of(value))
+    return g.select(key, "n_points", _trend_delta(digits).alias("trend_delta"), _trend_label().alias("trend"))
 
 
 def spike_alert(rf: Column, xgb: Column, hours_before: Column) -> tuple[Column, Column]:
@@ -74,18 +79,15 @@ def monitoring_summary(v: DataFrame, hours: int = 24, key: str = "patient_id",
     (time and message of each alert, oldest first; at most ``hours`` entries)."""
     last = S.top_k_per_key(v, key, [F.col("hour_from_admission").desc(), F.col("obs_id").desc()], hours,
                            chunk_basis=F.col("hour_from_admission"), hot_rows=hot_rows)
-    # rank 1 = latest; position from the oldest of the window
-    n = last.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    pts = last.join(n, on=key).withColumn("_r", F.col("_n") - F.col("rank"))
+    # rank 1 = latest; position from the oldest of the window (at most ``hours`` rows a patient)
+    pts = last.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key))).withColumn("_r", F.col("_n") - F.col("rank"))
     pts = series_points(pts)
-    tr = trend(pts, "ensemble_score", key)
     one = F.struct("_r", F.concat(F.lit("-"), F.col("hours_before").cast("string"), F.lit("h")).alias("time"),
                    F.col("alert_message").alias("message"))
-    alerts = pts.groupBy(key).agg(F.sum(F.col("alert_triggered").cast("int")).cast("long").alias("total_alerts"),
-                                  F.sort_array(F.collect_list(F.when(F.col("alert_triggered"), one))).alias("alerts"))
-    alerts = alerts.withColumn("alerts", F.transform("alerts", lambda a: F.struct(a["time"], a["message"])))
-    return tr.join(alerts, on=key).select(key, F.col("n_points").alias("total_data_points"), "total_alerts", "trend",
-                                          "trend_delta", "alerts")
+    g = pts.groupBy(key).agg(*_trend_of("ensemble_score"), F.sum(F.col("alert_triggered").cast("int")).cast("long").alias("total_alerts"),
+                             F.sort_array(F.collect_list(F.when(F.col("alert_triggered"), one))).alias("alerts"))
+    return g.select(key, F.col("n_points").alias("total_data_points"), "total_alerts", _trend_label().alias("trend"),
+                    _trend_delta().alias("trend_delta"), F.transform("alerts", lambda a: F.struct(a["time"], a["message"])).alias("alerts"))
 
 
 def current_risk(log: DataFrame, key: str = "patient_id") -> DataFrame:
@@ -99,14 +101,13 @@ def current_risk(log: DataFrame, key: str = "patient_id") -> DataFrame:
 def patient_history(log: DataFrame, key: str = "patient_id", keep_last: int = 24,
                     hot_rows: int | None = S.HOT_ROWS) -> DataFrame:
     """Recent predictions (bounded list), current risk, trend over all predictions, last update."""
-    recent = S.top_k_per_key(log, key, [F.col("ts").desc(), F.col("obs_id").desc()], keep_last,
-                             chunk_basis=F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(3.6e9), hot_rows=hot_rows)
-    hist = recent.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("ts", "obs_id", "model_used", "risk_score",
-                                                                         "risk_level"))).alias("predictions"))
     hours = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(3.6e9)
     pos = with_position(log.withColumn("_t_hours", hours), key, ("_t_hours", "obs_id"), hot_rows)
-    tr = trend(pos, "risk_score", key)
-    return (hist.join(current_risk(log, key), on=key).join(tr.select(key, "trend", "n_points"), on=key))
+    one = F.struct("ts", "obs_id", "model_used", "risk_score", "risk_level")
+    g = pos.groupBy(key).agg(*_trend_of("risk_score"), F.sort_array(F.collect_list(F.when(F.col("_r") >= F.col("_n") - keep_last, one))).alias("predictions"),
+                             F.max_by(F.struct("risk_score", "ts", "obs_id"), F.struct("ts", "obs_id")).alias("_l"), F.max("ts").alias("last_updated"))
+    return g.select(key, "predictions", F.col("_l.risk_score").alias("current_risk_score"), C.risk_tier(F.col("_l.risk_score")).alias("current_risk_level"),
+                    "last_updated", _trend_label().alias("trend"), "n_points")
 
 
 def history_rows(log: DataFrame, key: str = "patient_id", hot_rows: int | None = S.HOT_ROWS) -> DataFrame:
@@ -144,6 +145,6 @@ def metrics_with_defaults(computed_long: DataFrame, models: list[str]) -> DataFr
     spark = computed_long.sparkSession
     defaults = spark.createDataFrame([(m, k, v) for m in models for k, v in K.DEFAULT_MODEL_METRICS.items()],
                                      "model string, metric string, default_value double")
-    j = F.broadcast(defaults).join(computed_long, on=["model", "metric"], how="left")
+    j = defaults.join(computed_long, on=["model", "metric"], how="left")
     return j.select("model", "metric", F.coalesce("value", "default_value").alias("value"),
                     F.when(F.col("value").isNotNull(), "computed").otherwise("default").alias("source"))

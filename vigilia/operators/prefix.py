@@ -76,6 +76,26 @@ def group_row_number(df: DataFrame, by: Sequence[str], order: Sequence[str], out
     return d.drop("_pid", "_local", "_off", "_all")
 
 
+def bucket_row_number(df: DataFrame, order: Sequence[str], out: str, buckets: int = 4096) -> DataFrame:
+    """1-based row number in ``order``, whose first column is a seeded hash (numbers that spread evenly, no NULL).
+
+    Equal ranges of the hash are counted first (``buckets`` rows reach the driver and stand in the plan); rows are numbered in a
+    window per range. One shuffle, no sample, nothing written."""
+    first = F.col(order[0]).cast("double")
+    lo, hi = df.agg(F.min(first), F.max(first)).first()
+    if lo is None:
+        return df.withColumn(out, F.lit(1).cast("long"))
+    place = F.least(F.floor((first - F.lit(lo)) / F.lit((hi - lo) / buckets or 1.0)).cast("int"), F.lit(buckets - 1))
+    counts = {r[0]: r[1] for r in df.groupBy(place).agg(F.count(F.lit(1))).collect()}
+    before, offsets = 0, []
+    for b in range(buckets):
+        offsets.append(before)
+        before += counts.get(b, 0)
+    w = Window.partitionBy("_b").orderBy(*order)
+    offset = F.element_at(F.expr(f"array({', '.join(f'{n}L' for n in offsets)})"), F.col("_b") + 1)
+    return df.withColumn("_b", place).withColumn(out, F.row_number().over(w) + offset).drop("_b")
+
+
 def global_row_number(df: DataFrame, order: Sequence[str], out: str, n: int | None = None) -> DataFrame:
     """1-based row number in ``order`` over the whole table (ties in arbitrary but dense order)."""
     return group_row_number(df, [], order, out, n=n)

@@ -83,12 +83,14 @@ def tag_hot(df: DataFrame, key: str, hot_rows: int | None) -> tuple[DataFrame, b
             .withColumn("_hot", F.coalesce(F.col("_is_hot"), F.lit(False))).drop("_hk", "_is_hot")), True
 
 
-def _plain(df: DataFrame, key: str, order_cols: list, seq_col: str | None, range_fn, rows_fn) -> DataFrame:
+def _plain(df: DataFrame, key: str, order_cols: list, seq_col: str | None, range_fn, rows_fn, len_col: str | None = None) -> DataFrame:
     """One Exchange on the key shared by all windows. The explicit repartition is that Exchange (the
     windows reuse it); it also spreads a single input split."""
     out = df.repartition(key)
     if seq_col:
         out = out.withColumn(seq_col, F.row_number().over(Window.partitionBy(key).orderBy(*order_cols)) - 1)
+    if len_col:
+        out = out.withColumn(len_col, F.count(F.lit(1)).over(Window.partitionBy(key)))
     if range_fn:
         out = range_fn(out, [key])
     if rows_fn:
@@ -113,6 +115,7 @@ def sequence_windows(
     rows_back: int = 0,
     rows_fwd: int = 0,
     seq_col: str | None = None,
+    len_col: str | None = None,
     hot_rows: int | None = HOT_ROWS,
     hour_chunk: float = 168.0,
     row_chunk: int = 8192,
@@ -124,17 +127,17 @@ def sequence_windows(
     adds columns from ROWS frames ordered by ``order``, reaching at most
     ``rows_back`` / ``rows_fwd`` rows. Both must use ``Window.partitionBy(*parts)``.
     ``chunk_basis`` is a numeric expression non-decreasing in ``order`` (usually
-    the hour); ``seq_col`` names an optional 0-based ordinal output.
+    the hour); ``seq_col`` names an optional 0-based ordinal output, ``len_col`` (with it) the key's number of rows.
     """
     order_cols = [F.col(c) for c in order]
     tagged, any_hot = tag_hot(df, key, hot_rows)
     if not any_hot:
-        return _plain(df, key, order_cols, seq_col, range_fn, rows_fn)
+        return _plain(df, key, order_cols, seq_col, range_fn, rows_fn, len_col)
 
     assert chunk_basis is not None, "chunk_basis is needed to split hot keys"
     assert row_chunk >= max(rows_back, rows_fwd, 1)
     base_cols = df.columns
-    normal = _plain(tagged.filter(~F.col("_hot")).drop("_hot"), key, order_cols, seq_col, range_fn, rows_fn)
+    normal = _plain(tagged.filter(~F.col("_hot")).drop("_hot"), key, order_cols, seq_col, range_fn, rows_fn, len_col)
 
     # Only hot rows take the steps below.
     d = tagged.filter("_hot").drop("_hot").withColumn("_basis", chunk_basis.cast("double"))
@@ -159,11 +162,14 @@ def sequence_windows(
         # Offsets of each hot chunk: counts per (key, chunk) -> running sum (small table).
         earlier = Window.partitionBy(key).orderBy("_hc").rowsBetween(Window.unboundedPreceding, -1)
         offs = d.filter("_own").groupBy(key, "_hc").agg(F.count(F.lit(1)).alias("_cn")).select(
-            F.col(key).alias("_ok"), F.col("_hc").alias("_oc"), F.coalesce(F.sum("_cn").over(earlier), F.lit(0)).alias("_off"))
+            F.col(key).alias("_ok"), F.col("_hc").alias("_oc"), F.coalesce(F.sum("_cn").over(earlier), F.lit(0)).alias("_off"),
+            F.sum("_cn").over(Window.partitionBy(key)).alias("_len"))
         hot = hot.join(offs, F.col(key).eqNullSafe(F.col("_ok")) & (F.col("_hc") == F.col("_oc")), "left")
         hot = hot.withColumn("_seq", F.col("_local") + F.col("_off"))
         if seq_col:
             hot = hot.withColumn(seq_col, F.col("_seq"))
+        if len_col:
+            hot = hot.withColumn(len_col, F.col("_len"))
     if rows_fn:
         # Pass 2: re-chunk by ordinal with a row halo, compute ROWS columns.
         hot = hot.withColumn("_rc", F.floor(F.col("_seq") / F.lit(row_chunk)).cast("long"))
@@ -181,9 +187,10 @@ def sequence_windows(
 
 def ordinal_within(df: DataFrame, key: str, order: Sequence[str], out: str, *,
                    chunk_basis: Column | None = None, hot_rows: int | None = HOT_ROWS,
-                   hour_chunk: float = 168.0) -> DataFrame:
-    """0-based position of each row within its key in ``order`` (row_number - 1), skew-safe."""
-    return sequence_windows(df, key, order, chunk_basis=chunk_basis, seq_col=out,
+                   hour_chunk: float = 168.0, length: str | None = None) -> DataFrame:
+    """0-based position of each row within its key in ``order`` (row_number - 1), skew-safe; ``length`` names the
+    key's number of rows."""
+    return sequence_windows(df, key, order, chunk_basis=chunk_basis, seq_col=out, len_col=length,
                             hot_rows=hot_rows, hour_chunk=hour_chunk)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import prefix
+from . import select as SE
 
 
 def id_hash(col: str | Column, mult: int = 48271, add: int = 11, mod: int = 10007) -> Column:
@@ -36,19 +37,33 @@ def stratified_split(df: DataFrame, label: str, order: Sequence[str], cuts_bp: S
                      n_parts: int | None = None) -> DataFrame:
     """Exact per-class counts.
 
-    Rows are ranked inside their class by ``order`` (a seeded hash, then id).
-    ``cuts_bp`` are cumulative cut points in basis points: the row of 0-based
+    Rows are ordered inside their class by ``order`` (a seeded hash, then a unique id).
+    ``cuts_bp`` are cumulative cut points in basis points: the row of 1-based
     rank r in a class of n rows goes to the first split with
-    ``(r + 1) * 10000 <= n * cut`` (integer arithmetic, no float drift). A class is
-    a hot key by construction (two classes), so rank and class size come from the
-    distributed row number over (label, order).
+    ``r * 10000 <= n * cut`` (integer arithmetic, no float drift). The rows at the cuts are found by radix selection
+    (``select``), and every row is compared with them where it stands: no sort, no shuffle, nothing written. A NULL
+    label is a class. With more than ``select.GROUPS`` classes rows are ranked by windows instead.
     """
-    ranked = prefix.group_row_number(df, [label], order, "_rn", total="_n", n=n_parts)
+    got = SE.keys_at_ranks(df, label, order, lambda n: [n * int(cut) // 10000 for cut in cuts_bp])
+    if got is None:
+        ranked = prefix.group_row_number(df, [label], order, "_rn", total="_n", n=n_parts)
+        within = [F.col("_rn") * 10000 <= F.col("_n") * F.lit(int(cut)) for cut in cuts_bp]
+        return ranked.withColumn(out, _first_of(within, names)).drop("_rn", "_n")
+    keys = got[1]
+    within = [_by_class(label, {g: SE.up_to(df, order, ks[i]) for g, ks in keys.items()}) for i in range(len(cuts_bp))]
+    return df.withColumn(out, _first_of(within, names))
+
+
+def _first_of(conditions: Sequence[Column], names: Sequence[str]) -> Column:
     expr = None
-    for cut, name in zip(cuts_bp, names):
-        cond = F.col("_rn") * 10000 <= F.col("_n") * F.lit(int(cut))
+    for cond, name in zip(conditions, names):
         expr = F.when(cond, name) if expr is None else expr.when(cond, name)
-    return ranked.withColumn(out, expr.otherwise(names[len(cuts_bp)])).drop("_rn", "_n")
+    return expr.otherwise(names[len(conditions)])
+
+
+def _by_class(label: str, values: dict) -> Column:
+    """The value of the row's class (NULL is a class)."""
+    return F.coalesce(*[F.when(F.col(label).eqNullSafe(F.lit(g)), v) for g, v in values.items()], F.lit(None))
 
 
 def patient_split(df: DataFrame, patient: str = "patient_id", cuts: Sequence[int] = (70, 85),
@@ -72,21 +87,59 @@ def check_split(assigned: DataFrame, key: str = "obs_id", split: str = "split",
 
 
 def upsample_minority(df: DataFrame, label: str, order: Sequence[str], n_parts: int | None = None) -> DataFrame:
-    """I7 + G1: minority rows replicated to the majority size exactly, then unioned with the majority.
+    """I7 + G1: rows of smaller classes replicated to the majority's size exactly, the majority as it is.
 
     With M majority and m minority rows, every minority row gets ``M div m``
     copies and the first ``M mod m`` rows by seeded hash one more (no driver
     sampling, no per-row randomness to lose on a retry). ``copy_no`` numbers the copies.
+    See :func:`resample_minority` for draws with replacement.
     """
+    counts = {r[0]: r[1] for r in df.groupBy(label).agg(F.count(F.lit(1))).limit(SE.GROUPS + 1).collect()}
+    if len(counts) > SE.GROUPS:
+        return _upsample_ranked(df, label, order, n_parts)
+    most = max(counts.values(), default=0)
+    got = SE.keys_at_ranks(df, label, order, lambda n: [most % n])
+    copies = {g: F.lit(most // n) + SE.up_to(df, order, got[1][g][0]).cast("int") for g, n in counts.items()}
+    k = _by_class(label, copies) if copies else F.lit(1)
+    return df.withColumn("copy_no", F.explode(F.sequence(F.lit(1), k.cast("int"))))
+
+
+def _upsample_ranked(df: DataFrame, label: str, order: Sequence[str], n_parts: int | None) -> DataFrame:
+    """Many classes: the same copies from a distributed row number."""
     ranked = prefix.group_row_number(df, [label], order, "_rn", total="_n", n=n_parts)
-    classes = ranked.groupBy(label).agg(F.first("_n").alias("_n"))  # one row per class
-    d = ranked.withColumns({"_maj": classes.agg(F.max_by(label, F.struct("_n", label))).scalar(),
-                            "_n_major": classes.agg(F.max("_n")).scalar()})
-    k = F.floor(F.col("_n_major") / F.col("_n"))
-    copies = F.when(F.col(label) == F.col("_maj"), F.lit(1)).otherwise(
-        k + F.when(F.col("_rn") <= F.col("_n_major") % F.col("_n"), 1).otherwise(0))
+    d = ranked.withColumn("_n_major", ranked.agg(F.max("_n")).scalar())
+    copies = F.floor(F.col("_n_major") / F.col("_n")) + F.when(F.col("_rn") <= F.col("_n_major") % F.col("_n"), 1).otherwise(0)
     d = d.withColumn("copy_no", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
-    return d.drop("_rn", "_n", "_maj", "_n_major")
+    return d.drop("_rn", "_n", "_n_major")
+
+
+def draw(number: str | Column, n: Column, seed: int = 42) -> Column:
+    """Place 0 .. n - 1 of draw ``number``: a seeded MD5, so replays draw the same rows (same formula in SQL engines)."""
+    text = F.concat(F.lit(f"{seed}:"), (F.col(number) if isinstance(number, str) else number).cast("string"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long") % n
+
+
+def resample_minority(df: DataFrame, label: str, order: Sequence[str], seed: int = 42) -> DataFrame:
+    """I7 + G1, with replacement: the majority as it is, and as many draws from each smaller class.
+
+    Draw j takes the class's row number ``draw(j)``. Row numbers (``order`` starts with a seeded hash) come from counts of
+    equal ranges of the hash and a window per range; the draws are generated where they are counted, and rows meet their
+    number of draws by row number. ``copy_no`` numbers a row's copies; rows that are not drawn vanish. At most
+    ``select.GROUPS`` classes; a NULL label is a class.
+    """
+    counts = {r[0]: r[1] for r in df.groupBy(label).agg(F.count(F.lit(1))).limit(SE.GROUPS + 1).collect()}
+    if len(counts) > SE.GROUPS:
+        raise ValueError(f"more than {SE.GROUPS} classes in {label}")
+    if not counts:
+        return df.withColumn("copy_no", F.lit(1))
+    major = max(counts, key=lambda g: (counts[g], g is None, g if g is not None else 0))
+    out = df.filter(F.col(label).eqNullSafe(F.lit(major))).withColumn("copy_no", F.lit(1))
+    for g in [g for g in counts if g != major]:
+        rows = prefix.bucket_row_number(df.filter(F.col(label).eqNullSafe(F.lit(g))), order, "_rn")
+        times = df.sparkSession.range(counts[major]).select((draw("id", F.lit(counts[g]), seed) + 1).alias("_rn")).groupBy("_rn").agg(F.count(F.lit(1)).alias("_k"))
+        rows = rows.join(times, "_rn").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_k").cast("int"))))
+        out = out.unionByName(rows.drop("_rn", "_k"))
+    return out
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
@@ -97,9 +150,16 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def with_class_weight(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """Attach the balanced weight column (the weight table has one row per class; the planner sees its size)."""
-    w = class_weights(df, label).select(label, F.col("weight").alias(out))
-    return df.join(w, on=label)
+    """Attach the balanced weight column; a NULL label is a class.
+
+    Up to ``select.GROUPS`` classes the weights stand in the plan as literals (counted first), so rows stay where they are;
+    more classes are joined."""
+    weights = class_weights(df, label).select(F.col(label).alias("_wl"), F.col("weight").alias(out))
+    held = weights.limit(SE.GROUPS + 1).collect()
+    if len(held) > SE.GROUPS:
+        return df.join(weights, F.col(label).eqNullSafe(F.col("_wl")), "left").drop("_wl")
+    values = {r["_wl"]: F.lit(r[out]) for r in held}
+    return df.withColumn(out, _by_class(label, values) if values else F.lit(None).cast("double"))
 
 
 def shuffle_order(df: DataFrame, id_col: str, out: str = "position") -> DataFrame:

@@ -260,6 +260,20 @@ def q_i7(spark, sf):
                                             F.countDistinct("obs_id").alias("n_distinct_obs"))
 
 
+@query("i7_resample_minority", W("lab", extra="""tr AS (SELECT * FROM lab WHERE split_bucket < 70),
+c AS (SELECT sepsis_next_6h AS y, COUNT(*) AS n FROM tr GROUP BY 1),
+m AS (SELECT y, n, (SELECT MAX(n) FROM c) AS most FROM c WHERE y <> (SELECT y FROM c ORDER BY n DESC, y DESC LIMIT 1)),
+num AS (SELECT obs_id, sepsis_next_6h, row_number() OVER (PARTITION BY sepsis_next_6h ORDER BY (obs_id * 48271 + 11) % 10007, obs_id) - 1 AS rn FROM tr),
+d AS (SELECT y, ('0x' || substr(md5('42:' || j), 1, 15))::BIGINT % n AS rn FROM m, range((SELECT MAX(n) FROM c)) g(j))""") + """SELECT obs_id, sepsis_next_6h,
+  CAST(COUNT(*) AS BIGINT) AS n_copies FROM d JOIN num ON num.sepsis_next_6h = d.y AND num.rn = d.rn GROUP BY 1, 2
+UNION ALL SELECT obs_id, sepsis_next_6h, CAST(1 AS BIGINT) FROM tr WHERE sepsis_next_6h NOT IN (SELECT y FROM m)""")
+def q_i7r(spark, sf):
+    """I7 + G1: minority drawn with replacement up to the majority size (copies of each drawn row)."""
+    tr = _lab(spark, sf).filter(F.col("split_bucket") < 70).withColumn("_h", SP.id_hash("obs_id"))
+    up = SP.resample_minority(tr, "sepsis_next_6h", _HASH_ORDER)
+    return up.groupBy("obs_id", "sepsis_next_6h").agg(F.count(F.lit(1)).alias("n_copies"))
+
+
 @query("i8_class_weights", W("lab", extra="c AS (SELECT sepsis_next_6h, COUNT(*) AS n FROM lab GROUP BY 1)") + """SELECT
   sepsis_next_6h, CAST(n AS BIGINT) AS n, ROUND((SELECT SUM(n) FROM c) / ((SELECT COUNT(*) FROM c) * n), 6) AS weight FROM c""")
 def q_i8(spark, sf):
