@@ -1,5 +1,6 @@
 """Models (TreeSHAP additivity, persistence) and file sources/sinks."""
 
+import math
 import os
 import tempfile
 
@@ -59,10 +60,44 @@ def test_tree_shap_matches_the_definition_over_all_subsets():
             for k in range(3):
                 for s in itertools.combinations(rest, k):
                     want[r, f] += math.factorial(k) * math.factorial(2 - k) / 6 * (value(x, {*s, f}) - value(x, {*s}))
-    for rows in (X, X[:2]):  # by patterns and row by row
-        phi = np.zeros_like(rows)
-        TS._tree_shap(rows, t, phi)
-        assert np.abs(phi - want[:len(rows)]).max() < 1e-12
+    for rows in (X, X[:2]):  # tables, and the patterns that rows have
+        for bits in (0, 1, 2, 3, 11):  # every leaf, part of the tree or the whole tree as a unit
+            assert np.abs(TS.tree_shap(rows, [TS.units(t, bits)]) - want[:len(rows)]).max() < 1e-12
+
+
+def test_tree_shap_of_boosted_trees_sums_to_the_margin(spark, data):
+    m = MD.fit(data.filter("split_bucket < 70"), MD.ModelSpec("gbt", "gbt", dict(maxIter=6, maxDepth=4)), K.F39, "sepsis_label")
+    sh = TS.shap_long(m, data.filter("split_bucket >= 85"), K.F39).toPandas()
+    g = sh.groupby("obs_id").agg(s=("shap", "sum"), b=("base", "first"), m=("margin", "first"), p=("p", "first"))
+    assert len(g) > 50 and (g.s + g.b - g.m).abs().max() < 1e-9
+    assert (1 / (1 + (-2 * g.m).map(math.exp)) - g.p).abs().max() < 1e-9
+
+
+def test_deep_trees_agree_with_tables():
+    import numpy as np
+    rng = np.random.default_rng(1)
+    nodes = []  # a chain of 16 splits on 14 features: more bits than a table has
+
+    def grow(depth, cover):
+        i = len(nodes)
+        nodes.append(None)
+        if depth == 16 or cover < 2:
+            nodes[i] = (-1, -1, 0, 0.0, rng.normal(), cover)
+            return i
+        low = grow(16 if depth % 2 else depth + 1, cover * 0.4)
+        nodes[i] = (low, grow(depth + 1, cover * 0.6), depth % 14, rng.normal(), 0.0, cover)
+        return i
+
+    grow(0, 1e6)
+    t = dict(zip(("left", "right", "feat", "thr", "value", "cover"), map(np.array, zip(*nodes))))
+    X = rng.normal(0, 1, (300, 14))
+    a, b = (TS.tree_shap(X, [TS.units(t, bits)]) for bits in (0, 11))
+    assert np.abs(a - b).max() < 1e-9
+
+    def out(x, j=0):
+        return nodes[j][4] if nodes[j][0] < 0 else out(x, nodes[j][0] if x[nodes[j][2]] <= nodes[j][3] else nodes[j][1])
+
+    assert np.abs(a.sum(axis=1) + TS.expected_value([t]) - [out(x) for x in X]).max() < 1e-9
 
 
 def test_shap_queries_explain_the_forest_that_scores(spark):

@@ -96,6 +96,12 @@ def q_m5(spark, sf):
     return TS.shap_long(model, data, K.F39)
 
 
+@query("m5_tree_shap_boosted")
+def q_m5b(spark, sf):
+    """M5 on the boosted trees that score (J2): base + sum of shap == margin of every observation."""
+    return TS.shap_long(TR.fitted(spark, sf, GBT, LABEL), TR.labelled_splits(spark, sf, LABEL), K.F39)
+
+
 @query("m6_m7_shap_report")
 def q_m67(spark, sf):
     """M6 + M7 on model SHAP values: risk / protective factor texts per observation."""
