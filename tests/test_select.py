@@ -91,3 +91,36 @@ def test_class_weights_keep_null_labels_and_need_no_join(spark):
     assert {r[0]: round(r[1], 9) for r in got.select("label", "weight").distinct().collect()} == {g: round(len(rows) / (len(size) * n), 9) for g, n in size.items()}
     assert got.count() == len(rows)
     assert SP.with_class_weight(df, "k").count() == len(rows)  # more classes than literals
+
+
+def test_quantiles_by_sketch_and_count(spark):
+    import numpy as np
+    import pandas as pd
+
+    from vigilia.operators import profile as P
+    rng = np.random.default_rng(5)
+    n = 30000
+    x = rng.normal(0, 1, n)
+    frame = pd.DataFrame({"a": x, "b": rng.integers(0, 3, n).astype(float), "c": np.where(rng.random(n) < 0.4, 7.0, x * 1e9), "d": np.full(n, 2.5),
+                          "e": np.where(rng.random(n) < 0.5, np.nan, x), "f": np.full(n, np.nan), "g": np.where(rng.random(n) < 0.01, np.inf, x)})
+    df = spark.createDataFrame(frame).withColumn("a", F.when(F.col("a") < 2.5, F.col("a"))).withColumn("h", F.lit(None).cast("int")).cache()
+    frame.loc[frame.a >= 2.5, "a"] = np.nan
+    cols = list("abcdefgh")
+    for q in (0.5, 0.25, 0.9, 0.0, 1.0):
+        for small in (1 << 20, 50):  # one bracket, and brackets narrowed several times
+            got = P.quantile_values(df, cols, q, small)
+            want = {c: np.nanquantile(frame[c].to_numpy(), q) for c in "abcde"} | {"g": np.inf if q == 1 else np.nanquantile(frame.g.to_numpy(), q)}
+            assert got.keys() == want.keys()
+            for c in want:
+                assert got[c] == want[c] or abs(got[c] - want[c]) <= 1e-12 * abs(want[c]), (c, q, small)
+    assert P.exact_quantiles(df.limit(0), ["a", "b"]).count() == 0
+    one = P.exact_quantiles(df, ["a", "b"]).collect()
+    assert [r.feature for r in one] == ["a", "b"] and one[0].median == round(float(np.nanmedian(frame.a)), 6)
+    df.unpersist()
+
+
+def test_pipelines_impute_with_exact_medians(spark):
+    from vigilia.operators import models as MD
+    df = spark.createDataFrame([(1.0, None), (2.0, 4.0), (float("nan"), 6.0), (10.0, None), (4.0, 8.0)], "a double, b double")
+    got = MD.MedianImputer(["a", "b"]).fit(df).transform(df).select("a__imp", "b__imp").collect()
+    assert [tuple(r) for r in got] == [(1.0, 6.0), (2.0, 4.0), (3.0, 6.0), (10.0, 6.0), (4.0, 8.0)]

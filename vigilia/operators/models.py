@@ -1,6 +1,6 @@
 """Training, scoring and persistence with Spark ML.
 
-Models are ``Pipeline``s: median imputation fitted on the training split (I3),
+Models are ``Pipeline``s: exact median imputation fitted on the training split (I3),
 vector assembly in a fixed feature order (B16), then the estimator. Class
 balance is a weight column (I8), never row duplication. Scores are
 ``vector_to_array(probability)[1]`` (K1). Every estimator trains on executors.
@@ -13,15 +13,16 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LinearSVCModel, LogisticRegression,
                                        LogisticRegressionModel, RandomForestClassifier)
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from . import profile as P
 from . import split as SP
 
 # ---------------------------------------------------------------- FIXED VALUES
@@ -54,9 +55,25 @@ def feature_frame(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in features})
 
 
-def _imputer(features: Sequence[str]) -> Imputer:
-    """Median imputation fitted on the training split (approximate quantile at scale)."""
-    return Imputer(strategy="median", inputCols=list(features), outputCols=[f"{c}__imp" for c in features])
+class MedianImputer(Estimator):
+    """Median imputation, fitted with the exact medians of :func:`profile.quantile_values`; NULL and NaN are missing.
+
+    The fitted stage is a ``SQLTransformer`` (``<column>__imp`` per column), saved and loaded with its pipeline. A column
+    without values stays NULL."""
+
+    def __init__(self, cols: Sequence[str]):
+        super().__init__()
+        self.cols = list(cols)
+
+    def _fit(self, dataset: DataFrame) -> SQLTransformer:
+        medians = P.quantile_values(dataset, self.cols)
+        fill = [f"coalesce(nanvl(CAST(`{c}` AS DOUBLE), NULL), CAST({medians[c]!r} AS DOUBLE)) AS `{c}__imp`" if c in medians
+                else f"nanvl(CAST(`{c}` AS DOUBLE), NULL) AS `{c}__imp`" for c in self.cols]
+        return SQLTransformer(statement=f"SELECT *, {', '.join(fill)} FROM __THIS__")
+
+
+def _imputer(features: Sequence[str]) -> MedianImputer:
+    return MedianImputer(features)
 
 
 def _assembler(features: Sequence[str]) -> VectorAssembler:

@@ -1,9 +1,8 @@
 """Table profiling and dataset suitability.
 
 Every statistic is one aggregation pass with partial (map-side) aggregation;
-per-column results are unpivoted from a single wide row. Exact quantiles use a
-distributed sort (range partitions + per-partition counts) instead of
-collecting values into one task.
+per-column results are unpivoted from a single wide row. Exact quantiles are
+bracketed by mergeable sketches and finished by counts.
 """
 
 from __future__ import annotations
@@ -12,8 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-
-from . import prefix
+from pyspark.sql import types as T
 
 
 def _stack(df: DataFrame, names: Sequence[str], prefix_: str, out: str, key: str = "column_name") -> DataFrame:
@@ -120,24 +118,78 @@ def feature_means(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return _stack(wide, cols, "a_", "mean", key="feature").withColumn("mean", F.round("mean", 6))
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], q: float = 0.5, n_parts: int | None = None,
-                    rounded: bool = True) -> DataFrame:
-    """Exact, linearly interpolated quantile per column (pandas / ``quantile_cont`` semantics).
+SKETCH_K = 4096  # of the KLL sketches: ranks are off by about 0.1 %
+SKETCH_ERROR = 0.004  # of the rank, as a share of all values: four times that
+SMALL = 1 << 20  # values of a column that are counted one by one
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], q: float = 0.5, rounded: bool = True, small: int = SMALL) -> DataFrame:
+    """Exact, linearly interpolated quantile per column (pandas / ``quantile_cont`` semantics), for all columns at once.
 
-    Values are unpivoted and counted per (feature, value) first, so a value that
-    most rows share is one row; running sums of the counts then give each value's
-    ranks, and the values at the one or two ranks of the quantile are kept.
+    One pass builds a mergeable KLL sketch of every column, whose rank bound brackets the quantile. A second pass counts
+    the values below the bracket and each value in it, combined in the tasks; running sums of these counts hold the values at
+    the one or two ranks of the quantile. Brackets of more than ``small`` values are narrowed by further sketches of the
+    values inside first. No sort of the table, nothing written; two rows a column reach the driver. NULL and NaN are missing
+    values; a column without values has no row.
     """
-    body = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
-    long = df.selectExpr(f"stack({len(cols)}, {body}) AS (feature, value)").filter(F.col("value").isNotNull())
-    counts = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    ranked = prefix.group_running_sums(counts, ["feature"], ["value"], ["n"], n_parts)
-    h = (F.col("n_total") - 1) * F.lit(q)
-    holds = lambda rank: (F.col("n_below") <= rank) & (rank < F.col("n_below") + F.col("n"))
-    ranked = ranked.withColumn("_h", h).filter(holds(F.floor("_h")) | holds(F.ceil("_h")))
-    agg = ranked.groupBy("feature").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.first("_h").alias("_h"))
-    val = F.col("_lo") + (F.col("_h") - F.floor("_h")) * (F.col("_hi") - F.col("_lo"))
-    return agg.select("feature", (F.round(val, 6) if rounded else val).alias("median" if q == 0.5 else f"q{q}"))
+    out = f"q{q}" if q != 0.5 else "median"
+    schema = T.StructType([T.StructField("feature", T.StringType()), T.StructField(out, T.DoubleType())])
+    picks = quantile_values(df, cols, q, small)
+    return df.sparkSession.createDataFrame([(c, round(v, 6) if rounded else v) for c, v in picks.items()], schema)
+
+
+def quantile_values(df: DataFrame, cols: Sequence[str], q: float = 0.5, small: int = SMALL) -> dict[str, float]:
+    """{column: quantile} of :func:`exact_quantiles`."""
+    x = {c: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")) for c in cols}
+    whole = (float("-inf"), float("inf"))
+    brackets, sizes = _sketched(df, x, dict.fromkeys(cols, whole), q, dict.fromkeys(cols, None))
+    ranks = {c: (n - 1) * q for c, n in sizes.items()}
+    inside = {c: 2 * SKETCH_ERROR * n for c, n in sizes.items()}
+    while wide := {c: b for c, b in brackets.items() if inside[c] > small and b[0] < b[1]}:
+        narrower, held = _sketched(df, {c: x[c] for c in wide}, wide, q, {c: ranks[c] for c in wide})
+        brackets |= narrower
+        done = {c: narrower[c] == wide[c] for c in wide}  # a bracket of few, frequent values
+        inside |= {c: 0 if done[c] else 2 * SKETCH_ERROR * held[c] for c in wide}
+    found = _at_ranks(df, x, brackets, ranks)
+    if missed := [c for c in sizes if c not in found]:  # the bound is one of probability
+        found |= _at_ranks(df, {c: x[c] for c in missed}, dict.fromkeys(missed, whole), ranks)
+    return {c: lo if lo == hi else lo + (ranks[c] - int(ranks[c])) * (hi - lo) for c in cols if c in found for lo, hi in [found[c]]}
+
+
+def _sketched(df: DataFrame, x: dict, brackets: dict, q: float, ranks: dict) -> tuple[dict, dict]:
+    """Narrower brackets from sketches of the values inside the given ones, and how many values these hold."""
+    cols = list(x)
+    inside = [F.when((x[c] >= F.lit(brackets[c][0])) & (x[c] <= F.lit(brackets[c][1])), x[c]) for c in cols]
+    n = len(cols)
+    # a sketch is some 100 kB, whatever the number of values
+    row = df.agg(*[F.kll_sketch_agg_double(v, F.lit(SKETCH_K)) for v in inside], *[F.count(v) for v in inside],
+                 *[F.count(F.when(x[c] < F.lit(brackets[c][0]), 1)) for c in cols]).first()
+    sizes = {c: row[n + i] for i, c in enumerate(cols) if row[n + i]}
+    at = []
+    for c in sizes:
+        i = cols.index(c)
+        share = q if ranks[c] is None else (ranks[c] - row[2 * n + i]) / sizes[c]
+        at += [F.kll_sketch_get_quantile_double(F.lit(bytes(row[i])), F.lit(max(0.0, min(1.0, share + d)))) for d in (-SKETCH_ERROR, SKETCH_ERROR)]
+    ends = df.sparkSession.range(1).select(*[e.alias(f"e{j}") for j, e in enumerate(at)]).first() if at else []
+    return {c: (ends[2 * i], ends[2 * i + 1]) for i, c in enumerate(sizes)}, sizes
+
+
+def _at_ranks(df: DataFrame, x: dict, brackets: dict, ranks: dict) -> dict[str, tuple[float, float]]:
+    """Values at the ranks around each column's quantile, where its bracket holds them."""
+    if not brackets:
+        return {}
+    cols = list(brackets)
+    parts = [F.struct(F.lit(i).alias("c"), (x[c] < F.lit(brackets[c][0])).alias("below"),
+                      F.when(x[c] >= F.lit(brackets[c][0]), x[c]).alias("v")) for i, c in enumerate(cols)]
+    kept = [F.when(x[c] <= F.lit(brackets[c][1]), p) for c, p in zip(cols, parts)]
+    counts = df.select(F.explode(F.array_compact(F.array(*kept))).alias("t")).groupBy("t.c", "t.below", "t.v").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("c").orderBy(F.desc("below"), "v").rowsBetween(Window.unboundedPreceding, -1)
+    h = F.element_at(F.array(*[F.lit(float(ranks[c])) for c in cols]), F.col("c") + 1)
+    ranked = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("h", h)
+    holds = lambda rank: (F.col("before") <= rank) & (rank < F.col("before") + F.col("n"))
+    rows = ranked.filter(~F.col("below")).select("c", "v", holds(F.floor("h")).alias("lo"), holds(F.ceil("h")).alias("hi")).filter("lo or hi").collect()
+    lo, hi = ({cols[r["c"]]: r["v"] for r in rows if r[k]} for k in ("lo", "hi"))
+    return {c: (lo[c], hi[c]) for c in cols if c in lo and c in hi}
 
 
 def class_ratio(df: DataFrame, target: str) -> DataFrame:
