@@ -170,3 +170,51 @@ def test_prediction_log_append_partitions_by_day(spark):
     IO.append_predictions(log.limit(10), path)
     back = spark.read.parquet(path)
     assert back.count() == 1010 and "dt" in back.columns
+
+
+def test_svm_calibration_rows_are_out_of_fold(spark, data, monkeypatch):
+    import numpy as np
+    train, held = data.filter("split_bucket < 70"), data.filter("split_bucket >= 70")
+    fits = []
+    real = MD.LinearSVC.fit
+
+    def fit(self, z, *a):
+        fits.append({r[0] for r in z.select("svm_fold").distinct().collect()})
+        return real(self, z, *a)
+
+    seen = []
+    margins = MD.out_of_fold_margins
+
+    def out_of_fold(z, est, folds):
+        m = margins(z, est, folds)
+        seen.append((z.count(), m.count()))
+        return m
+
+    monkeypatch.setattr(MD.LinearSVC, "fit", fit)
+    monkeypatch.setattr(MD, "out_of_fold_margins", out_of_fold)
+    m = MD.fit(train, MD.ModelSpec("svm", "rff_svm", dict(n_components=64, max_iter=8, folds=3)), K.F17, "sepsis_label")
+    assert fits == [{1, 2}, {0, 2}, {0, 1}, {0, 1, 2}] and seen == [(train.count(), train.count())]
+    p = MD.score(m, held, K.F17, keep=("sepsis_label",)).toPandas()
+    p["p"] = p["p"].clip(1e-6, 1 - 1e-6)
+    y, share = p["sepsis_label"], data.filter("split_bucket < 70").agg(F.avg("sepsis_label")).first()[0]
+    loss = -(y * np.log(p["p"]) + (1 - y) * np.log(1 - p["p"])).mean()
+    assert loss < -(y * math.log(share) + (1 - y) * math.log(1 - share)).mean()  # better than the training share
+
+
+def test_random_features_approach_the_kernel():
+    import numpy as np
+    x = np.random.default_rng(3).normal(0, 1, (60, 39))
+    kernel = np.exp(-((x[:, None] - x[None]) ** 2).sum(-1) / 39)
+    errors = []
+    for d in (32, MD.RFF_COMPONENTS):
+        z = MD.rff(x, *MD.rff_projection(39, d))
+        errors.append(np.sqrt(((z @ z.T - kernel) ** 2).mean()))
+    assert errors[1] < 0.07 < errors[0]
+
+
+def test_grid_search_keeps_patients_together(spark, data):
+    folds = data.select("patient_id", MD.patient_folds("patient_id", 3).alias("fold")).distinct()
+    assert folds.count() == data.select("patient_id").distinct().count() and folds.select("fold").distinct().count() == 3
+    got = MD.grouped_grid_search(data, [dict(numTrees=3, maxDepth=2, minInstancesPerNode=1), dict(numTrees=5, maxDepth=5, minInstancesPerNode=2)], K.F17, "sepsis_label", "patient_id")
+    rows = got.collect()
+    assert [tuple(r)[:3] for r in rows] == [(3, 2, 1), (5, 5, 2)] and all(0.5 < r.cv_auc <= 1 for r in rows)

@@ -4,41 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import prefix
 
 
-def psi(ref: DataFrame, new: DataFrame, col: str, lo: float, hi: float, bins: int = 10, eps: float = 1e-6) -> DataFrame:
-    """Population stability index over fixed-width bins on [lo, hi] (values outside go to the end bins).
+def compare_splits(df: DataFrame, ref_cond: Column, new_cond: Column, cols: Sequence[str], ranges: dict, bins: int = 10,
+                   eps: float = 1e-6) -> DataFrame:
+    """Z5 for several features: (feature, psi, psi_deciles, ks) of the rows of ``new_cond`` against those of ``ref_cond``.
 
-    One aggregation per side (bin counts), joined on the bin: a bins-sized table.
-    """
-    def hist(d: DataFrame, name: str) -> DataFrame:
-        b = F.least(F.greatest(F.floor((F.col(col) - lo) / (hi - lo) * bins), F.lit(0)), F.lit(bins - 1)).cast("int")
-        x = d.filter(F.col(col).isNotNull()).select(b.alias("bin"))
-        total = x.agg(F.count(F.lit(1))).scalar()
-        return x.groupBy("bin").agg((F.count(F.lit(1)) / total).alias(name))
-    spark = ref.sparkSession
-    allbins = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
-    j = allbins.join(hist(ref, "p_ref"), "bin", "left").join(hist(new, "p_new"), "bin", "left").fillna(0.0)
-    pr, pn = F.greatest(F.col("p_ref"), F.lit(eps)), F.greatest(F.col("p_new"), F.lit(eps))
-    return j.agg(F.round(F.sum((pn - pr) * F.log(pn / pr)), 6).alias("psi")).withColumn("feature", F.lit(col))
-
-
-def ks_statistic(ref: DataFrame, new: DataFrame, col: str) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov statistic: max |F_ref(x) - F_new(x)| over the distinct values.
-
-    Values are grouped first, then cumulative counts per side come from the
-    distributed running sums (no single-task window over the rows).
+    ``psi``: population stability index over ``bins`` equal ranges of the feature's ``ranges`` (values outside go to the end
+    bins); ``psi_deciles``: over the reference's quantiles (a value's bin follows from the share of reference rows below it);
+    ``ks``: two-sample Kolmogorov-Smirnov statistic. Shares below ``eps`` count as ``eps``. NULL and NaN are left out.
+
+    Both samples of all features are counted per (feature, value) in one aggregation; one running sum over these counts
+    gives the places of all values, and every measure is a sum or a maximum over it.
     """
-    a = ref.filter(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("x"), F.lit(1).alias("r"), F.lit(0).alias("n"))
-    b = new.filter(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("x"), F.lit(0).alias("r"), F.lit(1).alias("n"))
-    counts = a.unionByName(b).groupBy("x").agg(F.sum("r").cast("long").alias("r"), F.sum("n").cast("long").alias("n"))
-    cur = prefix.group_running_sums(counts, [], ["x"], ["r", "n"])
-    d = F.abs((F.col("r_below") + F.col("r")) / F.col("r_total") - (F.col("n_below") + F.col("n")) / F.col("n_total"))
-    return cur.agg(F.round(F.max(d), 6).alias("ks")).withColumn("feature", F.lit(col))
+    long = df.select(F.coalesce(ref_cond, F.lit(False)).cast("long").alias("r"), F.coalesce(new_cond, F.lit(False)).cast("long").alias("n"), F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias("value")) for c in cols])).alias("t"))
+    long = long.filter("t.value IS NOT NULL AND r + n > 0")
+    counts = long.groupBy("t.feature", "t.value").agg(F.sum("r").alias("r"), F.sum("n").alias("n"))
+    cur = prefix.group_running_sums(counts, ["feature"], ["value"], ["r", "n"])
+    fixed = F.coalesce(*[F.when(F.col("feature") == c, (F.col("value") - lo) / (hi - lo) * bins) for c, (lo, hi) in ranges.items()])
+    quantile = F.col("r_below") * bins / F.col("r_total")
+    clipped = lambda x: F.least(F.greatest(F.floor(x), F.lit(0)), F.lit(bins - 1)).cast("int")
+    kinds = F.array(F.struct(F.lit("psi").alias("kind"), clipped(fixed).alias("bin")), F.struct(F.lit("psi_deciles").alias("kind"), clipped(quantile).alias("bin")))
+    binned = cur.select("feature", "r", "n", "r_total", "n_total", F.explode(kinds).alias("k")).groupBy("feature", "k.kind", "k.bin").agg(
+        *[F.greatest(F.sum(c) / F.first(f"{c}_total"), F.lit(eps)).alias(f"p{c}") for c in ("r", "n")])
+    index = F.sum((F.col("pn") - F.col("pr")) * F.log(F.col("pn") / F.col("pr")))  # a bin empty on both sides adds nothing
+    psi = binned.groupBy("feature").pivot("kind", ["psi", "psi_deciles"]).agg(F.round(index, 6))
+    apart = F.abs((F.col("r_below") + F.col("r")) / F.col("r_total") - (F.col("n_below") + F.col("n")) / F.col("n_total"))
+    return psi.join(cur.groupBy("feature").agg(F.round(F.max(apart), 6).alias("ks")), "feature")
 
 
 def retrain_gate(new_rows: DataFrame, auc: DataFrame, min_rows: int = 1000, min_auc: float = 0.93) -> DataFrame:
@@ -46,14 +43,3 @@ def retrain_gate(new_rows: DataFrame, auc: DataFrame, min_rows: int = 1000, min_
     n = new_rows.agg(F.count(F.lit(1))).scalar()
     return auc.select("*", n.alias("n_new_rows"),
                       ((n > min_rows) & (F.col("roc_auc") > min_auc)).alias("deploy"))
-
-
-def compare_splits(df: DataFrame, ref_cond, new_cond, cols: Sequence[str], ranges: dict) -> DataFrame:
-    """Z5 for several features: PSI and KS of ``new`` rows against ``ref`` rows."""
-    ref, new = df.filter(ref_cond), df.filter(new_cond)
-    out = None
-    for c in cols:
-        lo, hi = ranges[c]
-        r = psi(ref, new, c, lo, hi).join(ks_statistic(ref, new, c), "feature")
-        out = r if out is None else out.unionByName(r)
-    return out

@@ -13,12 +13,13 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LinearSVCModel, LogisticRegression,
                                        LogisticRegressionModel, RandomForestClassifier)
 from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -80,30 +81,33 @@ def _assembler(features: Sequence[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=[f"{c}__imp" for c in features], outputCol="features", handleInvalid="keep")
 
 
-def rff_projection(n_in: int, n_components: int = 64, gamma: float | None = None, seed: int = 42):
+def rff_projection(n_in: int, n_components: int, gamma: float | None = None, seed: int = 42):
     """Random Fourier features for an RBF kernel: W ~ N(0, 2 gamma), b ~ U(0, 2 pi), fixed by the seed."""
     gamma = gamma or 1.0 / n_in
     rng = np.random.default_rng(seed)
     return rng.normal(0.0, np.sqrt(2 * gamma), size=(n_components, n_in)), rng.uniform(0, 2 * np.pi, size=n_components)
 
 
-def add_rff(df: DataFrame, vec_col: str, n_in: int, n_components: int = 64, out: str = "rff", seed: int = 42) -> DataFrame:
-    """z(x) = sqrt(2/D) cos(W x + b) as column expressions over the scaled vector (JVM-side)."""
+def add_rff(df: DataFrame, vec_col: str, n_in: int, n_components: int, out: str = "rff", seed: int = 42) -> DataFrame:
+    """z(x) = sqrt(2/D) cos(W x + b) of a vector column: one matrix product per Arrow batch."""
     from pyspark.ml.functions import array_to_vector
     w, b = rff_projection(n_in, n_components, seed=seed)
-    scale = float(np.sqrt(2.0 / n_components))
-    d = df.withColumn("_rff_x", vector_to_array(vec_col))  # unpack the vector once per row
-    x = F.col("_rff_x")
-    comps = []
-    for k in range(n_components):
-        dot = sum((F.lit(float(w[k, j])) * x[j] for j in range(n_in)), F.lit(float(b[k])))
-        comps.append(F.lit(scale) * F.cos(dot))
-    return d.withColumn(out, array_to_vector(F.array(*comps))).drop("_rff_x")
+
+    @F.pandas_udf("array<double>")
+    def project(x: pd.Series) -> pd.Series:
+        return pd.Series(list(rff(np.vstack(x.to_numpy()) if len(x) else np.zeros((0, n_in)), w, b)))
+
+    return df.withColumn(out, array_to_vector(project(vector_to_array(vec_col))))
+
+
+def rff(x: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Features whose inner products approach the kernel exp(-gamma |x - y|^2), with an error of about sqrt(1 / components)."""
+    return np.sqrt(2.0 / len(b)) * np.cos(x @ w.T + b)
 
 
 class RffSvmModel:  # saved part by part, see save / load
     """RBF-kernel SVM with probabilities, re-aimed for scale: scaler -> random Fourier
-    features -> linear SVM -> logistic calibration of the margin (Platt scaling)."""
+    features -> linear SVM -> logistic calibration of out-of-fold margins (Platt scaling)."""
 
     def __init__(self, prep: PipelineModel, svc, calib, n_in: int, n_components: int):
         self.prep, self.svc, self.calib, self.n_in, self.n_components = prep, svc, calib, n_in, n_components
@@ -115,17 +119,59 @@ class RffSvmModel:  # saved part by part, see save / load
         return self.calib.transform(d)
 
 
-def fit_rff_svm(d: DataFrame, features: Sequence[str], label: str, weight: str | None, n_components: int = 32,
-                reg: float = 0.01, max_iter: int = 50) -> RffSvmModel:
+FOLDS = 5  # of the calibration, as in libsvm's probability estimates
+RFF_COMPONENTS = 256
+
+
+def svm_fold(row: Sequence[str], folds: int = FOLDS) -> Column:
+    """Fold of a row by the hash of its columns: equal rows share a fold."""
+    return F.pmod(F.xxhash64(*row), F.lit(folds)).cast("int")
+
+
+def fit_rff_svm(d: DataFrame, features: Sequence[str], label: str, weight: str | None, n_components: int = RFF_COMPONENTS,
+                reg: float = 0.01, max_iter: int = 50, folds: int = FOLDS) -> RffSvmModel:
+    """The SVM that scores learns from all rows; its margins are calibrated on margins out of fold: each fold's rows are
+    scored by an SVM that has not seen them, and one logistic fit maps these margins to probabilities."""
     prep = Pipeline(stages=[_imputer(features), _assembler(features),
                             StandardScaler(inputCol="features", outputCol="scaled_vec", withMean=True, withStd=True)]).fit(d)
-    z = add_rff(prep.transform(d), "scaled_vec", len(features), n_components)
-    svc = LinearSVC(featuresCol="rff", labelCol=label, maxIter=max_iter, regParam=reg, rawPredictionCol="svm_raw",
-                    predictionCol="svm_pred", **({"weightCol": weight} if weight else {})).fit(z)
-    m = VectorAssembler(inputCols=["svm_margin"], outputCol="margin_vec").transform(
-        svc.transform(z).withColumn("svm_margin", vector_to_array("svm_raw")[1]))
-    calib = LogisticRegression(featuresCol="margin_vec", labelCol=label, maxIter=50).fit(m)
-    return RffSvmModel(prep, svc, calib, len(features), n_components)
+    z = add_rff(prep.transform(d.withColumn("svm_fold", svm_fold(features, folds))), "scaled_vec", len(features), n_components)
+    z = z.select(label, *([weight] if weight else []), "svm_fold", "rff")
+    est = LinearSVC(featuresCol="rff", labelCol=label, maxIter=max_iter, regParam=reg, rawPredictionCol="svm_raw",
+                    predictionCol="svm_pred", **({"weightCol": weight} if weight else {}))
+    m = out_of_fold_margins(z, est, folds)
+    calib = LogisticRegression(featuresCol="margin_vec", labelCol=label, maxIter=50).fit(
+        VectorAssembler(inputCols=["svm_margin"], outputCol="margin_vec").transform(m))
+    return RffSvmModel(prep, est.fit(z), calib, len(features), n_components)
+
+
+def out_of_fold_margins(z: DataFrame, est: LinearSVC, folds: int = FOLDS, fold: str = "svm_fold") -> DataFrame:
+    """``z`` with ``svm_margin`` from the model fitted on the other folds' rows."""
+    parts = [est.fit(z.filter(F.col(fold) != k)).transform(z.filter(F.col(fold) == k)) for k in range(folds)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.withColumn("svm_margin", vector_to_array("svm_raw")[1])
+
+
+def patient_folds(patient: str | Column, folds: int) -> Column:
+    """Fold of a patient by a seeded hash: all hours of a patient share it, NULL is a patient."""
+    return F.pmod(F.coalesce(SP.id_hash(patient, 69621, 7, 10009), F.lit(0)), F.lit(folds)).cast("int")
+
+
+def grouped_grid_search(train: DataFrame, grid: Sequence[dict], features: Sequence[str], label: str, group: str,
+                        folds: int = 3) -> DataFrame:
+    """Mean validation AUC of each forest of ``grid`` by cross-validation whose folds keep a ``group`` together."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator
+    data = feature_frame(train, features).withColumns({label: F.col(label).cast("double"), "fold": patient_folds(group, folds)})
+    data = SP.with_class_weight(data, label, "class_weight")
+    forest = RandomForestClassifier(featuresCol="features", labelCol=label, weightCol="class_weight", seed=42)
+    maps = [{forest.getParam(k): v for k, v in params.items() if k != "balanced"} for params in grid]
+    cv = CrossValidator(estimator=Pipeline(stages=[_imputer(features), _assembler(features), forest]), estimatorParamMaps=maps, numFolds=folds, foldCol="fold",
+                        evaluator=BinaryClassificationEvaluator(labelCol=label), parallelism=2)
+    aucs = cv.fit(data).avgMetrics
+    rows = [(p["numTrees"], p["maxDepth"], p["minInstancesPerNode"], float(m)) for p, m in zip(grid, aucs)]
+    return train.sparkSession.createDataFrame(rows, "num_trees int, max_depth int, min_instances int, cv_auc double")
 
 
 def build_pipeline(spec: ModelSpec, features: Sequence[str], label: str, weight: str | None) -> Pipeline:

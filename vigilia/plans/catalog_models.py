@@ -22,7 +22,7 @@ def _spec(name, kind, params):
 RF = _spec("random_forest", "rf", {k: v for k, v in MD.RF_CONFIGS["rf_compare"].items() if k != "balanced"})
 GBT = _spec("gradient_boosting", "gbt", MD.GBT_CONFIGS["gbt_compare"])
 LR = _spec("logistic_regression", "lr", dict(maxIter=2000))
-SVM = _spec("svm_rbf_rff", "rff_svm", dict(n_components=32))
+SVM = _spec("svm_rbf_rff", "rff_svm", dict(n_components=MD.RFF_COMPONENTS))
 
 
 def _scores(spark, sf, spec):

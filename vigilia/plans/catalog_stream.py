@@ -179,6 +179,18 @@ def q_z5(spark, sf):
                              {c: K.CLIP_RANGES[c] for c in DRIFT_COLS}).select("feature", "psi", "ks")
 
 
+@query("z5_drift_deciles", W("vitals", extra=",\n".join(f"""c_{c} AS (SELECT {c} AS x, COUNT(*) FILTER (WHERE split_bucket < 70) AS r, COUNT(*) FILTER (WHERE split_bucket >= 85) AS n
+  FROM vitals WHERE {c} IS NOT NULL AND (split_bucket < 70 OR split_bucket >= 85) GROUP BY 1),
+b_{c} AS (SELECT LEAST(FLOOR((SUM(r) OVER (ORDER BY x) - r) * 10 / SUM(r) OVER ()), 9) AS bin, r / SUM(r) OVER () AS pr, n / SUM(n) OVER () AS pn FROM c_{c})"""
+    for c in DRIFT_COLS)) + " UNION ALL ".join(f"""SELECT '{c}' AS feature, ROUND(SUM((pn - pr) * LN(pn / pr)), 6) AS psi_deciles FROM
+  (SELECT GREATEST(SUM(pr), 1e-6) AS pr, GREATEST(SUM(pn), 1e-6) AS pn FROM b_{c} GROUP BY bin)""" for c in DRIFT_COLS))
+def q_z5d(spark, sf):
+    """PSI of test rows against training rows over the training rows' deciles."""
+    v = T.vitals(spark, sf)
+    return DR.compare_splits(v, F.col("split_bucket") < 70, F.col("split_bucket") >= 85, DRIFT_COLS,
+                             {c: K.CLIP_RANGES[c] for c in DRIFT_COLS}).select("feature", "psi_deciles")
+
+
 def _gate_sql():
     from .catalog_metrics import CURVE, LS
     return W("scored", extra=LS + ",\n" + CURVE + """,
@@ -202,21 +214,9 @@ def q_z6(spark, sf):
 
 @query("z7_grid_search")
 def q_z7(spark, sf):
-    """Grid search with cross-validation over forest size and depth (ParamGridBuilder + CrossValidator)."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-
+    """Cross-validation over the forests of the reference (trees, depth, leaf size); a patient's hours share a fold."""
     from ..operators import models as MD
     from . import train as TR
     data = TR.labelled_splits(spark, sf, "sepsis_label").filter(F.col("split") == "train")
-    data = MD.feature_frame(data, K.F39).withColumn("sepsis_label", F.col("sepsis_label").cast("double"))
-    rf = RandomForestClassifier(featuresCol="features", labelCol="sepsis_label", seed=42)
-    pipe = Pipeline(stages=[MD._imputer(K.F39), MD._assembler(K.F39), rf])
-    grid = ParamGridBuilder().addGrid(rf.numTrees, [20, 50]).addGrid(rf.maxDepth, [4, 8]).build()
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, numFolds=3, seed=42, parallelism=2,
-                        evaluator=BinaryClassificationEvaluator(labelCol="sepsis_label"))
-    model = cv.fit(data)
-    rows = [(int(pm[rf.numTrees]), int(pm[rf.maxDepth]), float(m)) for pm, m in zip(grid, model.avgMetrics)]
-    return spark.createDataFrame(rows, "num_trees int, max_depth int, cv_auc double")
+    grid = [MD.RF_CONFIGS[name] for name in ("rf_compare", "rf_main")]
+    return MD.grouped_grid_search(data, grid, K.F39, "sepsis_label", "patient_id")

@@ -17,7 +17,7 @@ from . import prepare as PR
 
 COMPARE_SPECS = [
     MD.ModelSpec("logistic_regression", "lr", dict(maxIter=2000)),
-    MD.ModelSpec("svm_rbf_rff", "rff_svm", dict(n_components=32)),
+    MD.ModelSpec("svm_rbf_rff", "rff_svm", dict(n_components=MD.RFF_COMPONENTS)),
     MD.ModelSpec("random_forest", "rf", {k: v for k, v in MD.RF_CONFIGS["rf_compare"].items() if k != "balanced"}),
     MD.ModelSpec("gradient_boosting", "gbt", MD.GBT_CONFIGS["gbt_compare"]),
 ]
