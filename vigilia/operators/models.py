@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LinearSVCModel, LogisticRegression,
                                        LogisticRegressionModel, RandomForestClassifier)
@@ -135,13 +136,15 @@ def fit_rff_svm(d: DataFrame, features: Sequence[str], label: str, weight: str |
     prep = Pipeline(stages=[_imputer(features), _assembler(features),
                             StandardScaler(inputCol="features", outputCol="scaled_vec", withMean=True, withStd=True)]).fit(d)
     z = add_rff(prep.transform(d.withColumn("svm_fold", svm_fold(features, folds))), "scaled_vec", len(features), n_components)
-    z = z.select(label, *([weight] if weight else []), "svm_fold", "rff")
+    z = z.select(label, *([weight] if weight else []), "svm_fold", "rff").persist(StorageLevel.MEMORY_AND_DISK)  # read by every fit
     est = LinearSVC(featuresCol="rff", labelCol=label, maxIter=max_iter, regParam=reg, rawPredictionCol="svm_raw",
                     predictionCol="svm_pred", **({"weightCol": weight} if weight else {}))
     m = out_of_fold_margins(z, est, folds)
     calib = LogisticRegression(featuresCol="margin_vec", labelCol=label, maxIter=50).fit(
         VectorAssembler(inputCols=["svm_margin"], outputCol="margin_vec").transform(m))
-    return RffSvmModel(prep, est.fit(z), calib, len(features), n_components)
+    model = RffSvmModel(prep, est.fit(z), calib, len(features), n_components)
+    z.unpersist()
+    return model
 
 
 def out_of_fold_margins(z: DataFrame, est: LinearSVC, folds: int = FOLDS, fold: str = "svm_fold") -> DataFrame:
