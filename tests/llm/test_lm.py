@@ -89,6 +89,71 @@ def test_scores_are_probabilities_that_learning_improves(spark):
     assert abs(sum(2.0 ** -L.mixed_bits(q, np.array([w], np.uint8)) for w in (0, 1)) - 1) < 1e-6
 
 
+def slow_bits(logits, way, start):
+    """The mixer decision by decision, from its definition: weights and map stand still within a block."""
+    weights, apm = [[float(x) for x in row] for row in start[0]], [float(x) for x in start[1]]
+    bits, begin, size = 0.0, 0, L.BLOCKS[0]
+    while begin < len(way):
+        part = range(begin, min(begin + size, len(way)))
+        slope = [[0.0] * len(L.ORDERS) for _ in range(L.GATES)]
+        hits, ones = Counter(), Counter()
+        for i in part:
+            x = [int(q) for q in logits[:, i]]
+            gate = sum(q != 0 for q in x)
+            z = max(-7.99, min(7.99, sum(w * q for w, q in zip(weights[gate], x, strict=True))))
+            p = 1 / (1 + math.exp(-z))
+            cell = int(z * 2 + 16.5) + gate * L.CELLS
+            told = (p + apm[cell]) / 2
+            bits -= math.log2(told if way[i] else 1 - told)
+            for k, q in enumerate(x):
+                slope[gate][k] += (int(way[i]) - p) * q
+            hits[cell] += 1
+            ones[cell] += int(way[i])
+        rate = L.RATE / L.STEP / L.STEP / max(1.0, len(part) / 64)
+        for g in range(L.GATES):
+            weights[g] = [w + rate * s for w, s in zip(weights[g], slope[g], strict=True)]
+        for c, n in hits.items():
+            apm[c] += (1 - (1 - L.APM_RATE) ** min(n, 8)) * 0.5 * (ones[c] / n - apm[c])
+        begin, size = begin + size, min(2 * size, L.BLOCKS[1])
+    return bits
+
+
+def test_bits_match_a_mixer_that_goes_decision_by_decision(spark):
+    rows = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()][:60]
+    code = L.Code(np.bincount(np.frombuffer(b"".join(L.encoded(t) for t in rows), np.uint8), minlength=256))
+    src = spark.createDataFrame([(t,) for t in rows[:40]], "text string")
+    tables = spark.sparkContext.broadcast(L.train_tables(src, code))
+    start = L.learned_state(src, code, tables)
+    texts = [L.encoded(t) for t in [*rows[30:], "", "a", odd.LONG[:9000]]]
+    scorer = L.Scorer(code, tables.value[0], start)
+    for text, got in zip(texts, scorer.bits(texts), strict=True):  # all in one call: blocks of many documents at once
+        data, begins = L._joined([text])
+        n, salt, way = code.decisions(data)
+        logits = np.stack([scorer.table[i][L.slots(c, n, salt)] for i, c in enumerate(L.contexts(data, begins))])
+        want = slow_bits(logits, way, start)
+        assert abs(got - want) < 1e-3 * want + 0.01
+
+
+def test_learning_counts_every_training_decision(spark):
+    texts = ["abc abd abc", "xyz", "", "abc abd abc abe", "abd xyz"] * 3
+    code = L.Code(np.ones(256, np.int64))
+    src = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    tables = spark.sparkContext.broadcast(L.train_tables(src, code))
+    counts = L._histogram(src, code, tables)
+    want = Counter()
+    for t in texts:
+        data, begins = L._joined([L.encoded(t)])
+        table = tables.value[2 - L.fold_of(L.encoded(t))].reshape(len(L.ORDERS), -1)  # the other fold's
+        n, salt, way = code.decisions(data)
+        x = np.stack([table[i][L.slots(c, n, salt)] for i, c in enumerate(L.contexts(data, begins))])
+        for col, w in zip(x.T.tolist(), way.tolist(), strict=True):
+            at = 0
+            for q in col:
+                at = at * L.BINS + (0 if q == 0 else (q + 128) // 16 + 1)
+            want[at, w] += 1
+    assert {(int(a), int(w)): int(counts[a, w]) for a, w in zip(*np.nonzero(counts), strict=True)} == dict(want)
+
+
 def test_table_counts_every_training_document(spark):
     texts = ["abc abd abc", "xyz", ""]
     code = L.Code(np.ones(256, np.int64))
