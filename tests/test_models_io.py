@@ -218,3 +218,29 @@ def test_grid_search_keeps_patients_together(spark, data):
     got = MD.grouped_grid_search(data, [dict(numTrees=3, maxDepth=2, minInstancesPerNode=1), dict(numTrees=5, maxDepth=5, minInstancesPerNode=2)], K.F17, "sepsis_label", "patient_id")
     rows = got.collect()
     assert [tuple(r)[:3] for r in rows] == [(3, 2, 1), (5, 5, 2)] and all(0.5 < r.cv_auc <= 1 for r in rows)
+
+
+def test_line_numbers_need_no_sort_and_bad_lines_are_kept(spark):
+    path = tempfile.mkdtemp(prefix="vigilia-csv-")
+    want = []
+    for name, n in (("b.csv", 3000), ("a.csv", 40), ("c.csv", 1)):
+        lines = [f"{i},{'oops' if i % 13 == 5 else i + 0.5}" for i in range(n)]
+        with open(os.path.join(path, name), "w") as f:
+            f.write("hour_from_admission,heart_rate\n" + "\n".join(lines) + "\n")
+    for name, n in (("a.csv", 40), ("b.csv", 3000), ("c.csv", 1)):
+        want += [(i, None if i % 13 == 5 else i + 0.5, f"{i},oops" if i % 13 == 5 else None) for i in range(n)]
+    schema = "hour_from_admission long, heart_rate double"
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (old, "4096"):  # whole files, and many splits of a file
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = IO.read_observations_csv(spark, path, schema, corrupt="line")
+            got = {r.line_no: (r.hour_from_admission, r.heart_rate, r.line) for r in rows.collect()}
+            assert got == {k + 1: w for k, w in enumerate(want)}
+            plan = rows._jdf.queryExecution().executedPlan().toString()
+            assert "rangepartitioning" not in plan and "Sort" not in plan
+            good, bad = IO.read_with_quarantine(spark, path, schema)
+            assert {(r.line_no, r.line) for r in bad.collect()} == {(k + 1, w[2]) for k, w in enumerate(want) if w[2]}
+            assert good.count() == sum(w[2] is None for w in want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)

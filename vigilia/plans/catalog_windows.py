@@ -59,6 +59,21 @@ def q_a1(spark, sf):
     return st.select("line_no", "heart_rate", "temperature_c", "gender", "patient_id")
 
 
+@query("a1_csv_quarantine", W("vitals", extra=RAW_SQL) + """SELECT line_no, 'see note' AS heart_rate_text,
+  CAST((SELECT COUNT(*) FROM raw WHERE line_no % 97 <> 0) AS BIGINT) AS n_readable FROM raw WHERE line_no % 97 = 0""")
+def q_a1q(spark, sf):
+    """A1: CSV files in which some lines hold text for a number: readable rows apart from malformed lines with their numbers."""
+    raw = T.raw_lines(T.vitals(spark, sf))
+    names = [f.split()[0] for f in IO.OBSERVATION_SCHEMA.split(", ")]
+    path = scratch_path(spark, "csv")
+    lines = raw.repartitionByRange(5, "line_no").sortWithinPartitions("line_no").withColumn(
+        "heart_rate", F.when(F.col("line_no") % 97 == 0, "see note").otherwise(F.col("heart_rate").cast("string")))
+    lines.select(*names).write.option("header", True).option("nullValue", "NaN").csv(path)
+    good, bad = IO.read_with_quarantine(spark, path)
+    return bad.select("line_no", F.get(F.split("line", ","), F.lit(names.index("heart_rate"))).alias("heart_rate_text"),
+                      good.agg(F.count(F.lit(1))).scalar().alias("n_readable"))
+
+
 LABEL_B = """lb AS (SELECT obs_id, LEAD(sirs_positive, 6) OVER (PARTITION BY patient_id ORDER BY hour_from_admission, obs_id)
   AS sirs_positive_6h FROM sv)"""
 

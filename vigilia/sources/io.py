@@ -7,11 +7,11 @@ rebuild) have an explicit order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.clinical import nan_to_null
-from ..operators import prefix
+from ..session import checkpoint
 
 # Schema of the raw observation file.
 OBSERVATION_SCHEMA = (
@@ -23,21 +23,53 @@ OBSERVATION_SCHEMA = (
 )
 
 
+CORRUPT = "_corrupt_record"
+SPLITS = 100_000  # splits whose offsets are broadcast (one narrow row each)
+
+
 def read_observations_csv(spark: SparkSession, path: str, schema: str = OBSERVATION_SCHEMA,
-                          with_line_no: bool = True) -> DataFrame:
+                          with_line_no: bool = True, corrupt: str | None = None) -> DataFrame:
     """A1: CSV with header and an explicit schema; NaN text is read as NULL.
 
-    ``line_no`` is 1..N over all files in order of their paths: rows are ordered by
-    (file, start of the split in the file, position in the split) and numbered with
-    the distributed row number, all JVM-side.
+    ``line_no`` is 1..N over all files in order of their paths (see :func:`numbered`). ``corrupt`` names a column that
+    holds the text of a malformed line (its unreadable fields are NULL) and NULL for others.
     """
-    df = spark.read.schema(schema).option("header", True).option("nanValue", "NaN").option("mode", "PERMISSIVE").csv(path)
-    df = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
-                   F.monotonically_increasing_id().alias("_pos"))
+    fields = f"{schema}, {CORRUPT} string"
+    df = spark.read.schema(fields).option("header", True).option("nanValue", "NaN").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(path)
+    # a field that nobody reads is not parsed: the mark of a malformed line depends on all fields, so that all are
+    whole = F.xxhash64(*[c for c in df.columns if c != CORRUPT]) >= F.lit(-(1 << 63))
+    df = df.select(*[c for c in df.columns if c != CORRUPT], *([F.when(whole, F.col(CORRUPT)).alias(corrupt)] if corrupt else []), *_place())
     df = nan_to_null(df)
-    if with_line_no:
-        df = prefix.global_row_number(df, ["_file", "_start", "_pos"], "line_no")
-    return df.drop("_file", "_start", "_pos")
+    return numbered(df) if with_line_no else df.drop("_file", "_start", "_pos")
+
+
+def _place() -> list[Column]:
+    """A row's file, the start of its split in the file, and its place in the task that reads it."""
+    return [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+            F.monotonically_increasing_id().alias("_pos")]
+
+
+def numbered(df: DataFrame, out: str = "line_no") -> DataFrame:
+    """Line numbers without a sort: rows are counted per split (file, start), a running sum over the splits in order of
+    path and start gives each split's offset, and a row's number is the offset and its place in the split.
+
+    The table of splits (one row each) is written once in the shared checkpoint folder, and broadcast up to ``SPLITS`` rows;
+    the rows themselves stay in the tasks that read them. Both passes read the same splits: a scan's layout depends on the
+    files and the session's settings alone.
+    """
+    splits = df.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first"))
+    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)  # one row per split
+    splits = checkpoint(splits.select(F.col("_file").alias("_f"), F.col("_start").alias("_s"), "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")))
+    if splits.count() <= SPLITS:
+        splits = F.broadcast(splits)
+    d = df.join(splits, (F.col("_file") == F.col("_f")) & (F.col("_start") == F.col("_s")))
+    return d.withColumn(out, (F.col("_off") + F.col("_pos") - F.col("_first") + 1).cast("long")).drop("_file", "_start", "_pos", "_f", "_s", "_first", "_off")
+
+
+def read_with_quarantine(spark: SparkSession, path: str, schema: str = OBSERVATION_SCHEMA) -> tuple[DataFrame, DataFrame]:
+    """A1: (readable rows with ``line_no``, malformed lines as (line_no, line)); numbers count all lines of both."""
+    rows = read_observations_csv(spark, path, schema, corrupt="line")
+    return rows.filter(F.col("line").isNull()).drop("line"), rows.filter(F.col("line").isNotNull()).select("line_no", "line")
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | None = None) -> DataFrame:
