@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..operators import metrics as M
 from ..operators import monitor as MO
+from ..operators import partials as PT
+from ..session import scratch_path
 from ..sources import tables as T
 from .registry import query
 from .sqlbase import tier_sql
@@ -69,10 +71,13 @@ def q_n3(spark, sf):
     return d.withColumn("alert_list", F.array_join(text, "; ")).drop("alerts")
 
 
-@query("n5_current_risk", W("plog") + f"""SELECT patient_id, risk_score AS current_risk_score,
+_N5 = W("plog") + f"""SELECT patient_id, risk_score AS current_risk_score,
   {tier_sql('risk_score')} AS current_risk_level, last_updated FROM (
   SELECT patient_id, risk_score, MAX(ts) OVER (PARTITION BY patient_id) AS last_updated,
-    row_number() OVER (PARTITION BY patient_id ORDER BY ts DESC, obs_id DESC) AS rn FROM plog2) x WHERE rn = 1""")
+    row_number() OVER (PARTITION BY patient_id ORDER BY ts DESC, obs_id DESC) AS rn FROM plog2) x WHERE rn = 1"""
+
+
+@query("n5_current_risk", _N5)
 def q_n5(spark, sf):
     """Current risk per patient from the prediction log (as-of latest)."""
     return MO.current_risk(T.prediction_log(T.vitals(spark, sf)))
@@ -103,18 +108,42 @@ def q_n4_rows(spark, sf):
     return d.withColumn("seq", F.col("seq").cast("long"))
 
 
-@query("d13_system_summary", W("plog") + """SELECT CASE WHEN GROUPING(model_used) = 1 THEN 'ALL' ELSE model_used END AS model_used,
+_D13 = W("plog") + """SELECT CASE WHEN GROUPING(model_used) = 1 THEN 'ALL' ELSE model_used END AS model_used,
   CASE WHEN GROUPING(risk_level) = 1 THEN 'ALL' ELSE risk_level END AS risk_level,
   CAST(COUNT(*) AS BIGINT) AS n_predictions, CAST(COUNT(DISTINCT patient_id) AS BIGINT) AS n_patients,
   CAST(SUM(CASE WHEN CAST(ts AS DATE) = (SELECT MAX(CAST(ts AS DATE)) FROM plog2) THEN 1 ELSE 0 END) AS BIGINT) AS n_today,
   ROUND(AVG(risk_score), 6) AS avg_risk_score, ROUND(AVG(confidence), 6) AS avg_confidence,
   ROUND(COUNT(*) * 1e2 / (SELECT COUNT(*) FROM plog2), 6) AS pct_of_all
-FROM plog2 GROUP BY CUBE (model_used, risk_level)""")
+FROM plog2 GROUP BY CUBE (model_used, risk_level)"""
+
+
+@query("d13_system_summary", _D13)
 def q_d13(spark, sf):
     """System summary over the prediction log (CUBE of model x tier)."""
     return MO.system_summary(T.prediction_log(T.vitals(spark, sf)))
 
 
+def _appended(spark, sf):
+    """Partials of the prediction log, appended in two batches by time."""
+    log = T.prediction_log(T.vitals(spark, sf))
+    path, partial = scratch_path(spark, "log"), scratch_path(spark, "log-partials")
+    for part in (F.col("ts") < F.lit("2024-01-02 12:00:00").cast("timestamp_ntz"), F.col("ts") >= F.lit("2024-01-02 12:00:00").cast("timestamp_ntz")):
+        PT.append_day(log.filter(part), path, partial)
+    return spark.read.parquet(partial)
+
+
+@query("d13_incremental_summary", _D13)
+def q_d13i(spark, sf):
+    """D13 + A9: the summary from per-day partials, kept up while the log is appended in two batches that share a day."""
+    return PT.summary(_appended(spark, sf))
+
+
+@query("n5_incremental_risk", _N5)
+def q_n5i(spark, sf):
+    """N5 + A9: current risk per patient from the per-day partials."""
+    return PT.current_risk(_appended(spark, sf))
+
+
 A10_MODELS = ["random_forest", "xgboost", "logistic_regression"]
 
 
