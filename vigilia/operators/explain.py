@@ -305,3 +305,9 @@ def patient_report(v: DataFrame, p: str = "score_a", threshold: float = 0.5, las
                         filled["heart_rate"], sirs).alias("findings"),
         actions(prob, sirs, threshold).alias("actions"),
     )
+
+
+def report_name(patient: Column, at: Column | None = None) -> Column:
+    """H5s: name of a patient's report file with a time stamp (now, unless given)."""
+    stamp = F.date_format(at if at is not None else F.current_timestamp(), "yyyyMMdd_HHmmss")
+    return F.concat(F.lit("reports/sepsis_report_"), patient.cast("string"), F.lit("_"), stamp, F.lit(".pdf"))

@@ -7,7 +7,8 @@ per patient are bounded top-k lists, never a whole history.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import clinical as C
@@ -148,3 +149,23 @@ def metrics_with_defaults(computed_long: DataFrame, models: list[str]) -> DataFr
     j = defaults.join(computed_long, on=["model", "metric"], how="left")
     return j.select("model", "metric", F.coalesce("value", "default_value").alias("value"),
                     F.when(F.col("value").isNotNull(), "computed").otherwise("default").alias("source"))
+
+
+def metrics_from_files(spark: SparkSession, folder: str, models: list[str]) -> DataFrame:
+    """A10: (model, metric, value, source) per model from ``<folder>/<model>_metrics.json`` (a file, or a folder that Spark wrote).
+
+    A model whose file holds a JSON object of numbers has exactly these metrics; one without a file, or with a broken one, has
+    the interface defaults.
+    """
+    defaults = spark.createDataFrame([(m, k, v) for m in models for k, v in K.DEFAULT_MODEL_METRICS.items()], "model string, metric string, value double")
+    try:
+        files = spark.read.text(f"{folder.rstrip('/')}/*_metrics.json", wholetext=True)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return defaults.withColumn("source", F.lit("default"))
+    model = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)_metrics\.json(/[^/]*)?$", 1)
+    held = files.select(model.alias("model"), F.explode(F.from_json("value", "map<string,double>")).alias("metric", "value"))
+    held = held.filter(F.col("model").isin(models) & F.col("value").isNotNull())
+    missing = defaults.join(held.select("model").distinct(), "model", "left_anti")
+    return held.withColumn("source", F.lit("file")).unionByName(missing.withColumn("source", F.lit("default")))

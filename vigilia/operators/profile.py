@@ -112,6 +112,15 @@ def leakage_warnings(df: DataFrame, suspicious: Sequence[str] = ("sepsis_risk_sc
     return [f"WARNING: {c} may cause data leakage" for c in suspicious if c in df.columns]
 
 
+def leakage_report(df: DataFrame, target: str, cols: Sequence[str], suspicious: Sequence[str] = ("sepsis_risk_score",), cut: float = 0.9) -> DataFrame:
+    """D9 with a correlation cut: (feature, reason, abs_corr) of the columns whose name is known to leak, or whose absolute
+    correlation with the target reaches ``cut`` (both reasons: two rows). One aggregation pass."""
+    wide = df.agg(*[F.abs(F.corr(F.col(c).cast("double"), F.col(target).cast("double"))).alias(f"r_{c}") for c in cols])
+    found = _stack(wide, cols, "r_", "abs_corr", key="feature").withColumn("abs_corr", F.round("abs_corr", 6))
+    reasons = F.array_compact(F.array(F.when(F.col("feature").isin(list(suspicious)), "name"), F.when(F.col("abs_corr") >= cut, "correlation")))
+    return found.select("feature", F.explode(reasons).alias("reason"), "abs_corr")
+
+
 def feature_means(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Mean of each feature (one pass)."""
     wide = df.agg(*[F.avg(c).alias(f"a_{c}") for c in cols])

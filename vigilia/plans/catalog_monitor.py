@@ -163,14 +163,30 @@ dv AS ({dv})""") + """SELECT dv.model, dv.metric, COALESCE(cl.value, dv.default_
 FROM dv LEFT JOIN cl ON dv.model = cl.model AND dv.metric = cl.metric"""
 
 
-@query("a10_metrics_with_defaults", _a10_sql())
-def q_a10(spark, sf):
-    """A10: model metrics table with interface defaults where no computed value exists."""
+def _computed_metrics(spark, sf):
     from .catalog_metrics import LONG
     long = LONG(spark, sf)
     rt = M.rates(M.confusion(long, ["model"]))
     auc = M.roc_auc(M.score_curve(long, ["model"]), ["model"])
     wide = rt.join(auc, on="model")
-    computed = wide.selectExpr("model", "stack(6, 'accuracy', accuracy, 'sensitivity', recall, 'specificity', specificity, "
+    return wide.selectExpr("model", "stack(6, 'accuracy', accuracy, 'sensitivity', recall, 'specificity', specificity, "
                                "'auc_roc', roc_auc, 'f1_score', f1, 'precision', precision) AS (metric, value)")
-    return MO.metrics_with_defaults(computed, A10_MODELS)
+
+
+@query("a10_metrics_with_defaults", _a10_sql())
+def q_a10(spark, sf):
+    """A10: model metrics table with interface defaults where no computed value exists."""
+    return MO.metrics_with_defaults(_computed_metrics(spark, sf), A10_MODELS)
+
+
+@query("a10_metrics_files", _a10_sql())
+def q_a10f(spark, sf):
+    """A10: computed metrics written as a JSON file per model, a broken file for a third; read back with defaults."""
+    computed = _computed_metrics(spark, sf)
+    folder = scratch_path(spark, "metrics")
+    for m in A10_MODELS[:2]:
+        one = computed.filter(F.col("model") == m).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("metric", "value")))).alias("value"))
+        one.coalesce(1).write.text(f"{folder}/{m}_metrics.json")
+    spark.createDataFrame([("{not json",)], "value string").coalesce(1).write.text(f"{folder}/{A10_MODELS[2]}_metrics.json")
+    out = MO.metrics_from_files(spark, folder, A10_MODELS)
+    return out.withColumn("source", F.when(F.col("source") == "file", "computed").otherwise(F.col("source")))

@@ -274,6 +274,28 @@ def q_i7r(spark, sf):
     return up.groupBy("obs_id", "sepsis_next_6h").agg(F.count(F.lit(1)).alias("n_copies"))
 
 
+D9_COLS = ["sepsis_risk_score", "lactate", "heart_rate", "score_a", "sirs_score"]
+
+
+@query("d9_leakage_report", W("sv", extra="""d AS (SELECT *, CASE WHEN sepsis_risk_score >= 7e-1 THEN 1 ELSE 0 END AS y FROM sv),
+r AS (""" + " UNION ALL ".join(f"SELECT '{c}' AS feature, ROUND(abs(corr({c}, y)), 6) AS abs_corr FROM d" for c in D9_COLS) + ")") + """SELECT feature,
+  'name' AS reason, abs_corr FROM r WHERE feature = 'sepsis_risk_score' UNION ALL SELECT feature, 'correlation', abs_corr FROM r WHERE abs_corr >= 5e-1""")
+def q_d9(spark, sf):
+    """Columns that may leak the current sepsis flag, by name and by a correlation of .5 or more."""
+    from ..functions import clinical as C
+    v = C.with_sirs(T.vitals(spark, sf)).withColumn("y", C.sepsis_now())
+    return P.leakage_report(v, "y", D9_COLS, cut=0.5)
+
+
+@query("h5_timestamped_names", W("plog") + """SELECT patient_id, 'reports/sepsis_report_' || patient_id || '_' || strftime(MAX(ts), '%Y%m%d_%H%M%S') || '.pdf' AS report_name
+FROM plog2 GROUP BY patient_id""")
+def q_h5(spark, sf):
+    """H5s: timestamped report names per patient (time of the last prediction)."""
+    from ..operators import explain as X
+    log = T.prediction_log(T.vitals(spark, sf)).groupBy("patient_id").agg(F.max("ts").alias("ts"))
+    return log.select("patient_id", X.report_name(F.col("patient_id"), F.col("ts")).alias("report_name"))
+
+
 @query("i8_class_weights", W("lab", extra="c AS (SELECT sepsis_next_6h, COUNT(*) AS n FROM lab GROUP BY 1)") + """SELECT
   sepsis_next_6h, CAST(n AS BIGINT) AS n, ROUND((SELECT SUM(n) FROM c) / ((SELECT COUNT(*) FROM c) * n), 6) AS weight FROM c""")
 def q_i8(spark, sf):
