@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import string
+from collections import Counter
 
 import llm_odd as odd
 from vigilia.llm import secrets as S
@@ -40,8 +41,37 @@ def test_novelty_tells_random_strings_from_names(spark):
     for known in ("authentication_token_provider", "configuration_manager2", "aaaaaaaaaaaaaaaa1111111111111111", "https://example.com/config1"):
         assert n.share(before, known, "") < S.NOVEL, known
     text = f"the bearer {drawn[0]} and later far away " + "word " * 40 + drawn[1] + " password: hunter2hunter2" + drawn[2]
-    spans = S.novel_spans(text, S.base_spans(text), n)
-    assert [text[a:b] for a, _, b in spans] == [drawn[0]]  # no context for the second; the third touches a base span
+    assert [run for _, _, _, run, _ in S.candidates(text, S.base_spans(text))] == [drawn[0]]  # no context for the second; the third touches a base span
+
+
+def plain_novel(texts):
+    """Novel spans per text: words counted one by one, each candidate held against every counted word."""
+    tally = Counter(w.lower() for t in texts for w in re.findall(r"(?<![A-Za-z0-9+/_=\x80-\U0010ffff-])[A-Za-z]+(?![A-Za-z0-9+/_=\x80-\U0010ffff-])", t))
+    known = {w for w, n in tally.items() if n >= S.KNOWN and S.WORD[0] <= len(w) <= S.WORD[1]}
+    out = []
+    for t in texts:
+        spans = []
+        for a, b, before, run, after in S.candidates(t, S.base_spans(t)):
+            held = {run[i:j] for i in range(len(run)) for j in range(i + 1, len(run) + 1) if run[i:j].lower() in known}
+            if S.Novelty().share(before, run, after, held) >= S.NOVEL:
+                spans.append(f"novel:{a}:{b}")
+        out.append(spans)
+    return out
+
+
+def test_every_run_is_measured_against_exact_counts(spark):
+    rng = random.Random(8)
+    draw = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+    letters, digits = draw(string.ascii_letters, 28), draw(string.digits, 20)
+    mixed = draw(string.ascii_letters + string.digits, 30)
+    texts = [f"the bearer {letters} ends", f"credential is {digits} there", *[f"a secret {mixed} copied in place {i}" for i in range(6)],
+             "the secret authenticationprovidermanager here", "the secret Authentication_Provider_Manager here",
+             *["authentication provider, manager of the house"] * 2, "a token unknownlettersstandinghereonce"]
+    df = odd.docs(spark, [(i, t, "en", "s", 0, *odd.EXTRA) for i, t in enumerate(texts)])
+    got = {r.doc_id: [x for x in r.spans.split(",") if x.startswith("novel")] for r in S.scan(df).collect()}
+    assert [got[i] for i in range(len(texts))] == plain_novel(texts)
+    assert all(len(got[i]) == 1 for i in range(8))  # without a digit, without a letter, and in copies
+    assert not got[8] and not got[9]  # names of the corpus
 
 
 def test_odd_rows_and_extra_spans(spark):
@@ -69,3 +99,6 @@ def test_whole_table_matches_brute_force(spark):
     assert len(got) == len(text) and sum(r.n_assign + r.n_access + r.n_hex for r in got) > 0
     for r in got:
         assert r.base_sha256 == hashlib.sha256(S.joined(brute(text[r.doc_id])).encode()).hexdigest()
+    ids = list(text)
+    want = dict(zip(ids, plain_novel([text[i] or "" for i in ids]), strict=True))
+    assert {r.doc_id: [x for x in r.spans.split(",") if x.startswith("novel")] for r in got} == want
