@@ -5,14 +5,16 @@ ignored) give each position of a text one hash per mask; equal hashes of a bench
 also where the ignored tokens differ. Around each hit both texts are laid on the hit's diagonal: the document is
 contaminated if some window of ``WINDOW`` tokens of the item (the whole item, if it is shorter) agrees with the
 document in at least ``SIMILARITY`` of its tokens. The masks catch every window of 8 to 13 tokens with the one or two
-substitutions that this allows (tests/llm checks all of them).
+substitutions that this allows (tests/llm checks all of them). Shorter items have no room for substitutions: an item of
+5 to 7 tokens is found where all its tokens stand in a row (the mask without gaps hits there), and one of 1 to 4 tokens
+where it is the whole document, since its words in a row are no copy of it yet.
 
 The benchmark is the query set: it is read in blocks of at most ``BLOCK_TOKENS`` tokens, each broadcast as sorted
 hashes with positions (about 40 MB at most, whatever the benchmark's size), and every document is held against each
 block in whole. Benchmark positions whose surroundings are equal for the whole reach of the check are kept once, so a
 passage that many items share is one entry.
 
-Cases: null and empty texts hold nothing; items of fewer than ``MIN_TOKENS`` tokens (and null items) are passed over;
+Cases: null and empty texts hold nothing, and items without a token (null, empty, punctuation) are in nothing;
 repeated rows get the same verdict each; a null id is an id like any other; empty tables give no contamination;
 extra columns are ignored (``contamination``) or kept (``decontaminate``).
 """
@@ -32,7 +34,8 @@ from vigilia.llm import common
 MASKS = ("11111", "1101011", "10110011")  # five tokens each
 WINDOW = 13
 SIMILARITY = 0.8
-MIN_TOKENS = 8
+MIN_TOKENS = 8  # shorter items are found as whole sequences only
+SEED_TOKENS = 5  # shorter ones have no seed
 BLOCK_TOKENS = 1 << 20
 SPAN = max(map(len, MASKS))
 REACH = np.arange(-WINDOW + 1, SPAN + WINDOW - 1)  # offsets from a hit that a window over it can touch
@@ -77,6 +80,10 @@ def seeds(tokens: np.ndarray, mask: str) -> np.ndarray:
     return out
 
 
+def _whole(tokens: np.ndarray) -> np.uint64:
+    return np.uint64(xxhash.xxh64_intdigest(tokens.tobytes(), SEED))
+
+
 class Block:
     """Seeds of some benchmark items: sorted hashes, the position each stands for, and a bit filter before the search."""
 
@@ -109,6 +116,11 @@ class Block:
         first = np.ones(len(h), bool)
         first[1:] = (h[1:] != h[:-1]) | (context[p][1:] != context[p][:-1])
         self.hash, self.place = h[first], p[first].astype(np.int32)
+        starts = len(pad) + np.cumsum([0, *(n + len(pad) for n in sizes[:-1])]) if sizes else np.zeros(0, np.int64)
+        tiny = [int(at) for at, n in zip(starts, sizes, strict=True) if n < SEED_TOKENS]
+        whole = np.array([_whole(self.tokens[at:self.high[at]]) for at in tiny], np.uint64)
+        order = np.argsort(whole, kind="stable")
+        self.whole, self.whole_place = whole[order], np.array(tiny, np.int32)[order]
 
     def filter(self) -> np.ndarray:
         out = np.zeros(1 << FILTER_BITS, bool)
@@ -130,7 +142,8 @@ class Block:
             for r, c in zip(*np.nonzero(good), strict=True):
                 yield int(pos[r, c]), int(pos[r, c]) + WINDOW, int(p[r, 0])
             size = (high - low)[:, 0]
-            whole = (size < WINDOW) & (total[:, -1] >= np.ceil(SIMILARITY * size - 1e-9))
+            least = np.where(size < MIN_TOKENS, size, np.ceil(SIMILARITY * size - 1e-9))
+            whole = (size < WINDOW) & (total[:, -1] >= least)
             for r in np.nonzero(whole)[0]:
                 begin = int(a[r, 0] - (p[r, 0] - low[r, 0]))
                 yield max(0, begin), min(len(doc), begin + int(size[r])), int(p[r, 0])
@@ -138,6 +151,13 @@ class Block:
     def check(self, doc: np.ndarray, maybe: np.ndarray) -> tuple[list[tuple[int, int]], int | None]:
         """(merged contaminated token spans, smallest item seen) of one document."""
         spans, items = set(), set()
+        if 0 < len(doc) < SEED_TOKENS:
+            h = _whole(doc)
+            for p in self.whole_place[np.searchsorted(self.whole, h, "left"):np.searchsorted(self.whole, h, "right")]:
+                if np.array_equal(self.tokens[p:self.high[p]], doc):
+                    spans.add((0, len(doc)))
+                    if self.named[p]:
+                        items.add(int(self.item[p]))
         for mask in MASKS:
             h = seeds(doc, mask)
             at = np.nonzero(maybe[h >> np.uint64(64 - FILTER_BITS)])[0]
@@ -172,7 +192,7 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int = BLOC
     tokens, held, size = Tokens(), [], 0
     for r in benchmark.select(F.col(item_col).cast("long").alias("item"), common.text_of(text_col).alias("text")).toLocalIterator():
         t = tokens.of(r["text"])
-        if len(t) < MIN_TOKENS:
+        if not len(t):
             continue
         for i in range(0, max(1, len(t) - WINDOW + 1), limit):
             part = t[i:i + limit + WINDOW - 1]
