@@ -7,12 +7,15 @@ vector h, gated attention weighs the passages of the bag,
     a = softmax(w . (tanh(V h) * sigmoid(U h))),   score = sigmoid(c . sum(a h) + d),
 
 and everything is learned from document labels alone (numpy, Adam, fixed seed) on at most ``SAMPLE`` labelled
-documents, drawn by the hash of the id; for learning, a bag is held to ``BAG`` evenly spaced passages. Scoring reads
-every passage of every document. The learned arrays (about 60 kB) travel with the scoring function.
+documents, drawn by the hash of the id. Every passage of a drawn document is learned from; documents are taken in the
+order of the hash as long as they have ``PASSAGES`` passages in all at most (one that does not fit is passed over), so
+what reaches the driver is bounded by these two parameters. Scoring reads every passage of every document. The learned
+arrays (about 60 kB) travel with the scoring function.
 
 Cases: null and empty texts are one all-zero passage and get a score; null labels and labels without a document are
 passed over; repeated labels of an id count as their mean, rounded half up; with no label at all the score is 0.5, with one class only it
-is that class's smoothed share; a null id is never held out; repeated rows are scored each; extra columns are ignored.
+is that class's smoothed share; a null id is never held out; repeated rows are scored each and learned from once; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from vigilia.llm import common
 PASSAGE = 64
 BUCKETS = 128
 SAMPLE = 4000  # labelled documents used for learning, at most
-BAG = 64  # passages of a document used for learning, at most
+PASSAGES = 1 << 16  # passages of them in all, at most
 STATS = 8
 FEATURES = BUCKETS + STATS
 HIDDEN, GATE = 24, 12
@@ -172,25 +175,31 @@ def train(bags_x: list[np.ndarray], y: np.ndarray, epochs: int = 14, batch: int
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-        sample: int = SAMPLE) -> dict:
+        sample: int = SAMPLE, passage_limit: int = PASSAGES) -> dict:
     """Model learned from the labels of ids outside the held-out fifth (crc32(id) mod 5 is not 0)."""
     known = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).alias("label")).filter(
         F.col("label").isNotNull() & F.col("label_id").isNotNull() & (remainder("label_id") != 0))
     known = known.groupBy("label_id").agg(F.floor(F.avg("label") + 0.5).cast("int").alias("label"))
-    drawn = known.orderBy(F.xxhash64("label_id"), "label_id").limit(sample)
+    drawn = known.withColumn("place", F.xxhash64("label_id")).orderBy("place", "label_id").limit(sample)
     rows = common.id_text(docs, id_col, text_col).join(F.broadcast(drawn), F.col("doc_id") == F.col("label_id"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = _Words()
         for b in batches:
-            out = []
-            for t in b["text"]:
-                x, _ = passages([t], words)
-                x = x[np.unique(np.linspace(0, len(x) - 1, min(len(x), BAG)).astype(np.int64))]
-                out.append(x.astype(np.float16).tobytes())
-            yield pd.DataFrame({"id": b["doc_id"].astype(str), "label": b["label"], "bag": out})
-
-    got = sorted(rows.mapInPandas(run, "id string, label int, bag binary").collect())  # at most ``sample`` ids of BAG passages
+            bags = [passages([t], words)[0].astype(np.float16) for t in b["text"]]
+            yield pd.DataFrame({"place": b["place"], "id": b["doc_id"].astype(str), "text_key": b["text_key"], "label": b["label"],
+                                "n": [len(x) for x in bags], "bag": [x.tobytes() for x in bags]})
+
+    bags = common.write_cut(rows.withColumn("text_key", common.text_key()).mapInPandas(
+        run, "place long, id string, text_key long, label int, n int, bag binary"))
+    order = bags.groupBy("place", "id", "text_key").agg(F.first("n").alias("n")).orderBy("place", "id", "text_key").limit(sample)
+    taken, total = [], 0
+    for r in order.collect():  # ``sample`` narrow rows at most
+        if total + r.n <= passage_limit:
+            taken.append((r.id, r.text_key))
+            total += r.n
+    taken = docs.sparkSession.createDataFrame(taken, "id string, text_key long")
+    got = sorted(bags.join(F.broadcast(taken), ["id", "text_key"]).dropDuplicates(["id", "text_key"]).select("id", "label", "bag").collect())
     if not got:
         return {"constant": 0.5}
     bags = [np.frombuffer(r.bag, np.float16).reshape(-1, FEATURES).astype(np.float64) for r in got]
