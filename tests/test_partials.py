@@ -21,6 +21,12 @@ def _same(a, b):
     return a.count() == b.count() and a.select(cols).exceptAll(b.select(cols)).count() == 0
 
 
+def _close(a, b):
+    """Equal rows; current score, tier, time, list and trend are exact."""
+    rows = lambda d: sorted((str(r.patient_id), str(r)) for r in d.select(*sorted(b.columns)).collect())
+    return rows(a) == rows(b)
+
+
 def test_appends_keep_partials_equal_to_the_full_log(spark):
     log = T.prediction_log(T.vitals(spark, SF_MID)).withColumn("patient_id", F.when(F.col("patient_id") % 9 != 0, F.col("patient_id"))).cache()
     path, partial = (f"{tempfile.mkdtemp(prefix='vigilia-log-')}/x" for _ in range(2))
@@ -38,7 +44,14 @@ def test_appends_keep_partials_equal_to_the_full_log(spark):
         rows = spark.read.parquet(partial)
         assert _same(PT.summary(rows), MO.system_summary(seen))
         assert _same(PT.current_risk(rows), MO.current_risk(seen))
+        kept = spark.read.parquet(path)
+        for hot in (MO.S.HOT_ROWS, 5):
+            assert _close(PT.history(rows, kept, hot_rows=hot), MO.patient_history(seen))
+            assert _close(PT.history(rows, kept, keep_last=3, hot_rows=hot), MO.patient_history(seen, keep_last=3))
     assert days[0] not in changed and days[1] in changed
+    need = PT.history_days(spark.read.parquet(partial), keep_last=3)
+    most = need.filter("in_log").groupBy("patient_id").count().agg(F.max("count")).first()[0]
+    assert need.filter("NOT in_log").count() > 0 and most <= 5  # two cut days, and those of three rows
     PT.refresh(spark, path, partial, [days[1]])  # again: nothing changes
     assert _same(PT.summary(spark.read.parquet(partial)), MO.system_summary(log))
     plan = PT.day_partials(spark.read.parquet(path).filter(F.col("dt").isin([days[1]])))._jdf.queryExecution().executedPlan().toString()

@@ -35,7 +35,7 @@ def _trend_of(value: str) -> list[Column]:
             F.avg(F.when(F.col("_r") >= F.col("_n") - q, F.col(value))).alias("_last")]
 
 
-def _trend_label() -> Column:
+def trend_label() -> Column:
     diff = F.col("_last") - F.col("_first")
     return F.when(F.col("n_points") < 4, "stable").when(diff > 0.05, "declining").when(diff < -0.05, "improving").otherwise("stable")
 
@@ -50,7 +50,7 @@ def trend(df: DataFrame, value: str, key: str = "patient_id", digits: int = 6) -
     ``df`` must carry ``_r`` (position) and ``_n`` (length), see :func:`with_position`. A NULL patient is a patient.
     """
     g = df.groupBy(key).agg(*_trend_of(value))
-    return g.select(key, "n_points", _trend_delta(digits).alias("trend_delta"), _trend_label().alias("trend"))
+    return g.select(key, "n_points", _trend_delta(digits).alias("trend_delta"), trend_label().alias("trend"))
 
 
 def spike_alert(rf: Column, xgb: Column, hours_before: Column) -> tuple[Column, Column]:
@@ -87,7 +87,7 @@ def monitoring_summary(v: DataFrame, hours: int = 24, key: str = "patient_id",
                    F.col("alert_message").alias("message"))
     g = pts.groupBy(key).agg(*_trend_of("ensemble_score"), F.sum(F.col("alert_triggered").cast("int")).cast("long").alias("total_alerts"),
                              F.sort_array(F.collect_list(F.when(F.col("alert_triggered"), one))).alias("alerts"))
-    return g.select(key, F.col("n_points").alias("total_data_points"), "total_alerts", _trend_label().alias("trend"),
+    return g.select(key, F.col("n_points").alias("total_data_points"), "total_alerts", trend_label().alias("trend"),
                     _trend_delta().alias("trend_delta"), F.transform("alerts", lambda a: F.struct(a["time"], a["message"])).alias("alerts"))
 
 
@@ -108,7 +108,7 @@ def patient_history(log: DataFrame, key: str = "patient_id", keep_last: int = 24
     g = pos.groupBy(key).agg(*_trend_of("risk_score"), F.sort_array(F.collect_list(F.when(F.col("_r") >= F.col("_n") - keep_last, one))).alias("predictions"),
                              F.max_by(F.struct("risk_score", "ts", "obs_id"), F.struct("ts", "obs_id")).alias("_l"), F.max("ts").alias("last_updated"))
     return g.select(key, "predictions", F.col("_l.risk_score").alias("current_risk_score"), C.risk_tier(F.col("_l.risk_score")).alias("current_risk_level"),
-                    "last_updated", _trend_label().alias("trend"), "n_points")
+                    "last_updated", trend_label().alias("trend"), "n_points")
 
 
 def history_rows(log: DataFrame, key: str = "patient_id", hot_rows: int | None = S.HOT_ROWS) -> DataFrame:

@@ -8,6 +8,7 @@ from ..functions import constants as K
 from ..operators import decisions as D
 from ..operators import quality as Q
 from ..sources import tables as T
+from . import expected as E
 from .registry import query
 from .sqlbase import q, rank_sql, rec_sql, tier_sql
 from .sqlbase import with_views as W
@@ -153,7 +154,7 @@ WHATIF = {"baseline": {}, "high_0.6": {"high": 0.6}, "critical_0.8": {"critical"
 def _whatif_sql():
     parts = []
     for name, t in WHATIF.items():
-        c = {**K.RISK_THRESHOLDS, **t}
+        c = {**E.RISK_CUTS, **t}
         parts.append(f"SELECT '{name}' AS scenario, "
                      f"{tier_sql('score_b', repr(c['moderate']) + 'e0', repr(c['high']) + 'e0', repr(c['critical']) + 'e0')}"
                      " AS risk_level FROM scored")

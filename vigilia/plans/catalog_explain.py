@@ -11,6 +11,7 @@ from ..operators import quality as Q
 from ..sources import tables as T
 from .expected import RANGES as X_RANGES
 from .expected import SCRIPT_UNITS
+from . import expected as E
 from .registry import query
 from .sqlbase import q, tier_sql
 from .sqlbase import with_views as W
@@ -203,10 +204,10 @@ def _req_sql():
 
 def _imp_sql():
     parts = []
-    for p, (lo, hi, _u) in K.NORMAL_RANGES.items():
-        a = K.API_NAME.get(p, p)
+    for p, lo, hi, _u, _t in E.RANGES:
+        a = E.REQUEST_NAMES.get(p, p)
         mid = (lo + hi) / 2
-        parts.append(f"SELECT obs_id, {K.API_PARAMETERS.index(a)} AS ord, '{a}' AS feature, {a} AS value, "
+        parts.append(f"SELECT obs_id, {E.REQUEST_ORDER.index(a)} AS ord, '{a}' AS feature, {a} AS value, "
                      f"CASE WHEN {a} IS NOT NULL THEN LEAST(abs({a} - {mid!r}) / {mid!r}, 5e-1) END AS imp FROM req")
     return "imp AS (" + " UNION ALL ".join(parts) + "), irk AS (SELECT *, row_number() OVER (PARTITION BY obs_id ORDER BY imp DESC, ord) AS rank FROM imp WHERE imp IS NOT NULL)"
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import constants as K
 from ..operators import metrics as M
 from ..operators import monitor as MO
 from ..operators import partials as PT
 from ..session import scratch_path
 from ..sources import tables as T
+from . import expected as E
 from .registry import query
 from .sqlbase import tier_sql
 from .sqlbase import with_views as W
@@ -83,7 +83,7 @@ def q_n5(spark, sf):
     return MO.current_risk(T.prediction_log(T.vitals(spark, sf)))
 
 
-@query("n4_patient_history", W("plog", extra="""h AS (SELECT patient_id, obs_id, risk_score, ts,
+_N4 = (W("plog", extra="""h AS (SELECT patient_id, obs_id, risk_score, ts,
     row_number() OVER (PARTITION BY patient_id ORDER BY ts, obs_id) - 1 AS r, COUNT(*) OVER (PARTITION BY patient_id) AS n,
     row_number() OVER (PARTITION BY patient_id ORDER BY ts DESC, obs_id DESC) AS rk FROM plog2),
 t AS (""" + _trend_sql("h", "risk_score") + """),
@@ -92,14 +92,20 @@ c AS (SELECT patient_id, MAX(CASE WHEN rk = 1 THEN risk_score END) AS current_ri
     string_agg(CASE WHEN rk <= 24 THEN CAST(obs_id AS VARCHAR) END, ',' ORDER BY ts, obs_id) AS recent_obs FROM h GROUP BY patient_id)""")
     + f"""SELECT c.patient_id, n_recent, recent_obs, current_risk_score, {tier_sql('current_risk_score')} AS current_risk_level,
   last_updated, trend, n_points FROM c JOIN t ON c.patient_id = t.patient_id""")
-def q_n4(spark, sf):
-    """Patient history: last 24 predictions, current risk, trend over all predictions, last update."""
-    h = MO.patient_history(T.prediction_log(T.vitals(spark, sf)))
+
+
+def _history_columns(h):
     return h.select("patient_id", F.size("predictions").alias("n_recent"),
                     F.array_join(F.transform("predictions", lambda x: x["obs_id"].cast("string")), ",").alias("recent_obs"),
                     "current_risk_score", "current_risk_level", "last_updated", "trend", "n_points")
 
 
+@query("n4_patient_history", _N4)
+def q_n4(spark, sf):
+    """Patient history: last 24 predictions, current risk, trend over all predictions, last update."""
+    return _history_columns(MO.patient_history(T.prediction_log(T.vitals(spark, sf))))
+
+
 @query("n4_history_rows", W("plog") + """SELECT patient_id, CAST(row_number() OVER (PARTITION BY patient_id ORDER BY ts, obs_id) AS BIGINT) AS seq,
   obs_id, ts, model_used, risk_score, risk_level FROM plog2""")
 def q_n4_rows(spark, sf):
@@ -124,24 +130,31 @@ def q_d13(spark, sf):
 
 
 def _appended(spark, sf):
-    """Partials of the prediction log, appended in two batches by time."""
+    """(log, partials) of the prediction log, appended in two batches by time."""
     log = T.prediction_log(T.vitals(spark, sf))
     path, partial = scratch_path(spark, "log"), scratch_path(spark, "log-partials")
     for part in (F.col("ts") < F.lit("2024-01-02 12:00:00").cast("timestamp_ntz"), F.col("ts") >= F.lit("2024-01-02 12:00:00").cast("timestamp_ntz")):
         PT.append_day(log.filter(part), path, partial)
-    return spark.read.parquet(partial)
+    return spark.read.parquet(path), spark.read.parquet(partial)
 
 
 @query("d13_incremental_summary", _D13)
 def q_d13i(spark, sf):
     """D13 + A9: the summary from per-day partials, kept up while the log is appended in two batches that share a day."""
-    return PT.summary(_appended(spark, sf))
+    return PT.summary(_appended(spark, sf)[1])
 
 
 @query("n5_incremental_risk", _N5)
 def q_n5i(spark, sf):
     """N5 + A9: current risk per patient from the per-day partials."""
-    return PT.current_risk(_appended(spark, sf))
+    return PT.current_risk(_appended(spark, sf)[1])
+
+
+@query("n4_incremental_history", _N4)
+def q_n4i(spark, sf):
+    """N4 + A9: patient history from the per-day partials and the log's days that a quarter's end or the list needs."""
+    log, partials = _appended(spark, sf)
+    return _history_columns(PT.history(partials, log))
 
 
 A10_MODELS = ["random_forest", "xgboost", "logistic_regression"]
@@ -150,7 +163,7 @@ A10_MODELS = ["random_forest", "xgboost", "logistic_regression"]
 def _a10_sql():
     from .catalog_metrics import CONF, LS, RATES_SQL, CURVE
     dv = " UNION ALL ".join(f"SELECT '{m}' AS model, '{k}' AS metric, {v!r} AS default_value"
-                            for m in A10_MODELS for k, v in K.DEFAULT_MODEL_METRICS.items())
+                            for m in A10_MODELS for k, v in E.MODEL_METRICS.items())
     return W("scored", extra=LS + ",\n" + CONF + ",\n" + CURVE + f""",
 auc AS (SELECT model, ROUND(SUM(pos * (neg_below + neg * 5e-1)) / (MAX(n_pos) * MAX(n_neg)), 6) AS roc_auc FROM cur GROUP BY model),
 rt AS ({RATES_SQL}),

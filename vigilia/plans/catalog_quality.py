@@ -11,6 +11,7 @@ from ..operators import labels as L
 from ..operators import quality as Q
 from ..sources import tables as T
 from .expected import CLIPS, RANGES
+from . import expected as E
 from .registry import query
 from .sqlbase import with_views as W
 
@@ -160,8 +161,8 @@ def q_c2(spark, sf):
 def _abn_long_sql() -> str:
     rows = []
     for p, lo, hi, _u, _t in RANGES:
-        a = K.API_NAME.get(p, p)
-        rows.append(f"('{a}', {lo!r}, {hi!r}, '{K.API_RANGE_TEXT[a]}')")
+        a = E.REQUEST_NAMES.get(p, p)
+        rows.append(f"('{a}', {lo!r}, {hi!r}, '{E.REQUEST_RANGES[a]}')")
     rng = "arng(api_name, low, high, txt) AS (VALUES " + ", ".join(rows) + ")"
     sel = "\n  UNION ALL ".join(
         f"SELECT obs_id, '{K.API_NAME.get(p, p)}' AS api_name, CAST({K.API_NAME.get(p, p)} AS DOUBLE) AS value FROM req"
