@@ -14,7 +14,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LinearSVCModel, LogisticRegression,
                                        LogisticRegressionModel, RandomForestClassifier)
@@ -24,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..session import checkpoint
 from . import profile as P
 from . import split as SP
 
@@ -52,6 +52,18 @@ class ModelSpec:
     balanced: bool = True
 
 
+ROWS_A_PARTITION = 1 << 14  # training rows that are worth a task of their own
+
+
+def training_rows(d: DataFrame, trees: bool) -> DataFrame:
+    """``d`` in no more partitions than its training can use; every row stays.
+
+    A fit is hundreds of short jobs over the same rows, with a task per partition. Trees add the statistics of every open node,
+    which each partition shuffles in full, however few its rows: two tasks a core are enough for them."""
+    n = -(-d.count() // ROWS_A_PARTITION)
+    return d.coalesce(max(1, min(n, 2 * d.sparkSession.sparkContext.defaultParallelism) if trees else n))
+
+
 def feature_frame(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Cast the feature columns to double (one-hot and counts included)."""
     return df.withColumns({c: F.col(c).cast("double") for c in features})
@@ -136,15 +148,14 @@ def fit_rff_svm(d: DataFrame, features: Sequence[str], label: str, weight: str |
     prep = Pipeline(stages=[_imputer(features), _assembler(features),
                             StandardScaler(inputCol="features", outputCol="scaled_vec", withMean=True, withStd=True)]).fit(d)
     z = add_rff(prep.transform(d.withColumn("svm_fold", svm_fold(features, folds))), "scaled_vec", len(features), n_components)
-    z = z.select(label, *([weight] if weight else []), "svm_fold", "rff").persist(StorageLevel.MEMORY_AND_DISK)  # read by every fit
+    # read by every fit; a fit evaluates some 150 short jobs, whose tasks would each carry the whole plan behind the rows
+    z = checkpoint(z.select(label, *([weight] if weight else []), "svm_fold", "rff"))
     est = LinearSVC(featuresCol="rff", labelCol=label, maxIter=max_iter, regParam=reg, rawPredictionCol="svm_raw",
                     predictionCol="svm_pred", **({"weightCol": weight} if weight else {}))
-    m = out_of_fold_margins(z, est, folds)
+    m = training_rows(out_of_fold_margins(z, est, folds), trees=False)
     calib = LogisticRegression(featuresCol="margin_vec", labelCol=label, maxIter=50).fit(
         VectorAssembler(inputCols=["svm_margin"], outputCol="margin_vec").transform(m))
-    model = RffSvmModel(prep, est.fit(z), calib, len(features), n_components)
-    z.unpersist()
-    return model
+    return RffSvmModel(prep, est.fit(z), calib, len(features), n_components)
 
 
 def out_of_fold_margins(z: DataFrame, est: LinearSVC, folds: int = FOLDS, fold: str = "svm_fold") -> DataFrame:
@@ -206,6 +217,7 @@ def fit(train: DataFrame, spec: ModelSpec, features: Sequence[str], label: str)
     if spec.balanced:
         d = SP.with_class_weight(d, label, "class_weight")
         weight = "class_weight"
+    d = training_rows(d, trees=spec.kind in ("rf", "gbt"))
     if spec.kind == "rff_svm":
         return fit_rff_svm(d, features, label, weight, **spec.params)
     return build_pipeline(spec, features, label, weight).fit(d)
