@@ -11,9 +11,11 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LinearSVCModel, LogisticRegression,
                                        LogisticRegressionModel, RandomForestClassifier)
@@ -21,6 +23,7 @@ from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from ..functions import constants as K
 from ..session import checkpoint
@@ -176,14 +179,22 @@ def grouped_grid_search(train: DataFrame, grid: Sequence[dict], features: Sequen
                         folds: int = 3) -> DataFrame:
     """Mean validation AUC of each forest of ``grid`` by cross-validation whose folds keep a ``group`` together."""
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    from pyspark.ml.tuning import CrossValidator
     data = feature_frame(train, features).withColumns({label: F.col(label).cast("double"), "fold": patient_folds(group, folds)})
-    data = SP.with_class_weight(data, label, "class_weight")
+    data = SP.with_class_weight(data, label, "class_weight").select(*features, label, "class_weight", "fold")
+    evaluator = BinaryClassificationEvaluator(labelCol=label)
     forest = RandomForestClassifier(featuresCol="features", labelCol=label, weightCol="class_weight", seed=42)
     maps = [{forest.getParam(k): v for k, v in params.items() if k != "balanced"} for params in grid]
-    cv = CrossValidator(estimator=Pipeline(stages=[_imputer(features), _assembler(features), forest]), estimatorParamMaps=maps, numFolds=folds, foldCol="fold",
-                        evaluator=BinaryClassificationEvaluator(labelCol=label), parallelism=2)
-    aucs = cv.fit(data).avgMetrics
+    found = []  # per fold the AUC of each forest
+    for k in range(folds):
+        learn, held = (training_rows(data.filter(c), trees=True) for c in (F.col("fold") != k, F.col("fold") == k))
+        prep = Pipeline(stages=[_imputer(features), _assembler(features)]).fit(learn)  # the same for every forest
+        learn, held = (prep.transform(d).select("features", label, "class_weight").persist(StorageLevel.MEMORY_AND_DISK) for d in (learn, held))
+        fit_one = inheritable_thread_target(train.sparkSession)(lambda m: evaluator.evaluate(forest.fit(learn, m).transform(held)))
+        with ThreadPool(2) as pool:
+            found.append(pool.map(fit_one, maps, chunksize=1))
+        learn.unpersist()
+        held.unpersist()
+    aucs = np.mean(found, axis=0)
     rows = [(p["numTrees"], p["maxDepth"], p["minInstancesPerNode"], float(m)) for p, m in zip(grid, aucs)]
     return train.sparkSession.createDataFrame(rows, "num_trees int, max_depth int, min_instances int, cv_auc double")
 
