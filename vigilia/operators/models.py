@@ -55,16 +55,13 @@ class ModelSpec:
     balanced: bool = True
 
 
-ROWS_A_PARTITION = 1 << 14  # training rows that are worth a task of their own
+ROWS_A_PARTITION = 1 << 14  # rows that are worth a task of their own in every short job of a linear fit
 
 
-def training_rows(d: DataFrame, trees: bool) -> DataFrame:
-    """``d`` in no more partitions than its training can use; every row stays.
-
-    A fit is hundreds of short jobs over the same rows, with a task per partition. Trees add the statistics of every open node,
-    which each partition shuffles in full, however few its rows: two tasks a core are enough for them."""
-    n = -(-d.count() // ROWS_A_PARTITION)
-    return d.coalesce(max(1, min(n, 2 * d.sparkSession.sparkContext.defaultParallelism) if trees else n))
+def tree_rows(d: DataFrame) -> DataFrame:
+    """``d`` in at most two partitions a core: trees shuffle the statistics of every open node from each partition in full,
+    however few its rows. Their draws of rows are seeded by partition, so fewer partitions stay as they are."""
+    return d.coalesce(2 * d.sparkSession.sparkContext.defaultParallelism)
 
 
 def feature_frame(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -151,11 +148,13 @@ def fit_rff_svm(d: DataFrame, features: Sequence[str], label: str, weight: str |
     prep = Pipeline(stages=[_imputer(features), _assembler(features),
                             StandardScaler(inputCol="features", outputCol="scaled_vec", withMean=True, withStd=True)]).fit(d)
     z = add_rff(prep.transform(d.withColumn("svm_fold", svm_fold(features, folds))), "scaled_vec", len(features), n_components)
-    # read by every fit; a fit evaluates some 150 short jobs, whose tasks would each carry the whole plan behind the rows
+    # read by every fit; a fit is some 100 short jobs, whose tasks would each carry the whole plan behind the rows
     z = checkpoint(z.select(label, *([weight] if weight else []), "svm_fold", "rff"))
+    parts = max(1, -(-z.count() // ROWS_A_PARTITION))
+    z = z.coalesce(parts)
     est = LinearSVC(featuresCol="rff", labelCol=label, maxIter=max_iter, regParam=reg, rawPredictionCol="svm_raw",
                     predictionCol="svm_pred", **({"weightCol": weight} if weight else {}))
-    m = training_rows(out_of_fold_margins(z, est, folds), trees=False)
+    m = out_of_fold_margins(z, est, folds).coalesce(parts)
     calib = LogisticRegression(featuresCol="margin_vec", labelCol=label, maxIter=50).fit(
         VectorAssembler(inputCols=["svm_margin"], outputCol="margin_vec").transform(m))
     return RffSvmModel(prep, est.fit(z), calib, len(features), n_components)
@@ -186,10 +185,10 @@ def grouped_grid_search(train: DataFrame, grid: Sequence[dict], features: Sequen
     maps = [{forest.getParam(k): v for k, v in params.items() if k != "balanced"} for params in grid]
     found = []  # per fold the AUC of each forest
     for k in range(folds):
-        learn, held = (training_rows(data.filter(c), trees=True) for c in (F.col("fold") != k, F.col("fold") == k))
+        learn, held = (data.filter(c).persist(StorageLevel.MEMORY_AND_DISK) for c in (F.col("fold") != k, F.col("fold") == k))
         prep = Pipeline(stages=[_imputer(features), _assembler(features)]).fit(learn)  # the same for every forest
-        learn, held = (prep.transform(d).select("features", label, "class_weight").persist(StorageLevel.MEMORY_AND_DISK) for d in (learn, held))
-        fit_one = inheritable_thread_target(train.sparkSession)(lambda m: evaluator.evaluate(forest.fit(learn, m).transform(held)))
+        x, y = tree_rows(prep.transform(learn)), prep.transform(held)
+        fit_one = inheritable_thread_target(train.sparkSession)(lambda m: evaluator.evaluate(forest.fit(x, m).transform(y)))
         with ThreadPool(2) as pool:
             found.append(pool.map(fit_one, maps, chunksize=1))
         learn.unpersist()
@@ -228,10 +227,9 @@ def fit(train: DataFrame, spec: ModelSpec, features: Sequence[str], label: str)
     if spec.balanced:
         d = SP.with_class_weight(d, label, "class_weight")
         weight = "class_weight"
-    d = training_rows(d, trees=spec.kind in ("rf", "gbt"))
     if spec.kind == "rff_svm":
         return fit_rff_svm(d, features, label, weight, **spec.params)
-    return build_pipeline(spec, features, label, weight).fit(d)
+    return build_pipeline(spec, features, label, weight).fit(tree_rows(d) if spec.kind in ("rf", "gbt") else d)
 
 
 def score(model: PipelineModel, df: DataFrame, features: Sequence[str], p_col: str = "p",
