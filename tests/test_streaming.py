@@ -128,3 +128,40 @@ def test_a_late_row_joins_two_sessions(spark):
     s = feed.stays(ev, late=F.col("event_id") % 7 == 0, late_hours=30)
     b = ST.stays_by_session(ST.observations(ev, for_watermark=False))
     assert s.exceptAll(b).count() == 0 and b.exceptAll(s).count() == 0
+
+
+def test_a_bucket_keeps_its_patients_apart():
+    c = K.TREND_VITALS[0]
+    big = (1 << 60) + 1  # an id that a double does not hold
+
+    def rows(patient, hours):
+        return _readings(hours).assign(patient_id=np.int64(patient))
+
+    state, hour = _State(), lambda h: int(pd.Timestamp(f"2024-01-01T{h:02d}:00:00").timestamp() * 1000)
+    state.watermark = hour(4)
+    out = pd.concat(ST._trend_state_fn((0,), iter([rows(big, [3, 1]), rows(5, [2, 4, 9])]), state))
+    got = {p: g.sort_values("obs_id") for p, g in out.groupby("patient_id")}
+    assert got[big]["obs_id"].tolist() == [1, 3] and got[big][f"{c}_change"].tolist() == [0, 2]
+    assert got[5]["obs_id"].tolist() == [2, 4] and got[5][f"{c}_rolling_mean"].tolist() == [2, 3] and state.timer == hour(9) + 1
+    state.watermark = hour(12)
+    out = pd.concat(ST._trend_state_fn((0,), iter([rows(big, [7, 12]), rows(6, [11])]), state))
+    got = {p: g for p, g in out.groupby("patient_id")}
+    assert got[big][f"{c}_change"].tolist() == [4, 5] and got[big][f"{c}_rolling_mean"].tolist() == [11 / 3, 22 / 3]
+    assert got[5][f"{c}_change"].tolist() == [5] and got[6][f"{c}_change"].tolist() == [0] and state.value[1] is None
+    # patient 5 is without readings for the idle time, big is not
+    state.watermark = hour(12) + 1
+    assert list(ST._trend_state_fn((0,), iter([rows(big, [13])]), state)) == []
+    state.watermark = hour(12) + ST.STATE_IDLE_DAYS * ST._DAY_MS + 1
+    state.hasTimedOut = True
+    out = pd.concat(ST._trend_state_fn((0,), iter([]), state))
+    assert out[f"{c}_change"].tolist() == [1] and np.frombuffer(state.value[0], ST._TAIL)["patient"].tolist() == [big]
+
+
+def test_trends_call_python_for_a_bounded_number_of_groups(spark):
+    ev = spark.range(4000).selectExpr("id AS event_id", "TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id % 60) AS ts", "id AS user_id")
+    path = feed.scratch(spark, "s2-buckets")
+    ev.select("event_id", "ts", "user_id").write.parquet(path)
+    name = "trend_buckets"
+    q = ST.trends(ST.observations(feed.event_stream(spark, path))).writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert 0 < q.recentProgress[0]["stateOperators"][0]["numRowsTotal"] <= ST.TREND_BUCKETS + 1

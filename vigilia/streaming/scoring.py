@@ -7,7 +7,8 @@ oracle of the stream. Event time is a TIMESTAMP column ``ts``; ``delay`` is how
 * S2 ``trends``: change and 3-row mean per patient in event-time order. Readings wait in the patient's state until the
   watermark has passed them, so a reading that comes late, in a later micro-batch, takes its place among the others; the
   state holds the last two readings of each vital and the waiting rows, nothing else, and ends when a patient has been
-  without readings for ``STATE_IDLE_DAYS``.
+  without readings for ``STATE_IDLE_DAYS``. ``TREND_BUCKETS`` of patients share a call and a state entry, so a micro-batch
+  makes a bounded number of Python calls, however many patients it has.
 * S3 ``dedup``: duplicate readings within the watermark are dropped, older rows are dropped and counted by Spark.
 * S4 ``alert_windows`` (tumbling 1 h and sliding 6 h / 1 h counts), ``stays_by_session`` (session windows per patient; a
   late row may merge two sessions). On a stream both emit a window when the watermark has passed it.
@@ -66,7 +67,11 @@ def score_rows(obs: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ S2 (stateful)
 TREND_OUT = "obs_id long, patient_id long, ts timestamp, " + ", ".join(
     f"{c}_change double, {c}_rolling_mean double" for c in K.TREND_VITALS)
-TREND_STATE = "tail binary, waiting binary"  # last two readings of each vital; rows above the watermark (Arrow)
+TREND_IN = ["obs_id", "patient_id", "ts", *K.TREND_VITALS]
+TREND_STATE = "tail binary, waiting binary"  # _TAIL of each patient; rows above the watermark (Arrow)
+TREND_BUCKETS = 512  # by the patient's hash; a NULL patient has a bucket of its own
+# by patient: last watermark at which rows left, and per vital the last reading and the one before
+_TAIL = np.dtype([("patient", np.int64), ("at", np.int64), ("tail", np.float64, (len(K.TREND_VITALS), 2))])
 STATE_IDLE_DAYS = 90
 _DAY_MS = 86_400_000
 
@@ -87,48 +92,72 @@ def _micros(ts: pd.Series) -> np.ndarray:
     return ts.to_numpy(dtype="datetime64[us]").astype(np.int64)
 
 
-def trend_rows(rows: pd.DataFrame, tail: np.ndarray) -> tuple[pd.DataFrame, np.ndarray]:
-    """Change and 3-row mean of ``rows`` (one patient, in order); ``tail``: per vital the reading before them and the one
-    before that, NaN for none. Returns the rows and the tail after them."""
+def _patients(rows: pd.DataFrame) -> np.ndarray:
+    """Patient of each row; rows without one come alone, as patient 0."""
+    p = rows["patient_id"]
+    return np.zeros(len(p), np.int64) if p.isna().all() else p.to_numpy(np.int64)
+
+
+def trend_rows(rows: pd.DataFrame, first: np.ndarray, tail: np.ndarray) -> tuple[pd.DataFrame, np.ndarray]:
+    """Change and 3-row mean of ``rows``, patient after patient, in order; ``first``: where each patient's rows begin;
+    ``tail``: per patient and vital the reading before them and the one before that, NaN for none. Returns the rows and the
+    tails after them."""
     out = {"obs_id": rows["obs_id"].to_numpy(), "patient_id": rows["patient_id"].to_numpy(), "ts": rows["ts"].to_numpy()}
     after = np.empty_like(tail)
+    last = np.append(first[1:], len(rows)) - 1
     for i, c in enumerate(K.TREND_VITALS):
-        v = np.concatenate([tail[i, ::-1], rows[c].to_numpy(dtype=float)])
-        three = np.stack([v[:-2], v[1:-1], v[2:]])
+        v = rows[c].to_numpy(dtype=float)
+        one, two = np.roll(v, 1), np.empty_like(v)
+        one[first] = tail[:, i, 0]
+        two[1:] = one[:-1]
+        two[first] = tail[:, i, 1]
+        three = np.stack([two, one, v])
         seen = (~np.isnan(three)).sum(axis=0)
         out[f"{c}_change"] = np.nan_to_num(three[2] - three[1])  # diff().fillna(0)
         out[f"{c}_rolling_mean"] = np.where(seen > 0, np.nansum(three, axis=0) / np.maximum(seen, 1), np.nan)
-        after[i] = v[-1], v[-2]
+        after[:, i, 0], after[:, i, 1] = v[last], one[last]
     return pd.DataFrame(out), after
 
 
 def _trend_state_fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """One patient in one micro-batch: rows up to the watermark leave in event-time order, the others wait in the state.
+    """One bucket of patients in one micro-batch: rows up to the watermark leave in event-time order, the others wait in the
+    state.
 
     Frames are split one by one; what is sorted together is at most what the watermark has just passed."""
     tail, waiting = state.get if state.exists else (None, None)
     now = state.getCurrentWatermarkMs()
     due, later = [], []
     for rows in _frames(waiting, () if state.hasTimedOut else pdfs):
+        rows = rows[TREND_IN]
         passed = _micros(rows["ts"]) <= now * 1000
         due.append(rows[passed])
         later.append(rows[~passed])
-    known = np.frombuffer(bytes(tail)).reshape(-1, 2) if tail else np.full((len(K.TREND_VITALS), 2), np.nan)
+    known = np.frombuffer(bytes(tail), _TAIL) if tail else np.empty(0, _TAIL)  # sorted by patient
     due = [d for d in due if len(d)]
     later = [d for d in later if len(d)]
     if due:
-        out, known = trend_rows(pd.concat(due).sort_values(["ts", "obs_id"]), known)
+        rows = pd.concat(due).sort_values(["patient_id", "ts", "obs_id"])
+        patients, first = np.unique(_patients(rows), return_index=True)
+        new = np.empty(len(patients), _TAIL)
+        new["patient"], new["at"], new["tail"] = patients, now, np.nan
+        _, old, place = np.intersect1d(known["patient"], patients, assume_unique=True, return_indices=True)
+        new["tail"][place] = known["tail"][old]
+        out, new["tail"] = trend_rows(rows, first, new["tail"])
+        known = np.concatenate([np.delete(known, old), new])
+        known = known[np.argsort(known["patient"], kind="stable")]
         yield out
-    if not due and not later:  # the idle time is over
+    held = pd.concat(later) if later else None
+    idle = np.ones(len(known), bool) if held is None else ~np.isin(known["patient"], _patients(held))
+    over = idle & (known["at"] + STATE_IDLE_DAYS * _DAY_MS < now)  # the idle time is over
+    known, idle = known[~over], idle[~over]
+    if not len(known) and held is None:
         state.remove()
         return
-    if later:
-        held = pd.concat(later)
-        state.update((known.tobytes(), _packed(held)))
-        state.setTimeoutTimestamp(int(_micros(held["ts"]).min()) // 1000 + 1)
-    else:
-        state.update((known.tobytes(), None))
-        state.setTimeoutTimestamp(now + STATE_IDLE_DAYS * _DAY_MS)
+    state.update((known.tobytes(), None if held is None else _packed(held)))
+    timers = [max(int(known["at"][idle].min()) + STATE_IDLE_DAYS * _DAY_MS, now + 1)] if idle.any() else []
+    if held is not None:
+        timers.append(int(_micros(held["ts"]).min()) // 1000 + 1)
+    state.setTimeoutTimestamp(min(timers))
 
 
 def _frames(waiting: bytes | None, pdfs: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -140,8 +169,9 @@ def trends(obs: DataFrame, delay: str = "2 hours") -> DataFrame:
     """Change and 3-row mean per patient of a stream of observations, rows up to ``delay`` late included.
 
     A row comes out once the watermark has passed it. A NULL patient is a patient."""
-    rows = _late(obs, delay).select("obs_id", "patient_id", "ts", *K.TREND_VITALS)
-    return rows.groupBy("patient_id").applyInPandasWithState(_trend_state_fn, TREND_OUT, TREND_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    bucket = F.when(F.col("patient_id").isNotNull(), F.pmod(F.xxhash64("patient_id"), F.lit(TREND_BUCKETS)).cast("int"))
+    rows = _late(obs, delay).select(*TREND_IN).withColumn("bucket", bucket)
+    return rows.groupBy("bucket").applyInPandasWithState(_trend_state_fn, TREND_OUT, TREND_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # ------------------------------------------------------------------ S3
