@@ -9,7 +9,8 @@ variable, which Gauss-Legendre nodes give exactly. It depends only on which cond
 Each tree is cut into units: a subtree at the end of a path, small enough that the bits of the path's features and of the
 subtree's splits number ``BITS`` at most. A table over all patterns of these bits holds the Shapley values of all leaves of
 the unit together, made once per ``ROWS`` rows by doubling; a row packs its pattern on the way down the tree and looks the
-unit's features up. Longer paths are worked out for the patterns that rows really have.
+unit's features up. Longer paths are worked out for the patterns that rows really have. Rows stand as the ranks of their
+values among the ensemble's thresholds, and patterns in 16 bits where a tree's fit, so that most steps touch a byte or two.
 
 A random forest's output is the mean over trees of the class-1 leaf share; a boosted ensemble's is the sum of tree weight x
 leaf value, the margin. ``base + sum(shap)`` is the probability (forest) or the margin (boosted) of every row.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
-ROWS = 1 << 15  # rows explained together
+ROWS = 1 << 17  # rows explained together: a unit's table is made once for them
 BITS = 11  # of a unit's pattern table
 
 
@@ -146,30 +147,64 @@ def _explain_unit(columns: np.ndarray, u: dict, pattern: np.ndarray, total: np.n
     if not u["leaves"]:
         return
     for k, (f, thr) in enumerate(u["splits"]):
-        pattern = pattern | (columns[f] <= thr).astype(np.int64) << (u["base"] + k)
+        pattern = pattern | (columns[f] <= thr).astype(pattern.dtype) << (u["base"] + k)
     if tabled := 1 << u["bits"] <= max(2, len(pattern)) and u["bits"] <= BITS:
-        patterns, place = np.arange(1 << u["bits"]), pattern
+        patterns, place = np.arange(1 << u["bits"], dtype=np.int16), pattern.astype(np.intp)
     else:
         patterns, place = np.unique(pattern, return_inverse=True)
     sums: dict = {}
     for value, features, share, needs in u["leaves"]:
-        met = np.stack([(patterns & yes == yes) & (patterns & no == 0) for yes, no in needs])
+        met = [patterns & (yes | no) == yes for yes, no in needs]
         if tabled and len(features) <= BITS:
-            code = np.zeros(len(patterns), np.int64)
+            code = np.zeros(len(patterns), np.int16)
             for k, m in enumerate(met):
-                code |= m.astype(np.int64) << k
-            got = _doubled(share, value).take(code, axis=1)
+                code |= m.astype(np.int16) << k
+            got = _doubled(share, value).take(code.astype(np.intp), axis=1)
         else:
-            got = _pattern_values(met.astype(float), share, value)
+            got = _pattern_values(np.array(met, dtype=float), share, value)
         for f, v in zip(features, got):
             sums[f] = sums[f] + v if f in sums else v
     for f, v in sums.items():
         total[f] += v.take(place)
 
 
+def _width(at: dict | None) -> int:
+    """Bits of the tree's widest pattern."""
+    return 0 if at is None else at["bits"] if "splits" in at else max(at["bit"] + 1, *map(_width, at["children"]))
+
+
+def _splits(at: dict | None):
+    if at is not None and "splits" in at:
+        yield from at["splits"]
+    elif at is not None:
+        yield at["feature"], at["threshold"]
+        for child in at["children"]:
+            yield from _splits(child)
+
+
+def _ranked(at: dict | None, cuts: list[np.ndarray]) -> dict | None:
+    """The tree with the ranks of its thresholds in ``cuts`` in their place."""
+    rank = lambda f, thr: int(np.searchsorted(cuts[f], thr))
+    if at is None:
+        return None
+    if "splits" in at:
+        return at | {"splits": [(f, rank(f, thr)) for f, thr in at["splits"]]}
+    return at | {"threshold": rank(at["feature"], at["threshold"]), "children": [_ranked(c, cuts) for c in at["children"]]}
+
+
+def ranked(tops: list[dict], n_features: int) -> tuple[list[dict], list[np.ndarray]]:
+    """The trees with ranks for thresholds, and the ensemble's sorted thresholds of each feature."""
+    cuts: list[set] = [set() for _ in range(n_features)]
+    for top in tops:
+        for f, thr in _splits(top):
+            cuts[f].add(thr)
+    held = [np.array(sorted(c), dtype=float) for c in cuts]
+    return [_ranked(top, held) for top in tops], held
+
+
 def _explain_tree(columns: np.ndarray, top: dict, total: np.ndarray) -> None:
-    """Adds one tree's SHAP values to ``total``; ``columns`` and ``total``: features x rows."""
-    stack = [(top, np.zeros(columns.shape[1], np.int64))]
+    """Adds one tree's SHAP values to ``total``; ``columns`` (ranks, as the tree's thresholds) and ``total``: features x rows."""
+    stack = [(top, np.zeros(len(total[0]), np.int16 if _width(top) < 16 else np.int64))]
     while stack:
         at, pattern = stack.pop()
         if at is None:
@@ -177,18 +212,25 @@ def _explain_tree(columns: np.ndarray, top: dict, total: np.ndarray) -> None:
         if "splits" in at:
             _explain_unit(columns, at, pattern, total)
             continue
-        went_left, bit = columns[at["feature"]] <= at["threshold"], np.int64(at["bit"])
+        went_left, bit = columns[at["feature"]] <= at["threshold"], at["bit"]
         fresh = at["fresh"]
         for child, met in zip(at["children"], (went_left, ~went_left)):
-            met = met.astype(np.int64) << bit
-            stack.append((child, pattern | met if fresh else pattern & (met | ~(np.int64(1) << bit))))
+            met = met.astype(pattern.dtype) << bit
+            stack.append((child, pattern | met if fresh else pattern & (met | pattern.dtype.type(~(1 << bit)))))
 
 
 def tree_shap(X: np.ndarray, tops: list[dict]) -> np.ndarray:
     """SHAP values (rows x features) of the ensemble whose trees are ``units``."""
+    return ranked_shap(X, *ranked(tops, X.shape[1]))
+
+
+def ranked_shap(X: np.ndarray, tops: list[dict], cuts: list[np.ndarray]) -> np.ndarray:
+    """SHAP values of the ensemble as ``ranked`` gives it."""
     # a missing value goes right at every split, as in the model
-    columns = np.ascontiguousarray(np.nan_to_num(X, nan=np.inf, posinf=np.inf, neginf=-np.finfo(float).max).T)
-    total = np.zeros(columns.shape)
+    columns = np.nan_to_num(X, nan=np.inf, posinf=np.inf, neginf=-np.finfo(float).max).T
+    # x <= threshold number k where at most k thresholds are below x
+    columns = [np.searchsorted(c, x).astype(np.uint8 if len(c) < 256 else np.int64) for c, x in zip(cuts, columns)]
+    total = np.zeros((X.shape[1], len(X)))
     for top in tops:
         _explain_tree(columns, top, total)
     return total.T
@@ -212,7 +254,7 @@ def shap_rows(model, df: DataFrame, features: Sequence[str], keep: Sequence[str]
     """
     spark = df.sparkSession
     trees = tree_arrays(model.stages[-1], spark)
-    bc = spark.sparkContext.broadcast([units(t) for t in trees])  # model-sized
+    bc = spark.sparkContext.broadcast(ranked([units(t) for t in trees], len(features)))  # model-sized
     from .models import feature_frame
     out = ["p", *(["margin"] if is_boosted(model.stages[-1]) else [])]
     x = model.transform(feature_frame(df, features)).select(
@@ -221,10 +263,10 @@ def shap_rows(model, df: DataFrame, features: Sequence[str], keep: Sequence[str]
     schema = ", ".join(f"`{c}` {x.schema[c].dataType.simpleString()}" for c in keep) + ", x array<double>, phi array<double>, " + ", ".join(f"{c} double" for c in out)
 
     def run(batches):
-        tops = bc.value
+        tops, cuts = bc.value
         for pdf in _together(batches, ROWS):
             res = pdf[[*keep, "x", *out]].copy()
-            res["phi"] = list(tree_shap(np.vstack(pdf["x"].to_numpy()).astype(float), tops))
+            res["phi"] = list(ranked_shap(np.vstack(pdf["x"].to_numpy()).astype(float), tops, cuts))
             yield res[[*keep, "x", "phi", *out]]
 
     names = F.array(*[F.lit(f) for f in features])
