@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import llm_odd as odd
 from vigilia.llm import lm as L
 
@@ -189,3 +190,48 @@ def test_state_is_learned_from_training_documents_and_short_texts_adapt(spark):
     assert L.mixed_bits(np.tile(x, 2), np.tile(way, 2)) < 1.9 * L.mixed_bits(x[:, :256], way[:256]) * 600 / 256
     # each number of seen contexts has its own weights
     assert start[0].shape == (len(L.ORDERS) + 1, len(L.ORDERS))
+
+
+def test_training_counts_equal_bytes_in_equal_contexts_once(monkeypatch):
+    texts = ["abc abd abc", "xyz", "", "abc abd abc abe", "\u00e9\u00ff " * 9, "abd xyz " + "q" * 70] * 5
+    batches = [pd.DataFrame({"text": texts[:7]}), pd.DataFrame({"text": texts[7:]})]
+    want = Counter()
+    for t in map(L.encoded, texts):
+        data, begins = L._joined([t])
+        for at in zip(data.tolist(), *(c.tolist() for c in L.contexts(data, begins)), strict=True):
+            want[L.fold_of(t), *at] += 1
+    for run in (L.RUN, 40):
+        monkeypatch.setattr(L, "RUN", run)
+        got, rows = Counter(), 0
+        for every, counts in L._tallies(batches):
+            rows += len(every)
+            assert (every[1:] > every[:-1]).all()
+            for fold, keys, n in L._of_fold(every, counts):
+                for *at, k in zip(L._byte_of(keys).tolist(), *(L._context_of(keys, i).tolist() for i in range(len(L.ORDERS))), n.tolist(), strict=True):
+                    got[fold, *at] += k
+        assert got == want
+        assert run == 40 or rows == len(want)  # one row for each, however often it comes
+
+
+def test_training_shuffles_pages(spark, monkeypatch):
+    src = spark.createDataFrame([(t,) for t in ("abc abd abc", "xyz", "abd")], "text string").repartition(3)
+    frame, shuffled = type(src), []
+    real = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, *a: shuffled.append(self.count()) or real(self, *a))
+    table = L.train_table(src, L.Code(np.ones(256, np.int64)))
+    pages = np.count_nonzero(table.reshape(-1, L.PAGE).any(axis=1))
+    assert len(shuffled) == 1 and pages <= shuffled[0] <= 3 * pages
+
+
+def test_mixed_together_or_apart_is_the_same():
+    rng = np.random.default_rng(3)
+    sizes = [1, 2, 255, 256, 257, 767, 768, 769, 3000, 5000, 9000, 2300, 1]
+    logits = rng.integers(-40, 40, (len(L.ORDERS), sum(sizes)), np.int8)
+    logits[:, rng.random(sum(sizes)) < 0.2] = 0  # contexts never seen
+    way = rng.integers(0, 2, sum(sizes)).astype(np.uint8)
+    ends = np.cumsum(sizes)
+    weights, apm = L.start_state()
+    start = weights + rng.uniform(0, 1e-3, weights.shape).astype(np.float32), apm  # no logit between two cells of the map
+    alone = [L.mixed_bits(logits[:, e - n:e], way[e - n:e], start=start)[0] for n, e in zip(sizes, ends, strict=True)]
+    assert np.allclose(L.mixed_bits(logits, way, sizes, start), alone, rtol=1e-6)
+    assert np.allclose(alone, [slow_bits(logits[:, e - n:e], way[e - n:e], start) for n, e in zip(sizes, ends, strict=True)], rtol=1e-3, atol=0.01)

@@ -11,9 +11,9 @@ weights and a map learned on all training documents, so its score depends on wha
 The score is the base-10 logarithm of the text's probability; its negative, in binary, is the total number of bits, and
 per byte the bits per byte.
 
-Training reads every training document: each task counts decisions in dense arrays of ``1 << BITS`` slots per context
-(bounded, however much it reads), the shuffle sums the slots that are not zero, and 4096-slot pages of quantised
-logits come back: a table of ``len(ORDERS) << BITS`` bytes, whatever the corpus's size, is broadcast. The counts are
+Training reads every training document: each task sums equal bytes in equal contexts (by sorting) and counts their
+decisions, each with its number, in dense arrays of ``1 << BITS`` slots per context (bounded, however much it reads); the
+shuffle brings the 4096-slot pages of all tasks together, and pages of quantised logits come back: a table of ``len(ORDERS) << BITS`` bytes, whatever the corpus's size, is broadcast. The counts are
 kept in two folds (by the text's hash, so equal texts share one), and the starting weights and map are learned from
 every training document by the table of the other fold, which has not counted it: one pass counts all decisions by the
 bins of their contexts' logits (``BINS`` a context), and from these counts the driver takes ``ROUNDS`` Newton steps from
@@ -54,7 +54,9 @@ RATE = 0.02
 APM_RATE = 0.1
 STEP = 12.0  # quantised logits: 1 / 12 per unit, 0 for a slot that was never seen
 CHUNK = 1 << 18  # bytes turned into decisions at a time (arrays stay in the cache)
-GROUP = 512  # documents mixed at a time
+GROUP = 512  # documents of a group, at most
+MIXED = 1 << 17  # decisions mixed at a time
+RUN = 1 << 22  # bytes whose contexts are sorted and summed at a time
 TALLY = 300_000
 END = 10  # the end mark: no word holds it
 GATES = len(ORDERS) + 1
@@ -100,49 +102,63 @@ class Code:
         self.salt = ((nodes + _U(1)) * _K >> _U(64 - BITS)).astype(np.uint32)  # node's part of a slot
 
     def decisions(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(decisions per byte, node's part of the slot of every decision, its way)."""
+        """(place of its byte, node's part of its slot, its way) of every decision."""
         n = self.size[data]
-        ends = np.cumsum(n, dtype=np.int32)
-        at = np.repeat(self.first[data] - (ends - n), n)
-        at += np.arange(len(at), dtype=np.int32)
-        return n, self.salt[at], self.ways[at]
-
-
-def contexts(data: np.ndarray, begins: np.ndarray) -> list[np.ndarray]:
-    """BITS-bit hash of each context at every byte; ``begins`` are the places where documents begin."""
+        begins = np.cumsum(n, dtype=np.int64)
+        total = int(begins[-1]) if len(begins) else 0
+        begins -= n
+        of = np.zeros(total, np.int64)
+        of[begins[1:]] = 1  # every byte takes a decision at least
+        np.cumsum(of, out=of)
+        at = (self.first[data] - begins).take(of)
+        at += np.arange(total)
+        return of, self.salt.take(at), self.ways.take(at)
+
+
+def past(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the four bytes before, the nearest one lowest; number of the word so far) at every byte; ``begins`` are the places
+    where documents begin."""
     d = data.astype(np.uint32)
-    last = np.zeros(len(d), np.uint32)  # the four bytes before, the nearest one lowest
+    last = np.zeros(len(d), np.uint32)
     for k in range(1, 5):
         last[k:] |= d[: max(0, len(d) - k)] << np.uint32(8 * (k - 1))
     for k in range(4):  # nothing from before the document
         at = begins + k
         last[at[at < len(d)]] &= np.uint32((1 << 8 * k) - 1)
-    out = []
-    for o in ORDERS:
-        if o == "word":
-            # the bytes since the last space, each by its place in the word: a difference of running sums
-            place = np.arange(len(d), dtype=np.int32)
-            word = np.zeros(len(d), np.int32)
-            word[begins] = begins
-            space = np.nonzero(data[:-1] == 32)[0] + 1
-            word[space] = space
-            word = np.maximum.accumulate(word)
-            step = place - word
-            total = np.concatenate([np.zeros(1, _U), np.cumsum(_PLACE[np.minimum(step, len(_PLACE) - 1)] * (d + np.uint32(1)), dtype=_U)])
-            h = total[place] - total[word] + step.astype(_U)
-        else:
-            h = (last & np.uint32((1 << 8 * o) - 1)).astype(_U)
-        h += _U(len(out) + 1)
-        h *= _K
-        h ^= h >> _U(29)
-        h *= _K
-        out.append((h >> _U(64 - BITS)).astype(np.uint32))
-    return out
+    # the bytes since the last space, each by its place in the word: a difference of running sums
+    place = np.arange(len(d), dtype=np.int32)
+    word = np.zeros(len(d), np.int32)
+    word[begins] = begins
+    space = np.nonzero(data[:-1] == 32)[0] + 1
+    word[space] = space
+    word = np.maximum.accumulate(word)
+    step = place - word
+    total = np.zeros(len(d) + 1, _U)
+    d += np.uint32(1)
+    np.cumsum(_PLACE.take(np.minimum(step, len(_PLACE) - 1)) * d, dtype=_U, out=total[1:])
+    return last, total[:-1] - total.take(word) + step.astype(_U)
+
+
+def _hashed(number: np.ndarray, i: int) -> np.ndarray:
+    """BITS-bit hash of the numbers of context ``i``."""
+    h = number.astype(_U)
+    h += _U(i + 1)
+    h *= _K
+    h ^= h >> _U(29)
+    h *= _K
+    h >>= _U(64 - BITS)
+    return h.astype(np.uint32)
 
 
-def slots(context: np.ndarray, n: np.ndarray, salt: np.ndarray) -> np.ndarray:
+def contexts(data: np.ndarray, begins: np.ndarray) -> list[np.ndarray]:
+    """BITS-bit hash of each context at every byte; ``begins`` are the places where documents begin."""
+    last, word = past(data, begins)
+    return [_hashed(word if o == "word" else last & np.uint32((1 << 8 * o) - 1), i) for i, o in enumerate(ORDERS)]
+
+
+def slots(context: np.ndarray, of: np.ndarray, salt: np.ndarray) -> np.ndarray:
     """Slot of each decision in a table of 1 << BITS."""
-    h = np.repeat(context, n)
+    h = context.take(of)
     h ^= salt
     return h
 
@@ -201,40 +217,107 @@ def fold_of(text: bytes) -> int:
     return zlib.crc32(text) & 1
 
 
+def _tallies(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, counts) of the bytes of all encoded documents, about RUN bytes at a time. A key holds the fold, the byte, the
+    four bytes before (the nearest one highest) and the hash of the word so far, so it tells every context; keys ascend."""
+    held, size = [], 0
+    for b in batches:
+        texts = [encoded(t) for t in b["text"]]
+        for fold in (0, 1):
+            for docs in pieces([t for t in texts if fold_of(t) == fold]):
+                data, begins = _joined(docs)
+                last, word = past(data, begins)
+                key = data.astype(_U)
+                key |= _U(fold << 8)
+                key <<= _U(32)
+                key |= last.byteswap()
+                key <<= _U(BITS)
+                key |= _hashed(word, len(ORDERS) - 1)
+                held.append(key)
+                size += len(key)
+                if size >= RUN:
+                    yield _summed(held)
+                    held, size = [], 0
+    if held:
+        yield _summed(held)
+
+
+def _firsts(values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.concatenate([np.zeros(1, np.int64), np.nonzero(values[1:] != values[:-1])[0] + 1])
+
+
+def _summed(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.concatenate(held)
+    held.clear()
+    keys.sort()
+    first = _firsts(keys)
+    return keys[first], np.diff(first, append=len(keys)).astype(np.int32)
+
+
+def _of_fold(keys: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(fold, keys, counts) of _tallies for each fold, CHUNK / 4 keys at a time."""
+    middle = int(np.searchsorted(keys, _U(1 << 40 + BITS)))
+    for fold, (begin, end) in enumerate(((0, middle), (middle, len(keys)))):
+        for i in range(begin, end, CHUNK >> 2):
+            j = min(end, i + (CHUNK >> 2))
+            yield fold, keys[i:j], n[i:j]
+
+
+def _byte_of(keys: np.ndarray) -> np.ndarray:
+    return (keys >> _U(32 + BITS)).astype(np.uint8)
+
+
+def _context_of(keys: np.ndarray, i: int) -> np.ndarray:
+    """BITS-bit hash of context ``i`` of keys of _tallies."""
+    o = ORDERS[i]
+    if o == "word":
+        return (keys & _U((1 << BITS) - 1)).astype(np.uint32)
+    last = (keys >> _U(BITS)).astype(np.uint32).byteswap()
+    return _hashed(last & np.uint32((1 << 8 * o) - 1), i)
+
+
 def train_tables(train: DataFrame, code: Code) -> np.ndarray:
     """Quantised logits of all slots, int8 of 3 x (len(ORDERS) << BITS): learned from every training document, and from
     those of fold 0 and fold 1."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((2, len(ORDERS), 2 << BITS), np.int32)
+        for every, counts in _tallies(batches):
+            for fold, keys, n in _of_fold(every, counts):
+                for i, o in enumerate(ORDERS):
+                    k, c = keys, n
+                    if o != "word":  # keys that agree in this context stand together
+                        first = _firsts(keys >> _U(BITS + 32 - 8 * o))
+                        k, c = keys[first], np.add.reduceat(n, first, dtype=np.int32)
+                    of, salt, way = code.decisions(_byte_of(k))
+                    at = slots(_context_of(k, i), of, salt)
+                    at += at
+                    at += way
+                    np.add.at(total[fold, i], at, c.take(of))
+        by_page = total.reshape(2, -1, 2 * PAGE)
+        seen = np.nonzero(by_page.any(axis=(0, 2)))[0]
+        for i in range(0, len(seen), 64):
+            pages = seen[i:i + 64]
+            yield pd.DataFrame({"page": pages.astype(np.int32), "counts": [by_page[:, p].tobytes() for p in pages]})
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}  # at most (len(ORDERS) << BITS) / PAGE pages
         for b in batches:
-            texts = [encoded(t) for t in b["text"]]
-            for fold in (0, 1):
-                for docs in pieces([t for t in texts if fold_of(t) == fold]):
-                    data, begins = _joined(docs)
-                    n, salt, way = code.decisions(data)
-                    for i, c in enumerate(contexts(data, begins)):
-                        at = slots(c, n, salt)
-                        at += at
-                        at += way
-                        np.add.at(total[fold, i], at, np.int32(1))
-        pairs = total.reshape(2, -1, 2)
-        seen = np.nonzero(pairs.any(axis=(0, 2)))[0]
-        for i in range(0, len(seen), 1 << 18):
-            s = seen[i:i + (1 << 18)]
-            yield pd.DataFrame({"slot": s, **{f"{way}{f}": pairs[f, s, k] for f in (0, 1) for k, way in enumerate(("zeros", "ones"))}})
-
-    def pack(page: pd.DataFrame) -> pd.DataFrame:
-        zeros, ones = (page[[f"{way}0", f"{way}1"]].to_numpy(float).T for way in ("zeros", "ones"))
-        zeros, ones = np.vstack([zeros.sum(axis=0), zeros]), np.vstack([ones.sum(axis=0), ones])
-        logit = np.clip(np.rint(np.log((ones + 0.4) / (zeros + 0.4)) * STEP), -127, 127).astype(np.int8)
-        logit[(logit == 0) & (zeros + ones > 0)] = 1  # 0 stands for slots never seen
-        out = np.zeros((3, PAGE), np.int8)
-        out[:, page["slot"].to_numpy(np.int64) % PAGE] = logit
-        return pd.DataFrame({"page": [int(page["slot"].iloc[0]) // PAGE], "logits": [out.tobytes()]})
-
-    counts = [f"{way}{f}" for f in (0, 1) for way in ("zeros", "ones")]
-    sums = train.select("text").mapInPandas(count, "slot long, " + ", ".join(f"{c} long" for c in counts)).groupBy("slot").agg(*[F.sum(c).alias(c) for c in counts])
-    pages = sums.groupBy(F.expr(f"slot div {PAGE}").alias("p")).applyInPandas(pack, "page int, logits binary")
+            for page, counts in zip(b["page"], b["counts"], strict=True):
+                got = np.frombuffer(counts, np.int32)
+                if page in sums:
+                    sums[page] += got
+                else:
+                    sums[page] = got.astype(np.int64)
+        for page, pairs in sums.items():
+            zeros, ones = np.moveaxis(pairs.reshape(2, PAGE, 2), 2, 0).astype(float)
+            zeros, ones = np.vstack([zeros.sum(axis=0), zeros]), np.vstack([ones.sum(axis=0), ones])
+            logit = np.clip(np.rint(np.log((ones + 0.4) / (zeros + 0.4)) * STEP), -127, 127).astype(np.int8)
+            logit[(logit == 0) & (zeros + ones > 0)] = 1  # 0 stands for slots never seen
+            yield pd.DataFrame({"page": [page], "logits": [logit.tobytes()]})
+
+    counted = train.select("text").mapInPandas(count, "page int, counts binary")
+    pages = counted.repartition("page").mapInPandas(pack, "page int, logits binary")
     tables = np.zeros((3, len(ORDERS) << BITS), np.int8)
     for r in pages.collect():  # at most (len(ORDERS) << BITS) / PAGE rows of 3 PAGE bytes
         tables[:, r["page"] * PAGE:(r["page"] + 1) * PAGE] = np.frombuffer(r["logits"], np.int8).reshape(3, PAGE)
@@ -278,24 +361,21 @@ def _histogram(train: DataFrame, code: Code, tables) -> np.ndarray:
     way: int64 of BINS ** len(ORDERS) x 2; each task sums its own first."""
     m = len(ORDERS)
     cells = BINS**m * 2
-    place = _bin(np.arange(256, dtype=np.uint8).view(np.int8))
+    place = _bin(np.arange(256, dtype=np.uint8).view(np.int8)).astype(np.uint8)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(cells, np.int64)
-        halves = tables.value.reshape(3, m, -1)[:0:-1]  # the table that has not counted fold 0, and fold 1
-        for b in batches:
-            texts = [encoded(t) for t in b["text"]]
-            for fold in (0, 1):
-                for docs in pieces([t for t in texts if fold_of(t) == fold]):
-                    data, begins = _joined(docs)
-                    n, salt, way = code.decisions(data)
-                    at = np.zeros(len(way), np.int32)
-                    for i, c in enumerate(contexts(data, begins)):
-                        at *= BINS
-                        at += place[halves[fold][i][slots(c, n, salt)].view(np.uint8)]
-                    at += at
-                    at += way
-                    total += np.bincount(at, minlength=cells)
+        halves = place[tables.value.reshape(3, m, -1)[:0:-1].view(np.uint8)]  # the table that has not counted fold 0, and fold 1
+        for every, counts in _tallies(batches):
+            for fold, keys, n in _of_fold(every, counts):
+                of, salt, way = code.decisions(_byte_of(keys))
+                at = np.zeros(len(way), np.int32)
+                for i in range(m):
+                    at *= BINS
+                    at += halves[fold][i].take(slots(_context_of(keys, i), of, salt))
+                at += at
+                at += way
+                np.add.at(total, at, n.astype(np.int64).take(of))
         held = np.nonzero(total)[0]
         yield pd.DataFrame({"at": held.astype(np.int32), "n": total[held]})
 
@@ -334,31 +414,68 @@ def mixed_bits(logits: np.ndarray, way: np.ndarray, sizes: list[int] | np.ndarra
 
     ``logits``: int8, contexts x decisions, document after document; ``sizes``: decisions of each; ``start``: (weights, map)
     before the first block. Block k of all documents is one step; each document has weights and a map of its own."""
-    m = len(ORDERS)
     sizes = np.array([len(way)] if sizes is None else sizes, np.int64)
     order = np.argsort(-sizes, kind="stable")  # the documents that have a block k come first
-    begins = (np.cumsum(sizes) - sizes)[order]
-    held = sizes[order]
+    begins = np.cumsum(sizes) - sizes
     first_weights, first_apm = start or start_state()
-    weights = np.tile(first_weights.T.astype(np.float32), (1, len(sizes)))  # contexts x (document, gate)
-    apm = np.tile(first_apm.astype(np.float32), len(sizes))
-    bits = np.zeros(len(sizes))
+    state = first_weights.astype(np.float32), np.concatenate([first_apm.astype(np.float32), _IDENTITY[:CELLS]])
+    behind = np.zeros((len(logits) + 1, BLOCKS[1]), np.int8)  # a last block may be read past the end
+    logits, way = np.hstack([logits, behind[1:]]), np.concatenate([way, behind[0].view(np.uint8)])
+    out, at = np.zeros(len(sizes)), 0
+    while at < len(order):
+        docs = order[at:at + max(1, MIXED // min(BLOCKS[1], max(1, int(sizes[order[at]]))))]
+        out[docs] = _mixed(logits, way, begins[docs], sizes[docs], state)
+        at += len(docs)
+    return out
+
+
+def _log_sums(p: np.ndarray) -> np.ndarray:
+    """Sum of the logarithms of each row; four factors (none below exp(-8) / 4) are multiplied for one logarithm."""
+    k = p.shape[1] // 4
+    product = p[:, :k] * p[:, k:2 * k]
+    product *= p[:, 2 * k:3 * k]
+    product *= p[:, 3 * k:4 * k]
+    return np.log(product).astype(float).sum(axis=1) + np.log(p[:, 4 * k:]).astype(float).sum(axis=1)
+
+
+def _mixed(logits: np.ndarray, way: np.ndarray, begins: np.ndarray, held: np.ndarray, state: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Bits of documents that are mixed side by side, the longest first; ``held``: decisions of each.
+
+    A block is a rectangle of documents x decisions. Places behind a document's end have gate GATES, whose weights and
+    map no decision uses. Most decisions have seen every context: these take their document's weights row by row, the
+    others one by one."""
+    m, top, cells = len(ORDERS), GATES - 1, (GATES + 1) * CELLS
+    weights = np.tile(state[0], (len(held), 1, 1))  # document x gate x context
+    apm = np.tile(state[1], len(held))
+    bits = np.zeros(len(held))
     begin, size = 0, BLOCKS[0]
     while live := int(np.searchsorted(-held, -begin)):
         n = np.minimum(held[:live] - begin, size)
-        doc = np.repeat(np.arange(live), n)
-        first = np.cumsum(n) - n
-        at = np.repeat(begins[:live] + begin - first, n)
-        at += np.arange(len(at))
-        q, y = logits[:, at], way[at]
+        width, whole = int(n[0]), int(np.searchsorted(-n, -n[0], side="right"))
+        rows = begins[:live] + begin
+        q = np.lib.stride_tricks.sliding_window_view(logits, width, axis=1)[:, rows]
+        y = np.lib.stride_tricks.sliding_window_view(way, width)[rows]
         gate = _gate(q)
-        row = doc * GATES
-        row += gate
-        z = np.zeros(len(at), np.float32)
-        for i in range(m):
-            z += weights[i].take(row) * q[i]
-        cell = _cell(z, gate)
-        cell += doc * (GATES * CELLS)
+        behind = np.arange(width) >= n[whole:, None]
+        if whole < live:
+            q[:, whole:][:, behind] = 0
+            gate[whole:][behind] = GATES
+        x = q.astype(np.float32)
+        z = weights[:live, top, 0, None] * x[0]
+        for i in range(1, m):
+            z += weights[:live, top, i, None] * x[i]
+        few = np.nonzero(gate.ravel() < top)[0] if gate.min() < top else ()
+        if len(few):
+            row = few // width * GATES + gate.ravel()[few]
+            few_x = x.reshape(m, -1)[:, few]
+            few_w = weights.reshape(-1, m)[row]
+            few_z = few_w[:, 0] * few_x[0]
+            for i in range(1, m):
+                few_z += few_w[:, i] * few_x[i]
+            z.ravel()[few] = few_z
+        every = whole == live and not len(few)  # all decisions have seen every context
+        cell = _cell(z, 0 if every else gate)
+        cell += np.arange(top * CELLS if every else 0, live * cells, cells)[:, None]
         p = np.exp(-z, out=z)
         p += 1
         np.divide(1, p, out=p)
@@ -368,22 +485,27 @@ def mixed_bits(logits: np.ndarray, way: np.ndarray, sizes: list[int] | np.ndarra
         told += y
         told -= 1
         np.abs(told, out=told)
-        bits[:live] -= np.add.reduceat(np.log2(told, out=told), first, dtype=np.float64)
+        bits[:whole] -= _log_sums(told[:whole]) / np.log(2)
+        for i in range(whole, live):  # once for each document; the others' lengths leave its sum as it is
+            bits[i] -= _log_sums(told[i:i + 1, :n[i]])[0] / np.log(2)
         err = np.subtract(y, p, out=p)
-        err *= np.repeat((RATE / STEP / STEP / np.maximum(1.0, n / 64)).astype(np.float32), n)
+        err *= (RATE / STEP / STEP / np.maximum(1.0, n / 64)).astype(np.float32)[:, None]
+        if len(few):
+            few_err = err.ravel()[few]
+            err.ravel()[few] = 0
+            for i in range(m):
+                weights[:live, :, i] += np.bincount(row, weights=few_err * few_x[i], minlength=live * GATES).reshape(live, GATES)
         for i in range(m):
-            weights[i, :live * GATES] += np.bincount(row, weights=err * q[i], minlength=live * GATES)
+            weights[:live, top, i] += np.multiply(x[i], err, out=x[i]).sum(axis=1, dtype=np.float64)
         cell += cell
         cell += y
-        ways = np.bincount(cell, minlength=2 * live * GATES * CELLS)
+        ways = np.bincount(cell.ravel(), minlength=2 * live * cells)
         hits = ways[::2] + ways[1::2]
         seen = np.nonzero(hits)[0]
         hits, ones = hits[seen], ways[1::2][seen]
         apm[seen] += _RATES[np.minimum(hits, 8)] * (ones / hits - apm[seen])
         begin, size = begin + size, min(2 * size, BLOCKS[1])
-    out = np.zeros(len(sizes))
-    out[order] = bits
-    return out
+    return bits
 
 
 class Scorer:
@@ -396,9 +518,10 @@ class Scorer:
         out: list[float] = []
         for group in pieces([docs[i] for i in order]):
             data, begins = _joined(group)
-            n, salt, way = self.code.decisions(data)
-            logits = np.stack([self.table[i][slots(c, n, salt)] for i, c in enumerate(contexts(data, begins))])
-            out += mixed_bits(logits, way, np.add.reduceat(n, begins), self.start).tolist()
+            of, salt, way = self.code.decisions(data)
+            every = np.stack(contexts(data, begins), axis=1).take(of, axis=0)  # decisions x contexts
+            logits = np.stack([self.table[i].take(every[:, i] ^ salt) for i in range(len(ORDERS))])
+            out += mixed_bits(logits, way, np.add.reduceat(self.code.size[data], begins), self.start).tolist()
         return [b for _, b in sorted(zip(order, out, strict=True))]
 
 
@@ -416,34 +539,35 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     start = learned_state(train, code, tables)
     shared = spark.sparkContext.broadcast({"table": tables.value[0], "start": start, "head": {bytes(r["word"]): r["n"] for r in top.collect()}})
     id_type = src.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, text_key long, held_out boolean, n_tokens long, n_known long, head_score double, score double, n_bytes long, rare array<binary>"
+    schema = f"doc_id {id_type}, text_key long, held_out boolean, n_tokens long, n_known long, head_score double, score double, n_bytes long, rare array<binary>, tf array<long>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = shared.value["head"]
         scorer = Scorer(code, shared.value["table"], shared.value["start"])
         value = {w: float(np.log10((c + 0.5) / floor)) for w, c in held.items()}
         for b in batches:
-            rows = []
+            rows, data = [], []
             for t in b["text"]:
                 tokens = [*common.lower_words(t), b"\n"]
-                got = [value.get(w) for w in tokens]
-                rare = [w for w, v in zip(tokens, got, strict=True) if v is None]
-                rows.append((len(tokens), len(tokens) - len(rare), float(sum(v for v in got if v is not None)), rare))
-            data = [encoded(t) for t in b["text"]]
+                got = [*map(value.get, tokens)]
+                rare = [w for w, v in zip(tokens, got, strict=True) if v is None] if None in got else []
+                tf = Counter(rare)
+                rows.append((len(tokens), len(tokens) - len(rare), float(sum(v for v in got if v is not None) if rare else sum(got)), [*tf], [*tf.values()]))
+                data.append(b" ".join(tokens))
             out = pd.DataFrame({"doc_id": b["doc_id"], "text_key": b["text_key"], "held_out": b["held_out"]}).reset_index(drop=True)
             out["n_tokens"], out["n_known"], out["head_score"] = ([r[i] for r in rows] for i in range(3))
             out["score"] = np.array(scorer.bits(data)) * -np.log10(2)
-            out["n_bytes"], out["rare"] = [len(x) for x in data], [r[3] for r in rows]
+            out["n_bytes"], out["rare"], out["tf"] = [len(x) for x in data], [r[3] for r in rows], [r[4] for r in rows]
             yield out
 
     scored = common.write_cut(src.withColumn("text_key", F.xxhash64("text")).mapInPandas(run, schema))
     # rare words (outside the broadcast head) get their counts by a join; equal (id, text) rows have equal sums
     key = common.row_key(F.col("doc_id"), F.col("text_key"))
-    spread = scored.select(key.alias("key"), "rare").filter(F.size("rare") > 0).dropDuplicates(["key"]).select("key", F.explode("rare").alias("word"))
-    spread = spread.groupBy("key", "word").agg(F.count("*").alias("tf")).join(words, "word", "left")
+    spread = scored.select(key.alias("key"), "rare", "tf").filter(F.size("rare") > 0).dropDuplicates(["key"]).select("key", F.explode(F.arrays_zip(F.col("rare").alias("word"), "tf")).alias("w"))
+    spread = spread.select("key", "w.word", "w.tf").join(words, "word", "left")
     value = F.log10((F.coalesce("n", F.lit(0)) + F.lit(0.5)) / F.lit(floor or 0.5))
     rare = spread.groupBy("key").agg(F.sum(F.col("tf") * value).alias("rare_score"), F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("rare_known"))
-    out = scored.drop("rare").withColumn("key", key).join(rare, "key", "left")
+    out = scored.drop("rare", "tf").withColumn("key", key).join(rare, "key", "left")
     zero = F.lit(0)
     return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", zero)).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
                       (F.col("head_score") + F.coalesce("rare_score", F.lit(0.0))).alias("base_score"), "score",
