@@ -29,6 +29,7 @@ from ..functions import constants as K
 from ..session import checkpoint
 from . import profile as P
 from . import split as SP
+from . import trees as TR
 
 # ---------------------------------------------------------------- FIXED VALUES
 # Estimator configurations of the reference scripts (trees, depth, leaf size, subsampling).
@@ -188,7 +189,7 @@ def grouped_grid_search(train: DataFrame, grid: Sequence[dict], features: Sequen
         learn, held = (data.filter(c).persist(StorageLevel.MEMORY_AND_DISK) for c in (F.col("fold") != k, F.col("fold") == k))
         prep = Pipeline(stages=[_imputer(features), _assembler(features)]).fit(learn)  # the same for every forest
         x, y = tree_rows(prep.transform(learn)), prep.transform(held)
-        fit_one = inheritable_thread_target(train.sparkSession)(lambda m: evaluator.evaluate(forest.fit(x, m).transform(y)))
+        fit_one = inheritable_thread_target(train.sparkSession)(lambda m: evaluator.evaluate(TR.Trees(forest.copy(m)).fit(x).transform(y)))
         with ThreadPool(2) as pool:
             found.append(pool.map(fit_one, maps, chunksize=1))
         learn.unpersist()
@@ -206,10 +207,10 @@ def build_pipeline(spec: ModelSpec, features: Sequence[str], label: str, weight:
     if spec.kind == "rf":
         est = RandomForestClassifier(seed=42, weightCol=weight, **common, **p) if weight else \
             RandomForestClassifier(seed=42, **common, **p)
-        stages.append(est)
+        stages.append(TR.Trees(est))
     elif spec.kind == "gbt":
         kw = dict(seed=42, **common, **p)
-        stages.append(GBTClassifier(weightCol=weight, **kw) if weight else GBTClassifier(**kw))
+        stages.append(TR.Trees(GBTClassifier(weightCol=weight, **kw) if weight else GBTClassifier(**kw)))
     elif spec.kind == "lr":
         kw = dict(maxIter=p.pop("maxIter", 2000), **common, **p)
         stages += [StandardScaler(inputCol="features", outputCol="scaled_vec", withMean=True, withStd=True)]

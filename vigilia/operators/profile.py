@@ -7,6 +7,7 @@ bracketed by mergeable sketches and finished by counts.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -136,8 +137,8 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], q: float = 0.5, rounded:
     """Exact, linearly interpolated quantile per column (pandas / ``quantile_cont`` semantics), for all columns at once.
 
     One pass builds a mergeable KLL sketch of every column, whose rank bound brackets the quantile. A second pass counts
-    the values below the bracket and each value in it, combined in the tasks; running sums of these counts hold the values at
-    the one or two ranks of the quantile. Brackets of more than ``small`` values are narrowed by further sketches of the
+    the values below and up to the bracket's end; where it is more than one value, a third counts each value in it, combined in
+    the tasks, and running sums of these counts hold the values at the one or two ranks of the quantile. Brackets of more than ``small`` values are narrowed by further sketches of the
     values inside first. No sort of the table, nothing written; two rows a column reach the driver. NULL and NaN are missing
     values; a column without values has no row.
     """
@@ -187,18 +188,25 @@ def _at_ranks(df: DataFrame, x: dict, brackets: dict, ranks: dict) -> dict[str,
     """Values at the ranks around each column's quantile, where its bracket holds them."""
     if not brackets:
         return {}
-    cols = list(brackets)
-    parts = [F.struct(F.lit(i).alias("c"), (x[c] < F.lit(brackets[c][0])).alias("below"),
-                      F.when(x[c] >= F.lit(brackets[c][0]), x[c]).alias("v")) for i, c in enumerate(cols)]
-    kept = [F.when(x[c] <= F.lit(brackets[c][1]), p) for c, p in zip(cols, parts)]
-    counts = df.select(F.explode(F.array_compact(F.array(*kept))).alias("t")).groupBy("t.c", "t.below", "t.v").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("c").orderBy(F.desc("below"), "v").rowsBetween(Window.unboundedPreceding, -1)
-    h = F.element_at(F.array(*[F.lit(float(ranks[c])) for c in cols]), F.col("c") + 1)
-    ranked = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("h", h)
-    holds = lambda rank: (F.col("before") <= rank) & (rank < F.col("before") + F.col("n"))
-    rows = ranked.filter(~F.col("below")).select("c", "v", holds(F.floor("h")).alias("lo"), holds(F.ceil("h")).alias("hi")).filter("lo or hi").collect()
-    lo, hi = ({cols[r["c"]]: r["v"] for r in rows if r[k]} for k in ("lo", "hi"))
-    return {c: (lo[c], hi[c]) for c in cols if c in lo and c in hi}
+    cols, below, upto = list(brackets), {}, {}
+    row = df.agg(*[F.count(F.when(x[c] < F.lit(brackets[c][0]), 1)) for c in cols], *[F.count(F.when(x[c] <= F.lit(brackets[c][1]), 1)) for c in cols]).first()
+    for i, c in enumerate(cols):
+        below[c], upto[c] = row[i], row[len(cols) + i]
+    held = {c for c in cols if below[c] <= int(ranks[c]) and math.ceil(ranks[c]) < upto[c]}
+    found = {c: (brackets[c][0] + 0.0,) * 2 for c in cols if c in held and brackets[c][0] == brackets[c][1]}  # one value: counted already
+    wide = [c for c in cols if c in held and c not in found]
+    if not wide:
+        return found
+    inside = [F.when((x[c] >= F.lit(brackets[c][0])) & (x[c] <= F.lit(brackets[c][1])), F.struct(F.lit(i).alias("c"), x[c].alias("v"))) for i, c in enumerate(wide)]
+    counts = df.select(F.explode(F.array_compact(F.array(*inside))).alias("t")).groupBy("t.c", "t.v").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("c").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    # ranks within the bracket
+    h = [F.element_at(F.array(*[F.lit(f(ranks[c]) - below[c]) for c in wide]), F.col("c") + 1) for f in (math.floor, math.ceil)]
+    ranked = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    holds = [(F.col("before") <= k) & (k < F.col("before") + F.col("n")) for k in h]
+    rows = ranked.select("c", "v", holds[0].alias("lo"), holds[1].alias("hi")).filter("lo or hi").collect()
+    lo, hi = ({wide[r["c"]]: r["v"] for r in rows if r[k]} for k in ("lo", "hi"))
+    return found | {c: (lo[c], hi[c]) for c in wide}
 
 
 def class_ratio(df: DataFrame, target: str) -> DataFrame:
