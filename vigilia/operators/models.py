@@ -27,6 +27,7 @@ from pyspark.util import inheritable_thread_target
 
 from ..functions import constants as K
 from ..session import checkpoint
+from . import margins as MG
 from . import profile as P
 from . import split as SP
 from . import trees as TR
@@ -148,16 +149,25 @@ def fit_rff_svm(d: DataFrame, features: Sequence[str], label: str, weight: str |
     scored by an SVM that has not seen them, and one logistic fit maps these margins to probabilities."""
     prep = Pipeline(stages=[_imputer(features), _assembler(features),
                             StandardScaler(inputCol="features", outputCol="scaled_vec", withMean=True, withStd=True)]).fit(d)
-    z = add_rff(prep.transform(d.withColumn("svm_fold", svm_fold(features, folds))), "scaled_vec", len(features), n_components)
+    scaled = prep.transform(d.withColumn("svm_fold", svm_fold(features, folds)))
+    est = LinearSVC(featuresCol="rff", labelCol=label, maxIter=max_iter, regParam=reg, rawPredictionCol="svm_raw",
+                    predictionCol="svm_pred", **({"weightCol": weight} if weight else {}))
+    platt = lambda m: LogisticRegression(featuresCol="margin_vec", labelCol=label, maxIter=50).fit(
+        VectorAssembler(inputCols=["svm_margin"], outputCol="margin_vec").transform(m))
+    if d.count() >= MG.SVM_ROWS and {r[0] for r in d.select(label).distinct().limit(3).collect()} == {0.0, 1.0}:
+        svc, m = MG.fit(scaled, est, "scaled_vec", label, weight, "svm_fold", folds, *rff_projection(len(features), n_components))
+        m = m.persist(StorageLevel.MEMORY_AND_DISK)  # 16 bytes a row
+        try:
+            return RffSvmModel(prep, svc, platt(m), len(features), n_components)
+        finally:
+            m.unpersist()
+    z = add_rff(scaled, "scaled_vec", len(features), n_components)
     # read by every fit; a fit is some 100 short jobs, whose tasks would each carry the whole plan behind the rows
     z = checkpoint(z.select(label, *([weight] if weight else []), "svm_fold", "rff"))
     parts = max(1, -(-z.count() // ROWS_A_PARTITION))
     z = z.coalesce(parts)
-    est = LinearSVC(featuresCol="rff", labelCol=label, maxIter=max_iter, regParam=reg, rawPredictionCol="svm_raw",
-                    predictionCol="svm_pred", **({"weightCol": weight} if weight else {}))
     m = out_of_fold_margins(z, est, folds).coalesce(parts)
-    calib = LogisticRegression(featuresCol="margin_vec", labelCol=label, maxIter=50).fit(
-        VectorAssembler(inputCols=["svm_margin"], outputCol="margin_vec").transform(m))
+    calib = platt(m)
     return RffSvmModel(prep, est.fit(z), calib, len(features), n_components)
 
 

@@ -35,7 +35,7 @@ from ..session import ensure_checkpoint_dir, scratch_path
 FOREST_ROWS = 1 << 15  # fewer rows are Spark ML's: its forest is faster there
 BOOST_ROWS = 1 << 20  # the same for boosted trees, whose levels are a job each
 TOGETHER = 192 << 20  # bytes of bins that are broadcast
-BLOCK = 1 << 16  # rows counted together
+BLOCK = 1 << 15  # rows counted together
 SAMPLE = 1 << 16  # rows behind the cut points (Spark ML takes 10,000)
 HELD = 64 << 20  # bytes of histograms that a task holds
 NODES = 256  # of one tree counted together in a task that grows it
@@ -110,6 +110,11 @@ def blocks_of(d: DataFrame, vec: str, label: str, cuts: list[np.ndarray], by_col
         lambda r: (r.part, r.k, r.n, bytes(r.bins), bytes(r.y)))
 
 
+def spread(blocks):
+    """Blocks, which begin with their partition and number, dealt evenly to one partition a core; their draws go by these numbers."""
+    return blocks.map(lambda b: (b[0] + b[1], b)).partitionBy(blocks.context.defaultParallelism, int).values()
+
+
 def _with_last(batches):
     """(False, batch) for each, then (True, None)."""
     for b in batches:
@@ -291,7 +296,7 @@ def fit_forest(d: DataFrame, est: RandomForestClassifier, n: int, weights: np.nd
         trees = est.getNumTrees()
         nodes = spark.range(0, trees, 1, min(trees, 4 * sc.defaultParallelism)).mapInPandas(run, NODE)
         return as_model(d, est, nodes, [1.0] * trees, len(cuts))
-    by_task = blocks.coalesce(sc.defaultParallelism).persist(StorageLevel.MEMORY_AND_DISK)
+    by_task = spread(blocks).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         trees = grow_together(by_task, est.getNumTrees(), seed, p)
         nodes = spark.createDataFrame(pd.concat([t.nodes(weights, cuts) for t in trees], ignore_index=True), NODE)
@@ -373,13 +378,12 @@ def residual(y: np.ndarray, margin: np.ndarray, first: bool) -> np.ndarray:
 
 
 def fit_boosted(d: DataFrame, est: GBTClassifier, n: int, weights: np.ndarray) -> GBTClassificationModel:
-    sc = d.sparkSession.sparkContext
     vec, label, weight, seed = est.getFeaturesCol(), est.getLabelCol(), est.getWeightCol() if est.isSet("weightCol") else None, est.getSeed()
     cuts = sampled_cuts(d, vec, weight, n, est.getMaxBins(), seed)
     p = dict(depth=est.getMaxDepth(), leaf=est.getMinInstancesPerNode(), features=len(cuts), drawn=drawn(est.getFeatureSubsetStrategy() if est.getFeatureSubsetStrategy() != "auto" else "all", len(cuts)),
              bins=max(2, 1 + max(map(len, cuts))), cuts=np.array(list(map(len, cuts))), weights=weights, share=est.getSubsamplingRate(), seed=seed)
     ensure_checkpoint_dir(d.sparkSession)
-    state = blocks_of(d, vec, label, cuts, by_column=True).coalesce(sc.defaultParallelism).map(lambda b: (*b, np.zeros(b[2]).tobytes())).persist(StorageLevel.MEMORY_AND_DISK)
+    state = spread(blocks_of(d, vec, label, cuts, by_column=True)).map(lambda b: (*b, np.zeros(b[2]).tobytes())).persist(StorageLevel.MEMORY_AND_DISK)
     before, frames, rates = None, [], [1.0] + [est.getStepSize()] * (est.getMaxIter() - 1)
     for m, rate in enumerate(rates):
         tree = boosted_tree(state, m, p)
